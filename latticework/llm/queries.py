@@ -5,13 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, url_filters, warc
+from . import bpe, decontamination, pii, url_filters, warc
 from .common import new_path, table
 
 #: (host, path, action)
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
 
+def vocabulary_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, action string")
     return url_filters.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
@@ -30,7 +36,16 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
 
 
-QUERIES = {f.__name__: f for f in (op6_url_filters, op8_benchmark_decontamination, op9_warc)}
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = vocabulary_path()
+    return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), path, keep=["doc_id"]), path, "doc_id")
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(table(spark, sf_dir, "documents"), keep=["doc_id"]), "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (op6_url_filters, op8_benchmark_decontamination, op9_warc, op7_bpe, op10_pii)}
 
 ORACLE_SQL = {
     "op6_url_filters": r"""
