@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, pii, substring_dedup, url_filters, warc
+from . import bpe, decontamination, jaccard_join, pii, substring_dedup, url_filters, warc
 from .common import new_path, table
 
 #: (host, path, action)
@@ -18,6 +18,10 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.find_repeats(table(spark, sf_dir, "documents"), window=50).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
@@ -49,7 +53,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(table(spark, sf_dir, "documents"), keep=["doc_id"]), "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op6_url_filters, op8_benchmark_decontamination, op9_warc, op7_bpe, op10_pii, op3_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_jaccard_join, op6_url_filters, op8_benchmark_decontamination, op9_warc, op7_bpe, op10_pii, op3_substring_dedup)}
 
 ORACLE_SQL = {
     "op6_url_filters": r"""

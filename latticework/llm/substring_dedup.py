@@ -27,43 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import packed
 from .common import U64, WordHash, materialize, rolling, split_white, starts, texts_of, word_chunks
 
 #: Words whose probes one partition holds, and words that a task packs at once.
 PARTITION_WORDS = 4_000_000
 CHUNK_WORDS = 1_000_000
 _BASE_2 = 0xD6E8FEB86659FD93
-_PACKED = "part int, h binary, d binary, ids binary"
-
-
-def _part(h: np.ndarray, parts: int) -> np.ndarray:
-    """The partition of each hash, by its upper 32 bits."""
-    return (((h >> U64(32)) * U64(parts)) >> U64(32)).astype(np.int64)
-
-
-def _pack(h: np.ndarray, part: np.ndarray, doc: np.ndarray, ids: np.ndarray, parts: int, bits: type) -> Iterator[pa.RecordBatch]:
-    """A row for each partition: hashes, 16-bit document numbers, and the documents' ids."""
-    order = np.argsort(part.astype(np.uint16) if parts < 1 << 16 else part, kind="stable")
-    h, doc = h[order].astype(bits), doc[order].astype(np.uint16)
-    edge = np.searchsorted(part[order], np.arange(parts + 1))
-    raw = ids.astype(np.int64).tobytes()
-    rows = [(p, h[a:b].tobytes(), doc[a:b].tobytes(), raw) for p, (a, b) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)) if b > a]
-    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2, 3))], names=["part", "h", "d", "ids"])
-
-
-def _unpack(batches, bits: type) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Everything that a task got: hash, partition, document's id, flag (the uppermost bit of the document number)."""
-    hs, ps, ids, flags = [], [], [], []
-    for b in batches:
-        for p, h, d, own in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            d = np.frombuffer(d, np.uint16)
-            hs.append(np.frombuffer(h, bits))
-            ps.append(np.full(len(d), p, np.int32))
-            ids.append(np.frombuffer(own, np.int64)[d & 0x7FFF])
-            flags.append(d >= 0x8000)
-    if not hs:
-        return np.empty(0, bits), np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, bool)
-    return np.concatenate(hs), np.concatenate(ps), np.concatenate(ids), np.concatenate(flags)
 
 
 def _told(ids: np.ndarray, value: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -82,9 +52,9 @@ def _told(ids: np.ndarray, value: np.ndarray) -> Iterator[pa.RecordBatch]:
 
 
 def _limits(texts: list[bytes | None]) -> Iterator[tuple[int, int, np.ndarray, list[bytes]]]:
-    """word_chunks of at most 30,000 rows, which the 15 bits of a document number can tell apart."""
-    for i in range(0, len(texts), 30_000):
-        for a, b, ends, words in word_chunks(texts[i : i + 30_000], split_white, CHUNK_WORDS):
+    """word_chunks of at most packed.ROWS rows."""
+    for i in range(0, len(texts), packed.ROWS):
+        for a, b, ends, words in word_chunks(texts[i : i + packed.ROWS], split_white, CHUNK_WORDS):
             yield a + i, b + i, ends, words
 
 
@@ -136,10 +106,11 @@ def find_repeats(docs: DataFrame, *, window: int = 50, id_col: str = "doc_id", t
                     continue
                 h = full(words, cache)[at]
                 aligned = (at - ends[row]) % block == 0
-                yield from _pack(h & U64(0xFFFFFFFF), _part(h, parts), row | aligned.astype(np.int64) << 15, ids[lo:hi], parts, np.uint32)
+                yield packed.pack(h & U64(0xFFFFFFFF), packed.part_of(h, parts), row, ids[lo:hi, None], parts, np.uint32, aligned)
 
     def anchors(batches):
-        h, part, ids, aligned = _unpack(batches, np.uint32)
+        h, part, ids, aligned = packed.unpack(batches, np.uint32)
+        ids = ids[:, 0]
         key = part.astype(U64) << U64(32) | h.astype(U64)
         order = np.argsort(key)
         key, ids, aligned = key[order], ids[order], aligned[order]
@@ -151,7 +122,7 @@ def find_repeats(docs: DataFrame, *, window: int = 50, id_col: str = "doc_id", t
         yield from _told(ids[keep], key[keep])
 
     with_id = lean.where("id IS NOT NULL")
-    told = with_id.mapInArrow(probes, _PACKED).repartitionById(parts, "part").mapInArrow(anchors, "id long, found binary")
+    told = with_id.mapInArrow(probes, packed.SCHEMA).repartitionById(parts, "part").mapInArrow(anchors, "id long, found binary")
     told = told.groupBy("id").agg(F.collect_list("found").alias("found"))
     firsts = sig.where("id = first_id").select("id").distinct()  # documents whose words no smaller id has throughout
     near = materialize(with_id.join(told.join(firsts, "id", "left_semi"), "id").select("id", "text", "found"), "repeats-candidates")
@@ -163,7 +134,7 @@ def find_repeats(docs: DataFrame, *, window: int = 50, id_col: str = "doc_id", t
             for lo, hi, ends, words in _limits(texts):
                 raw = cache.of(words)
                 h = rolling(raw, block)
-                key = _part(h, parts).astype(U64) << U64(32) | h & U64(0xFFFFFFFF)
+                key = packed.part_of(h, parts).astype(U64) << U64(32) | h & U64(0xFFFFFFFF)
                 cover = np.zeros(len(words) + 1, np.int64)
                 for r in range(hi - lo):
                     s, e = int(ends[r]), int(ends[r + 1])
@@ -178,10 +149,11 @@ def find_repeats(docs: DataFrame, *, window: int = 50, id_col: str = "doc_id", t
                 if not len(at):
                     continue
                 row = np.searchsorted(ends[1:], at, side="right")
-                yield from _pack(rolling(raw, window)[at], _part(rolling(raw, window, _BASE_2)[at], parts), row, ids[lo:hi], parts, U64)
+                yield packed.pack(rolling(raw, window)[at], packed.part_of(rolling(raw, window, _BASE_2)[at], parts), row, ids[lo:hi, None], parts, U64)
 
     def later(batches):
-        h, part, ids, _ = _unpack(batches, U64)
+        h, part, ids, _ = packed.unpack(batches, U64)
+        ids = ids[:, 0]
         order = np.lexsort((h, part))
         h, part, ids = h[order], part[order], ids[order]
         if not len(h):
@@ -191,7 +163,7 @@ def find_repeats(docs: DataFrame, *, window: int = 50, id_col: str = "doc_id", t
         keep = ids > smallest
         yield from _told(ids[keep], h[keep])
 
-    repeats = near.mapInArrow(windows, _PACKED).repartitionById(parts, "part").mapInArrow(later, "id long, found binary")
+    repeats = near.mapInArrow(windows, packed.SCHEMA).repartitionById(parts, "part").mapInArrow(later, "id long, found binary")
     repeats = repeats.groupBy("id").agg(F.collect_list("found").alias("repeats"))
 
     def removal(batches):
