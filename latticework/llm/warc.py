@@ -4,7 +4,7 @@
     df.write.format("warc").mode("append").save(folder)     columns of SCHEMA; see record_rows() for how to make them
     spark.read.format("warc").load(folder_or_file)          .where("record_type = 'response'") reaches the reader
 
-Files are plain WARC/1.1, closed at about max_file_bytes and listed in a manifest when the job commits, so what a failed or repeated
+Files are WARC/1.1 with plain headers (foreign .warc.gz files can be read too), closed at about max_file_bytes and listed in a manifest when the job commits, so what a failed or repeated
 task left behind isn't read. Each file is an input partition. The reader parses a record's headers first; filters on headers (record
 type, record id, target URI, digest, refers_to; =, IN, IS [NOT] NULL, LIKE 'x%') are decided on them, and the payload of a record that is filtered
 out, or of any record where option payload is "skip", is passed over by Content-Length and never decoded. Option payload "verify" checks payloads
@@ -17,6 +17,7 @@ read as nulls. Header values have line ends replaced by spaces. An empty table m
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import json
 import uuid
@@ -32,7 +33,10 @@ _MANIFEST = "_warc_manifest-"
 #: Column, WARC header. The payload's length has a header of its own, since a revisit's block doesn't hold the payload.
 _HEADERS = {"record_id": "WARC-Record-ID", "record_type": "WARC-Type", "target_uri": "WARC-Target-URI", "warc_date": "WARC-Date", "payload_digest": "WARC-Payload-Digest", "payload_bytes": "X-Payload-Length", "refers_to": "WARC-Refers-To"}
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-_HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
+_HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
+_GZIP = b"Content-Encoding: gzip\r\n"
+#: Payloads from this size on are stored with HTTP's own gzip coding, so that records' headers stay plain and payloads can be passed over.
+GZIP_BYTES = 512
 
 
 def sha1_base32(data: bytes) -> str:
@@ -48,7 +52,8 @@ def _fs(path: str):
 def record(row: dict) -> bytes:
     """One record; a revisit has no payload of its own."""
     revisit, payload = row["record_type"] == "revisit", row["payload"] or b""
-    block = _HTTP + (b"" if revisit else payload)
+    packed = not revisit and len(payload) >= GZIP_BYTES
+    block = _HTTP + (_GZIP if packed else b"") + b"\r\n" + (b"" if revisit else gzip.compress(payload, 1, mtime=0) if packed else payload)
     fields = [("WARC-Type", row["record_type"]), ("WARC-Record-ID", f"<{row['record_id'] or ''}>"), ("WARC-Date", row["warc_date"]), ("WARC-Target-URI", row["target_uri"]), ("WARC-Payload-Digest", f"sha1:{row['payload_digest']}"), ("X-Payload-Length", row["payload_bytes"])]
     if revisit:
         fields += [("WARC-Refers-To", f"<{row['refers_to']}>"), ("WARC-Profile", _PROFILE)]
@@ -133,8 +138,11 @@ def row_of(headers: dict[str, str]) -> dict:
 
 
 def payload_of(block: bytes, headers: dict[str, str]) -> bytes:
-    """An HTTP message's body; any other block whole."""
-    return block.partition(b"\r\n\r\n")[2] if headers.get("content-type", "").startswith("application/http") else block
+    """An HTTP message's body, its gzip coding undone; any other block whole."""
+    if not headers.get("content-type", "").startswith("application/http"):
+        return block
+    head, _, body = block.partition(b"\r\n\r\n")
+    return gzip.decompress(body) if b"\r\ncontent-encoding: gzip" in head.lower() else body
 
 
 class WarcReader(DataSourceReader):
@@ -165,7 +173,7 @@ class WarcReader(DataSourceReader):
             return [InputPartition(self.path)]
         infos = fs.get_file_info(pafs.FileSelector(at))
         listed = [f for i in infos if i.base_name.startswith(_MANIFEST) for f in json.loads(fs.open_input_stream(i.path).read())]
-        names = listed if any(i.base_name.startswith(_MANIFEST) for i in infos) else [i.base_name for i in infos if i.base_name.endswith(".warc")]
+        names = listed if any(i.base_name.startswith(_MANIFEST) for i in infos) else [i.base_name for i in infos if i.base_name.endswith((".warc", ".warc.gz"))]
         return [InputPartition(f"{self.path.rstrip('/')}/{n}") for n in sorted(names)] or [InputPartition(None)]
 
     def read(self, partition):
