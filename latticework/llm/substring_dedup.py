@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import packed
-from .common import U64, WordHash, materialize, rolling, split_white, starts, texts_of, word_chunks
+from .common import U64, WordHash, materialize, mix, rolling, split_white, starts, texts_of, word_chunks
 
 #: Words whose probes one partition holds, and words that a task packs at once.
 PARTITION_WORDS = 4_000_000
@@ -36,19 +36,47 @@ CHUNK_WORDS = 1_000_000
 _BASE_2 = 0xD6E8FEB86659FD93
 
 
-def _told(ids: np.ndarray, value: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """A row for each document: its distinct values, as binary."""
+_TOLD = "part int, ids binary, counts binary, found binary"
+
+
+def _told(ids: np.ndarray, value: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+    """What documents are to know, packed: a row for each partition of documents."""
     order = np.lexsort((value, ids))
     ids, value = ids[order], value[order]
     fresh = np.ones(len(ids), bool)
     fresh[1:] = (ids[1:] != ids[:-1]) | (value[1:] != value[:-1])
     ids, value = ids[fresh], value[fresh]
-    head = np.flatnonzero(np.diff(ids, prepend=ids[:1] - 1))
-    edge = np.append(head, len(ids)).tolist()
-    step = 5000
-    for i in range(0, len(head), step):
-        spans = zip(edge[i : i + step], edge[i + 1 : i + step + 1], strict=False)
-        yield pa.RecordBatch.from_arrays([pa.array(ids[head[i : i + step]]), pa.array([value[a:b].tobytes() for a, b in spans], pa.binary())], names=["id", "found"])
+    part = packed.part_of(mix(ids.astype(U64)), parts)
+    order = np.argsort(part, kind="stable")
+    ids, value, part = ids[order], value[order], part[order]
+    head = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(ids) else []
+    rows: list[list] = [[], [], [], []]
+    for a, b in zip(head, np.append(head[1:], len(ids)), strict=True):
+        own, count = np.unique(ids[a:b], return_counts=True)
+        for k, x in enumerate((int(part[a]), own.tobytes(), count.astype(np.uint32).tobytes(), value[a:b].tobytes())):
+            rows[k].append(x)
+    yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(r, pa.binary()) for r in rows[1:])], names=["part", "ids", "counts", "found"])
+
+
+def _gathered(told: DataFrame, parts: int) -> DataFrame:
+    """id and what it was told by all partitions, as binary: a row for each document."""
+
+    def run(batches):
+        ids, value = [np.empty(0, np.int64)], [np.empty(0, U64)]
+        for b in batches:
+            for i, n, v in zip(*(c.to_pylist() for c in b.columns[1:]), strict=True):
+                ids.append(np.repeat(np.frombuffer(i, np.int64), np.frombuffer(n, np.uint32)))
+                value.append(np.frombuffer(v, U64))
+        ids, value = np.concatenate(ids), np.concatenate(value)
+        order = np.argsort(ids, kind="stable")
+        ids, value = ids[order], value[order]
+        own, head = np.unique(ids, return_index=True)
+        edge = np.append(head, len(ids)).tolist()
+        for k in range(0, len(own), 2000):
+            spans = zip(edge[k : k + 2000], edge[k + 1 : k + 2001], strict=False)
+            yield pa.RecordBatch.from_arrays([pa.array(own[k : k + 2000]), pa.array([value[a:b].tobytes() for a, b in spans], pa.binary())], names=["id", "found"])
+
+    return told.repartitionById(parts, "part").mapInArrow(run, "id long, found binary")
 
 
 def _limits(texts: list[bytes | None]) -> Iterator[tuple[int, int, np.ndarray, list[bytes]]]:
@@ -85,8 +113,8 @@ def find_repeats(docs: DataFrame, *, window: int = 50, id_col: str = "doc_id", t
     block = window // 2
     lean = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sig = materialize(signatures(lean), "repeats-signatures")
-    first = sig.where("id IS NOT NULL").groupBy("sx", "sy").agg(F.min("id").alias("first_id"))
-    sig = materialize(sig.join(first, ["sx", "sy"], "left"), "repeats-signatures")
+    first = materialize(sig.where("id IS NOT NULL").groupBy("sx", "sy").agg(F.min("id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n"), "repeats-copies")
+    sig = materialize(sig.join(first, ["sx", "sy"], "left").withColumn("first_id", F.coalesce("first_id", "id")), "repeats-signatures")
     total = sig.agg(F.sum("n_words")).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / PARTITION_WORDS))
 
@@ -119,11 +147,11 @@ def find_repeats(docs: DataFrame, *, window: int = 50, id_col: str = "doc_id", t
         head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         good = np.logical_or.reduceat(aligned, head) & (np.minimum.reduceat(ids, head) != np.maximum.reduceat(ids, head))
         keep = np.repeat(good, np.diff(np.append(head, len(key))))
-        yield from _told(ids[keep], key[keep])
+        yield from _told(ids[keep], key[keep], parts)
 
     with_id = lean.where("id IS NOT NULL")
-    told = with_id.mapInArrow(probes, packed.SCHEMA).repartitionById(parts, "part").mapInArrow(anchors, "id long, found binary")
-    told = told.groupBy("id").agg(F.collect_list("found").alias("found"))
+    told = with_id.mapInArrow(probes, packed.SCHEMA).repartitionById(parts, "part").mapInArrow(anchors, _TOLD)
+    told = _gathered(told, parts)
     firsts = sig.where("id = first_id").select("id").distinct()  # documents whose words no smaller id has throughout
     near = materialize(with_id.join(told.join(firsts, "id", "left_semi"), "id").select("id", "text", "found"), "repeats-candidates")
 
@@ -140,7 +168,7 @@ def find_repeats(docs: DataFrame, *, window: int = 50, id_col: str = "doc_id", t
                     s, e = int(ends[r]), int(ends[r + 1])
                     if e - s < window:
                         continue
-                    own = np.sort(np.frombuffer(b"".join(found[lo + r]), U64))
+                    own = np.sort(np.frombuffer(found[lo + r], U64))
                     mine = key[s : e - block + 1]
                     at = np.flatnonzero(own[np.minimum(np.searchsorted(own, mine), len(own) - 1)] == mine) + s
                     np.add.at(cover, np.maximum(at - (window - block), s), 1)
@@ -161,10 +189,10 @@ def find_repeats(docs: DataFrame, *, window: int = 50, id_col: str = "doc_id", t
         head = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (part[1:] != part[:-1])]))
         smallest = np.repeat(np.minimum.reduceat(ids, head), np.diff(np.append(head, len(h))))
         keep = ids > smallest
-        yield from _told(ids[keep], h[keep])
+        yield from _told(ids[keep], h[keep], parts)
 
-    repeats = near.mapInArrow(windows, packed.SCHEMA).repartitionById(parts, "part").mapInArrow(later, "id long, found binary")
-    repeats = repeats.groupBy("id").agg(F.collect_list("found").alias("repeats"))
+    repeats = near.mapInArrow(windows, packed.SCHEMA).repartitionById(parts, "part").mapInArrow(later, _TOLD)
+    repeats = _gathered(repeats, parts).withColumnRenamed("found", "repeats")
 
     def removal(batches):
         cache = WordHash()
@@ -174,7 +202,7 @@ def find_repeats(docs: DataFrame, *, window: int = 50, id_col: str = "doc_id", t
                 words = split_white(t) if t else []
                 raw = cache.of(words)
                 h = rolling(raw, window)
-                own = np.sort(np.frombuffer(b"".join(found), U64))
+                own = np.sort(np.frombuffer(found, U64))
                 at = np.flatnonzero(own[np.minimum(np.searchsorted(own, h), len(own) - 1)] == h)
                 gone = np.zeros(len(words) + 1, np.int64)
                 gone[at] += 1
