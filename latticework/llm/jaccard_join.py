@@ -262,7 +262,8 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, percent: int = 80, id_col: s
     largest = sig.agg(F.max("size").alias("most"), F.sum("size").alias("all")).first()
     bands = Bands(percent, int(largest.most or 1))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil((largest["all"] or 0) * 0.4 / PARTITION_ENTRIES))
-    classes = sig.where("id IS NOT NULL AND size > 0").groupBy("sx", "sy").agg(F.min("id").alias("class_id"))
+    classes = sig.where("id IS NOT NULL AND size > 0").groupBy("sx", "sy").agg(F.min("id").alias("class_id"), F.count("*").alias("n")).where("n > 1").drop("n")
+    classes = materialize(classes, "jaccard-classes")
     bucketed = materialize(_buckets(with_id, n, bands, parts), "jaccard-buckets")
     inside = bucketed.select("id").distinct()
     sizes = materialize(sig.where("id IS NOT NULL").join(inside, "id", "left_semi").groupBy("id").agg(F.max("size").alias("size")), "jaccard-sizes")
@@ -298,7 +299,7 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, percent: int = 80, id_col: s
 
     known = comp.select(F.col("node").alias("class_id"), "comp")
     return (
-        sig.join(classes, ["sx", "sy"], "left").join(known, "class_id", "left")
+        sig.join(classes, ["sx", "sy"], "left").withColumn("class_id", F.coalesce("class_id", "id")).join(known, "class_id", "left")
         .select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.when(F.col("id").isNotNull() & (F.col("size") > 0), F.coalesce("comp", "class_id")).otherwise(F.col("id")).alias("component_id"))
     )
 
