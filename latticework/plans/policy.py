@@ -109,7 +109,7 @@ def impact_rollup(spark, sf):
     return rounded(policy.impact(planned(spark, sf).withColumn("after", F.col("green") + F.col("delta")), "kind", "green", "after"), 6)
 
 
-_GAINS = f"WITH {GRID_SQL}, e AS (SELECT a.id AS src, b.id AS dst FROM grid a JOIN grid b ON abs(a.cx - b.cx) + abs(a.cy - b.cy) = 1), own AS (SELECT id, bal / 1000 AS own FROM grid WHERE id % 10 = 0)"
+_GAINS = f"WITH {GRID_SQL}, e AS (SELECT a.id AS src, b.id AS dst FROM grid a JOIN grid b ON abs(a.cx - b.cx) + abs(a.cy - b.cy) = 1), own AS (SELECT id, bal / 1000 AS own FROM grid)"
 
 
 @query(f"{_GAINS}, n AS (SELECT o.id, sum(0.1 * g.bal / 1000) AS neighbours FROM own o JOIN e ON src = o.id JOIN grid g ON g.id = dst GROUP BY 1) SELECT id, round(own, 6) + 0.0 AS own, round(coalesce(neighbours, 0), 6) + 0.0 AS neighbours, round(CASE WHEN abs(own) > 0.0001 THEN coalesce(neighbours, 0) / own ELSE 0 END, 6) + 0.0 AS multiplier FROM own LEFT JOIN n USING (id)")
@@ -117,8 +117,8 @@ def spillover_multiplier(spark, sf):
     from latticework.operators.spatial import rook_edges
 
     g = grid(spark, sf)
-    chosen = g.where("id % 10 = 0").select("id")
-    own = g.where("id % 10 = 0").select(F.col("id").alias("source"), "id", (F.col("bal") / 1000).alias("gain"))
+    chosen = g.select("id")
+    own = g.select(F.col("id").alias("source"), "id", (F.col("bal") / 1000).alias("gain"))
     edges = rook_edges(g)
     near = edges.join(chosen.withColumnRenamed("id", "src"), "src").join(g.select(F.col("id").alias("dst"), "bal"), "dst").select(F.col("src").alias("source"), F.col("dst").alias("id"), (0.1 * F.col("bal") / 1000).alias("gain"))
     return rounded(policy.spill_over(chosen, edges, own.unionByName(near)), 6)
@@ -163,7 +163,7 @@ def gat_forward(spark, sf):
 @query()
 def gat_training(spark, sf):
     """A small network trained on the grid, against least squares: error on held-out cells."""
-    g = rank.hash_split(grid(spark, sf).where("id < 600"), "id").orderBy("id").select("id", "cx", "cy", "bal", "split").collect()
+    g = rank.hash_split(grid(spark, sf), "id").orderBy("id").select("id", "cx", "cy", "bal", "split").collect()
     x = np.array([[r.cx / 20 - 1, r.cy / 10 - 1, r.bal / 5000] for r in g])
     y = np.array([[np.sin(r.cx / 5) + r.cy / 20, r.bal / 5000] for r in g])
     number = {r.id: k for k, r in enumerate(g)}
@@ -229,7 +229,7 @@ def least_squares(spark, sf):
 
 @query()
 def genetic_search(spark, sf):
-    nodes = grid(spark, sf).where("id < 8").select("id", F.array(F.col("bal") / 10000, F.lit(2.0)).alias("context"))
+    nodes = grid(spark, sf).select("id", F.array(F.col("bal") / 10000, F.lit(2.0)).alias("context"))
     fitness = lambda c, genes: -((genes - c) ** 2).sum(1)
     out = policy.genetic_search(nodes, fitness, [(-1.0, 1.0), (0.5, 3.5)], population=40, generations=15)
     return out.select("id", F.round("best", 2).alias("best"))
