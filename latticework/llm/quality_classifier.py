@@ -1,9 +1,9 @@
 """Weak-label quality classifier.
 
-Heuristic labellers vote good, bad or nothing on each document, for two questions: is the text regular prose (quality), and is it free of abuse (toxicity); where a table of
+Heuristic labellers vote good or bad on a document or stay silent, for two questions: is the text regular prose (quality), and is it free of abuse (toxicity); where a table of
 labels has the document, it is one more labeller. Expectation-maximisation over how often each combination of votes occurs in the whole corpus (there are few combinations, and they are counted
 on the cluster) estimates the labellers' accuracies and gives each combination's posterior. Posteriors of a bounded sample of labelled rows then train two hashed
-linear scorers (logistic, L1): quality on binned statistics and word shapes, toxicity on words and their beginnings. Both score every document's whole text.
+linear scorers (logistic, L1): quality on binned statistics and pairs of byte classes, toxicity on words and their beginnings. Both score every document's whole text.
 
 Bound: at most `sample` rows for training, half of them rows that the labels call bad or toxic, as many as there are, taken in the order of a hash of the id and weighted back
 to their shares. Nothing else is bounded. Without any labels there is no sample, and the posteriors of the votes decide by themselves.
@@ -21,99 +21,98 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import U64, mix, split_white, texts_of, word_chunks
+from .common import U64, mix, texts_of
 
 #: Words that abuse the reader, for the first labeller of toxicity.
 INSULTS = frozenset(b"idiot moron stupid loser scum trash clown disgusting worthless pathetic imbecile idiots morons losers dumb bastard".split())
 STATS = ("symbols", "upper", "repeats", "windows", "pipes", "bangs")
-#: For each statistic: from which value on a labeller says bad, and up to which it says good.
+#: For each statistic: from which value on its labeller says bad, and up to which a text counts as regular.
 RULES = {"symbols": (0.15, 0.02), "upper": (0.55, 0.15), "repeats": (0.4, 0.15), "windows": (0.6, 0.25), "pipes": (0.12, 0.01), "bangs": (0.25, 0.02)}
 _SYMBOLS = b"*$%&#"
 _BINS = np.array([0.005, 0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])
 _STRIP = b".,;:!?\"'()[]{}<>*$%&#|-_=+/"
-CACHE_WORDS = 200_000
+CACHE_WORDS = 300_000
+_UPPER, _LETTER = (bytes(c for c in range(256) if not (65 <= c <= 90 or letters and 97 <= c <= 122)) for letters in (False, True))
+#: Classes of bytes for the shapes: small, capital, digit, white space, the symbols, other punctuation, the rest (parts of other letters).
+_CLASS = np.array([0 if 97 <= c <= 122 else 1 if 65 <= c <= 90 else 2 if 48 <= c <= 57 else 3 if c in b" \t\n\r\x0b\x0c" else 4 if c in b"*$%&#" else 5 if c in b"!|" else 6 if c < 128 else 7 for c in range(256)], np.int64)
 
 
 def _feature(kind: bytes, value: bytes) -> int:
     return xxhash.xxh3_64_intdigest(kind + b"\0" + value) >> 36  # 2**28 places
 
 
-class WordInfo(dict):
-    """A word to its number; for each number its letters, capitals, kind of ending, shape and toxicity features."""
+_BIN_FEATURES = [[_feature(b"bin", f"{s}:{k}".encode()) for k in range(len(_BINS) + 1)] for s in STATS]
+_SHAPE_FEATURES = np.array([_feature(b"shape", str(k).encode()) for k in range(64)], np.int64)
+
+
+def _describe(text: bytes | None):
+    """Words, statistics and the number of insults of a text; None without words."""
+    words = text.split() if text else []
+    n = len(words)
+    if not n:
+        return None
+    letters = len(text.translate(None, _LETTER))
+    capitals = len(text.translate(None, _UPPER))
+    symbols = sum(len(w) >= 2 and w[-1] in _SYMBOLS and w[-2] in _SYMBOLS for w in words) if any(text.find(bytes([c])) >= 0 for c in _SYMBOLS) else 0
+    bangs = sum(w.endswith(b"!!") for w in words) if b"!!" in text else 0
+    h = np.fromiter(map(hash, words), np.int64, n).view(U64)
+    own = np.sort(mix(mix(h[:-2]) + h[1:-1] * U64(3) + h[2:] * U64(0x9E3779B97F4A7C15))) if n >= 30 else h[:0]
+    same = own[1:] == own[:-1]
+    twice = int((np.append(same, False) | np.append(False, same)).sum()) if len(own) else 0
+    low = text.lower()
+    insults = sum(w.strip(_STRIP) in INSULTS for w in low.split()) if any(low.find(x) >= 0 for x in INSULTS) else 0
+    stats = (symbols / n, capitals / letters if letters >= 20 else 0.0, float((h[1:] == h[:-1]).sum()) / (n - 1) if n >= 8 else 0.0, twice / len(own) if len(own) else 0.0, words.count(b"|") / n, bangs / n)
+    return words, stats, insults
+
+
+def _quality_features(text: bytes, stats: tuple[float, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Binned statistics, and the shares of pairs of byte classes."""
+    kind = _CLASS[np.frombuffer(text, np.uint8)]
+    share = np.bincount(kind[:-1] * 8 + kind[1:], minlength=64) / max(1, len(kind) - 1)
+    binned = [_BIN_FEATURES[k][int(np.searchsorted(_BINS, v, side="right"))] for k, v in enumerate(stats)]
+    return np.concatenate([np.array(binned, np.int64), _SHAPE_FEATURES]), np.concatenate([np.ones(len(binned)), share])
+
+
+def _tox_of(word: bytes) -> list[int]:
+    """Features of a word: itself without punctuation, and its beginnings."""
+    w = word.lower().strip(_STRIP)
+    return [_feature(b"word", w), *(_feature(b"begin", w[:k]) for k in (4, 5, 6, 7, 8) if len(w) > k)] if w else []
+
+
+def _tox_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    feature, count = np.unique(np.array([f for w in words for f in _tox_of(w)], np.int64), return_counts=True)
+    return feature, 10.0 * count / np.sqrt(len(words))
 
-    def __init__(self):
+
+class WordWeight(dict):
+    """A word to its features' summed weight; emptied when it is full."""
+
+    def __init__(self, scorer):
         super().__init__()
-        self._empty()
-
-    def _empty(self) -> None:
-        self.clear()
-        self.hash, self.letters, self.capitals, self.symbol, self.bang, self.pipe, self.insult, self.shape, self.tox = [], [], [], [], [], [], [], [], []
-
-    def __missing__(self, w: bytes) -> int:
-        self[w] = k = len(self)
-        text = w.decode("utf-8", "replace")
-        core = w.lower().strip(_STRIP)
-        self.hash.append(xxhash.xxh3_64_intdigest(w))
-        self.letters.append(sum(c.isalpha() for c in text))
-        self.capitals.append(sum(c.isupper() for c in text))
-        self.symbol.append(len(w) >= 2 and w[-1] in _SYMBOLS and w[-2] in _SYMBOLS)
-        self.bang.append(w.endswith(b"!!"))
-        self.pipe.append(w == b"|")
-        self.insult.append(core in INSULTS)
-        shape = "".join(dict.fromkeys("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in text))[:8]
-        self.shape.append(_feature(b"shape", shape.encode()))
-        lower = text.lower().strip(_STRIP.decode())
-        self.tox.append([_feature(b"word", lower.encode()), *(_feature(b"begin", lower[:n].encode()) for n in (4, 5, 6, 7) if len(lower) > n)] if lower else [])
-        return k
-
-    def codes(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > CACHE_WORDS:
-            self._empty()
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-
-
-def _rows(texts: list[bytes | None], info: WordInfo):
-    """For each text: codes of its words, and its statistics with the number of insults; None for texts without words."""
-    for _, _, ends, words in word_chunks(texts, split_white, 200_000):
-        code = info.codes(words)
-        tables = [np.array(x, np.float64)[code] for x in (info.symbol, info.capitals, info.letters, info.pipe, info.bang, info.insult)]
-        h = np.array(info.hash, U64)[code] if len(code) else np.empty(0, U64)
-        e = ends.tolist()
-        for s, t in zip(e[:-1], e[1:], strict=True):
-            n = t - s
-            if not n:
-                yield None
-                continue
-            symbol, capitals, letters, pipe, bang, insult = (float(x[s:t].sum()) for x in tables)
-            own = h[s:t]
-            tri = mix(mix(own[:-2]) + mix(own[1:-1] * U64(3)) + own[2:] * U64(5)) if n > 2 else own[:0]
-            count = np.unique(tri, return_counts=True)[1]
-            twice = int(count[count > 1].sum())
-            yield code[s:t], (symbol / n, capitals / max(1.0, letters) if letters >= 20 else 0.0, float((own[1:] == own[:-1]).sum()) / max(1, n - 1) if n >= 8 else 0.0, twice / max(1, len(tri)) if n >= 30 else 0.0, pipe / n, bang / n), int(insult)
-
-
-def _quality_features(info: WordInfo, code: np.ndarray, stats: tuple[float, ...]) -> tuple[np.ndarray, np.ndarray]:
-    shape, count = np.unique(np.array([info.shape[c] for c in code.tolist()], np.int64), return_counts=True)
-    binned = [_BIN_FEATURES[k][int(np.searchsorted(_BINS, v, side="right"))] for k, v in enumerate(stats)]
-    return np.concatenate([np.array(binned, np.int64), shape]), np.concatenate([np.ones(len(binned)), count / len(code)])
+        self.weights = dict(zip(scorer.places.tolist(), scorer.weights.tolist(), strict=True))
 
+    def __missing__(self, word: bytes) -> float:
+        get = self.weights.get
+        self[word] = w = sum(get(f, 0.0) for f in _tox_of(word))
+        return w
 
-_BIN_FEATURES = [[_feature(b"bin", f"{s}:{k}".encode()) for k in range(len(_BINS) + 1)] for s in STATS]
+    def total(self, words: list[bytes]) -> float:
+        if len(self) > CACHE_WORDS:
+            self.clear()
+        return float(np.fromiter(map(self.__getitem__, words), np.float64, len(words)).sum())
 
 
-def _tox_features(info: WordInfo, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    all_of = [f for c in code.tolist() for f in info.tox[c]]
-    feature, count = np.unique(np.array(all_of, np.int64), return_counts=True)
-    return feature, 10.0 * count / np.sqrt(len(code))
+#: Labellers of quality: one for each statistic, and one for texts in which all are low. Labellers of toxicity: any insult, many insults.
+_QUALITY, _CLEAN = len(STATS) + 1, 2
 
 
 def _ballot(row) -> list[int]:
-    """Votes of the labellers: 1 good, 0 bad, -1 none; by statistic, then two by insults (that there are any; how dense they are)."""
+    """Votes of the labellers: 1 good, 0 bad, -1 none."""
     if row is None:
-        return [-1] * (len(STATS) + 2)
-    code, stats, insults = row
-    rate = insults / len(code)
-    return [*(0 if x >= RULES[s][0] else 1 if x <= RULES[s][1] else -1 for s, x in zip(STATS, stats, strict=True)), 0 if insults else -1, 0 if rate >= 0.004 else 1 if len(code) >= 300 and insults else -1]
+        return [-1] * (_QUALITY + _CLEAN)
+    words, stats, insults = row
+    regular = all(x <= RULES[s][1] for s, x in zip(STATS, stats, strict=True))
+    return [*(0 if x >= RULES[s][0] else -1 for s, x in zip(STATS, stats, strict=True)), 1 if regular else -1, 0 if insults else -1, 0 if insults / len(words) >= 0.004 else -1]
 
 
 def votes(docs: DataFrame, text_col: str, kept: list[str]) -> DataFrame:
@@ -121,10 +120,9 @@ def votes(docs: DataFrame, text_col: str, kept: list[str]) -> DataFrame:
     df = docs.select(*kept, F.col(text_col).alias("__text"))
 
     def run(batches):
-        info = WordInfo()
         for b in batches:
             v, n = [], []
-            for row in _rows(texts_of(b, "__text"), info):
+            for row in map(_describe, texts_of(b, "__text")):
                 v.append(_ballot(row))
                 n.append(0 if row is None else len(row[0]))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(v, pa.list_(pa.int32())), pa.array(n, pa.int64())], names=[*b.schema.names[:-1], "v", "n_words"])
@@ -132,31 +130,42 @@ def votes(docs: DataFrame, text_col: str, kept: list[str]) -> DataFrame:
     return df.mapInArrow(run, StructType([*df.schema.fields[:-1], *StructType.fromDDL("v array<int>, n_words long").fields]))
 
 
-def expectation_maximisation(patterns: np.ndarray, count: np.ndarray, prior: float, steps: int = 100) -> tuple[np.ndarray, np.ndarray, float]:
-    """Accuracies of labellers (chance of a vote's being good, given that it votes and the truth is bad or good), each pattern's posterior of good, and good's share.
+def expectation_maximisation(patterns: np.ndarray, count: np.ndarray, prior: float, *, anchor: int | None = None, silence: float | None = None, steps: int = 200) -> tuple[np.ndarray, np.ndarray, float]:
+    """Of each labeller the chance that a vote is good, given that it votes and the truth is bad or good; each pattern's posterior of good; good's share.
 
-    patterns: (k, labellers) of 1, 0, -1. Starts from the votes' mean, so that bad votes count heavily, and keeps accuracies within bounds.
+    patterns: (k, labellers) of 1, 0, -1. Not to vote is an outcome too: a labeller that looks for one fault and is silent elsewhere says much when it votes. The anchor, a
+    labeller of people's judgements, calls at most 2 in 1000 good rows that it votes on bad, and 1 in 20 bad ones good, whatever the others agree on. silence
+    bounds what staying silent says, for faults that no labeller but the anchor may know. The first posteriors follow the bad votes, and pseudo-counts keep the classes from changing places.
     """
+    labellers = patterns.shape[1]
     if not len(patterns):
-        return np.full((patterns.shape[1], 2), 0.5), np.empty(0), prior
-    cast = patterns >= 0
-    bad = ((patterns == 0) & cast).any(1)
-    post = np.where(bad, 0.1, np.where(cast.any(1), 0.97, prior))
+        return np.full((labellers, 2), 0.5), np.empty(0), prior
+    bad = (patterns == 0).any(1)
+    post = np.where(bad, 0.1, np.where((patterns == 1).any(1), 0.97, prior))
+    pseudo = np.array([[1.0, 1.0, 0.3], [0.05, 1.0, 1.0]])  # by truth: bad, silent, good
+    theta = np.empty((labellers, 2, 3))
     for _ in range(steps):
         share = float(np.clip((post * count).sum() / count.sum(), 0.5, 0.99))
-        acc = np.empty((patterns.shape[1], 2))
-        for k in range(patterns.shape[1]):
+        for k in range(labellers):
             for truth, w in ((0, (1 - post) * count), (1, post * count)):
-                w = w[cast[:, k]]
-                acc[k, truth] = (w[patterns[cast[:, k], k] == 1].sum() + (2.0 if truth else 1.0)) / (w.sum() + 3.0)
-        acc = np.clip(acc, 0.01, 0.995)
-        acc[:, 1] = np.clip(np.maximum(acc[:, 1], acc[:, 0] + 0.005), 0.01, 0.999)
-        logit = np.log(share / (1 - share)) + np.where(patterns == 1, np.log(acc[:, 1] / acc[:, 0]), np.where(patterns == 0, np.log((1 - acc[:, 1]) / (1 - acc[:, 0])), 0.0)).sum(1)
+                n = np.bincount(np.where(patterns[:, k] < 0, 1, 2 * patterns[:, k]), w, 3) + pseudo[truth]
+                theta[k, truth] = n / n.sum()
+        if anchor is not None:
+            for truth, wrong, most in ((1, 0, 0.002), (0, 2, 0.05)):
+                t = theta[anchor, truth]
+                voted = t[0] + t[2]
+                t[wrong] = min(t[wrong], most * voted)
+                t[2 - wrong] = voted - t[wrong]
+        outcome = np.where(patterns < 0, 1, 2 * patterns)
+        ratio = np.log(theta[:, 1] / theta[:, 0])
+        if silence is not None:
+            ratio[:, 1] = np.clip(ratio[:, 1], -silence, silence)
+        logit = np.log(share / (1 - share)) + ratio[np.arange(labellers), outcome].sum(1)
         new = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
         if np.abs(new - post).max() < 1e-7:
             break
         post = new
-    return acc, post, share
+    return theta[:, :, 2] / (theta[:, :, 0] + theta[:, :, 2]), post, share
 
 
 class Scorer:
@@ -176,7 +185,7 @@ class Scorer:
         return self.bias + float((self.weight(feature) * value).sum())
 
 
-def train(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, weight: np.ndarray, *, least_rows: int = 4, l1: float = 2e-5, rate: float = 0.3, steps: int = 120) -> Scorer:
+def train(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, weight: np.ndarray, *, least_rows: int = 4, l1: float = 2e-4, rate: float = 0.3, steps: int = 120) -> Scorer:
     """Logistic regression on soft targets by Adagrad with an L1 proximal step, over places that at least least_rows rows have."""
     if not rows:
         return Scorer(np.empty(0, np.int64), np.empty(0), 0.0)
@@ -212,7 +221,7 @@ def fit(docs: DataFrame, labels: DataFrame | None, *, id_col: str = "doc_id", te
         ballots = ballots.join(known, F.col(id_col) == F.col("__id"), "left")
     else:
         ballots = ballots.withColumns({"lq": F.lit(None).cast("int"), "lt": F.lit(None).cast("int")})
-    m = len(STATS)
+    m = _QUALITY
     combos = ballots.groupBy("v", F.coalesce("lq", F.lit(-1)).alias("lq"), F.coalesce(1 - F.col("lt"), F.lit(-1)).alias("lt")).count().collect()
     model = {}
     for name, part in (("quality", lambda r: [*r.v[:m], r.lq]), ("clean", lambda r: [*r.v[m:], r.lt])):
@@ -220,8 +229,8 @@ def fit(docs: DataFrame, labels: DataFrame | None, *, id_col: str = "doc_id", te
         for r in combos:
             key = tuple(int(x) for x in part(r))
             total[key] = total.get(key, 0) + r["count"]
-        patterns = np.array(list(total), np.int64).reshape(len(total), m + 1 if name == "quality" else 3)
-        acc, post, share = expectation_maximisation(patterns, np.array(list(total.values()), float), 0.85)
+        patterns = np.array(list(total), np.int64).reshape(len(total), 1 + (m if name == "quality" else _CLEAN))
+        acc, post, share = expectation_maximisation(patterns, np.array(list(total.values()), float), 0.85, anchor=patterns.shape[1] - 1, silence=0.7 if name == "clean" else None)
         model[name] = {"accuracy": acc, "posterior": dict(zip(total, post.tolist(), strict=True)), "share": share}
     model["scorers"] = {}
     if known is None:
@@ -235,13 +244,13 @@ def fit(docs: DataFrame, labels: DataFrame | None, *, id_col: str = "doc_id", te
     take = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(picked), "__id")
 
     def gather(batches):
-        info = WordInfo()
         for b in batches:
             out: list[list] = [[], [], [], [], []]
-            for row in _rows(texts_of(b, "__text"), info):
+            for text in texts_of(b, "__text"):
+                row = _describe(text)
                 feats = [(np.empty(0, np.int64), np.empty(0))] * 2
                 if row is not None:
-                    feats = [_quality_features(info, row[0], row[1]), _tox_features(info, row[0])]
+                    feats = [_quality_features(text, row[1]), _tox_features(row[0])]
                 for k, x in enumerate((_ballot(row), feats[0][0].tobytes(), feats[0][1].tobytes(), feats[1][0].astype(np.int32).tobytes(), feats[1][1].astype(np.float32).tobytes())):
                     out[k].append(x)
             yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("lq")).cast(pa.int32()), b.column(b.schema.get_field_index("lt")).cast(pa.int32()), pa.array(out[0], pa.list_(pa.int32())), *(pa.array(x, pa.binary()) for x in out[1:])], names=["lq", "lt", "v", "qf", "qv", "tf", "tv"])
@@ -262,44 +271,32 @@ def fit(docs: DataFrame, labels: DataFrame | None, *, id_col: str = "doc_id", te
     return model
 
 
-def score(docs: DataFrame, model: dict, *, text_col: str = "text", keep: list[str] | None = None, least_quality: float = 0.5, least_clean: float = 0.25) -> DataFrame:
+def score(docs: DataFrame, model: dict, *, text_col: str = "text", keep: list[str] | None = None, least_quality: float = 0.5, least_clean: float = 0.5) -> DataFrame:
     """docs' columns (or those in keep) with p_quality and p_clean (chances that the text is regular, and free of abuse) and accepted."""
-    m = len(STATS)
+    m = _QUALITY
     names = ("p_quality", "p_clean", "accepted")
     kept = [c for c in (docs.columns if keep is None else keep) if c not in names]
     df = docs.select(*kept, F.col(text_col).alias("__text"))
     sent = df.sparkSession.sparkContext.broadcast({"scorers": model["scorers"], "posterior": {k: model[k]["posterior"] for k in ("quality", "clean")}})
 
     def run(batches):
-        info, weights, shapes = WordInfo(), np.empty(0), np.empty(0)
         scorers, posterior = sent.value["scorers"], sent.value["posterior"]
+        weight = WordWeight(scorers["clean"]) if scorers else None
         chance = lambda z: 1 / (1 + float(np.exp(-np.clip(z, -30, 30))))
         for b in batches:
             q, c = [], []
-            for row in _rows(texts_of(b, "__text"), info):
+            for text in texts_of(b, "__text"):
+                row = _describe(text)
                 if row is None:
                     q.append(0.0)
                     c.append(1.0)
-                    continue
-                code, stats, _ = row
-                if not scorers:
+                elif not scorers:
                     own = _ballot(row)
                     q.append(posterior["quality"].get((*own[:m], -1), 0.5))
                     c.append(posterior["clean"].get((*own[m:], -1), 0.5))
-                    continue
-                if len(weights) > len(info):
-                    weights, shapes = weights[:0], shapes[:0]
-                if len(weights) < len(info):  # each word's own share of both sums
-                    new = info.tox[len(weights) :]
-                    n = np.array([len(x) for x in new])
-                    flat = scorers["clean"].weight(np.array([f for x in new for f in x], np.int64))
-                    total = np.concatenate([[0.0], np.cumsum(flat)])
-                    edge = np.concatenate([[0], np.cumsum(n)])
-                    weights = np.concatenate([weights, total[edge[1:]] - total[edge[:-1]]])
-                    shapes = np.concatenate([shapes, scorers["quality"].weight(np.array(info.shape[len(shapes) :], np.int64))])
-                bins = np.array([_BIN_FEATURES[k][int(np.searchsorted(_BINS, v, side="right"))] for k, v in enumerate(stats)], np.int64)
-                q.append(chance(scorers["quality"].bias + float(scorers["quality"].weight(bins).sum()) + float(shapes[code].sum()) / len(code)))
-                c.append(chance(scorers["clean"].bias + 10.0 * float(weights[code].sum()) / np.sqrt(len(code))))
+                else:
+                    q.append(chance(scorers["quality"].score(*_quality_features(text, row[1]))))
+                    c.append(chance(scorers["clean"].bias + 10.0 * weight.total(row[0]) / np.sqrt(len(row[0]))))
             ok = [x >= least_quality and y >= least_clean for x, y in zip(q, c, strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(q, pa.float64()), pa.array(c, pa.float64()), pa.array(ok, pa.bool_())], names=[*b.schema.names[:-1], *names])
 

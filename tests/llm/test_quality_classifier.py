@@ -8,15 +8,15 @@ from latticework.llm.common import table
 
 def test_held_out_accuracy(spark):
     """Fit with the labels of even ids, judged by those of odd ids."""
-    sf = "/root/testdata/sf0.01"
+    sf = "/root/testdata/sf0.1"
     docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
     found = C.classify(docs, labels.where("doc_id % 2 = 0"), keep=["doc_id"])
     held = labels.where("doc_id % 2 = 1").join(found, "doc_id").collect()
     regular = [r for r in held if r.quality == 1]
-    assert np.mean([(r.p_quality >= 0.5) == bool(r.quality) for r in held]) > 0.95
+    assert np.mean([(r.p_quality >= 0.5) == bool(r.quality) for r in held]) > 0.98
     clean = [r for r in regular if not r.toxic]
-    assert np.mean([r.accepted for r in clean]) > 0.97
-    assert np.mean([not r.accepted for r in regular if r.toxic]) > 0.5
+    assert np.mean([r.accepted for r in clean]) > 0.99
+    assert np.mean([not r.accepted for r in regular if r.toxic]) > 0.85
 
 
 def test_expectation_maximisation_finds_the_poor_labeller():
