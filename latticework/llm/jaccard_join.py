@@ -9,10 +9,9 @@ something there can be similar.
 
 What is asked for is the connection of documents, so a bucket's documents aren't paired with each other:
 1. equal sets are one class, found by a 128-bit hash; a bucket holds each class once, by its smallest id;
-2. each document is verified against the smallest id that it shares any bucket with, then against its buckets' other pivots (their smallest ids) that aren't
-   connected with it yet;
-3. buckets that still hold unconnected documents are compared in blocks of bounded size by 4096-bit folded sketches, whose Hamming distance is a lower bound
-   too; pairs that it can't exclude are verified, nearest first, until none is left.
+2. each document meets its buckets' pivots (their smallest ids); 2048-bit folded sketches, whose Hamming distance is a lower bound too, exclude most pairs that aren't
+   similar; of the rest, each document is verified against its smallest pivot, then against those that aren't connected with it yet;
+3. buckets that still hold unconnected documents are compared by the folded sketches in blocks of bounded size; pairs that it can't exclude are verified, the nearest of each document and component first, until none is left.
 Verification is exact on the sets of 64-bit n-gram hashes. No bucket is capped or dropped.
 
 Null and empty texts are empty sets, linked with nothing; null ids are linked with nothing and get no component. Repeated rows are equal sets. Rows that
@@ -37,7 +36,7 @@ CHUNK_WORDS = 600_000
 #: Entries that one partition of the buckets' exchange is to hold.
 PARTITION_ENTRIES = 4_000_000
 BLOCK = 2048
-FOLD_BITS = 4096
+FOLD_BITS = 2048
 
 
 def shingle_sets(texts: list[bytes | None], n: int, cache: WordHash) -> Iterator[tuple[int, int, list[np.ndarray]]]:
@@ -216,6 +215,21 @@ def _folded(near: DataFrame, n: int) -> DataFrame:
     return near.select("id", "text").mapInArrow(run, "id long, size long, fold binary")
 
 
+def _possible(pairs: DataFrame, folded: DataFrame, percent: int) -> DataFrame:
+    """Those of pairs (a, b) that sizes and folded sketches don't exclude; only these need their texts."""
+    x = folded.select(F.col("id").alias("a"), F.col("size").alias("na"), F.col("fold").alias("fa"))
+    y = folded.select(F.col("id").alias("b"), F.col("size").alias("nb"), F.col("fold").alias("fb"))
+
+    def check(batches):
+        for t in batches:
+            na, nb = t.column(2).to_numpy(), t.column(3).to_numpy()
+            fa, fb = (np.frombuffer(b"".join(t.column(k).to_pylist()), U64).reshape(-1, FOLD_BITS // 64) for k in (4, 5))
+            ok = np.bitwise_count(fa ^ fb).sum(1, dtype=np.int64) <= (na + nb) * (100 - percent) // (100 + percent)
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok)) for c in t.columns[:2]], names=["a", "b"])
+
+    return pairs.join(y, "b").join(x, "a").select("a", "b", "na", "nb", "fa", "fb").mapInArrow(check, "a long, b long").distinct()
+
+
 def _block_candidates(active: DataFrame, folded: DataFrame, percent: int, top: int) -> DataFrame:
     """a, b, cut: pairs of unconnected documents in one bucket, a of them outside the pivot's component, that sketches can't exclude.
 
@@ -270,6 +284,8 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, percent: int = 80, id_col: s
     near = materialize(with_id.join(inside, "id", "left_semi"), "jaccard-near")
 
     star = materialize(_fits(bucketed.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), sizes, percent), "jaccard-pairs")
+    folded = materialize(_folded(near, n), "jaccard-sketches")
+    star = materialize(_possible(star, folded, percent), "jaccard-pairs")
     first = star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     links = materialize(_verified(first, near, n, percent), "jaccard-links")
     comp = components(links)
@@ -277,25 +293,22 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, percent: int = 80, id_col: s
     links = links.union(materialize(_verified(rest, near, n, percent), "jaccard-links"))
     comp = materialize(components(links), "jaccard-components")
 
-    tested, top, folded = star, 4, None
+    tested, top = star, 32
     while True:
         marked = _labelled(_labelled(bucketed, comp, "id", "comp"), comp, "pivot", "pivot_comp").withColumn("odd", F.expr("comp <> pivot_comp"))
         mixed = marked.groupBy("bucket").agg(F.max("odd").alias("any"), F.count("*").alias("n")).where("any AND n > 2").select("bucket")
         active = materialize(marked.join(mixed, "bucket", "left_semi").select("bucket", "id", "comp", "odd"), "jaccard-active")
         if active.isEmpty():
             break
-        if folded is None:
-            folded = materialize(_folded(near.join(active.select("id").distinct(), "id", "left_semi"), n), "jaccard-sketches")
         found = materialize(_block_candidates(active, folded, percent, top), "jaccard-pairs")
         fresh = materialize(found.join(tested.select("a", "b"), ["a", "b"], "left_anti").select("a", "b"), "jaccard-pairs")
-        if fresh.isEmpty():
-            if found.where("cut").isEmpty():
-                break
-            top *= 8
-            continue
-        tested = tested.union(fresh)
-        links = links.union(materialize(_verified(fresh, near, n, percent), "jaccard-links"))
-        comp = materialize(components(links), "jaccard-components")
+        if not fresh.isEmpty():
+            tested = tested.union(fresh)
+            links = links.union(materialize(_verified(fresh, near, n, percent), "jaccard-links"))
+            comp = materialize(components(links), "jaccard-components")
+        if found.where("cut").isEmpty():  # every pair that the sketches leave has been verified
+            break
+        top *= 8
 
     known = comp.select(F.col("node").alias("class_id"), "comp")
     return (
