@@ -265,7 +265,7 @@ def fit(docs: DataFrame, labels: DataFrame | None, *, id_col: str = "doc_id", te
     quality = np.array([post("quality", [*r.v[:m], none(r.lq)]) for r in got])
     clean = np.array([post("clean", [*r.v[m:], none(None if r.lt is None else 1 - r.lt)]) for r in got])
     model["scorers"] = {
-        "quality": train([(np.frombuffer(r.qf, np.int64), np.frombuffer(r.qv, np.float64)) for r in got], quality, weight),
+        "quality": train([(np.frombuffer(r.qf, np.int64), np.frombuffer(r.qv, np.float64)) for r in got], quality, weight, l1=1e-5, steps=600),
         "clean": train([(np.frombuffer(r.tf, np.int32).astype(np.int64), np.frombuffer(r.tv, np.float32).astype(float)) for r in got], clean, weight),
     }
     return model

@@ -49,7 +49,8 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return decontamination.digest(decontamination.find_matches(docs, table(spark, sf_dir, "benchmark"), window=10, keep=["doc_id"]), "doc_id")
+    found = decontamination.find_matches(docs, table(spark, sf_dir, "benchmark"), window=10, keep=["doc_id"])
+    return decontamination.digest(found, "doc_id").drop("longest_match")
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +72,48 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_quality_classifier, op4_quality_rules, op5_license_scan, op6_url_filters, op8_benchmark_decontamination, op9_warc, op7_bpe, op10_pii, op3_substring_dedup)}
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = r"'[^\x20\x09-\x0D]+'"
+_ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+
 ORACLE_SQL = {
+    "op1_jaccard_join": f"""
+        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, {_WORDS}) AS w FROM documents),
+        s AS (
+            SELECT doc_id, CASE WHEN len(w) >= 4 THEN list_distinct([array_to_string(w[k:k + 3], ' ') FOR k IN range(1, len(w) - 2)])
+                                WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS g
+            FROM d),
+        x AS (SELECT doc_id, len(g) AS n, unnest(g) AS g FROM s),
+        links AS (
+            SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.g = b.g AND a.doc_id < b.doc_id
+            GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+        sym AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+        reach(a, c) AS (SELECT doc_id, doc_id FROM d UNION SELECT reach.a, sym.b FROM reach JOIN sym ON sym.a = reach.c)
+        SELECT s.doc_id, CAST(len(g) AS BIGINT) AS n_shingles, min(c) AS component_id FROM s JOIN reach ON reach.a = s.doc_id GROUP BY s.doc_id, len(g)""",
+    "op3_substring_dedup": f"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {_WORDS}) AS w FROM documents),
+        win AS (SELECT doc_id, k, md5(array_to_string(w[k:k + 49], ' ')) AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS k FROM d)),
+        least AS (SELECT s, min(doc_id) AS m FROM win GROUP BY s),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(k, k + 50)) AS p FROM win JOIN least USING (s) WHERE doc_id > m),
+        words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+        kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id),
+        n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+        SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n.n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+        FROM d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)""",
+    "op8_benchmark_decontamination": f"""
+        WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, {_ALNUM}) AS w FROM documents),
+        i AS (SELECT item_id, regexp_extract_all({_LOWER}, {_ALNUM}) AS w FROM benchmark),
+        win AS (
+            SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[q:q + 9], ' ') AS s
+            FROM (SELECT item_id, w, unnest(range(1, greatest(2, len(w) - 8))) AS q FROM i WHERE len(w) > 0)),
+        places AS (
+            SELECT doc_id, n, k, array_to_string(w[k:k + n - 1], ' ') AS s
+            FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM win) lengths)),
+        hits AS (SELECT doc_id, item_id, k, n FROM places JOIN win USING (n, s)),
+        words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM hits) GROUP BY doc_id),
+        items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS t FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
+        SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(t, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+        FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""",
     "op6_url_filters": r"""
         WITH p AS (
             SELECT page_id,

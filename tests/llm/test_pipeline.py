@@ -25,7 +25,8 @@ def test_stages_against_brute_force(spark):
     gone = set(text[0]) - set(text[1])
     fine = [i for i, r in labels.items() if r.quality and not r.toxic]
     assert sum(i in gone for i in fine) <= 0.03 * len(fine)
-    assert all(i in gone for i, r in labels.items() if not r.quality and len(text[0][i].split()) > 50)
+    bad = [i for i, r in labels.items() if not r.quality]
+    assert sum(i in gone for i in bad) >= 0.9 * len(bad), [i for i in bad if i not in gone]
 
     assert set(text[2]) == {c for _, _, c in near(list(text[1].items()), 5, 80)}
     items = [(r.item_id, r.text) for r in table(spark, sf, "benchmark").collect()]
