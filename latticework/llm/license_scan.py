@@ -17,6 +17,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 #: licences' names and their customary notices.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0. You may obtain a copy of the License at apache.org"),
@@ -35,6 +37,9 @@ TEMPLATES = [
 ]
 _FILLER = set("a an and any are at be by for from in is it its may of on or the this to under use with work you".split())
 _TOKEN = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
+#: What parts such tokens in lower-cased text. A dot or dash parts unless it stands between letters or digits.
+_SPACE = r"[ \t\n\x0B\f\r]+"
+_BETWEEN = r"(?:[^a-z0-9.-]|[.-](?![a-z0-9])|[.-](?<![a-z0-9][.-]))+"
 
 
 def tokens(text: str) -> list[str]:
@@ -45,11 +50,13 @@ def _terms() -> list[str]:
     return sorted({t for _, text in TEMPLATES for t in tokens(text)} - _FILLER | {"by", "by-nc", "by-sa"})
 
 
-def _idf(docs: DataFrame, terms: list[str], text: Column) -> dict[str, float]:
-    """Smoothed idf of the templates' terms over all documents: as many counts as there are terms come back."""
-    seen = docs.select(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?<![a-z0-9.-])(" + "|".join(map(re.escape, sorted(terms, key=len, reverse=True))) + r")(?![a-z0-9]|[.-][a-z0-9])"), F.lit(1))).alias("t"))
-    row = seen.agg(F.count("*").alias("n"), *(F.sum(F.array_contains("t", t).cast("long")).alias(f"d{k}") for k, t in enumerate(terms))).first()
-    return {t: math.log((1 + row.n) / (1 + (row[f"d{k}"] or 0))) + 1 for k, t in enumerate(terms)}
+def _words(text: Column) -> Column:
+    return F.split(F.lower(text), _BETWEEN)
+
+
+def _let(value: Column, body) -> Column:
+    """body(value), the value being worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def _vectors(idf: dict[str, float]) -> list[tuple[str, dict[str, float]]]:
@@ -66,34 +73,42 @@ def _vectors(idf: dict[str, float]) -> list[tuple[str, dict[str, float]]]:
 
 
 def own_licences(docs: DataFrame, *, text_col: str = "text", least: float = 0.8) -> DataFrame:
-    """docs with own: struct of license, score, share (of the file's words that are in licence lines); null if there is none."""
+    """docs without text_col, with own: struct of license, score, share (of the file's words that are in licence lines); null if there is none.
+
+    Texts are read once: what is written between the passes is which template terms each document has, and the few lines that are mostly such terms.
+    """
     terms = _terms()
     text = F.coalesce(F.col(text_col), F.lit(""))
-    idf = _idf(docs, terms, F.col(text_col))
+    filler, known = F.array(*map(F.lit, sorted(_FILLER))), F.array(*map(F.lit, terms))
+    size = lambda x: F.size(F.filter(F.split(x, _SPACE), lambda w: w != ""))
+    lines = F.transform(F.split(text, "\n"), lambda x: _let(_words(x), lambda w: F.struct(x.alias("line"), w.alias("words"), F.array_intersect(w, known).alias("hit"))))
+    kept = F.filter(lines, lambda s: F.size(s["hit"]) > 0)
+    filled = lambda s: F.size(F.filter(s["words"], lambda w: F.array_contains(known, w) | F.array_contains(filler, w))) * 2 >= F.size(F.array_remove(s["words"], ""))
+    likely = lambda part: F.transform(F.filter(part, filled), lambda s: F.struct(F.filter(s["words"], lambda w: F.array_contains(known, w)).alias("inside"), size(s["line"]).alias("n")))
+    both = _let(kept, lambda part: F.struct(F.array_distinct(F.flatten(F.transform(part, lambda s: s["hit"]))).alias("terms"), likely(part).alias("part")))
+    base = docs.drop("own", "__b", "__n").withColumn("__b", both)
+    base = materialize(base.withColumn("__n", F.when(F.size("__b.part") > 0, size(text))).drop(text_col), "licence-lines")
+    counts = {r.t: r.n for r in base.select(F.explode("__b.terms").alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()}
+    n = base.count()
+    idf = {t: math.log((1 + n) / (1 + counts.get(t, 0))) + 1 for t in terms}
     vectors = _vectors(idf)
-    any_term = r"(?i)(?<![a-z0-9.-])(?:" + "|".join(map(re.escape, sorted(terms, key=len, reverse=True))) + r")(?![a-z0-9])"
     weight = F.create_map(*(x for t, v in sorted(idf.items()) for x in (F.lit(t), F.lit(v))))
-    filler = F.array(*map(F.lit, sorted(_FILLER)))
-    known = F.array(*map(F.lit, terms))
 
-    def scored(line: Column) -> Column:
-        words = F.regexp_extract_all(F.lower(line), F.lit(_TOKEN), F.lit(0))
-        inside = F.filter(words, lambda w: F.array_contains(known, w))
+    def cosine(inside: Column) -> Column:
+        """The best template by cosine, of a line's template terms."""
         tf = lambda t: F.size(F.filter(inside, lambda w: w == t))
         # The squared norm is a sum over distinct terms of (tf * idf) squared, which is a sum over words of tf * idf squared.
         norm = F.sqrt(F.aggregate(inside, F.lit(0.0), lambda a, w: a + F.size(F.filter(inside, lambda x: x == w)) * F.pow(F.element_at(weight, w), F.lit(2.0))))
-        cosines = F.array(*(F.struct(F.bround(sum((F.lit(x * idf[t]) * tf(t) for t, x in v.items()), F.lit(0.0)) / norm, 9).alias("score"), F.lit(-k).alias("k"), F.lit(name).alias("license")) for k, (name, v) in enumerate(vectors)))
-        filling = F.size(F.filter(words, lambda w: F.array_contains(known, w) | F.array_contains(filler, w))) * 2 >= F.size(words)
-        return F.when((F.size(inside) > 0) & filling, F.array_max(cosines))
+        return F.array_max(F.array(*(F.struct(F.bround(sum((F.lit(x * idf[t]) * tf(t) for t, x in v.items()), F.lit(0.0)) / norm, 9).alias("score"), F.lit(-k).alias("k"), F.lit(name).alias("license")) for k, (name, v) in enumerate(vectors))))
+
+    judged = F.filter(F.transform("__b.part", lambda s: F.struct(cosine(s["inside"]).alias("best"), s["n"].alias("n"))), lambda s: s["best"]["score"] >= least)
+
+    def whole(found: Column) -> Column:
+        best = F.array_max(F.transform(found, lambda s: s["best"]))
+        share = F.aggregate(found, F.lit(0), lambda a, s: a + s["n"]) / F.col("__n")
+        return F.when(F.size(found) > 0, F.struct(best["license"].alias("license"), best["score"].alias("score"), share.alias("share")))
 
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(any_term))
-    out = docs.drop("own").withColumn("__lines", F.when(text.rlike(any_term), lines).otherwise(F.array().cast("array<string>")))
-    out = out.withColumn("__found", F.filter(F.transform("__lines", lambda x: F.struct(scored(x).alias("best"), F.size(F.filter(F.split(x, r"\s+"), lambda w: w != "")).alias("n"))), lambda s: s["best"]["score"] >= least))
-    best = F.array_max(F.transform("__found", lambda s: s["best"]))
-    words = F.size(F.filter(F.split(text, r"[ \t\n\x0B\f\r]+"), lambda w: w != ""))
-    share = F.aggregate("__found", F.lit(0), lambda a, s: a + s["n"]) / words
-    own = F.when(F.size("__found") > 0, F.struct(best["license"].alias("license"), best["score"].alias("score"), share.alias("share")))
-    return out.withColumn("own", own).drop("__lines", "__found")
+    return base.withColumn("own", F.when(F.size("__b.part") > 0, _let(judged, whole))).drop("__b", "__n")
 
 
 def _directory(path: Column) -> Column:
@@ -103,7 +118,7 @@ def _directory(path: Column) -> Column:
 def scan(files: DataFrame, *, path_col: str = "path", text_col: str = "text", least: float = 0.8) -> DataFrame:
     """files without text_col, with license (null if none), score (of its own line), origin (own, inherited or none) and license_dir (from where it is inherited)."""
     names = ["license", "score", "origin", "license_dir"]
-    lean = own_licences(files.drop(*names, "__dir"), text_col=text_col, least=least).drop(text_col).withColumn("__dir", _directory(F.col(path_col)))
+    lean = own_licences(files.drop(*names, "__dir"), text_col=text_col, least=least).withColumn("__dir", _directory(F.col(path_col)))
     covering = lean.where("own.share >= 0.5 AND __dir IS NOT NULL").groupBy(F.col("__dir").alias("at")).agg(F.max_by("own.license", F.struct("own.score", F.col(path_col))).alias("dir_license"))
     dirs = lean.where("own IS NULL AND __dir IS NOT NULL").select("__dir").distinct()
     parts = F.split("__dir", "/")
