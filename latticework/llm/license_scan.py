@@ -1,8 +1,10 @@
-"""Licence scan in DataFrame operations alone: TF-IDF cosine of lines to licence templates, then inheritance along directories.
+"""Licence scan in DataFrame operations alone: TF-IDF cosine of lines, headers and whole files to licence templates, then inheritance along directories.
 
 Lines that hold a term of some template (others have cosine 0) become sparse TF-IDF vectors over the templates' terms; the idf counts all documents. A line whose
-cosine to a template reaches `least` and of whose words at least half are template terms or filler carries that licence; a file takes its best line. A file whose licence lines are at
-least half of its words is a licence file and covers its directory. A file without a licence inherits from the nearest ancestor directory that has a
+cosine to a template reaches `least` and of whose words at least half are template terms or filler carries that licence; a file takes its best line. Files that hold a word of CORE are also compared as a whole, in runs of neighbouring lines
+and in windows of up to WINDOW lines (pieces of PIECE words, in lines of more than LONG) with full licence texts, headers and notices; there the idf counts templates, so a file's
+result doesn't depend on other files. An SPDX tag carries the licence that it names. A file takes the licence of a full text that it is as a whole, then its SPDX tag's, then the best
+cosine's. A file that is a licence's full text as a whole, or whose licence lines are at least half of its words, is a licence file and covers its directory. A file without a licence inherits from the nearest ancestor directory that has a
 licence file. Directories, not files, meet their ancestors in the path join, so a directory of any size is one row there.
 
 Null and empty texts have no licence of their own; a null path is in no directory and inherits nothing. Rows are judged each for itself, repeated or not. Ties go to the
@@ -13,6 +15,8 @@ from __future__ import annotations
 
 import math
 import re
+from functools import lru_cache
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +39,20 @@ TEMPLATES = [
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
 ]
+#: Headers as their licences ask for them; files wrap them over several lines.
+_GNU = "is free software: you can redistribute it and/or modify it under the terms of the GNU {0}General Public License as published by the Free Software Foundation, either version {1} of the License, or (at your option) any later version."
+_GNU_REST = "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {0}General Public License for more details. You should have received a copy of the GNU {0}General Public License along with this program. If not, see"
+_APACHE = 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0'
+_APACHE_REST = 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'
+HEADERS = [
+    *((f"{pre}GPL-{v}", f"This program {_GNU.format(kind, v.removesuffix('.0'))}{rest}") for pre, kind, v in (("", "", "3.0"), ("", "", "2.0"), ("L", "Lesser ", "3.0"), ("L", "Lesser ", "2.1")) for rest in ("", " " + _GNU_REST.format(kind))),
+    ("Apache-2.0", _APACHE), ("Apache-2.0", f"{_APACHE} {_APACHE_REST}"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+]
+#: Every template holds one of these words.
+CORE = ["license", "licensed", "permission", "redistribution", "redistribute"]
+WINDOW, LONG, PIECE = 5, 24, 4
+_SPDX = r"SPDX-License-Identifier:[ \t]*\(?([A-Za-z0-9.+-]*[A-Za-z0-9+])"
 _FILLER = set("a an and any are at be by for from in is it its may of on or the this to under use with work you".split())
 _TOKEN = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 #: What parts such tokens in lower-cased text. A dot or dash parts unless it stands between letters or digits.
@@ -50,6 +68,31 @@ def _terms() -> list[str]:
     return sorted({t for _, text in TEMPLATES for t in tokens(text)} - _FILLER | {"by", "by-nc", "by-sa"})
 
 
+@lru_cache(maxsize=1)
+def full_texts() -> list[tuple[str, str]]:
+    """Licences' names and full texts. Those of CC-BY and CC-BY-NC are made from CC-BY-SA's, from which they differ by a few paragraphs."""
+    out = [(p.stem, p.read_text()) for p in sorted((Path(__file__).parent / "licences").glob("*.txt"))]
+    by = "\n\n".join(p for p in dict(out)["CC-BY-SA-4.0"].replace("Attribution-ShareAlike", "Attribution").split("\n\n") if not re.search("ShareAlike|BY-SA|Adapter's", p))
+    limits = "NonCommercial means not primarily intended for or directed towards commercial advantage or monetary compensation. reproduce and Share the Licensed Material, in whole or in part, for NonCommercial purposes only; produce and reproduce Adapted Material for NonCommercial purposes only; used other than for NonCommercial purposes."
+    return [*out, ("CC-BY-4.0", by), ("CC-BY-NC-4.0", by.replace("Attribution 4.0", "Attribution-NonCommercial 4.0").replace("Creative Commons Attribution", "Creative Commons Attribution-NonCommercial") + limits)]
+
+
+@lru_cache(maxsize=1)
+def passages() -> tuple[list[str], int, list[tuple[str, float, list[float]]]]:
+    """Names of full texts, headers and notices; how many of them are full texts; each term's idf over them, and its weight in each unit vector."""
+    all_of = [*full_texts(), *HEADERS, *TEMPLATES]
+    have = [tokens(t) for _, t in all_of]
+    idf = {t: math.log((1 + len(have)) / (1 + sum(t in h for h in map(set, have)))) + 1 for t in sorted({t for h in have for t in h})}
+    rows = {t: [0.0] * len(have) for t in idf}
+    for k, h in enumerate(have):
+        for t in h:
+            rows[t][k] += idf[t]
+        norm = math.sqrt(sum(rows[t][k] ** 2 for t in set(h)))
+        for t in set(h):
+            rows[t][k] /= norm
+    return [n for n, _ in all_of], len(full_texts()), [(t, idf[t], w) for t, w in rows.items()]
+
+
 def _words(text: Column) -> Column:
     return F.split(F.lower(text), _BETWEEN)
 
@@ -73,9 +116,9 @@ def _vectors(idf: dict[str, float]) -> list[tuple[str, dict[str, float]]]:
 
 
 def own_licences(docs: DataFrame, *, text_col: str = "text", least: float = 0.8) -> DataFrame:
-    """docs without text_col, with own: struct of license, score, share (of the file's words that are in licence lines); null if there is none.
+    """docs without text_col, with own: struct of license, score, share (of the file's words that are in licence lines, or 1 of a full text); null if there is none.
 
-    Texts are read once: what is written between the passes is which template terms each document has, and the few lines that are mostly such terms.
+    Texts are read once: what is written between the passes is which template terms each document has, the few lines that are mostly such terms, and the texts that hold a word of CORE.
     """
     terms = _terms()
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -86,8 +129,10 @@ def own_licences(docs: DataFrame, *, text_col: str = "text", least: float = 0.8)
     filled = lambda s: F.size(F.filter(s["words"], lambda w: F.array_contains(known, w) | F.array_contains(filler, w))) * 2 >= F.size(F.array_remove(s["words"], ""))
     likely = lambda part: F.transform(F.filter(part, filled), lambda s: F.struct(F.filter(s["words"], lambda w: F.array_contains(known, w)).alias("inside"), size(s["line"]).alias("n")))
     both = _let(kept, lambda part: F.struct(F.array_distinct(F.flatten(F.transform(part, lambda s: s["hit"]))).alias("terms"), likely(part).alias("part")))
-    base = docs.drop("own", "__b", "__n").withColumn("__b", both)
-    base = materialize(base.withColumn("__n", F.when(F.size("__b.part") > 0, size(text))).drop(text_col), "licence-lines")
+    base = docs.drop("own", "__b", "__n", "__full", "__spdx", "__row").withColumn("__b", both)
+    base = base.withColumn("__full", F.when(F.arrays_overlap("__b.terms", F.array(*map(F.lit, CORE))), text)).withColumn("__spdx", F.when(text.contains("SPDX-License-Identifier:"), F.nullif(F.regexp_extract(text, _SPDX, 1), F.lit(""))))
+    base = base.withColumn("__n", F.when((F.size("__b.part") > 0) | F.col("__spdx").isNotNull(), size(text))).withColumn("__row", F.monotonically_increasing_id())
+    base = materialize(base.drop(text_col), "licence-lines")
     counts = {r.t: r.n for r in base.select(F.explode("__b.terms").alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()}
     n = base.count()
     idf = {t: math.log((1 + n) / (1 + counts.get(t, 0))) + 1 for t in terms}
@@ -108,7 +153,39 @@ def own_licences(docs: DataFrame, *, text_col: str = "text", least: float = 0.8)
         share = F.aggregate(found, F.lit(0), lambda a, s: a + s["n"]) / F.col("__n")
         return F.when(F.size(found) > 0, F.struct(best["license"].alias("license"), best["score"].alias("score"), share.alias("share")))
 
-    return base.withColumn("own", F.when(F.size("__b.part") > 0, _let(judged, whole))).drop("__b", "__n")
+    of_lines = F.when(F.size("__b.part") > 0, _let(judged, whole))
+    tag = F.regexp_replace("__spdx", r"(?<=GPL-[0-9]\.[0-9])(?:-only|-or-later|\+)$", "")
+    of_tag = F.when(tag.isNotNull(), F.struct(tag.alias("license"), F.lit(1.0).alias("score"), (F.lit(2) / F.col("__n")).alias("share")))
+    of_lines = F.when(of_lines["score"] >= F.coalesce(F.col("__part.score"), F.lit(0.0)), of_lines).otherwise(F.coalesce("__part", of_lines))
+    found = base.drop("__full").join(_of_passages(base.where("__full IS NOT NULL").select("__row", "__full"), least), "__row", "left").withColumn("own", F.coalesce(F.col("__text"), of_tag, of_lines))
+    return found.select(*[c for c in base.columns if c not in ("__b", "__n", "__full", "__spdx", "__row")], "own")
+
+
+def _of_passages(texts: DataFrame, least: float) -> DataFrame:
+    """__row with __text and __part, structs as own's: the full text that the whole of __full is, and the best template of its runs and windows. Rows without either are left out."""
+    names, n_full, vocabulary = passages()
+    core, filler = F.array(*map(F.lit, CORE)), F.array(*map(F.lit, sorted(_FILLER)))
+    known = [t for t, _, _ in vocabulary]
+    line = lambda x: F.array_remove(_words(x), "")
+    pieces = lambda w: F.when(F.size(w) <= LONG, F.array(w)).otherwise(F.transform(F.sequence(F.lit(1), F.size(w), F.lit(PIECE)), lambda k: F.slice(w, k, F.lit(PIECE))))
+    parts = F.flatten(F.transform(F.split("__full", "\n"), lambda x: _let(line(x), pieces)))
+    fits = lambda w: (F.size(w) > 0) & (F.size(F.filter(w, lambda t: t.isin(known) | F.array_contains(filler, t))) * 2 >= F.size(w))
+    # A part that doesn't fit ends a run: the last run is open, and closed ones follow one another.
+    start = F.array(F.array().cast("array<string>"))
+    add = lambda runs, w: F.when(fits(w), F.concat(F.slice(runs, F.lit(1), F.size(runs) - 1), F.array(F.concat(F.element_at(runs, -1), w)))).otherwise(F.when(F.size(F.element_at(runs, -1)) > 0, F.concat(runs, start)).otherwise(runs))
+    windows = lambda p: F.flatten(F.transform(F.sequence(F.lit(1), F.size(p)), lambda i: F.transform(F.sequence(F.lit(1), F.lit(WINDOW)), lambda m: F.flatten(F.slice(p, i, m)))))
+    units = lambda p: F.concat(F.array(F.flatten(p)), F.filter(F.concat(F.aggregate(p, start, add), windows(p)), lambda w: F.arrays_overlap(w, core) & fits(w)))
+    words = texts.select("__row", F.posexplode(_let(parts, units)).alias("unit", "words")).select("__row", "unit", F.size("words").alias("size"), F.explode("words").alias("term"))
+    terms = F.broadcast(texts.sparkSession.createDataFrame(vocabulary, "term string, idf double, w array<double>"))
+    counted = words.groupBy("__row", "unit", "size", "term").agg(F.count("*").alias("n")).join(terms, "term")
+    x = F.col("n") * F.col("idf")
+    dots = counted.groupBy("__row", "unit", "size").agg(F.sum("n").alias("inside"), F.sqrt(F.sum(x * x)).alias("norm"), *(F.sum(x * F.col("w")[k]).alias(f"d{k}") for k in range(len(names))))
+    best = lambda ks: F.array_max(F.array(*(F.struct(F.bround(F.col(f"d{k}") / F.col("norm"), 9).alias("score"), F.lit(-k).alias("k"), F.col("size"), F.lit(names[k]).alias("license")) for k in ks)))
+    full = F.col("inside") * 2 >= F.col("size")
+    judged = dots.select("__row", F.when(F.col("unit") == 0, F.col("size")).alias("total"), F.when(full & (F.col("unit") == 0), best(range(n_full))).alias("text"), F.when(full, best(range(len(names)))).alias("part"))
+    own = lambda b, share: F.when(b["score"] >= least, F.struct(b["license"].alias("license"), b["score"].alias("score"), share.alias("share")))
+    rows = judged.groupBy("__row").agg(*(F.max(c).alias(c) for c in ("total", "text", "part")))
+    return rows.select("__row", own(F.col("text"), F.lit(1.0)).alias("__text"), own(F.col("part"), F.col("part.size") / F.col("total")).alias("__part")).where("__text IS NOT NULL OR __part IS NOT NULL")
 
 
 def _directory(path: Column) -> Column:

@@ -70,3 +70,26 @@ def test_nearest_ancestor_and_edges(spark):
     assert by["z/q/r.py"].license == "CC-BY-NC-4.0" and by["z/long.txt"].license == "MIT" and by["top.py"].license == "MIT" and by[None].license is None
     assert L.scan(df.limit(0)).collect() == []
     assert not re.search("Python|Pandas|Arrow", got._jdf.queryExecution().executedPlan().toString())
+
+
+def test_full_texts_headers_and_tags(spark):
+    texts = dict(L.full_texts())
+    mit = texts["MIT"].replace("<year> <copyright holders>", "2020 Jane Roe")
+    gnu = ["This program is free software: you can redistribute it and/or modify", "it under the terms of the GNU General Public License as published by", "the Free Software Foundation, either version 3 of the License, or", "(at your option) any later version."]
+    code = "int main() { int value = compute(3); return value; }\n" * 30
+    want = {
+        "m/LICENSE": ("MIT", "own", None), "m/x.py": ("MIT", "inherited", "m"), "n/NOTICE": ("GPL-3.0", "own", None), "n/x.c": ("GPL-3.0", "inherited", "n"),
+        "g/h.c": ("GPL-3.0", "own", None), "g/two.c": ("GPL-2.0", "own", None), "g/y.c": (None, "none", None),
+        "s/tag.c": ("MIT", "own", None), "s/gpl.c": ("GPL-2.0", "own", None), "s/other.c": (None, "none", None),
+        "w/wrapped.c": ("CC-BY-4.0", "own", None), "w/long.txt": ("Apache-2.0", "own", None), "w/far.txt": (None, "none", None),
+    }
+    files = {
+        "m/LICENSE": mit, "m/x.py": "x = 1", "n/NOTICE": "\n".join(gnu), "n/x.c": code, "g/h.c": "/*\n" + "".join(f" * {x}\n" for x in gnu) + " */\n" + code, "g/two.c": "".join(f"# {x}\n" for x in gnu).replace("version 3", "version 2") + code, "g/y.c": code,
+        "s/tag.c": "// SPDX-License-Identifier: MIT\n" + code, "s/gpl.c": "// SPDX-License-Identifier: GPL-2.0-or-later\n" + code, "s/other.c": code,
+        "w/wrapped.c": "# Licensed under\n# CC BY 4.0\n" + code, "w/long.txt": "zork plugh " * 200 + "Licensed under the Apache License, Version 2.0 " + "zork plugh " * 200, "w/far.txt": "a driving license " + "zork plugh " * 40,
+    }
+    for name, text in texts.items():
+        files[f"full/{name}/COPYING"], files[f"full/{name}/a/b.c"] = text, code
+        want[f"full/{name}/COPYING"], want[f"full/{name}/a/b.c"] = (name, "own", None), (name, "inherited", f"full/{name}")
+    got = {r.path: (r.license, r.origin, r.license_dir) for r in L.scan(spark.createDataFrame(list(files.items()), "path string, text string")).collect()}
+    assert got == want
