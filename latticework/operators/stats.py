@@ -106,27 +106,32 @@ def morans_i(nodes: DataFrame, edges: DataFrame, column: str) -> DataFrame:
     return lagged.agg(F.count("*").alias("n"), F.sum(F.col("z") * F.col("lag")).alias("a"), F.sum(F.col("z") * F.col("z")).alias("b")).crossJoin(s0).select((F.col("n") / F.col("s0") * F.col("a") / F.col("b")).alias("i"), "n")
 
 
-def morans_p(nodes: DataFrame, edges: DataFrame, column: str, permutations: int = 99, seed: int = 42) -> DataFrame:
-    """i, p: the share of permuted fields whose I is as extreme, (k + 1) / (permutations + 1).
+def morans_p(nodes: DataFrame, edges: DataFrame, column: str, permutations: int = 999, seed: int = 42, at_once: int = 50) -> DataFrame:
+    """i, p: the share of permuted fields whose I is as extreme, (k + 1) / (permutations + 1). No row where I isn't defined.
 
-    Each permutation orders nodes by a seeded hash and gives the values out in that order; all permutations are one plan over (permutation, rank) keys.
+    Each permutation orders nodes by a seeded hash and gives the values out in that order. A plan holds at_once of them, as an array for each node, so edges meet nodes once a plan.
     """
     from .rank import dense_index
 
-    n = nodes.count()
-    base = dense_index(nodes.select("id", column), ["id"], "k")
-    runs = base.select("id", "k", column, F.explode(F.sequence(F.lit(0), F.lit(permutations))).alias("run"))
-    order = Window.partitionBy("run").orderBy(F.when(F.col("run") == 0, F.col("k")).otherwise(F.xxhash64("id", "run", F.lit(seed))), "id")
-    placed = runs.withColumn("place", F.row_number().over(order) - 1).select("run", "id", "place")
-    values = base.select(F.col("k").alias("place"), F.col(column).alias("v"))
-    field = placed.join(values, "place").select("run", "id", "v")
-    mean = nodes.agg(F.avg(column)).first()[0]
-    std = row_standardised(edges)
-    z = field.select("run", "id", (F.col("v") - mean).alias("z"))
-    lag = std.join(z.select("run", F.col("id").alias("dst"), F.col("z").alias("zj")), "dst").join(z.select("run", F.col("id").alias("src"), "z"), ["run", "src"])
-    i = lag.groupBy("run").agg(F.sum(F.col("w") * F.col("z") * F.col("zj")).alias("a")).crossJoin(z.where("run = 0").agg(F.sum(F.col("z") * F.col("z")).alias("b"))).crossJoin(std.agg(F.sum("w").alias("s0"))).select("run", (n / F.col("s0") * F.col("a") / F.col("b")).alias("i"))
-    own = F.broadcast(i.where("run = 0").select(F.col("i").alias("own")))
-    return i.crossJoin(own).groupBy("own").agg(F.sum(F.when((F.col("run") > 0) & (F.col("i") >= F.col("own")), 1).otherwise(0)).alias("k")).select(F.col("own").alias("i"), ((F.least("k", permutations - F.col("k")) + 1) / (permutations + 1)).alias("p"))
+    spark = nodes.sparkSession
+    mean, n, b = nodes.agg(F.avg(column).alias("m"), F.count("*").alias("n")).crossJoin(nodes.agg(F.var_pop(column).alias("v"), F.count(column).alias("k"))).select("m", "n", F.col("v") * F.col("k")).first()
+    base, std = dense_index(nodes.select("id", column), ["id"], "k").persist(), row_standardised(edges).select("src", "dst", "w").persist()
+    s0 = std.agg(F.sum("w")).first()[0]
+    found = []
+    values = base.select(F.col("k").alias("place"), (F.col(column) - mean).alias("z")) if n and b and s0 else None
+    for first in range(0, permutations + 1, at_once) if values is not None else ():
+        last = min(first + at_once - 1, permutations)
+        runs = base.select("id", "k", F.explode(F.sequence(F.lit(first), F.lit(last))).alias("run"))
+        order = Window.partitionBy("run").orderBy(F.when(F.col("run") == 0, F.col("k")).otherwise(F.xxhash64("id", "run", F.lit(seed))), "id")
+        placed = runs.withColumn("place", F.row_number().over(order) - 1).join(values, "place")
+        field = placed.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("run", "z"))), lambda s: s["z"]).alias("z"))
+        ends = std.join(field.select(F.col("id").alias("src"), F.col("z").alias("zi")), "src").join(field.select(F.col("id").alias("dst"), F.col("z").alias("zj")), "dst")
+        found += ends.agg(*(F.sum(F.col("w") * F.col("zi")[r] * F.col("zj")[r]).alias(f"a{r}") for r in range(last - first + 1))).first()
+    base.unpersist()
+    std.unpersist()
+    found = [n / s0 * a / b for a in found if a is not None]
+    k = sum(x >= found[0] for x in found[1:]) if found else 0
+    return spark.createDataFrame([(found[0], (min(k, permutations - k) + 1) / (permutations + 1))] if found else [], "i double, p double")
 
 
 def ols_line(df: DataFrame, y: str, x: str) -> DataFrame:

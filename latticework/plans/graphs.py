@@ -82,7 +82,7 @@ def morans_i(spark, sf):
 
 @query()
 def morans_permutation(spark, sf):
-    return rounded(stats.morans_p(grid(spark, sf), graph.gaussian_edges(grid(spark, sf)), "bal", permutations=19), 6)
+    return rounded(stats.morans_p(grid(spark, sf), graph.gaussian_edges(grid(spark, sf)), "bal"), 6)
 
 
 @query(f"{_GAUSS} SELECT a.kind AS src_kind, round(avg(CASE WHEN b.kind = 'AUTOMOBILE' THEN w END), 6) AS automobile, round(avg(CASE WHEN b.kind = 'MACHINERY' THEN w END), 6) AS machinery FROM e JOIN grid a ON a.id = src JOIN grid b ON b.id = dst GROUP BY 1")

@@ -217,3 +217,17 @@ q, o = e.queries(), e.oracle_sql()
 assert 'composite_index' in q and set(o) <= set(q) and not any(k.startswith('op') and k[2].isdigit() for k in q)
 """
     subprocess.run([sys.executable, "-c", code], check=True, timeout=120)
+
+
+def test_morans_permutation_can_be_significant(spark):
+    from latticework.plans.registry import QUERIES
+
+    side = 12
+    nodes = spark.createDataFrame([(i * side + j, float(i + j)) for i in range(side) for j in range(side)], "id long, v double")
+    pairs = [(i * side + j, (i + a) * side + j + b, 1.0) for i in range(side) for j in range(side) for a, b in ((0, 1), (1, 0), (0, -1), (-1, 0)) if 0 <= i + a < side and 0 <= j + b < side]
+    edges = spark.createDataFrame(pairs, "src long, dst long, w double")
+    r = stats.morans_p(nodes, edges, "v").first()
+    assert abs(r.i - stats.morans_i(nodes, edges, "v").first().i) < 1e-9 and r.p == 0.001
+    assert stats.morans_p(nodes.withColumn("v", F.lit(1.0)), edges, "v").count() == 0
+    p = QUERIES["morans_permutation"](spark, "/root/testdata/sf0.001").first().p
+    assert abs(p * 1000 - round(p * 1000)) < 1e-6
