@@ -1,7 +1,7 @@
 """Benchmark decontamination with suffix arrays over the training side.
 
 Each shard (a run of whole documents) becomes one array of word codes. Its suffix array is built by sorting three words at
-a time and then three ranks at a time (3, 9, 27 words). Every suffix of every benchmark item is looked up by binary search,
+a time and then three ranks at a time (3, 9, 27 words), packed into one number where a rank has up to 21 bits. Every suffix of every benchmark item is looked up by binary search,
 all of them in step, and what is found is marked in the documents and joined to the longest verbatim matches.
 
 Only words of the benchmark have codes of their own: any other word ends every match, so all of them share one code, and
@@ -68,11 +68,15 @@ def suffix_array(codes: np.ndarray) -> np.ndarray:
     rank = np.concatenate([codes, np.zeros(32, np.int64)])
     for step in (1, 3, 9):
         wide = int(rank.max()).bit_length()
-        assert wide <= 21, "the shard has too many words"
-        key = (rank[at] << (2 * wide)) | (rank[at + step] << wide) | rank[at + 2 * step]
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        dense = np.cumsum(np.concatenate([[0], (key[1:] != key[:-1]).astype(np.int64)]))
+        keys = [rank[at], rank[at + step], rank[at + 2 * step]]
+        if wide <= 21:
+            keys = [(keys[0] << (2 * wide)) | (keys[1] << wide) | keys[2]]
+        order = np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(keys[0], kind="stable")
+        fresh = np.zeros(len(at), np.int64)
+        for key in keys:
+            key = key[order]
+            fresh[1:] |= key[1:] != key[:-1]
+        dense = np.cumsum(fresh)
         rank[at[order]] = dense + 2
         if dense[-1] == len(at) - 1:
             break

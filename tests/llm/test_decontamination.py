@@ -66,3 +66,11 @@ def test_suffix_array_sorts_suffixes():
     sa = D.suffix_array(np.append(codes, 0))
     text = [tuple(codes[i : i + 27]) for i in sa]
     assert sorted(sa) == list(range(300)) and text == sorted(text)
+
+
+def test_suffix_array_of_a_text_with_more_than_21_bits_of_words():
+    n = 2**21 + 100
+    codes = np.concatenate([np.arange(2, n + 2), np.arange(2, 22)])
+    got = D.suffix_array(codes)
+    # The 20 words at the end come before the same words at the beginning, since the text ends there.
+    assert got.tolist() == [p for k in range(20) for p in (n + k, k)] + list(range(20, n))
