@@ -42,6 +42,9 @@ def _feature(kind: bytes, value: bytes) -> int:
 
 
 _BIN_FEATURES = [[_feature(b"bin", f"{s}:{k}".encode()) for k in range(len(_BINS) + 1)] for s in STATS]
+#: A bin is all edges up to it, so that values beyond those of the few labelled rows count as much as the highest seen.
+_UP_TO = [[_feature(b"upto", f"{s}:{k}".encode()) for k in range(len(_BINS))] for s in STATS]
+_BINNED = [[np.array([own, *_UP_TO[s][:k]], np.int64) for k, own in enumerate(bins)] for s, bins in enumerate(_BIN_FEATURES)]
 _SHAPE_FEATURES = np.array([_feature(b"shape", str(k).encode()) for k in range(64)], np.int64)
 
 
@@ -69,8 +72,8 @@ def _quality_features(text: bytes, stats: tuple[float, ...]) -> tuple[np.ndarray
     """Binned statistics, and the shares of pairs of byte classes."""
     kind = _CLASS[np.frombuffer(text, np.uint8)]
     share = np.bincount(kind[:-1] * 8 + kind[1:], minlength=64) / max(1, len(kind) - 1)
-    binned = [_BIN_FEATURES[k][int(np.searchsorted(_BINS, v, side="right"))] for k, v in enumerate(stats)]
-    return np.concatenate([np.array(binned, np.int64), _SHAPE_FEATURES]), np.concatenate([np.ones(len(binned)), share])
+    binned = np.concatenate([_BINNED[k][int(np.searchsorted(_BINS, v, side="right"))] for k, v in enumerate(stats)])
+    return np.concatenate([binned, _SHAPE_FEATURES]), np.concatenate([np.ones(len(binned)), share])
 
 
 def _tox_of(word: bytes) -> list[int]:

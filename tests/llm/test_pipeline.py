@@ -44,3 +44,15 @@ def test_stages_against_brute_force(spark):
 
 def test_run_is_the_stages(spark, sf):
     assert P.run(spark, sf).count() > 0 and P.ORACLE_SQL is None
+
+
+def test_quality_stage_rejects_every_long_bad_or_toxic_document(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = table(spark, sf, "documents")
+    size = {r.doc_id: len(r.text.split()) for r in docs.where("text is not null").collect()}
+    kept = {r.doc_id for r in P.quality(spark, docs, sf).select("doc_id").collect()}
+    labels = table(spark, sf, "labels").collect()
+    wrong = [r.doc_id for r in labels if (not r.quality or r.toxic) and size.get(r.doc_id, 0) > 50]
+    fine = [r.doc_id for r in labels if r.quality and not r.toxic]
+    assert len(wrong) > 50 and not kept.intersection(wrong), sorted(kept.intersection(wrong))
+    assert sum(i not in kept for i in fine) <= 0.03 * len(fine)
