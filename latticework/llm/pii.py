@@ -2,8 +2,8 @@
 
 The patterns find e-mail addresses, IPv4 addresses, card numbers and phone numbers. The field labels words O, email, ip, card, phone or secret. It is
 trained by gradient ascent on the log-likelihood of a small labelled table (labelled_table() makes the default one) and decoded by Viterbi in numpy
-batches. A word without digit, @ or = is O by constraint, so a text falls into short runs of other words that are decoded in step, the exact optimum
-under that constraint. Labelled runs become spans, and those that overlap no pattern's span are added.
+batches, over all words of a text. A word whose score for O exceeds all others by more than any change of its transitions could make up is O in every best
+labelling, so the chain parts there, and only the words between are decoded in step: the exact optimum. Labelled runs become spans, and those that overlap no pattern's span are added.
 
 Words, shapes and places come from the UTF-8 bytes of many texts at once; texts are read once and never shuffled. Places are code points, ends exclusive.
 Null and empty texts have no spans. Each row is judged for itself, repeated or not; further columns are passed by, and a column named as the output is replaced.
@@ -32,6 +32,10 @@ _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
+#: An address without @ is spelled out, with at and dot.
+_SPELLED = re.compile(r"[^a-z]at[^a-z].*[^a-z]dot[^a-z]", re.IGNORECASE | re.DOTALL)
+#: No pattern matches without one of these.
+_HARD = re.compile(rb"[0-9@]")
 _DIGITS = re.compile(r"[0-9]")
 
 
@@ -74,6 +78,10 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 _CLASS = {"digit": b"0123456789", "at": b"@", "dot": b".", "dash": b"-", "paren": b"()", "plus": b"+", "eq": b"=:", "quote": b"\"'", "hex": b"abcdefABCDEF", "upper": bytes(range(65, 91)), "lower": bytes(range(97, 123)), "under": b"_", "slash": b"/", "star": b"*%#&$!|"}
 _MASKS = {k: np.isin(np.arange(256), list(v)) for k, v in _CLASS.items()}
 _SPACES = np.isin(np.arange(256), [0x20, 9, 10, 11, 12, 13])
+#: Words that announce a secret, and those of spelled-out addresses, by class; compared by eight bytes, without a sign at either end.
+_CUES = {1: "password passwd passphra pwd passwort secret token", 2: "at", 3: "dot", 4: "com org net edu de io fr co uk es example"}
+_PACK = lambda w: sum(c << (8 * i) for i, c in enumerate(w[:8]))
+_CUE_KEYS, _CUE_OF = (np.array(x) for x in zip(*sorted((_PACK(w.encode()), k) for k, ws in _CUES.items() for w in ws.split()), strict=True))
 _COUNT_EDGES = np.array([1, 2, 3, 4, 5, 7, 9, 11, 13, 16, 20, 30, 40])
 
 
@@ -95,12 +103,24 @@ class Words:
 
 
 def _runs(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Words that the field labels, and which of them begin a run."""
-    hard = _MASKS["digit"] | _MASKS["at"] | _MASKS["eq"]
-    marked = np.unique(np.searchsorted(words.end, np.flatnonzero(hard[words.data]), side="right"))
-    fresh = np.ones(len(marked), bool)
-    fresh[1:] = (np.diff(marked) > 1) | (words.row[marked[1:]] != words.row[marked[:-1]])
-    return marked, fresh
+    """Words that the field labels, all of them, and which of them begin a text."""
+    fresh = np.ones(len(words.begin), bool)
+    fresh[1:] = words.row[1:] != words.row[:-1]
+    return np.arange(len(words.begin)), fresh
+
+
+def _cues(words: Words, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The class of each word's cue, and 8 more where a sign of assignment ends it."""
+    letter = _MASKS["upper"] | _MASKS["lower"]
+    data = words.data
+    last = data[end - 1]
+    lo, hi = begin + ~letter[data[begin]], end - ~letter[last]
+    key = np.zeros(len(begin), np.int64)
+    for i in range(8):
+        inside = lo + i < hi
+        key |= np.where(inside, data[np.minimum(lo + i, len(data) - 1)].astype(np.int64) | 0x20, 0) << (8 * i)
+    at = np.minimum(np.searchsorted(_CUE_KEYS, key), len(_CUE_KEYS) - 1)
+    return np.where(_CUE_KEYS[at] == key, _CUE_OF[at], 0) + 8 * _MASKS["eq"][last]
 
 
 def _parts(words: Words, which: np.ndarray) -> list[np.ndarray]:
@@ -121,10 +141,10 @@ def _parts(words: Words, which: np.ndarray) -> list[np.ndarray]:
         kind[_MASKS[k]] = i + 1
     first, last = (kind[words.data[begin]], kind[words.data[end - 1]]) if len(which) else (length, length)
     letters = counts["upper"] + counts["lower"]
-    return [level(counts["digit"]), level(length), level(letters), has("at", "dot", "dash", "paren", "plus", "eq", "quote"), first * 16 + last, np.minimum(counts["dot"], 5) * 16 + np.minimum(counts["dash"], 5), level(counts["hex"] + counts["digit"]) * 2 + (counts["hex"] + counts["digit"] + counts["quote"] >= length), (counts["digit"] == length) * 32 + level(counts["digit"]), (counts["at"] > 0) * 8 + np.minimum(counts["dot"], 3) * 2 + (letters > 0)]
+    return [level(counts["digit"]), level(length), level(letters), has("at", "dot", "dash", "paren", "plus", "eq", "quote"), first * 16 + last, np.minimum(counts["dot"], 5) * 16 + np.minimum(counts["dash"], 5), level(counts["hex"] + counts["digit"]) * 2 + (counts["hex"] + counts["digit"] + counts["quote"] >= length), (counts["digit"] == length) * 32 + level(counts["digit"]), (counts["at"] > 0) * 8 + np.minimum(counts["dot"], 3) * 2 + (letters > 0), _cues(words, begin, end) if len(which) else length]
 
 
-_SIZES = [16, 16, 16, 128, 256, 96, 32, 64, 16]
+_SIZES = [16, 16, 16, 128, 256, 96, 32, 64, 16, 16]
 _PER_WORD = sum(_SIZES)
 N_FEATURES = 3 * _PER_WORD + 1
 _N_ACTIVE = 3 * len(_SIZES) + 1
@@ -146,6 +166,24 @@ def features(words: Words, which: np.ndarray) -> np.ndarray:
     return np.stack(cols, 1) if len(which) else np.empty((0, _N_ACTIVE), np.int64)
 
 
+def scores(words: Words, emit: np.ndarray) -> np.ndarray:
+    """What features() and emit give each word, from one look at each: a word's own part, and what it says of its neighbours."""
+    n = len(words.begin)
+    parts = _parts(words, np.arange(n))
+    base = np.cumsum([0, *_SIZES[:-1]])
+    out = np.repeat(emit[-1:], n, 0)
+    for k, step in enumerate((0, -1, 1)):
+        own = sum(emit[k * _PER_WORD + b + p] for p, b in zip(parts, base, strict=True)) if n else out
+        if not step:
+            out += own
+            continue
+        to, of = (slice(1, None), slice(None, -1)) if step < 0 else (slice(None, -1), slice(1, None))
+        same = (words.row[1:] == words.row[:-1])[:, None]
+        out[to] += np.where(same, own[of], len(parts) * emit[-1])
+        out[0 if step < 0 else -1 :][:1] += len(parts) * emit[-1]
+    return out
+
+
 # --- the field
 
 
@@ -155,10 +193,34 @@ class Field:
 
     def decode(self, feats: np.ndarray, fresh: np.ndarray) -> np.ndarray:
         """The most likely labels of runs of words, all runs in step, longest first."""
-        n = len(feats)
+        return self.best(self.emit[feats].sum(1), fresh)
+
+    def label(self, words: Words) -> np.ndarray:
+        """The most likely labels of all words. Words that must be O part the chain and stand, as O, at the ends of what is decoded."""
+        n = len(words.begin)
+        if not n:
+            return np.empty(0, np.int64)
+        score, (_, fresh) = scores(words, self.emit), _runs(words)
+        into, out_of = np.vstack([self.move, self.start]), np.hstack([self.move, np.zeros((len(LABELS), 1))])
+        gain = (into - into[:, :1]).max(0) + (out_of - out_of[:1]).max(1)
+        sure = ((score[:, :1] - score - gain)[:, 1:] > 1e-6).all(1)
+        open_ = ~sure
+        use = open_.copy()
+        use[:-1] |= open_[1:] & ~fresh[1:]
+        use[1:] |= open_[:-1] & ~fresh[1:]
+        at = np.flatnonzero(use)
+        part = score[at]
+        part[sure[at], 1:] = -1e9
+        begin = np.ones(len(at), bool)
+        begin[1:] = (np.diff(at) > 1) | fresh[at[1:]]
+        out = np.zeros(n, np.int64)
+        out[at] = self.best(part, begin)
+        return out
+
+    def best(self, score: np.ndarray, fresh: np.ndarray) -> np.ndarray:
+        n = len(score)
         if not n:
             return np.empty(0, np.int64)
-        score = self.emit[feats].sum(1)
         first = np.flatnonzero(fresh)
         length = np.diff(np.append(first, n))
         order = np.argsort(-length, kind="stable")
@@ -181,7 +243,7 @@ class Field:
         return out
 
 
-def train(feats: np.ndarray, labels: np.ndarray, fresh: np.ndarray, *, steps: int = 150, rate: float = 0.5, decay: float = 2e-3) -> Field:
+def train(feats: np.ndarray, labels: np.ndarray, fresh: np.ndarray, *, steps: int = 200, rate: float = 0.5, decay: float = 5e-5) -> Field:
     """Gradient ascent on the conditional log-likelihood, by forward-backward over all runs in step."""
     k, n = len(LABELS), len(feats)
     first = np.flatnonzero(fresh)
@@ -247,6 +309,15 @@ def labelled_table(rows: int = 1500, seed: int = 11) -> list[tuple[list[str], li
         h = "".join("0123456789abcdef"[c] for c in rng.integers(0, 16, int(pick(32, 40, 64))))
         return pick([f'"{h}"'], [f'token="{h}"'], [f"api_key={h}"], [h])
 
+    def spelled():
+        dot, at = pick("dot", "(dot)", "[dot]"), pick("at", "(at)", "[at]")
+        return [letters(int(rng.integers(2, 13))), at, *([letters(int(rng.integers(2, 13))), dot] if rng.random() < 0.7 else ["example", dot]), pick("com", "org", "net", "de", "com.", "org,")]
+
+    def prose():
+        """Words that look like a cue's, without what makes one of them."""
+        w = lambda: letters(int(rng.integers(2, 11)))
+        return pick([w(), "at", w(), w()], [w(), "dot", w()], [pick("password", "token", "secret"), w(), w()], [w() + ":", w(), w()], [w().capitalize(), w(), w(), w() + "."], [w() + ",", w(), w(), w()], [w(), w(), pick("de", "net", "es"), w()], [w(), "at", w(), pick("de", "es"), w()])
+
     def plain():
         return pick(letters(int(rng.integers(2, 10))), letters(5) + pick(",", ".", "%%%", "!!"), "=", "x=1", digits(int(rng.integers(1, 5))), f"{digits(4)}-{digits(2)}-{digits(2)}", f"{digits(2)}:{digits(2)}", f"{digits(1)}.{digits(2)}", f"v{digits(1)}.{digits(1)}.{digits(1)}", f"{digits(3)},{digits(3)}", f"{digits(2)}%", f"page={digits(2)}&ref=x", f"({digits(2)})", f"{letters(3)}{digits(2)}", "@" + letters(6), f"{digits(11)}", f"{digits(8)}")
 
@@ -266,6 +337,15 @@ def labelled_table(rows: int = 1500, seed: int = 11) -> list[tuple[list[str], li
                 item = makers[kind]()
                 words += item
                 labels += [kind] * len(item)
+        for words_of, kind, odds in ((prose, "O", 0.6), (spelled, "email", 0.4), (lambda: [letters(int(rng.integers(6, 24)))], "secret", 0.2), (prose, "O", 0.6)):
+            if rng.random() < odds:
+                if kind == "secret":
+                    cue = pick(["password:"], ["Password:"], ["token:"], ["secret:"], ["passwd="], ["password", "="], ["password", ":"])
+                    words += cue
+                    labels += ["O"] * len(cue)
+                item = words_of()
+                words += item
+                labels += [kind] * len(item)
         words.append(plain())
         labels.append("O")
         out.append((words, labels))
@@ -290,26 +370,28 @@ _TRIM = " \t\n\r.,;:!?\"'<>()[]{}%#$*&|="
 def find_spans(texts: list[bytes | None], field: Field) -> list[tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]]:
     """For each text the patterns' spans, and those that the field adds."""
     words = Words(texts)
-    which, fresh = _runs(words)
+    _, fresh = _runs(words)
     base: dict[int, list] = {}
     added: dict[int, list] = {}
-    for r in np.unique(words.row[which]).tolist():
-        if found := base_spans(texts[r].decode()):
+    for r, text in enumerate(texts):
+        if text and _HARD.search(text) and (found := base_spans(text.decode())):
             base[r] = found
-    label = field.decode(features(words, which), fresh)
+    label = field.label(words)
     head = np.ones(len(label), bool)
     head[1:] = fresh[1:] | (label[1:] != label[:-1])
     head = np.flatnonzero(head)
     tail = np.append(head[1:], len(label)) - 1
     keep = label[head] > 0
     head, tail = head[keep], tail[keep]
-    row = words.row[which[head]]
-    begin, end = words.begin[which[head]], words.end[which[tail]]
+    row = words.row[head]
+    begin, end = words.begin[head], words.end[tail]
     for k, r, b, e, pb in zip(label[head].tolist(), row.tolist(), begin.tolist(), end.tolist(), words.place(begin, row).tolist(), strict=True):
         text = words.data[b:e].tobytes().decode()
         cut = text.lstrip(_TRIM if LABELS[k] != "phone" else _TRIM.replace("(", ""))
         pb += len(text) - len(cut)
         cut = cut.rstrip(_TRIM)
+        if LABELS[k] == "email" and "@" not in cut and not _SPELLED.search(cut):
+            continue
         if cut and not any(s < pb + len(cut) and pb < e2 for _, s, e2 in base.get(r, ())):
             added.setdefault(r, []).append((LABELS[k], pb, pb + len(cut)))
     return [(base.get(r, []), added.get(r, [])) for r in range(len(texts))]

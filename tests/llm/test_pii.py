@@ -84,3 +84,21 @@ def test_edges(spark):
     assert pii.find(df.limit(0)).collect() == []
     assert {r.text for r in pii.redact(df).where("doc_id = 3").collect()} == {"é <email>"}
     assert pii.redact(df).columns == ["doc_id", "text"] and pii.redact(df).where("text is null").count() == 1
+
+
+def test_words_without_digits_are_labelled():
+    field = pii.default_field()
+    found = lambda t: [(k, t[b:e]) for k, b, e in pii.find_spans([t.encode()], field)[0][1]]
+    assert found("we met there and password: correcthorse was lost again") == [("secret", "correcthorse")]
+    assert found("write to jane at mailbox dot com about the matter") == [("email", "jane at mailbox dot com")]
+    assert found("we looked at the house and the note: nothing else was there") == [] == found("the password was changed at the office")
+
+
+def test_whole_texts_are_decoded_exactly():
+    field = pii.default_field()
+    held = pii.labelled_table(300, seed=5)
+    words = pii.Words([" ".join(w).encode() for w, _ in held])
+    which, fresh = pii._runs(words)
+    feats = pii.features(words, which)
+    assert np.allclose(pii.scores(words, field.emit), field.emit[feats].sum(1))
+    assert (field.label(words) == field.decode(feats, fresh)).all()
