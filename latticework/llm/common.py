@@ -45,12 +45,10 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-
-
 class WordHash(dict):
     """Word (bytes) to its 64-bit hash. The cache is emptied when it is full, so memory stays bounded on any vocabulary."""
 
-    def __init__(self, seed: int = 0, most: int = 400_000):
+    def __init__(self, seed: int = 0, most: int = 150_000):
         super().__init__()
         self.seed, self.most = seed, most
 

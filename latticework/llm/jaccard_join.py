@@ -109,7 +109,9 @@ class Bands:
         keep = (count > 0) | (empty > self.spare[where])[whose]
         number = np.arange(len(xor)) - base[whose]
         key = mix(xor ^ mix((where[whose].astype(U64) << U64(32)) | number.astype(U64)))
-        return key[keep], who[whose[keep]]
+        key, doc = key[keep], who[whose[keep]]
+        order = np.argsort(doc, kind="stable")
+        return key[order], doc[order]
 
 
 def similar(a: int, b: int, both: int, percent: int) -> bool:

@@ -23,30 +23,51 @@ def part_of(h: np.ndarray, parts: int) -> np.ndarray:
     return (((h >> U64(32)) * U64(parts)) >> U64(32)).astype(np.int64)
 
 
+def by_part(part: np.ndarray, parts: int) -> np.ndarray:
+    """Positions in the order of partitions, ties as they are."""
+    return np.argsort(part.astype(np.uint16) if parts < 1 << 16 else part, kind="stable")
+
+
+def heads(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin, and the length of x at the end."""
+    return np.concatenate([[0], np.flatnonzero(x[1:] != x[:-1]) + 1, [len(x)]]) if len(x) else np.zeros(1, np.int64)
+
+
+def slices(data: np.ndarray, edge: np.ndarray) -> pa.Array:
+    """data's bytes cut at edge (rows of data), as binary values; no copy for each of them."""
+    width = data.itemsize * (data.shape[1] if data.ndim > 1 else 1)
+    return pa.Array.from_buffers(pa.binary(), len(edge) - 1, [None, pa.py_buffer((edge * width).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
 def pack(h: np.ndarray, part: np.ndarray, doc: np.ndarray, own: np.ndarray, parts: int, bits: type, flag: np.ndarray | None = None) -> pa.RecordBatch:
-    """A row for each partition. doc: the entries' documents, rows of own; own: (documents, k) of 64-bit integers."""
-    order = np.argsort(part.astype(np.uint16) if parts < 1 << 16 else part, kind="stable")
-    h, doc = h[order].astype(bits), doc[order]
-    flag = flag[order].astype(np.uint16) << 15 if flag is not None else None
-    edge = np.searchsorted(part[order], np.arange(parts + 1)).tolist()
-    rows: list[list] = [[], [], [], []]
-    for p, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)):
-        if b > a:
-            there, number = np.unique(doc[a:b], return_inverse=True)
-            number = number.astype(np.uint16)
-            for k, x in enumerate((p, h[a:b].tobytes(), (number if flag is None else number | flag[a:b]).tobytes(), own[there].astype(np.int64).tobytes())):
-                rows[k].append(x)
-    return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(r, pa.binary()) for r in rows[1:])], names=["part", "h", "d", "own"])
+    """A row for each partition. doc: the entries' documents, rows of own, in rising order; own: (documents, k) of 64-bit integers."""
+    order = by_part(part, parts)
+    h, doc, part = h[order].astype(bits), doc[order], part[order]
+    edge = heads(part)
+    fresh = np.ones(len(doc), bool)
+    fresh[1:] = doc[1:] != doc[:-1]
+    fresh[edge[:-1]] = True
+    place = np.cumsum(fresh)
+    first = place[edge[:-1]] - 1
+    number = (place - 1 - np.repeat(first, np.diff(edge))).astype(np.uint16)
+    if flag is not None:
+        number |= flag[order].astype(np.uint16) << 15
+    there = own[doc[fresh]].astype(np.int64)
+    columns = [pa.array(part[edge[:-1]], pa.int32()), slices(h, edge), slices(number, edge), slices(there, np.append(first, len(there)))]
+    return pa.RecordBatch.from_arrays(columns, names=["part", "h", "d", "own"])
 
 
 def unpack(batches: Iterator[pa.RecordBatch], bits: type, k: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Everything that a task got: hash, partition, the documents' values (entries, k), flag."""
-    hs, ps, owns, flags = [np.empty(0, bits)], [np.empty(0, np.int32)], [np.empty((0, k), np.int64)], [np.empty(0, bool)]
-    for b in batches:
-        for p, h, d, own in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            d = np.frombuffer(d, np.uint16)
-            hs.append(np.frombuffer(h, bits))
-            ps.append(np.full(len(d), p, np.int32))
-            owns.append(np.frombuffer(own, np.int64).reshape(-1, k)[d & 0x7FFF])
-            flags.append(d >= 0x8000)
-    return tuple(map(np.concatenate, (hs, ps, owns, flags)))
+    """Everything that a task got: hash, partition, the documents' values (entries, k), flag. It is held packed until its size is known."""
+    got = [row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    total = sum(len(d) // 2 for _, _, d, _ in got)
+    h, part, own, flag = np.empty(total, bits), np.empty(total, np.int32), np.empty((total, k), np.int64), np.empty(total, bool)
+    at = 0
+    got.reverse()
+    while got:
+        p, x, d, values = got.pop()
+        d = np.frombuffer(d, np.uint16)
+        to = slice(at, at := at + len(d))
+        h[to], part[to], flag[to] = np.frombuffer(x, bits), p, d >= 0x8000
+        own[to] = np.frombuffer(values, np.int64).reshape(-1, k)[d & 0x7FFF]
+    return h, part, own, flag

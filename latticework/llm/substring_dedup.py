@@ -31,8 +31,8 @@ from . import packed
 from .common import U64, WordHash, materialize, mix, rolling, split_white, starts, texts_of, word_chunks
 
 #: Words whose probes one partition holds, and words that a task packs at once.
-PARTITION_WORDS = 4_000_000
-CHUNK_WORDS = 1_000_000
+PARTITION_WORDS = 2_000_000
+CHUNK_WORDS = 250_000
 _BASE_2 = 0xD6E8FEB86659FD93
 
 
@@ -47,15 +47,18 @@ def _told(ids: np.ndarray, value: np.ndarray, parts: int) -> Iterator[pa.RecordB
     fresh[1:] = (ids[1:] != ids[:-1]) | (value[1:] != value[:-1])
     ids, value = ids[fresh], value[fresh]
     part = packed.part_of(mix(ids.astype(U64)), parts)
-    order = np.argsort(part, kind="stable")
+    order = packed.by_part(part, parts)
     ids, value, part = ids[order], value[order], part[order]
-    head = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(ids) else []
-    rows: list[list] = [[], [], [], []]
-    for a, b in zip(head, np.append(head[1:], len(ids)), strict=True):
-        own, count = np.unique(ids[a:b], return_counts=True)
-        for k, x in enumerate((int(part[a]), own.tobytes(), count.astype(np.uint32).tobytes(), value[a:b].tobytes())):
-            rows[k].append(x)
-    yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(r, pa.binary()) for r in rows[1:])], names=["part", "ids", "counts", "found"])
+    if not len(ids):
+        return
+    first = np.ones(len(ids), bool)
+    first[1:] = ids[1:] != ids[:-1]
+    own = np.flatnonzero(first)
+    edge = packed.heads(part)
+    inside = np.searchsorted(own, edge)  # a document is in one partition only
+    count = np.diff(np.append(own, len(ids))).astype(np.uint32)
+    columns = [pa.array(part[edge[:-1]], pa.int32()), packed.slices(ids[own], inside), packed.slices(count, inside), packed.slices(value, edge)]
+    yield pa.RecordBatch.from_arrays(columns, names=["part", "ids", "counts", "found"])
 
 
 def _gathered(told: DataFrame, parts: int) -> DataFrame:
@@ -71,10 +74,10 @@ def _gathered(told: DataFrame, parts: int) -> DataFrame:
         order = np.argsort(ids, kind="stable")
         ids, value = ids[order], value[order]
         own, head = np.unique(ids, return_index=True)
-        edge = np.append(head, len(ids)).tolist()
+        edge = np.append(head, len(ids))
         for k in range(0, len(own), 2000):
-            spans = zip(edge[k : k + 2000], edge[k + 1 : k + 2001], strict=False)
-            yield pa.RecordBatch.from_arrays([pa.array(own[k : k + 2000]), pa.array([value[a:b].tobytes() for a, b in spans], pa.binary())], names=["id", "found"])
+            cut = edge[k : k + 2001]
+            yield pa.RecordBatch.from_arrays([pa.array(own[k : k + 2000]), packed.slices(value[cut[0] : cut[-1]], cut - cut[0])], names=["id", "found"])
 
     return told.repartitionById(parts, "part").mapInArrow(run, "id long, found binary")
 
