@@ -6,15 +6,38 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from latticework.functions.expr import arithmetic_hash
+from latticework.storage import written
+
+
+def ranged(df: DataFrame, order: list[str], label: str = "ranged") -> DataFrame:
+    """df sorted by range and written, with __p (the number of its partition) and __row (its place there, from 0).
+
+    Two uses of an unwritten range exchange may have different bounds (each samples its own, perhaps pruned, input), so numbers of one don't fit the other.
+    """
+    at = F.monotonically_increasing_id()
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", at)
+    return written(placed.withColumns({"__p": F.shiftright("__at", 33), "__row": F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))}).drop("__at"), label)
+
+
+def _before(parts: DataFrame, column: str) -> DataFrame:
+    """__q, __b: the sum of column over the partitions before each; parts has a row for each partition."""
+    w = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, 0)
+    return parts.select(F.col("__p").alias("__q"), (F.sum(column).over(w) - F.col(column)).alias("__b"))
 
 
 def dense_index(df: DataFrame, order: list[str], name: str = "idx") -> DataFrame:
     """0, 1, 2, ... in order, without bringing all rows to one task: rows are sorted by range, and each partition starts after those before it."""
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id())
-    local = ranged.withColumn("__row", F.row_number().over(Window.partitionBy("__p").orderBy(*order)))
-    sizes = local.groupBy("__p").agg(F.count("*").alias("__n"))
-    before = sizes.select(F.col("__p").alias("__q"), (F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")).alias("__b"))
-    return local.join(F.broadcast(before), F.col("__p") == F.col("__q")).withColumn(name, F.col("__b") + F.col("__row") - 1).drop("__p", "__q", "__row", "__b")
+    local = ranged(df, order)
+    before = _before(local.groupBy("__p").agg(F.count("*").alias("__n")), "__n")
+    return local.join(F.broadcast(before), F.col("__p") == F.col("__q")).withColumn(name, F.col("__b") + F.col("__row")).drop("__p", "__q", "__row", "__b")
+
+
+def running_total(df: DataFrame, order: list[str], column: str, name: str = "total") -> DataFrame:
+    """The sum of column over each row and all before it in order, by sorted ranges: sums inside of a partition, and those of the partitions before."""
+    local = ranged(df, order)
+    inside = Window.partitionBy("__p").orderBy("__row").rowsBetween(Window.unboundedPreceding, 0)
+    before = _before(local.groupBy("__p").agg(F.sum(column).alias("__n")), "__n")
+    return local.withColumn("__t", F.sum(column).over(inside)).join(F.broadcast(before), F.col("__p") == F.col("__q")).withColumn(name, F.col("__b") + F.col("__t")).drop("__p", "__q", "__row", "__b", "__t")
 
 
 def top_per_group(df: DataFrame, by: list[str], order: list[Column], n: int) -> DataFrame:
@@ -26,12 +49,13 @@ def pareto_frontier(df: DataFrame, cost: str, gain: str, tie: str) -> DataFrame:
     """Rows with more gain than any row of less cost (or the same cost, more gain or a smaller tie).
 
     First each cost bucket (a quantile range of the cost) is reduced to its own frontier and the best gain of the buckets before it, which are as many as there
-    are shuffle partitions; the rows that are left are few.
+    are shuffle partitions; the rows that are left are few, and written before they are used twice.
     """
     order = [F.col(cost), F.col(gain).desc(), F.col(tie)]
-    ranged = df.repartitionByRange(cost).withColumn("__p", F.spark_partition_id())
+    parted = df.repartitionByRange(cost).withColumn("__p", F.spark_partition_id())
     own = Window.partitionBy("__p").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    local = ranged.withColumn("__best", F.max(gain).over(own)).where(F.col("__best").isNull() | (F.col(gain) > F.col("__best"))).drop("__best")
+    local = parted.withColumn("__best", F.max(gain).over(own)).where(F.col("__best").isNull() | (F.col(gain) > F.col("__best"))).drop("__best")
+    local = written(local, "frontiers")
     tops = local.groupBy("__p").agg(F.max(gain).alias("__top"))
     before = tops.select(F.col("__p").alias("__q"), F.max("__top").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)).alias("__floor"))
     return local.join(F.broadcast(before), F.col("__p") == F.col("__q")).where(F.col("__floor").isNull() | (F.col(gain) > F.col("__floor"))).drop("__p", "__q", "__floor")

@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from latticework.storage import written
+
 
 def correlation_pairs(df: DataFrame, cols: list[str]) -> DataFrame:
     """a, b, r for a before b: every pair in one aggregate row."""
@@ -18,11 +20,12 @@ def correlation_pairs(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def average_ranks(df: DataFrame, cols: list[str], prefix: str = "rank_") -> DataFrame:
-    """df with ranks, ties by their mean. Ranks come from counts of distinct values; only those, range-partitioned by the window's sort, are put in order."""
+    """df with ranks, ties by their mean. Ranks come from counts of distinct values, put in order as sorted ranges."""
+    from .rank import running_total
+
     for c in cols:
-        counts = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("__n"))
-        w = Window.orderBy(c).rowsBetween(Window.unboundedPreceding, 0)
-        ranks = counts.select(F.col(c).alias("__v"), (F.sum("__n").over(w) - (F.col("__n") - 1) / 2).alias(prefix + c))
+        counts = df.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("__v")).agg(F.count("*").alias("__n"))
+        ranks = running_total(counts, ["__v"], "__n", "__sum").select("__v", (F.col("__sum") - (F.col("__n") - 1) / 2).alias(prefix + c))
         df = df.join(ranks, F.col(c) == F.col("__v"), "left").drop("__v")
     return df
 
@@ -106,7 +109,7 @@ def morans_i(nodes: DataFrame, edges: DataFrame, column: str) -> DataFrame:
     return lagged.agg(F.count("*").alias("n"), F.sum(F.col("z") * F.col("lag")).alias("a"), F.sum(F.col("z") * F.col("z")).alias("b")).crossJoin(s0).select((F.col("n") / F.col("s0") * F.col("a") / F.col("b")).alias("i"), "n")
 
 
-def morans_p(nodes: DataFrame, edges: DataFrame, column: str, permutations: int = 999, seed: int = 42, at_once: int = 50) -> DataFrame:
+def morans_p(nodes: DataFrame, edges: DataFrame, column: str, permutations: int = 999, seed: int = 42, at_once: int = 200) -> DataFrame:
     """i, p: the share of permuted fields whose I is as extreme, (k + 1) / (permutations + 1). No row where I isn't defined.
 
     Each permutation orders nodes by a seeded hash and gives the values out in that order. A plan holds at_once of them, as an array for each node, so edges meet nodes once a plan.
@@ -115,20 +118,18 @@ def morans_p(nodes: DataFrame, edges: DataFrame, column: str, permutations: int
 
     spark = nodes.sparkSession
     mean, n, b = nodes.agg(F.avg(column).alias("m"), F.count("*").alias("n")).crossJoin(nodes.agg(F.var_pop(column).alias("v"), F.count(column).alias("k"))).select("m", "n", F.col("v") * F.col("k")).first()
-    base, std = dense_index(nodes.select("id", column), ["id"], "k").persist(), row_standardised(edges).select("src", "dst", "w").persist()
+    base, std = dense_index(nodes.select("id", column), ["id"], "k"), written(row_standardised(edges).select("src", "dst", "w"), "edges")
     s0 = std.agg(F.sum("w")).first()[0]
     found = []
     values = base.select(F.col("k").alias("place"), (F.col(column) - mean).alias("z")) if n and b and s0 else None
     for first in range(0, permutations + 1, at_once) if values is not None else ():
         last = min(first + at_once - 1, permutations)
         runs = base.select("id", "k", F.explode(F.sequence(F.lit(first), F.lit(last))).alias("run"))
-        order = Window.partitionBy("run").orderBy(F.when(F.col("run") == 0, F.col("k")).otherwise(F.xxhash64("id", "run", F.lit(seed))), "id")
-        placed = runs.withColumn("place", F.row_number().over(order) - 1).join(values, "place")
+        runs = runs.withColumn("h", F.when(F.col("run") == 0, F.col("k")).otherwise(F.xxhash64("id", "run", F.lit(seed)))).drop("k")
+        placed = dense_index(runs, ["run", "h", "id"], "at").withColumn("place", F.col("at") - (F.col("run") - first) * n).join(values, "place")
         field = placed.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("run", "z"))), lambda s: s["z"]).alias("z"))
         ends = std.join(field.select(F.col("id").alias("src"), F.col("z").alias("zi")), "src").join(field.select(F.col("id").alias("dst"), F.col("z").alias("zj")), "dst")
         found += ends.agg(*(F.sum(F.col("w") * F.col("zi")[r] * F.col("zj")[r]).alias(f"a{r}") for r in range(last - first + 1))).first()
-    base.unpersist()
-    std.unpersist()
     found = [n / s0 * a / b for a in found if a is not None]
     k = sum(x >= found[0] for x in found[1:]) if found else 0
     return spark.createDataFrame([(found[0], (min(k, permutations - k) + 1) / (permutations + 1))] if found else [], "i double, p double")

@@ -231,3 +231,32 @@ def test_morans_permutation_can_be_significant(spark):
     assert stats.morans_p(nodes.withColumn("v", F.lit(1.0)), edges, "v").count() == 0
     p = QUERIES["morans_permutation"](spark, "/root/testdata/sf0.001").first().p
     assert abs(p * 1000 - round(p * 1000)) < 1e-6
+
+
+@pytest.mark.parametrize("coalesce", ["true", "false"])
+def test_order_of_wide_tables_of_many_partitions(spark, coalesce):
+    n = 150_000
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
+    try:
+        df = spark.range(n, numPartitions=8).withColumns({"v": F.pmod(F.xxhash64("id"), F.lit(1000)), "c": F.pmod(F.xxhash64("id", F.lit(1)), F.lit(10**6)), "g": F.pmod(F.xxhash64("id", F.lit(2)), F.lit(10**9)) + F.col("id"), "wide": F.repeat(F.sha2(F.col("id").cast("string"), 256), 4)})
+        plain = df.select("id", "v", "c", "g").toPandas()
+        plain["c"] = plain["c"] % 1000 + plain["g"] // 10**3
+        place = plain.sort_values(["v", "id"]).id.to_numpy()
+        got = rank.dense_index(df, ["v", "id"]).select("idx", "id", F.length("wide").alias("n")).toPandas().sort_values("idx")
+        assert got.idx.tolist() == list(range(n)) and (got.id.to_numpy() == place).all() and (got.n == 256).all()
+
+        order = plain.sort_values(["c", "g", "id"], ascending=[True, False, True])
+        best = order.g.cummax().shift(fill_value=-1)
+        found = rank.pareto_frontier(df.withColumn("c", F.col("c") % 1000 + F.floor(F.col("g") / 10**3)), "c", "g", "id").select("id", F.length("wide").alias("n")).toPandas()
+        assert sorted(found.id) == sorted(order.id[order.g > best]) and len(found) > 100
+
+        shares = {r.split: (r.n, r.w) for r in rank.hash_split(df, "id").groupBy("split").agg(F.count("*").alias("n"), F.max(F.length("wide")).alias("w")).collect()}
+        assert shares == {"train": (int(n * 0.7), 256), "val": (int(n * 0.15), 256), "test": (n - int(n * 0.7) - int(n * 0.15), 256)}
+
+        ranks = stats.average_ranks(df.select("id", "v", "wide"), ["v"]).select("id", "rank_v", F.length("wide").alias("n")).toPandas().set_index("id").rank_v
+        assert (ranks.sort_index().to_numpy() == plain.sort_values("id").v.rank().to_numpy()).all()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
