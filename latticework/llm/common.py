@@ -45,6 +45,29 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables that one run of an operator writes to the shared folder, to cut lineage; drop() removes those that nothing reads any more."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.base, self.paths = spark, new_path(spark, name), {}
+
+    def write(self, df: DataFrame, label: str) -> DataFrame:
+        paths = self.paths.setdefault(label, [])
+        path = f"{self.base}/{label}-{len(paths)}"
+        df.write.parquet(path)
+        paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *labels: str) -> None:
+        """Remove what was written under labels so far."""
+        for label in labels:
+            for k, path in enumerate(self.paths.get(label, [])):
+                if path:
+                    p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+                    p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+                    self.paths[label][k] = ""
+
+
 class WordHash(dict):
     """Word (bytes) to its 64-bit hash. The cache is emptied when it is full, so memory stays bounded on any vocabulary."""
 

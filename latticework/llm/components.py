@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import Scratch
 
 
 def _stamp(edges: DataFrame):
@@ -20,7 +20,8 @@ def components(links: DataFrame) -> DataFrame:
     no burden, and the joins that follow can be split where they are skewed.
     """
     edges = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct()
-    edges = materialize(edges, "components")
+    scratch, round_ = Scratch(links.sparkSession, "components"), 0
+    edges = scratch.write(edges, "0")
     before = None
     while (now := _stamp(edges)) != before:
         before = now
@@ -29,6 +30,8 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         small_min = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(small_min, "a").select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
-        edges = materialize(small, "components")
+        edges = scratch.write(small, f"{round_ + 1}")
+        scratch.drop(f"{round_}")
+        round_ += 1
     roots = edges.select(F.col("b").alias("node")).distinct()
     return edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("comp")).union(roots.select("node", F.col("node").alias("comp")))
