@@ -69,6 +69,13 @@ def _centroids(df: DataFrame, features: list[str], label: str) -> DataFrame:
     return df.groupBy(label).agg(F.count("*").alias("n"), *(F.avg(c).alias("c_" + c) for c in features))
 
 
+def nearest_to_centre(df: DataFrame, features: list[str], label: str) -> DataFrame:
+    """label, id: the member nearest to each label's centroid, the least id on ties."""
+    at = df.select("id", label, *features).join(F.broadcast(_centroids(df, features, label).drop("n")), label)
+    d2 = reduce(lambda a, b: a + b, (F.pow(F.col(c) - F.col("c_" + c), F.lit(2.0)) for c in features))
+    return at.groupBy(label).agg(F.min_by("id", F.struct(F.round(d2, 6), "id")).alias("id"))
+
+
 def inertia(df: DataFrame, features: list[str], label: str) -> DataFrame:
     """inertia: the sum of squared distances to the centroids, by variances in one pass."""
     each = df.groupBy(label).agg(reduce(lambda a, b: a + b, (F.var_pop(c) for c in features)).alias("v"), F.count("*").alias("n"))

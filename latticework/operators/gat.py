@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from latticework.functions.expr import dot
+from latticework.storage import written
 
 SLOPE = 0.2
 
@@ -41,26 +42,26 @@ def _times(matrix: np.ndarray, x: Column) -> Column:
     return F.array(*(dot(_vector(matrix[:, k]), x) for k in range(matrix.shape[1])))
 
 
-def attention(nodes: DataFrame, edges: DataFrame, layer: Layer) -> DataFrame:
-    """src, dst, head, alpha, value (array: L x_src of that head). nodes: id, x (array). Softmax maxima and sums are aggregated for (dst, head) before the shuffle."""
+def attention(nodes: DataFrame, edges: DataFrame, layer: Layer, loops: bool = True) -> DataFrame:
+    """src, dst, head, alpha, value (array: L x_src of that head). nodes: id, x (array). Softmax maxima and sums are aggregated for (dst, head) before the shuffle. loops: to add them."""
     heads, channels = layer.att.shape
     p = nodes.select("id", _times(layer.left, F.col("x")).alias("l"), _times(layer.right, F.col("x")).alias("r"))
-    e = with_loops(nodes, edges).join(p.select(F.col("id").alias("src"), "l"), "src").join(p.select(F.col("id").alias("dst"), "r"), "dst")
+    e = (with_loops(nodes, edges) if loops else edges.select("src", "dst", "w")).join(p.select(F.col("id").alias("src"), "l"), "src").join(p.select(F.col("id").alias("dst"), "r"), "dst")
     mixed = F.zip_with(F.zip_with("l", "r", lambda a, b: a + b), _vector(layer.edge), lambda a, c: a + c * F.col("w"))
     e = e.withColumn("m", F.transform(mixed, lambda v: F.when(v > 0, v).otherwise(SLOPE * v)))
     part = lambda c, h: F.slice(c, h * channels + 1, channels)
     per_head = F.array(*(F.struct(F.lit(h).alias("head"), dot(_vector(layer.att[h]), part("m", h)).alias("s"), part("l", h).alias("value")) for h in range(heads)))
-    e = e.select("src", "dst", F.explode(per_head).alias("q")).select("src", "dst", "q.*")
+    e = written(e.select("src", "dst", F.explode(per_head).alias("q")).select("src", "dst", "q.*"), "scores")  # read three times
     top = e.groupBy("dst", "head").agg(F.max("s").alias("top"))
     e = e.join(top, ["dst", "head"]).withColumn("ex", F.exp(F.col("s") - F.col("top")))
     total = e.groupBy("dst", "head").agg(F.sum("ex").alias("total"))
     return e.join(total, ["dst", "head"]).select("src", "dst", "head", (F.col("ex") / F.col("total")).alias("alpha"), "value")
 
 
-def convolve(nodes: DataFrame, edges: DataFrame, layer: Layer, elu: bool = True) -> DataFrame:
+def convolve(nodes: DataFrame, edges: DataFrame, layer: Layer, elu: bool = True, loops: bool = True) -> DataFrame:
     """id, x: the layer's output."""
     channels = layer.att.shape[1]
-    a = attention(nodes, edges, layer).select("dst", "head", "alpha", F.posexplode("value").alias("k", "v"))
+    a = attention(nodes, edges, layer, loops).select("dst", "head", "alpha", F.posexplode("value").alias("k", "v"))
     summed = a.groupBy("dst", (F.col("head") * channels + F.col("k")).alias("k")).agg(F.sum(F.col("alpha") * F.col("v")).alias("v"))
     out = summed.groupBy("dst").agg(F.array_sort(F.collect_list(F.struct("k", "v"))).alias("o"))
     x = F.zip_with(F.transform("o", lambda s: s["v"]), _vector(layer.bias), lambda v, b: v + b)

@@ -55,32 +55,42 @@ def spill_over(local: DataFrame, edges: DataFrame, gains: DataFrame, least: floa
     return out.withColumn("multiplier", F.when(F.abs("own") > least, F.col("neighbours") / F.col("own")).otherwise(0.0))
 
 
-def genetic_search(nodes: DataFrame, fitness, bounds: list[tuple[float, float]], *, population: int = 100, generations: int = 50, elite: int = 5, mutation: float = 0.3, seed: int = 42) -> DataFrame:
+def evolve(fitness, bounds: list[tuple[float, float]], seed, *, population: int = 100, generations: int = 50, elite: int = 5, mutation: float = 0.3):
+    """The best genes that a seeded search within bounds finds, and their value. fitness(all candidates) gives their values. The better half survives; the `elite` best stay as they
+    are, and the others are copies of survivors, of which `mutation` have one gene moved by a normal step of 0.5.
+    """
+    import numpy as np
+
+    low, high = np.array([b[0] for b in bounds], float), np.array([b[1] for b in bounds], float)
+    rng = np.random.default_rng(seed)
+    pop = rng.uniform(low, high, (population, len(bounds)))
+    for step in range(generations):
+        value = fitness(pop)
+        order = np.argsort(-value, kind="stable")
+        pop, best = pop[order], float(value[order[0]])
+        if step == generations - 1:
+            break
+        kids = pop[rng.integers(0, max(1, population // 2), population - elite)]
+        moved = np.flatnonzero(rng.random(len(kids)) < mutation)
+        gene = rng.integers(0, len(bounds), len(moved))
+        kids[moved, gene] += rng.normal(0, 0.5, len(moved))
+        pop = np.concatenate([pop[:elite], np.clip(kids, low, high)])
+    return pop[0], best
+
+
+def genetic_search(nodes: DataFrame, fitness, bounds: list[tuple[float, float]], *, seed: int = 42, **options) -> DataFrame:
     """id, genes, best: for each node (id, context: array of double) a seeded search within bounds; fitness(context, genes of all candidates) gives their values. Nodes are
-    independent, so they are dealt to tasks as rows.
+    independent, so they are dealt to tasks as rows. options: of evolve().
     """
     import numpy as np
     import pyarrow as pa
 
-    low, high = np.array([b[0] for b in bounds]), np.array([b[1] for b in bounds])
-
     def run(batches):
         for b in batches:
             out = []
             for i, context in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                rng = np.random.default_rng([seed, int(i) & 0xFFFFFFFF])
-                pop = rng.uniform(low, high, (population, len(bounds)))
-                for _ in range(generations):
-                    pop = pop[np.argsort(-fitness(np.array(context), pop), kind="stable")]
-                    parents = pop[: max(2, population // 2)]
-                    pairs = rng.integers(0, len(parents), (population - elite, 2))
-                    mix = rng.random((population - elite, len(bounds)))
-                    kids = parents[pairs[:, 0]] * mix + parents[pairs[:, 1]] * (1 - mix)
-                    kids += rng.normal(0, 0.5, kids.shape) * (rng.random(kids.shape) < mutation)
-                    pop = np.concatenate([pop[:elite], np.clip(kids, low, high)])
-                value = fitness(np.array(context), pop)
-                best = int(np.argmax(value))
-                out.append((i, pop[best].tolist(), float(value[best])))
+                genes, best = evolve(lambda g, c=np.array(context): fitness(c, g), bounds, [seed, int(i) & 0xFFFFFFFF], **options)
+                out.append((i, genes.tolist(), best))
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.list_(pa.float64())), pa.array([o[2] for o in out], pa.float64())], names=["id", "genes", "best"])
 
     return nodes.select("id", "context").mapInArrow(run, "id long, genes array<double>, best double")

@@ -6,6 +6,7 @@ import math
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,6 +45,16 @@ def correlation_p(r: float, n: int) -> float:
     return _incomplete_beta(df / 2, 0.5, df / (df + t2))
 
 
+def with_p(df: DataFrame) -> DataFrame:
+    """df (r, n: a row for each correlation) with p, its two-sided significance."""
+
+    @F.pandas_udf("double")
+    def p_of(r: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([correlation_p(a, int(b)) if a == a else None for a, b in zip(r, n, strict=True)], dtype="float64")
+
+    return df.withColumn("p", p_of(F.col("r").cast("double"), F.col("n").cast("long")))
+
+
 def _incomplete_beta(a: float, b: float, x: float) -> float:
     if x <= 0 or x >= 1:
         return float(x >= 1)
