@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 U64 = np.uint64
 
@@ -45,6 +46,19 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(groups: DataFrame, most: int = 20_000) -> DataFrame:
+    """groups (a written table), to be broadcast if it has few rows; else a join with it shuffles."""
+    return F.broadcast(groups) if groups.limit(most + 1).count() <= most else groups
+
+
+def free_name(columns: list[str], name: str) -> str:
+    """name, lengthened until no column is called so."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 class Scratch:
     """Tables that one run of an operator writes to the shared folder, to cut lineage; drop() removes those that nothing reads any more."""
 

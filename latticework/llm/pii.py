@@ -6,7 +6,8 @@ batches, over all words of a text. A word whose score for O exceeds all others b
 labelling, so the chain parts there, and only the words between are decoded in step: the exact optimum. Labelled runs become spans, and those that overlap no pattern's span are added.
 
 Words, shapes and places come from the UTF-8 bytes of many texts at once; texts are read once and never shuffled. Places are code points, ends exclusive.
-Null and empty texts have no spans. Each row is judged for itself, repeated or not; further columns are passed by, and a column named as the output is replaced.
+Null and empty texts have no spans; texts of any length are read whole. Each row is judged for itself, repeated or not; further columns, whatever their names, are passed by, and a column named
+as the output is replaced. Of labellings that score alike, the one with the labels listed first counts. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import texts_of
+from .common import free_name, texts_of
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 LABELS = ("O", *KINDS)
@@ -398,7 +399,7 @@ def find_spans(texts: list[bytes | None], field: Field) -> list[tuple[list[tuple
 
 
 _SPAN = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
-_BATCH_BYTES = 4 << 20
+_BATCH_BYTES = 1 << 20
 
 
 def _parts_of(texts: list[bytes | None]):
@@ -411,20 +412,20 @@ def _parts_of(texts: list[bytes | None]):
     yield texts[first:]
 
 
-def find(docs: DataFrame, *, field: Field | None = None, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """docs' columns (or those in keep) with base and added: arrays of (kind, start, end)."""
+def find(docs: DataFrame, *, field: Field | None = None, text_col: str = "text", keep: list[str] | None = None, names: tuple[str, str] = ("base", "added")) -> DataFrame:
+    """docs' columns (or those in keep) with base and added (or as in names): arrays of (kind, start, end)."""
     field = field or default_field()
-    kept = [c for c in (docs.columns if keep is None else keep) if c not in ("base", "added")]
-    df = docs.select(*kept, F.col(text_col).alias("__text"))
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in names]
+    df = docs.select(*kept, F.col(text_col).alias(free_name(kept, "text")))
 
     def run(batches):
         for b in batches:
-            found = [x for part in _parts_of(texts_of(b, "__text")) for x in find_spans(part, field)]
+            found = [x for part in _parts_of(texts_of(b, b.schema.names[-1])) for x in find_spans(part, field)]
             cols = [pa.array([[dict(zip(("kind", "start", "end"), s, strict=True)) for s in x[k]] for x in found], pa.list_(_SPAN)) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *cols], names=[*b.schema.names[:-1], "base", "added"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *cols], names=[*b.schema.names[:-1], *names])
 
     span = "array<struct<kind:string,start:int,end:int>>"
-    return df.mapInArrow(run, StructType([*df.schema.fields[:-1], *StructType.fromDDL(f"base {span}, added {span}").fields]))
+    return df.mapInArrow(run, StructType([*df.schema.fields[:-1], *StructType.fromDDL(f"`{names[0]}` {span}, `{names[1]}` {span}").fields]))
 
 
 def _joined(spans):
@@ -441,10 +442,11 @@ def digest(found: DataFrame, id_col: str) -> DataFrame:
 
 def redact(docs: DataFrame, *, text_col: str = "text", **options) -> DataFrame:
     """docs with each span of text_col replaced by its kind in angle brackets; of overlapping spans the first, then the longest, counts."""
-    found = find(docs, text_col=text_col, **options)
-    spans = F.array_sort(F.transform(F.concat("base", "added"), lambda s: F.struct(s["start"].alias("s"), (-s["end"]).alias("e"), s["kind"].alias("k"))))
+    base, added = names = (free_name(docs.columns, "base"), free_name(docs.columns, "added"))
+    found = find(docs, text_col=text_col, names=names, **options)
+    spans = F.array_sort(F.transform(F.concat(base, added), lambda s: F.struct(s["start"].alias("s"), (-s["end"]).alias("e"), s["kind"].alias("k"))))
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
     text = F.col(text_col)
     step = lambda acc, s: F.when(s["s"] < acc["at"], acc).otherwise(F.struct(F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["s"] - acc["at"]), F.lit("<"), s["k"], F.lit(">")).alias("out"), (-s["e"]).alias("at")))
     clean = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return found.withColumn(text_col, F.when(F.size(spans) > 0, clean).otherwise(text)).drop("base", "added")
+    return found.withColumn(text_col, F.when(F.size(spans) > 0, clean).otherwise(text)).drop(*names)
