@@ -74,3 +74,32 @@ def test_suffix_array_of_a_text_with_more_than_21_bits_of_words():
     got = D.suffix_array(codes)
     # The 20 words at the end come before the same words at the beginning, since the text ends there.
     assert got.tolist() == [p for k in range(20) for p in (n + k, k)] + list(range(20, n))
+
+
+def test_any_window(spark):
+    rng = np.random.default_rng(3)
+    text = lambda n: " ".join(f"v{i}" for i in rng.integers(0, 3, n))
+    items = [(k, text(int(rng.integers(0, 90)))) for k in range(12)]
+    docs = [(k, f"{text(30)} {items[k % 12][1]} {text(20)}" if k % 2 else text(150)) for k in range(24)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for window in (5, 10, 40):
+        want = brute(docs, items, window)
+        assert any(r[5] for r in want)
+        for words in (2_000_000, 100):
+            assert rows(D.digest(D.find_matches(d, b, window=window, keep=["doc_id"], block_words=words), "doc_id")) == want
+
+
+def test_text_of_three_million_words():
+    words = [b"%d" % (i % 2_500_000) for i in range(3_000_000)]
+    items = [("a", words[1_000_000:1_000_500]), ("b", words[10:40]), ("c", [b"x"] * 20)]
+    for window in (40, 30):  # an item of fewer words is one window; the first half million words stand there twice
+        (n, found), = D._search_rows([b" ".join(words)], D.Block(items, window))
+        assert n == 3_000_000 and found == [("a", 1_000_000, 500), ("b", 10, 30), ("b", 2_500_010, 30)]
+
+
+def test_all_of_the_benchmark_in_one_long_text():
+    rng = np.random.default_rng(5)
+    vocabulary = [b"%d" % i for i in range(5000)]
+    item = [vocabulary[i] for i in rng.integers(0, 5000, 60_000)]
+    (n, found), = D._search_rows([b" ".join(item * 20)], D.Block([("a", item)], 10))
+    assert found[0] == ("a", 0, 60_000) and [f[1] for f in found] == [60_000 * k for k in range(20)] and all(f[2] == 60_000 for f in found)
