@@ -58,3 +58,47 @@ def test_outliers_by_group(spark):
 
 def test_consistency_factor():
     assert abs(Q._chi2_even(5.385, 4) - 0.75) < 1e-3 and Q._consistency(0.75, 4) > 1.3
+
+
+def test_equal_bits_of_unequal_windows(spark, sf, monkeypatch):
+    """With 3 bits of each hash left, most windows collide; words decide."""
+    monkeypatch.setattr(Q, "PLACE_BITS", 61)
+    docs = table(spark, sf, "documents").where("length(text) < 3000")
+    got = {r.doc_id: (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in Q.base_statistics(docs).drop("text").collect()}
+    assert got == {r.doc_id: brute(r.text) for r in docs.collect()} and len(got) > 50
+
+
+def concentrated(x, start):
+    """Plain concentration steps on one group, without bins."""
+    est = x[start].mean(0), np.cov(x[start].T, bias=True)
+    for _ in range(50):
+        m, c = est
+        c = c + np.diag(np.square(Q.FLOOR))
+        far = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+        near = np.argsort(far)[: int(np.ceil(Q.PART * len(x)))]
+        est = x[near].mean(0), np.cov(x[near].T, bias=True) * Q._consistency(Q.PART, 4)
+    return est[0], est[1] + np.diag(np.square(Q.FLOOR))
+
+
+def test_estimates_equal_plain_concentration_steps(spark):
+    rng = np.random.default_rng(7)
+    groups = {}
+    for g in "ab":
+        a = rng.normal(size=(4, 4))
+        x = rng.normal(size=(4000, 4)) @ a * 0.6 + rng.normal(size=4)
+        x[:800] = rng.normal(size=(800, 4)) * 0.2 + rng.normal(size=4) * 6  # a crowd of outliers, which masks itself from the classical start
+        groups[g] = x
+    rows = [(g, *map(float, r)) for g, x in groups.items() for r in x]
+    est = {r.key: r for r in Q.estimates(spark.createDataFrame(rows, "key string, x0 double, x1 double, x2 double, x3 double"), ["key"]).collect()}
+    for g, x in groups.items():
+        m = np.array([est[g][f"m{i}"] for i in range(4)])
+        low = np.array([[est[g][f"l{i}{j}"] if j <= i else 0.0 for j in range(4)] for i in range(4)])
+        med = np.median(x, 0)
+        iqr = (np.quantile(x, 0.75, 0) - np.quantile(x, 0.25, 0)) / 1.349
+        found = [concentrated(x, s) for s in (np.ones(len(x), bool), (np.abs(x - med) <= 2.5 * iqr).all(1))]
+        mean, cov = min(found, key=lambda e: np.linalg.det(e[1]))
+        assert np.allclose(m, mean, atol=0.03) and np.allclose(low @ low.T, cov, atol=0.05, rtol=0.05)
+        far = lambda mu, c: np.einsum("ij,jk,ik->i", x - mu, np.linalg.inv(c), x - mu)
+        ours, plain = far(m, low @ low.T), far(mean, cov)
+        sure = np.abs(plain - Q.CUTOFF) > 2
+        assert ((ours > Q.CUTOFF) == (plain > Q.CUTOFF))[sure].all() and (plain[:800] > Q.CUTOFF).mean() > 0.9 and (plain[800:] > Q.CUTOFF).mean() < 0.01
