@@ -2,14 +2,16 @@
 
 Heuristic labellers vote good or bad on a document or stay silent, for two questions: is the text regular prose (quality), and is it free of abuse (toxicity); where a table of
 labels has the document, it is one more labeller. Expectation-maximisation over how often each combination of votes occurs in the whole corpus (there are few combinations, and they are counted
-on the cluster) estimates the labellers' accuracies and gives each combination's posterior. Posteriors of a bounded sample of labelled rows then train two hashed
+on the cluster) estimates all labellers' accuracies and gives each combination's posterior. Posteriors of a bounded sample of rows, with and without labels, then train two hashed
 linear scorers (logistic, L1): quality on binned statistics and pairs of byte classes, toxicity on words and their beginnings. Both score every document's whole text.
 
-Bound: at most `sample` rows for training, half of them rows that the labels call bad or toxic, as many as there are, taken in the order of a hash of the id and weighted back
-to their shares. Nothing else is bounded. Without any labels there is no sample, and the posteriors of the votes decide by themselves.
+Bounds: at most `sample` rows with labels train the scorers, half of them rows that the labels call bad or toxic, as many as there are, and at most `unlabelled` rows without labels, each
+taken in the order of a hash of the id; labelled rows are weighted back to their shares, and the others weigh half as much as these together. A row without labels trains
+a scorer only if a labeller of its question voted; where there are no labels at all, silent rows do so too, by their posteriors. Nothing else is bounded.
 
-Null and empty texts get no vote and are rejected: there is nothing to keep. Repeated rows score alike; repeated labels of an id vote by their minimum quality and maximum toxicity; null
-ids have no label. Further columns are passed by; those named as the output are replaced. Empty tables give empty results.
+Null and empty texts get no vote and are rejected: there is nothing to keep. Texts of any length are read whole, one at a time. Repeated rows score alike; repeated labels of an id vote by their
+minimum quality and maximum toxicity, and of rows with one id the smallest text trains; null ids have no label. Ties of the sample's order go by id. Further columns are passed by,
+whatever their names; those named as the output are replaced. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import U64, mix, texts_of
+from .common import U64, free_name, materialize, mix, texts_of
 
 #: Words that abuse the reader, for the first labeller of toxicity.
 INSULTS = frozenset(b"idiot moron stupid loser scum trash clown disgusting worthless pathetic imbecile idiots morons losers dumb bastard".split())
@@ -120,12 +122,12 @@ def _ballot(row) -> list[int]:
 
 def votes(docs: DataFrame, text_col: str, kept: list[str]) -> DataFrame:
     """kept columns with v: array of the labellers' votes (1 good, 0 bad, -1 none), by rule, then by insults, and n_words."""
-    df = docs.select(*kept, F.col(text_col).alias("__text"))
+    df = docs.select(*kept, F.col(text_col).alias(free_name(kept, "text")))
 
     def run(batches):
         for b in batches:
             v, n = [], []
-            for row in map(_describe, texts_of(b, "__text")):
+            for row in map(_describe, texts_of(b, b.schema.names[-1])):
                 v.append(_ballot(row))
                 n.append(0 if row is None else len(row[0]))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(v, pa.list_(pa.int32())), pa.array(n, pa.int64())], names=[*b.schema.names[:-1], "v", "n_words"])
@@ -137,7 +139,7 @@ def expectation_maximisation(patterns: np.ndarray, count: np.ndarray, prior: flo
     """Of each labeller the chance that a vote is good, given that it votes and the truth is bad or good; each pattern's posterior of good; good's share.
 
     patterns: (k, labellers) of 1, 0, -1. Not to vote is an outcome too: a labeller that looks for one fault and is silent elsewhere says much when it votes. The anchor, a
-    labeller of people's judgements, calls at most 2 in 1000 good rows that it votes on bad, and 1 in 20 bad ones good, whatever the others agree on. silence
+    labeller of people's judgements, has a prior that weighs ten times its votes: it calls 2 in 1000 good rows bad, and 1 in 20 bad ones good. silence
     bounds what staying silent says, for faults that no labeller but the anchor may know. The first posteriors follow the bad votes, and pseudo-counts keep the classes from changing places.
     """
     labellers = patterns.shape[1]
@@ -154,11 +156,13 @@ def expectation_maximisation(patterns: np.ndarray, count: np.ndarray, prior: flo
                 n = np.bincount(np.where(patterns[:, k] < 0, 1, 2 * patterns[:, k]), w, 3) + pseudo[truth]
                 theta[k, truth] = n / n.sum()
         if anchor is not None:
-            for truth, wrong, most in ((1, 0, 0.002), (0, 2, 0.05)):
-                t = theta[anchor, truth]
-                voted = t[0] + t[2]
-                t[wrong] = min(t[wrong], most * voted)
-                t[2 - wrong] = voted - t[wrong]
+            voted = patterns[:, anchor] >= 0
+            for truth, wrong, often in ((1, 0, 0.002), (0, 2, 0.05)):
+                n = np.bincount(2 * patterns[voted, anchor], ((post if truth else 1 - post) * count)[voted], 3) + pseudo[truth] * [1, 0, 1]
+                prior_n = 10 * n.sum() * np.array([often, 0, 1 - often] if wrong == 0 else [1 - often, 0, often])
+                votes_of = theta[anchor, truth, 0] + theta[anchor, truth, 2]
+                for k in (0, 2):
+                    theta[anchor, truth, k] = votes_of * (n[k] + prior_n[k]) / (n.sum() + prior_n.sum())
         outcome = np.where(patterns < 0, 1, 2 * patterns)
         ratio = np.log(theta[:, 1] / theta[:, 0])
         if silence is not None:
@@ -215,18 +219,19 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, weight:
     return Scorer(places[w != 0], w[w != 0], bias)
 
 
-def fit(docs: DataFrame, labels: DataFrame | None, *, id_col: str = "doc_id", text_col: str = "text", sample: int = 4000) -> dict:
+def fit(docs: DataFrame, labels: DataFrame | None, *, id_col: str = "doc_id", text_col: str = "text", sample: int = 4000, unlabelled: int = 2000) -> dict:
     """The model: accuracies and the two scorers."""
-    ballots = votes(docs, text_col, [id_col]).where("n_words > 0")
-    known = None
+    lean = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    ballots = materialize(votes(lean, "text", ["id"]).where("n_words > 0"), "quality-votes")
     if labels is not None:
-        known = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.min("quality").alias("lq"), F.max("toxic").alias("lt"))
-        ballots = ballots.join(known, F.col(id_col) == F.col("__id"), "left")
+        known = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min("quality").cast("int").alias("lq"), F.max("toxic").cast("int").alias("lt"))
+        marked = ballots.join(known, "id", "left")
     else:
-        ballots = ballots.withColumns({"lq": F.lit(None).cast("int"), "lt": F.lit(None).cast("int")})
+        known = None
+        marked = ballots.withColumns({"lq": F.lit(None).cast("int"), "lt": F.lit(None).cast("int")})
     m = _QUALITY
-    combos = ballots.groupBy("v", F.coalesce("lq", F.lit(-1)).alias("lq"), F.coalesce(1 - F.col("lt"), F.lit(-1)).alias("lt")).count().collect()
-    model = {}
+    combos = marked.groupBy("v", F.coalesce("lq", F.lit(-1)).alias("lq"), F.coalesce(1 - F.col("lt"), F.lit(-1)).alias("lt")).count().collect()
+    model = {"scorers": {}}
     for name, part in (("quality", lambda r: [*r.v[:m], r.lq]), ("clean", lambda r: [*r.v[m:], r.lt])):
         total: dict[tuple, int] = {}
         for r in combos:
@@ -235,42 +240,50 @@ def fit(docs: DataFrame, labels: DataFrame | None, *, id_col: str = "doc_id", te
         patterns = np.array(list(total), np.int64).reshape(len(total), 1 + (m if name == "quality" else _CLEAN))
         acc, post, share = expectation_maximisation(patterns, np.array(list(total.values()), float), 0.85, anchor=patterns.shape[1] - 1, silence=0.7 if name == "clean" else None)
         model[name] = {"accuracy": acc, "posterior": dict(zip(total, post.tolist(), strict=True)), "share": share}
-    model["scorers"] = {}
-    if known is None:
-        return model
-    rare = F.coalesce((F.col("lq") == 0) | (F.col("lt") == 1), F.lit(False))
-    counts = {bool(r.rare): r["count"] for r in known.groupBy(rare.alias("rare")).count().collect()}
-    picked = None
-    for is_rare in (True, False):
-        half = known.where(rare if is_rare else ~rare).orderBy(F.xxhash64(F.col("__id")), "__id").limit(sample // 2)
-        picked = half if picked is None else picked.union(half)
-    take = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(picked), "__id")
+    free = marked.where("id IS NOT NULL AND lq IS NULL AND lt IS NULL").select("id", "lq", "lt").distinct()
+    picked, counts = free.orderBy(F.xxhash64("id"), "id").limit(unlabelled), {}
+    if known is not None:
+        rare = F.coalesce((F.col("lq") == 0) | (F.col("lt") == 1), F.lit(False))
+        counts = {bool(r.rare): r["count"] for r in known.groupBy(rare.alias("rare")).count().collect()}
+        for is_rare in (True, False):
+            picked = picked.union(known.where(rare if is_rare else ~rare).orderBy(F.xxhash64("id"), "id").limit(sample // 2).select("id", "lq", "lt"))
+    take = lean.join(F.broadcast(picked), "id").groupBy("id", "lq", "lt").agg(F.min("text").alias("text"))
 
     def gather(batches):
         for b in batches:
             out: list[list] = [[], [], [], [], []]
-            for text in texts_of(b, "__text"):
+            for text in texts_of(b, "text"):
                 row = _describe(text)
                 feats = [(np.empty(0, np.int64), np.empty(0))] * 2
                 if row is not None:
                     feats = [_quality_features(text, row[1]), _tox_features(row[0])]
                 for k, x in enumerate((_ballot(row), feats[0][0].tobytes(), feats[0][1].tobytes(), feats[1][0].astype(np.int32).tobytes(), feats[1][1].astype(np.float32).tobytes())):
                     out[k].append(x)
-            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("lq")).cast(pa.int32()), b.column(b.schema.get_field_index("lt")).cast(pa.int32()), pa.array(out[0], pa.list_(pa.int32())), *(pa.array(x, pa.binary()) for x in out[1:])], names=["lq", "lt", "v", "qf", "qv", "tf", "tv"])
+            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("lq")), b.column(b.schema.get_field_index("lt")), pa.array(out[0], pa.list_(pa.int32())), *(pa.array(x, pa.binary()) for x in out[1:])], names=["lq", "lt", "v", "qf", "qv", "tf", "tv"])
 
     got = take.mapInArrow(gather, "lq int, lt int, v array<int>, qf binary, qv binary, tf binary, tv binary").collect()
     if not got:
         return model
-    have = {k: sum(1 for r in got if ((r.lq == 0) or (r.lt == 1)) == k) for k in (True, False)}
-    weight = np.array([counts.get(k, 0) / max(1, have[k]) for k in (bool(r.lq == 0 or r.lt == 1) for r in got)])
+    has = np.array([r.lq is not None or r.lt is not None for r in got])
+    is_rare = np.array([r.lq == 0 or r.lt == 1 for r in got])
+    weight = np.zeros(len(got))
+    for k in (True, False):
+        if (has & (is_rare == k)).any():
+            weight[has & (is_rare == k)] = counts.get(k, 0) / (has & (is_rare == k)).sum()
     none = lambda x: -1 if x is None else int(x)
-    post = lambda name, key: model[name]["posterior"].get(tuple(key), 0.5)
-    quality = np.array([post("quality", [*r.v[:m], none(r.lq)]) for r in got])
-    clean = np.array([post("clean", [*r.v[m:], none(None if r.lt is None else 1 - r.lt)]) for r in got])
-    model["scorers"] = {
-        "quality": train([(np.frombuffer(r.qf, np.int64), np.frombuffer(r.qv, np.float64)) for r in got], quality, weight, l1=1e-5, steps=600),
-        "clean": train([(np.frombuffer(r.tf, np.int32).astype(np.int64), np.frombuffer(r.tv, np.float32).astype(float)) for r in got], clean, weight),
-    }
+    for name, at, feature, value, kinds, options in (
+        ("quality", slice(0, m), "qf", "qv", (np.int64, np.float64), {"l1": 1e-5, "steps": 600}),
+        ("clean", slice(m, None), "tf", "tv", (np.int32, np.float32), {}),
+    ):
+        label = [none(r.lq) if name == "quality" else none(None if r.lt is None else 1 - r.lt) for r in got]
+        post = np.array([model[name]["posterior"].get((*r.v[at], x), 0.5) for r, x in zip(got, label, strict=True)])
+        spoke = np.array([max(r.v[at]) >= 0 for r in got]) if has.any() else np.ones(len(got), bool)
+        own = np.where(has, weight, 0.0)
+        if (~has & spoke).any():
+            own[~has & spoke] = (0.5 * own.sum() if has.any() else 1.0) / (~has & spoke).sum()
+        rows = [(np.frombuffer(r[feature], kinds[0]).astype(np.int64), np.frombuffer(r[value], kinds[1]).astype(float)) for r in got]
+        use = np.flatnonzero(own > 0)
+        model["scorers"][name] = train([rows[k] for k in use], post[use], own[use], **options)
     return model
 
 
@@ -279,7 +292,7 @@ def score(docs: DataFrame, model: dict, *, text_col: str = "text", keep: list[st
     m = _QUALITY
     names = ("p_quality", "p_clean", "accepted")
     kept = [c for c in (docs.columns if keep is None else keep) if c not in names]
-    df = docs.select(*kept, F.col(text_col).alias("__text"))
+    df = docs.select(*kept, F.col(text_col).alias(free_name(kept, "text")))
     sent = df.sparkSession.sparkContext.broadcast({"scorers": model["scorers"], "posterior": {k: model[k]["posterior"] for k in ("quality", "clean")}})
 
     def run(batches):
@@ -288,7 +301,7 @@ def score(docs: DataFrame, model: dict, *, text_col: str = "text", keep: list[st
         chance = lambda z: 1 / (1 + float(np.exp(-np.clip(z, -30, 30))))
         for b in batches:
             q, c = [], []
-            for text in texts_of(b, "__text"):
+            for text in texts_of(b, b.schema.names[-1]):
                 row = _describe(text)
                 if row is None:
                     q.append(0.0)
