@@ -60,17 +60,24 @@ def month_year(c: Column) -> Column:
     return F.year(F.try_to_timestamp(c, F.lit("yyyy-MM")))
 
 
-#: Place types by category, first match wins; any shop counts as retail.
-FOOD = ["restaurant", "cafe", "fast_food", "food_court", "bar", "pub"]
-RETAIL = ["marketplace", "bank", "pharmacy", "fuel"]
-CIVIC = ["school", "university", "hospital", "clinic", "library", "community_centre", "place_of_worship", "police"]
-LEISURE = ["cinema", "theatre", "arts_centre", "nightclub"]
+#: Amenities that are no places, and place types by category; the first match wins, and any shop counts as retail.
+NO_PLACES = [
+    "waste_basket", "bench", "post_box", "recycling", "vending_machine", "telephone", "parking", "parking_entrance", "parking_space", "bicycle_parking",
+    "toilets", "fire_hydrant", "fuel", "car_wash", "police", "fire_station", "substation", "water_tower", "drinking_water", "shower",
+]
+FOOD = ["restaurant", "cafe", "fast_food", "bar", "pub", "food_court", "ice_cream"]
+RETAIL = ["bank", "marketplace", "pharmacy", "atm"]
+CIVIC = ["school", "university", "college", "kindergarten", "library", "hospital", "clinic", "dentist", "post_office", "place_of_worship", "community_centre", "social_facility"]
+LEISURE = ["cinema", "theatre", "nightclub", "arts_centre", "sports_centre", "pitch", "swimming_pool"]
 
 
 def place_category(amenity: Column, shop: Column, tourism: Column) -> Column:
+    """Case doesn't matter; nan, none and empty strings count as missing."""
+    amenity = F.lower(amenity)
+    there = lambda c: c.isNotNull() & ~F.lower(c).isin("nan", "none", "")
     return (
-        F.when(amenity.isin(FOOD), "F&B").when(shop.isNotNull(), "Retail").when(amenity.isin(RETAIL), "Retail").when(amenity.isin(CIVIC), "Civic")
-        .when(amenity.isin(LEISURE), "Leisure").when(tourism.isNotNull(), "Tourism").otherwise("Drop")
+        F.when(amenity.isin(FOOD), "F&B").when(there(shop), "Retail").when(amenity.isin(RETAIL), "Retail").when(amenity.isin(CIVIC), "Civic")
+        .when(amenity.isin(LEISURE), "Leisure").when(there(tourism), "Tourism").otherwise("Drop")
     )
 
 
@@ -107,6 +114,15 @@ def level(r: Column) -> Column:
     return F.when(r >= 0.85, "very high").when(r >= 0.70, "high").otherwise("moderate")
 
 
+def advice(df, vif: str, importance: str, has_twin: str):
+    """df with decision and reason, by a rule table: collinear features with a twin go, others are to be considered."""
+    v, m = F.col(vif), F.col(importance)
+    decision = F.when((v > 10) & F.col(has_twin), "DROP").when(((v > 5) & (m < 0.1)) | (v > 10), "CONSIDER DROP").otherwise("KEEP")
+    keep = F.format_string("VIF=%.1f. Ablation total=%.3f.", v, m)
+    drop, consider = F.format_string("VIF=%.1f, and a twin carries the same.", v), F.format_string("VIF=%.1f against an ablation total of %.3f.", v, m)
+    return df.withColumn("decision", decision).withColumn("reason", F.when(F.col("decision") == "KEEP", keep).when(F.col("decision") == "DROP", drop).otherwise(consider))
+
+
 def grid_key(x: Column, y: Column, x0: Column, y0: Column, size: float, width: int = 10_000) -> Column:
     """row * width + column of the square of side `size` that holds the point."""
     return F.floor((y - y0) / size).cast("long") * width + F.floor((x - x0) / size).cast("long")

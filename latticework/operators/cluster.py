@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def kmeans(df: DataFrame, features: list[str], k: int, starts: int = 5, seed: int = 42) -> DataFrame:
+def kmeans(df: DataFrame, features: list[str], k: int, starts: int = 20, seed: int = 42) -> DataFrame:
     """df with cluster: the best of several starts by training cost."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import VectorAssembler
@@ -32,14 +32,24 @@ def _d2(cols: list[str], a: str, b: str) -> Column:
     return reduce(lambda x, y: x + y, (F.pow(F.col(a + c) - F.col(b + c), F.lit(2.0)) for c in cols))
 
 
-def silhouette(df: DataFrame, features: list[str], label: str, blocks: int = 16) -> DataFrame:
+#: Rows of a block that meets each other block in one task.
+BLOCK_ROWS = 8192
+
+
+def blocks_for(df: DataFrame) -> int:
+    return max(1, -(-df.count() // BLOCK_ROWS))
+
+
+def silhouette(df: DataFrame, features: list[str], label: str, blocks: int | None = None) -> DataFrame:
     """id, silhouette (Euclidean): (b - a) / max(a, b), 0 for a cluster of one row.
 
-    Exact means of distances need all pairs; they are summed by block of rows in numpy, so what leaves a block is one sum for each row and cluster.
+    Exact means of distances need all pairs; they are summed by block of rows in numpy, so what leaves a block is one sum for each row and cluster. There are as many blocks as
+    BLOCK_ROWS asks for, so a task's memory doesn't grow with the table.
     """
     import numpy as np
     import pyarrow as pa
 
+    blocks = blocks or blocks_for(df)
     base = df.select("id", F.col(label).cast("string").alias("l"), F.array(*(F.col(c).cast("double") for c in features)).alias("v")).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     every = F.array(*(F.lit(b) for b in range(blocks)))
     rows = base.select("id", "l", "v", F.col("block").alias("i"), F.explode(every).alias("j"), F.lit(True).alias("q")).unionByName(base.select("id", "l", "v", F.explode(every).alias("i"), F.col("block").alias("j"), F.lit(False).alias("q")))
@@ -49,13 +59,21 @@ def silhouette(df: DataFrame, features: list[str], label: str, blocks: int = 16)
         m = np.array(t.column("v").to_pylist(), float)
         out = {"id": [], "own": [], "other": [], "s": []}
         a, b, lb = m[q], m[~q], l[~q]
-        for i in range(0, len(a), 512):
-            d = np.sqrt(((a[i : i + 512, None, :] - b[None, :, :]) ** 2).sum(2))
-            for k in np.unique(lb):
-                out["id"] += ids[q][i : i + 512].tolist()
-                out["own"] += l[q][i : i + 512].tolist()
-                out["other"] += [str(k)] * len(d)
-                out["s"] += d[:, lb == k].sum(1).tolist()
+        names, at = np.unique(lb, return_inverse=True)
+        for i in range(0, len(a), 256):
+            part, total = a[i : i + 256], np.zeros((len(a[i : i + 256]), len(names)))
+            for j in range(0, len(b), 1024):  # tiles, feature by feature: differences are exact where points are near
+                d = np.zeros((len(part), len(b[j : j + 1024])))
+                for f in range(m.shape[1]):
+                    d += (part[:, f, None] - b[None, j : j + 1024, f]) ** 2
+                d = np.sqrt(d)
+                for k in np.unique(at[j : j + 1024]):
+                    total[:, k] += d[:, at[j : j + 1024] == k].sum(1)
+            for k, name in enumerate(names):
+                out["id"] += ids[q][i : i + 256].tolist()
+                out["own"] += l[q][i : i + 256].tolist()
+                out["other"] += [str(name)] * len(part)
+                out["s"] += total[:, k].tolist()
         return pa.table({"id": pa.array(out["id"], pa.int64()), "own": pa.array(out["own"], pa.string()), "other": pa.array(out["other"], pa.string()), "s": pa.array(out["s"], pa.float64())})
 
     n = base.groupBy(F.col("l").alias("other")).agg(F.count("*").alias("n"))
@@ -99,6 +117,20 @@ def davies_bouldin(df: DataFrame, features: list[str], label: str) -> DataFrame:
     return ratio.groupBy("la").agg(F.max("r").alias("r")).agg(F.avg("r").alias("db"))
 
 
+def scores(df: DataFrame, features: list[str], ks, starts: int = 20, assign=None) -> DataFrame:
+    """k, silhouette, ch, db, inertia of each number of clusters, by k-means or by what assign(k) gives (df with cluster)."""
+    from latticework.storage import written
+
+    out = None
+    for k in ks:
+        c = written(kmeans(df, features, k, starts) if assign is None else assign(k), "clusters")
+        row = silhouette(c, features, "cluster").agg(F.lit(k).alias("k"), F.avg("silhouette").alias("silhouette"))
+        for index in (calinski_harabasz, davies_bouldin, inertia):
+            row = row.crossJoin(index(c, features, "cluster"))
+        out = row if out is None else out.unionByName(row)
+    return written(out, "scores")
+
+
 def majority_k(scores: DataFrame) -> DataFrame:
     """k that most criteria choose (silhouette and ch by their maximum, db by its minimum; the least k on ties). scores: k, silhouette, ch, db."""
     best = scores.agg(F.max_by("k", F.struct("silhouette", -F.col("k"))).alias("a"), F.max_by("k", F.struct("ch", -F.col("k"))).alias("b"), F.min_by("k", F.struct("db", "k")).alias("c"))

@@ -16,15 +16,18 @@ def gaussian_edges(nodes: DataFrame, radius: float = 600.0, sigma: float = 200.0
     return stats.row_standardised(e.select("src", "dst", F.exp(-F.col("d") * F.col("d") / (2 * sigma * sigma)).alias("w")))
 
 
-def cosine_nearest(vectors: DataFrame, k: int = 8, blocks: int = 8) -> DataFrame:
+def cosine_nearest(vectors: DataFrame, k: int = 8, blocks: int | None = None) -> DataFrame:
     """src, dst, sim, pos: the k most similar others by (similarity, id), self excluded by id. vectors: id, v (array).
 
-    All pairs are asked for, so the vectors are replicated by block: each of blocks x blocks tasks multiplies two blocks as matrices and keeps k of each row; only
-    those are shuffled again.
+    All pairs are asked for, so the vectors are replicated by block: each of blocks x blocks tasks multiplies two blocks as matrices, tile by tile, and keeps k of each row; only
+    those are shuffled again. There are as many blocks as cluster.BLOCK_ROWS asks for, so a task's memory doesn't grow with the table.
     """
     import numpy as np
     import pyarrow as pa
 
+    from .cluster import blocks_for
+
+    blocks = blocks or blocks_for(vectors)
     unit = vectors.select("id", F.transform("v", lambda x: x.cast("double")).alias("v")).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     every = F.array(*(F.lit(b) for b in range(blocks)))
     rows = unit.select("id", "v", F.col("block").alias("i"), F.explode(every).alias("j"), F.lit(True).alias("query")).unionByName(unit.select("id", "v", F.explode(every).alias("i"), F.col("block").alias("j"), F.lit(False).alias("query")))
@@ -38,12 +41,23 @@ def cosine_nearest(vectors: DataFrame, k: int = 8, blocks: int = 8) -> DataFrame
         qi, ri = ids[q], ids[~q]
         if not len(qi) or not len(ri):
             return pa.table({"src": pa.array([], pa.int64()), "dst": pa.array([], pa.int64()), "sim": pa.array([], pa.float64())})
-        sim = m[q] @ m[~q].T
-        sim[qi[:, None] == ri[None, :]] = -np.inf
-        order = np.lexsort((np.broadcast_to(ri, sim.shape), -np.round(sim, 12)), axis=1)[:, :k]
-        src, dst, s = np.repeat(qi, order.shape[1]), ri[order].ravel(), np.take_along_axis(sim, order, 1).ravel()
-        there = np.isfinite(s)
-        return pa.table({"src": src[there], "dst": dst[there], "sim": s[there]})
+        a, b, parts = m[q], m[~q], []
+        for i in range(0, len(a), 512):
+            sim = np.round(a[i : i + 512] @ b.T, 12)
+            sim[qi[i : i + 512, None] == ri[None, :]] = -np.inf
+            if sim.shape[1] > k:  # the k-th largest of each row; whatever equals it is sorted out by id
+                least = np.partition(sim, -k, axis=1)[:, -k]
+                row, col = np.nonzero((sim >= least[:, None]) & np.isfinite(sim))
+            else:
+                row, col = np.nonzero(np.isfinite(sim))
+            value = sim[row, col]
+            order = np.lexsort((ri[col], -value, row))
+            row, col, value = row[order], col[order], value[order]
+            first = np.searchsorted(row, row)
+            keep = np.arange(len(row)) - first < k
+            parts.append((qi[i + row[keep]], ri[col[keep]], value[keep]))
+        src, dst, s = (np.concatenate(x) for x in zip(*parts, strict=True))
+        return pa.table({"src": src, "dst": dst, "sim": s})
 
     found = rows.groupBy("i", "j").applyInArrow(best, "src long, dst long, sim double").withColumn("sim", F.round("sim", 12))
     return found.withColumn("pos", F.row_number().over(Window.partitionBy("src").orderBy(F.col("sim").desc(), "dst"))).where(F.col("pos") <= k)

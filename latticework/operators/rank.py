@@ -62,12 +62,17 @@ def pareto_frontier(df: DataFrame, cost: str, gain: str, tie: str) -> DataFrame:
 
 
 def upper_envelope(df: DataFrame, x: str, y: str, bins: int = 120) -> DataFrame:
-    """bin, y: the largest y of each of `bins` half-open intervals of x (the largest x is in none), kept while it rises from right to left."""
+    """x (a bin's centre), y: the largest y of each of `bins` half-open intervals of x (the largest x is in none), kept while it rises from right to left, and from the least x
+    on at the height of the first one.
+    """
     stats = df.agg(F.min(x).alias("__a"), F.max(x).alias("__b"))
     b = df.crossJoin(F.broadcast(stats)).where(F.col(x) < F.col("__b")).withColumn("bin", F.floor((F.col(x) - F.col("__a")) * bins / (F.col("__b") - F.col("__a"))).cast("long"))
     best = b.groupBy("bin").agg(F.max(y).alias(y))
     right = Window.orderBy(F.col("bin").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    return best.withColumn("__m", F.max(y).over(right)).where(F.col("__m").isNull() | (F.col(y) > F.col("__m"))).drop("__m")
+    kept = best.withColumn("__m", F.max(y).over(right)).where(F.col("__m").isNull() | (F.col(y) > F.col("__m"))).crossJoin(F.broadcast(stats))
+    kept = kept.select((F.col("__a") + (F.col("bin") + 0.5) * (F.col("__b") - F.col("__a")) / bins).alias(x), y, "__a")
+    left = kept.agg(F.min_by(F.struct(x, y, "__a"), x).alias("e")).select("e.*").where(F.col(x) > F.col("__a")).select(F.col("__a").alias(x), y)
+    return kept.select(x, y).unionByName(left)
 
 
 def hash_split(df: DataFrame, key: str, train: float = 0.70, val: float = 0.15) -> DataFrame:

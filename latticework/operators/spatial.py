@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from latticework.storage import written
+
 
 def _binned(df: DataFrame, size: float) -> DataFrame:
     return df.withColumns({"__bx": F.floor(F.col("x") / size).cast("long"), "__by": F.floor(F.col("y") / size).cast("long")})
@@ -37,6 +39,21 @@ def point_in_cell(points: DataFrame, cells: DataFrame, size: float) -> DataFrame
     return points.withColumns({"__gx": key("x", 0.0), "__gy": key("y", 0.0)}).join(grid, ["__gx", "__gy"], "left").drop("__gx", "__gy")
 
 
+def points_in_polygons(points: DataFrame, polygons: DataFrame, size: float) -> DataFrame:
+    """point, polygon: each point (id, x, y) with each polygon (id, ring: closed array of (x, y), in either direction) that holds it, by the parity of sides crossed to the right.
+
+    Polygons are written out for the bins of `size` that their bounding box touches; choose it near the polygons' size.
+    """
+    bin_ = lambda c: F.floor(c / size).cast("long")
+    reach = lambda c: F.explode(F.sequence(bin_(F.array_min(F.transform("ring", lambda p: p[c]))), bin_(F.array_max(F.transform("ring", lambda p: p[c])))))
+    polys = polygons.where(F.size("ring") > 2).select(F.col("id").alias("polygon"), "ring").withColumn("__bx", reach("x")).withColumn("__by", reach("y"))
+    pts = _binned(points.select(F.col("id").alias("point"), "x", "y"), size)
+    x, y = F.col("x"), F.col("y")
+    crosses = lambda p, q: ((p["y"] > y) != (q["y"] > y)) & (x < (q["x"] - p["x"]) * (y - p["y"]) / F.nullif(q["y"] - p["y"], F.lit(0.0)) + p["x"])
+    sides = F.zip_with(F.slice("ring", F.lit(1), F.size("ring") - 1), F.slice("ring", F.lit(2), F.size("ring") - 1), lambda p, q: F.coalesce(crosses(p, q), F.lit(False)))
+    return pts.join(polys, ["__bx", "__by"]).where(F.size(F.filter(sides, lambda s: s)) % 2 == 1).select("point", "polygon")
+
+
 def rook_edges(cells: DataFrame) -> DataFrame:
     """src, dst: cells (id, cx, cy) that share a side."""
     step = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((1, 0), (-1, 0), (0, 1), (0, -1))))
@@ -56,7 +73,7 @@ def nearest(nodes: DataFrame, k: int, size: float) -> DataFrame:
     """src, dst, d, pos: the k nearest others of each node, by (distance, id), exact for any layout.
 
     Rings of bins are searched outwards; a node is done when it has k others within the distance that its ring fully covers. Nodes that are left
-    when the rings reach across the whole layout take what there is.
+    when the rings reach across the whole layout take what there is. Rounds are written, so that none is worked out again for the next.
     """
     base = nodes.select("id", "x", "y")
     ends = base.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y"), F.count("*")).first()
@@ -67,11 +84,12 @@ def nearest(nodes: DataFrame, k: int, size: float) -> DataFrame:
         got = radius_join(left, base, side).where("a_id <> b_id")
         ranked = got.withColumn("pos", F.row_number().over(Window.partitionBy("a_id").orderBy("d", "b_id"))).where(F.col("pos") <= k).select(F.col("a_id").alias("src"), F.col("b_id").alias("dst"), "d", "pos")
         last = side > across * 1.5
+        ranked = ranked if last else written(ranked, "nearest")
         full = ranked if last else ranked.join(ranked.where(F.col("pos") == k).select("src"), "src", "left_semi")
         out = full if out is None else out.unionByName(full)
         if last or k == 0:
             return out
-        left = left.join(ranked.where(F.col("pos") == k).select(F.col("src").alias("id")), "id", "left_anti")
+        left = written(left.join(ranked.where(F.col("pos") == k).select(F.col("src").alias("id")), "id", "left_anti"), "left")
         if left.isEmpty():
             return out
         side *= 2

@@ -37,6 +37,25 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     return average_ranks(both, [a, b]).agg(F.corr(f"rank_{a}", f"rank_{b}").alias("r"), F.count("*").alias("n"))
 
 
+def spearman_pairs(df: DataFrame, cols: list[str]) -> DataFrame:
+    """a, b, r, n for a before b, over rows that have all of cols: one set of ranks, one aggregate row."""
+    ranked = average_ranks(df.where(" AND ".join(f"`{c}` IS NOT NULL" for c in cols)).select(*cols), cols)
+    pairs = correlation_pairs(ranked.select(*(F.col(f"rank_{c}").alias(c) for c in cols)), cols)
+    return pairs.crossJoin(F.broadcast(ranked.agg(F.count("*").alias("n"))))
+
+
+def pair_type(pairs: DataFrame, new: list[str]) -> DataFrame:
+    """pairs (a, b, ...) with pair_type: whether both, one or none of the features are new."""
+    a, b = F.col("a").isin(new), F.col("b").isin(new)
+    return pairs.withColumn("pair_type", F.when(a & b, "new x new").when(a | b, "new x orig").otherwise("orig x orig"))
+
+
+def vif_report(vifs: DataFrame, above: float = 10.0) -> DataFrame:
+    """feature, vif, pos of those above a limit, the greatest first; there are as many rows as features."""
+    order = Window.partitionBy(F.lit(0)).orderBy(F.round("vif", 6).desc(), "feature")
+    return vifs.where(F.col("vif") > above).withColumn("pos", F.row_number().over(order))
+
+
 def correlation_p(r: float, n: int) -> float:
     """Two-sided p of a correlation by the t distribution, from the regularised incomplete beta function (continued fraction)."""
     if n < 3 or abs(r) >= 1:

@@ -60,7 +60,8 @@ def category_entropy(spark, sf):
     return rounded(stats.shannon(table(spark, sf, "events"), ["user_id"], "event_type"), 6)
 
 
-_NUM = ["bal", "spend", "qty", "price"]
+_NUM = ["bal", "spend", "qty", "price", "n_orders"]
+_NEW = ["price", "n_orders"]
 _PAIRS = " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r FROM k" for i, a in enumerate(_NUM) for b in _NUM[i + 1 :])
 _K = f"WITH {CELLS_SQL}, k AS (SELECT id, {', '.join(_NUM)} FROM cells WHERE spend IS NOT NULL AND qty IS NOT NULL)"
 
@@ -81,11 +82,44 @@ def high_corr_pairs(spark, sf):
     return rounded(stats.correlation_pairs(numeric(spark, sf), _NUM).where("abs(r) >= 0.6").withColumn("level", level(F.col("r"))), 6)
 
 
-@query(f"{_K} SELECT CAST(sum(CASE WHEN abs(r) >= 0.85 THEN 1 ELSE 0 END) AS BIGINT) AS very_high, CAST(sum(CASE WHEN abs(r) >= 0.7 THEN 1 ELSE 0 END) AS BIGINT) AS high, CAST(sum(CASE WHEN abs(r) >= 0.6 THEN 1 ELSE 0 END) AS BIGINT) AS moderate, round(max(abs(r)), 6) AS most FROM ({_PAIRS})")
+_ISNEW = lambda c: f"{c} IN ({', '.join(repr(n) for n in _NEW)})"
+
+
+@query(f"{_K} SELECT a, b, round(r, 6) + 0.0 AS r, CASE WHEN {_ISNEW('a')} AND {_ISNEW('b')} THEN 'new x new' WHEN {_ISNEW('a')} OR {_ISNEW('b')} THEN 'new x orig' ELSE 'orig x orig' END AS pair_type FROM ({_PAIRS}) WHERE abs(r) >= 0.02")
+def pair_types(spark, sf):
+    """Which of a pair's features are new ones."""
+    pairs = stats.correlation_pairs(numeric(spark, sf), _NUM).where("abs(r) >= 0.02")
+    return rounded(stats.pair_type(pairs, _NEW), 6)
+
+
+_VIFS = "SELECT 'f1' AS feature, (1 - c * c) / det AS vif FROM d UNION ALL SELECT 'f2', (1 - b * b) / det FROM d UNION ALL SELECT 'f3', (1 - a * a) / det FROM d"
+_TWINS = "t AS (SELECT spend / 100000 AS f1, bal / 1000 AS f2, spend / 100000 + bal / 9000 + (id % 7) / 10.0 AS f3 FROM k), r AS (SELECT corr(f1, f2) AS a, corr(f1, f3) AS b, corr(f2, f3) AS c FROM t), d AS (SELECT *, 1 + 2 * a * b * c - a * a - b * b - c * c AS det FROM r)"
+
+
+def twins(spark, sf):
+    """Two features, and one that is nearly a sum of both."""
+    k = numeric(spark, sf)
+    f1, f2 = F.col("spend") / 100000, F.col("bal") / 1000
+    return k.select(f1.alias("f1"), f2.alias("f2"), (f1 + F.col("bal") / 9000 + (F.col("id") % 7) / 10.0).alias("f3"))
+
+
+@query(f"{_K}, {_TWINS} SELECT feature, round(vif, 4) AS vif, CAST(row_number() OVER (ORDER BY round(vif, 6) DESC, feature) AS INT) AS pos FROM ({_VIFS}) WHERE vif > 10")
+def vif_report(spark, sf):
+    """Collinear features, the worst first."""
+    return rounded(stats.vif_report(stats.vif(twins(spark, sf), ["f1", "f2", "f3"])))
+
+
+@query(f"{_K}, {_TWINS}, v AS ({_VIFS}) SELECT CAST(sum(CASE WHEN abs(r) >= 0.85 THEN 1 ELSE 0 END) AS BIGINT) AS very_high, CAST(sum(CASE WHEN abs(r) >= 0.7 THEN 1 ELSE 0 END) AS BIGINT) AS high, CAST(sum(CASE WHEN abs(r) >= 0.6 THEN 1 ELSE 0 END) AS BIGINT) AS moderate, round(max(abs(r)), 6) AS most, round((SELECT max(vif) FROM v), 4) AS most_vif, coalesce(string_agg(CASE WHEN abs(r) >= 0.02 AND ({_ISNEW('a')}) <> ({_ISNEW('b')}) THEN a || ' x ' || b END, ', ' ORDER BY a, b), '') AS across FROM ({_PAIRS})")
 def pair_summary(spark, sf):
+    """Counts of high correlations, the greatest correlation and VIF, and pairs of a new and an old feature."""
+    pairs = stats.pair_type(stats.correlation_pairs(numeric(spark, sf), _NUM), _NEW)
+    worst = stats.vif(twins(spark, sf), ["f1", "f2", "f3"]).agg(F.round(F.max("vif"), 4).alias("most_vif"))
     r = F.abs("r")
     n = lambda t: F.sum((r >= t).cast("long"))
-    return rounded(stats.correlation_pairs(numeric(spark, sf), _NUM).agg(n(0.85).alias("very_high"), n(0.7).alias("high"), n(0.6).alias("moderate"), F.max(r).alias("most")), 6)
+    name = F.when((r >= 0.02) & (F.col("pair_type") == "new x orig"), F.concat_ws(" x ", "a", "b"))
+    across = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(name.isNotNull(), F.struct("a", "b")))), lambda s: F.concat_ws(" x ", s["a"], s["b"])), ", ")
+    summary = pairs.agg(n(0.85).alias("very_high"), n(0.7).alias("high"), n(0.6).alias("moderate"), F.round(F.max(r), 6).alias("most"), across.alias("across"))
+    return summary.crossJoin(F.broadcast(worst))
 
 
 @query(f"{_K}, r AS (SELECT corr(bal, spend) AS a, corr(bal, qty) AS b, corr(spend, qty) AS c FROM k), d AS (SELECT *, 1 + 2 * a * b * c - a * a - b * b - c * c AS det FROM r) SELECT 'bal' AS feature, round((1 - c * c) / det, 6) AS vif FROM d UNION ALL SELECT 'spend', round((1 - b * b) / det, 6) FROM d UNION ALL SELECT 'qty', round((1 - a * a) / det, 6) FROM d")
@@ -108,6 +142,30 @@ def regression_metrics(spark, sf):
     return m.select("split", F.round("rmse", 4).alias("rmse"), F.round("mae", 4).alias("mae"), F.round("r2", 6).alias("r2"))
 
 
+_MEMBERS = ["p_size", "p_retailprice", "p_key"]
+_PART_RANKS = "k AS (SELECT p_size, p_retailprice, p_partkey * 37 % 101 AS p_key FROM part), r AS (SELECT " + ", ".join(f"{_RANK.format(c)} AS {c}" for c in _MEMBERS) + " FROM k)"
+_SPEARMAN = " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r, count(*) AS n FROM r" for i, a in enumerate(_MEMBERS) for b in _MEMBERS[i + 1 :])
+
+
+@query(f"WITH {_PART_RANKS}, c AS ({_SPEARMAN}), t AS (SELECT *, abs(r) * sqrt((n - 2) / (1 - r * r)) AS t FROM c WHERE abs(r) < 1) SELECT a, b, round(r, 6) + 0.0 AS r, n, CASE WHEN t > 3.3 THEN '***' WHEN t > 1.97 THEN '*' ELSE 'ns' END AS stars FROM t")
+def spearman_significance(spark, sf):
+    """Rank correlations of all pairs with their significance."""
+    from latticework.functions.expr import stars
+
+    part = table(spark, sf, "part").select("p_size", "p_retailprice", (F.col("p_partkey") * 37 % 101).alias("p_key"))
+    s = stats.with_p(stats.spearman_pairs(part, _MEMBERS)).withColumn("stars", stars(F.col("p")))
+    return rounded(s.select("a", "b", "r", "n", F.when(F.col("stars") == "**", "*").otherwise(F.col("stars")).alias("stars")), 6)
+
+
+@query(f"{_K}, m AS (SELECT * FROM k WHERE id % 3 <> 0) SELECT '0' AS subset, round(corr(bal, spend), 6) + 0.0 AS r, count(*) AS n FROM k UNION ALL SELECT '1', round(corr(bal, spend), 6) + 0.0, count(*) FROM m")
+def pearson_subset(spark, sf):
+    """A correlation over all cells, and over a subset of them."""
+    k = numeric(spark, sf)
+    own = F.when(F.col("id") % 3 != 0, 1)
+    row = k.agg(F.corr("bal", "spend").alias("r0"), F.count("*").alias("n0"), F.corr(F.col("bal") * own, F.col("spend") * own).alias("r1"), F.count(own).alias("n1"))
+    return rounded(row.select(F.explode(F.array(*(F.struct(F.lit(str(k)).alias("subset"), F.col(f"r{k}").alias("r"), F.col(f"n{k}").alias("n")) for k in (0, 1)))).alias("e")).select("e.*"), 6)
+
+
 @query("WITH s AS (SELECT l_extendedprice / 1000 - 1.5 * l_quantity AS e FROM lineitem UNION ALL SELECT l_tax - 0.04 FROM lineitem) SELECT round(sqrt(avg(e * e)), 6) AS rmse, round(avg(abs(e)), 6) AS mae FROM s")
 def pooled_metrics(spark, sf):
     """Errors of two targets together."""
@@ -162,9 +220,9 @@ def distinct_values(spark, sf):
     return table(spark, sf, "part").select("p_brand", "p_type").distinct()
 
 
-@query("SELECT s_nationkey AS nation FROM supplier EXCEPT SELECT c_nationkey FROM customer WHERE c_acctbal > 9000")
+@query("SELECT s_nationkey AS nation FROM supplier EXCEPT SELECT c_nationkey FROM customer WHERE c_custkey % 60 = 0")
 def set_difference(spark, sf):
-    rich = table(spark, sf, "customer").where("c_acctbal > 9000").select(F.col("c_nationkey").alias("nation"))
+    rich = table(spark, sf, "customer").where("c_custkey % 60 = 0").select(F.col("c_nationkey").alias("nation"))
     return table(spark, sf, "supplier").select(F.col("s_nationkey").alias("nation")).distinct().join(rich, "nation", "left_anti")
 
 
@@ -189,6 +247,39 @@ def radius_join_count(spark, sf):
     return spatial.radius_join(grid(spark, sf).select("id", "x", "y"), pts, 600.0).groupBy(F.col("a_id").alias("id")).agg(F.count("*").alias("n"), F.countDistinct("b_event_type").alias("kinds"))
 
 
+#: Districts: stars of ten corners around every 53rd cell, in no order of size; they overlap.
+_DISTRICTS = """d AS (SELECT id, x, y FROM grid WHERE id % 53 = 0), c AS (SELECT id, k, x + (CASE k % 2 WHEN 0 THEN 900 ELSE 350 + id % 100 END) * cos(0.628318530717958 * k + 0.1) AS px, y + (CASE k % 2 WHEN 0 THEN 900 ELSE 350 + id % 100 END) * sin(0.628318530717958 * k + 0.1) AS py FROM d, range(10) t(k)),
+s AS (SELECT a.id, a.px AS x1, a.py AS y1, b.px AS x2, b.py AS y2 FROM c a JOIN c b ON a.id = b.id AND b.k = (a.k + 1) % 10)"""
+
+
+def districts(spark, sf):
+    corner = lambda k: F.when(k % 2 == 0, 900).otherwise(350 + F.col("id") % 100)
+    ring = F.transform(F.sequence(F.lit(0), F.lit(10)), lambda k: F.struct((F.col("x") + corner(k % 10) * F.cos(0.628318530717958 * (k % 10) + 0.1)).alias("x"), (F.col("y") + corner(k % 10) * F.sin(0.628318530717958 * (k % 10) + 0.1)).alias("y")))
+    return grid(spark, sf).where("id % 53 = 0").select("id", ring.alias("ring"))
+
+
+_CROSS = "SELECT {point}, s.id AS district FROM {points} p JOIN s ON (s.y1 > p.y) <> (s.y2 > p.y) AND p.x < (s.x2 - s.x1) * (p.y - s.y1) / (s.y2 - s.y1) + s.x1 GROUP BY ALL HAVING count(*) % 2 = 1"
+
+
+@query(f"WITH {GRID_SQL}, {_POINTS}, {_DISTRICTS} {_CROSS.format(point='event_id', points='points')}")
+def point_in_polygon(spark, sf):
+    """Events and the districts that hold them, of any shape: an equi-join on bins, and the exact test."""
+    pts = points(spark, sf).select(F.col("event_id").alias("id"), "x", "y")
+    return spatial.points_in_polygons(pts, districts(spark, sf), 400.0).select(F.col("point").alias("event_id"), F.col("polygon").alias("district"))
+
+
+_PIXELS = "px AS (SELECT p_partkey AS id, (p_partkey % 45 + 0.5) * 160.0 AS x, (p_partkey // 45 + 0.5) * 160.0 AS y FROM part)"
+
+
+@query(f"WITH {GRID_SQL}, {_DISTRICTS}, {_PIXELS}, h AS ({_CROSS.format(point='p.id', points='px')}) SELECT px.id AS pixel, coalesce(max(district), 0) AS district FROM px LEFT JOIN h ON h.id = px.id GROUP BY 1")
+def rasterise_polygons(spark, sf):
+    """Each pixel's district by its centre, the last one if there are several, else 0."""
+    i = F.col("p_partkey")
+    px = table(spark, sf, "part").select(i.alias("id"), ((i % 45 + 0.5) * 160.0).alias("x"), ((F.floor(i / 45) + 0.5) * 160.0).alias("y"))
+    held = spatial.points_in_polygons(px, districts(spark, sf), 400.0).groupBy(F.col("point").alias("id")).agg(F.max("polygon").alias("district"))
+    return px.join(held, "id", "left").select(F.col("id").alias("pixel"), F.coalesce("district", F.lit(0)).alias("district"))
+
+
 @query(f"WITH {GRID_SQL} SELECT a.id AS src, b.id AS dst FROM grid a JOIN grid b ON abs(a.cx - b.cx) + abs(a.cy - b.cy) = 1")
 def rook_edges(spark, sf):
     return spatial.rook_edges(grid(spark, sf))

@@ -115,13 +115,13 @@ def safe_parse_fallback(spark, sf):
     return rounded(df.select("l_orderkey", "l_linenumber", "unit_price"), 9)
 
 
-@query("""WITH d AS (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN strftime(o_orderdate, '%m%y') WHEN 1 THEN strftime(o_orderdate, '%m/%y') WHEN 2 THEN strftime(o_orderdate, '%m/%Y') ELSE 'unknown' END AS c FROM orders WHERE year(o_orderdate) >= 2000)
+@query("""WITH d AS (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN strftime(o_orderdate + INTERVAL 8 YEAR, '%m%y') WHEN 1 THEN strftime(o_orderdate + INTERVAL 8 YEAR, '%m/%y') WHEN 2 THEN strftime(o_orderdate + INTERVAL 8 YEAR, '%m/%Y') ELSE 'unknown' END AS c FROM orders)
 SELECT o_orderkey, CAST(CASE WHEN c = 'unknown' THEN NULL WHEN length(c) = 4 THEN 2000 + CAST(substr(c, 3, 2) AS INT) WHEN length(c) = 5 THEN 2000 + CAST(substr(c, 4, 2) AS INT) ELSE CAST(substr(c, 4, 4) AS INT) END AS INT) AS year FROM d""")
 def year_from_mmyy(spark, sf):
-    k, d = F.col("o_orderkey") % 4, F.col("o_orderdate")
-    df = table(spark, sf, "orders").where(F.year("o_orderdate") >= 2000)
+    """Two digits mean a year from 2000 on, so dates are moved there."""
+    k, d = F.col("o_orderkey") % 4, F.add_months("o_orderdate", 96)
     c = F.when(k == 0, F.date_format(d, "MMyy")).when(k == 1, F.date_format(d, "MM/yy")).when(k == 2, F.date_format(d, "MM/yyyy")).otherwise("unknown")
-    return df.select("o_orderkey", E.contract_year(c).alias("year"))
+    return table(spark, sf, "orders").select("o_orderkey", E.contract_year(c).alias("year"))
 
 
 @query("SELECT o_orderkey, CAST(year(o_orderdate) AS INT) AS year FROM orders WHERE year(o_orderdate) IN (1996, 1997, 1998)")
@@ -130,23 +130,40 @@ def year_filter(spark, sf):
     return df.where(F.col("year").isin(1996, 1997, 1998)).select("o_orderkey", "year")
 
 
-_PLACES = "SELECT event_id, CASE event_type WHEN 'view' THEN 'restaurant' WHEN 'click' THEN 'school' WHEN 'signup' THEN 'cinema' WHEN 'error' THEN 'bench' END AS amenity, CASE WHEN user_id % 5 = 0 THEN 'books' END AS shop, CASE WHEN user_id % 3 = 0 THEN 'museum' END AS tourism FROM events"
+_AMENITIES = [*E.FOOD, *E.RETAIL, *E.CIVIC, *E.LEISURE, *E.NO_PLACES, "School", None]
+_IN = lambda values: ", ".join(f"'{v}'" for v in values)
+_PLACES = f"SELECT event_id, ([{', '.join('NULL' if v is None else repr(v) for v in _AMENITIES)}])[event_id % {len(_AMENITIES)} + 1] AS amenity, CASE user_id % 5 WHEN 0 THEN 'books' WHEN 1 THEN 'None' WHEN 2 THEN '' END AS shop, CASE WHEN user_id % 3 = 0 THEN 'museum' END AS tourism FROM events"
 
 
 def _places(spark, sf):
-    t, u = F.col("event_type"), F.col("user_id")
-    amenity = F.when(t == "view", "restaurant").when(t == "click", "school").when(t == "signup", "cinema").when(t == "error", "bench")
-    return table(spark, sf, "events").select("event_id", amenity.alias("amenity"), F.when(u % 5 == 0, "books").alias("shop"), F.when(u % 3 == 0, "museum").alias("tourism"))
+    i, u = F.col("event_id"), F.col("user_id")
+    amenity = F.get(F.array(*map(F.lit, _AMENITIES)), (i % len(_AMENITIES)).cast("int"))
+    shop = F.when(u % 5 == 0, "books").when(u % 5 == 1, "None").when(u % 5 == 2, "")
+    return table(spark, sf, "events").select("event_id", amenity.alias("amenity"), shop.alias("shop"), F.when(u % 3 == 0, "museum").alias("tourism"))
 
 
-@query(f"""SELECT event_id, CASE WHEN amenity = 'restaurant' THEN 'F&B' WHEN shop IS NOT NULL THEN 'Retail' WHEN amenity = 'school' THEN 'Civic' WHEN amenity = 'cinema' THEN 'Leisure' WHEN tourism IS NOT NULL THEN 'Tourism' ELSE 'Drop' END AS category FROM ({_PLACES})""")
+@query(f"""SELECT event_id, CASE WHEN lower(amenity) IN ({_IN(E.FOOD)}) THEN 'F&B' WHEN shop = 'books' THEN 'Retail' WHEN lower(amenity) IN ({_IN(E.RETAIL)}) THEN 'Retail' WHEN lower(amenity) IN ({_IN(E.CIVIC)}) THEN 'Civic' WHEN lower(amenity) IN ({_IN(E.LEISURE)}) THEN 'Leisure' WHEN tourism IS NOT NULL THEN 'Tourism' ELSE 'Drop' END AS category FROM ({_PLACES})""")
 def category_cascade(spark, sf):
     return _places(spark, sf).select("event_id", E.place_category(F.col("amenity"), F.col("shop"), F.col("tourism")).alias("category"))
 
 
-@query(f"SELECT event_id, amenity FROM ({_PLACES}) WHERE amenity IS NULL OR amenity NOT IN ('bench', 'school')")
+@query(f"SELECT event_id, amenity FROM ({_PLACES}) WHERE amenity IS NULL OR amenity NOT IN ({_IN(E.NO_PLACES)})")
 def exclusion_not_in(spark, sf):
-    return _places(spark, sf).where(E.not_in(F.col("amenity"), ["bench", "school"])).select("event_id", "amenity")
+    return _places(spark, sf).where(E.not_in(F.col("amenity"), E.NO_PLACES)).select("event_id", "amenity")
+
+
+#: Whether a group of features keeps its meaning at any scale; groups that aren't listed do.
+_SCALE_INVARIANT = {
+    "DIS_CBD": True, "NDVI": True, "Landscape (LSI+LPI+SHDI)": True, "BCR (local+nbr)": False, "FAR": False, "SVF": False, "BHD": False, "Albedo": True, "AHI (local+nbr)": False, "MENN": True, "DIS_MRT": True,
+}
+_GROUP_NAMES = [*_SCALE_INVARIANT, "POI", "Road"]
+
+
+@query(f"WITH g AS (SELECT ([{', '.join(map(repr, _GROUP_NAMES))}])[p_partkey % {len(_GROUP_NAMES)} + 1] AS feature, p_partkey FROM part) SELECT p_partkey, feature, feature NOT IN ({_IN([k for k, v in _SCALE_INVARIANT.items() if not v])}) AS scale_invariant FROM g")
+def scale_invariance(spark, sf):
+    feature = F.get(F.array(*map(F.lit, _GROUP_NAMES)), (F.col("p_partkey") % len(_GROUP_NAMES)).cast("int"))
+    df = table(spark, sf, "part").select("p_partkey", feature.alias("feature"))
+    return df.withColumn("scale_invariant", E.lookup(F.col("feature"), _SCALE_INVARIANT, True))
 
 
 @query("SELECT p_partkey, CASE upper(trim(p_type)) WHEN 'ECONOMY' THEN 1 WHEN 'STANDARD' THEN 2 WHEN 'PROMO' THEN 3 ELSE 0 END AS class FROM part")
@@ -185,11 +202,15 @@ def nan_to_null(spark, sf):
     return table(spark, sf, "events").select("event_id", E.finite(v).alias("value"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 AND p_size > 40 THEN 'DROP' WHEN p_size > 40 THEN 'CONSIDER DROP' ELSE 'KEEP' END || ' (' || p_brand || ')' AS advice FROM part")
+_ADVICE = "f AS (SELECT p_partkey, p_name AS feature, p_size * 0.4 AS vif, (p_partkey % 50) / 50.0 AS importance, (p_partkey % 7 = 0) AS has_twin FROM part)"
+
+
+@query(f"WITH {_ADVICE}, d AS (SELECT *, CASE WHEN vif > 10 AND has_twin THEN 'DROP' WHEN vif > 5 AND importance < 0.1 OR vif > 10 THEN 'CONSIDER DROP' ELSE 'KEEP' END AS decision FROM f) SELECT p_partkey, decision, CASE decision WHEN 'KEEP' THEN printf('VIF=%.1f. Ablation total=%.3f.', vif, importance) WHEN 'DROP' THEN printf('VIF=%.1f, and a twin carries the same.', vif) ELSE printf('VIF=%.1f against an ablation total of %.3f.', vif, importance) END AS reason FROM d")
 def recommendations(spark, sf):
-    high = F.col("p_size") > 40
-    advice = F.when((F.col("p_partkey") % 3 == 0) & high, "DROP").when(high, "CONSIDER DROP").otherwise("KEEP")
-    return table(spark, sf, "part").select("p_partkey", F.format_string("%s (%s)", advice, "p_brand").alias("advice"))
+    """Keep, drop or consider to drop a feature, by its collinearity, its importance, and whether another one carries the same."""
+    i = F.col("p_partkey")
+    f = table(spark, sf, "part").select("p_partkey", (F.col("p_size") * 0.4).alias("vif"), ((i % 50) / 50.0).alias("importance"), (i % 7 == 0).alias("has_twin"))
+    return E.advice(f, "vif", "importance", "has_twin").select("p_partkey", "decision", "reason")
 
 
 @query("SELECT user_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events GROUP BY 1, 2")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from latticework.operators import clean, stats, weights
+from latticework.storage import written
 
 from .registry import CELLS_SQL, cells, query, rounded
 
@@ -12,8 +13,9 @@ INDICATORS = ["spend", "qty", "price"]
 
 
 def scaled(spark, sf, cols=INDICATORS):
-    """Cells with indicators imputed by the median and brought to [0, 1]."""
-    return clean.minmax(clean.impute_median(cells(spark, sf).select("id", "bal", *cols), cols), cols)
+    """Cells with indicators imputed by the median and brought to [0, 1]; written, since weights and scores read them several times."""
+    raw = written(cells(spark, sf).select("id", "bal", *cols), "cells")
+    return written(clean.minmax(clean.impute_median(raw, cols), cols), "scaled")
 
 
 _SCALED = CELLS_SQL + ", f AS (SELECT id, bal, " + ", ".join(f"coalesce({c}, (SELECT quantile_cont({c}, 0.5) FROM cells)) AS {c}" for c in INDICATORS) + " FROM cells), s AS (SELECT id, bal, " + ", ".join(f"({c} - (SELECT min({c}) FROM f)) / ((SELECT max({c}) FROM f) - (SELECT min({c}) FROM f)) AS {c}" for c in INDICATORS) + " FROM f)"
@@ -76,17 +78,28 @@ def topsis_score(spark, sf):
 def composite_index(spark, sf):
     """Stress by weighted sum and vitality by closeness to the ideal, of the same weights."""
     s = scaled(spark, sf)
-    w = combined(s)
+    w = written(combined(s), "weights")
     ideal = clean.minmax(weights.topsis(weights.weighted_sum(s, INDICATORS, w, out="stress"), INDICATORS, w, out="vitality"), ["vitality"])
     return rounded(ideal.select("id", "stress", "vitality"), 6)
 
 
 _RANK = "rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0"
+_WITH = lambda w: " + ".join(f"{c} * (SELECT {w} FROM w WHERE indicator = '{c}')" for c in INDICATORS)
+_VARIANTS = {"equal": " + ".join(INDICATORS), "critic": _WITH("critic_w"), "entropy": _WITH("entropy_w")}
+_SENSITIVITY = " UNION ALL ".join(f"SELECT '{n}' AS variant, round(corr(a, b), 4) AS r, count(*) AS n, abs(corr(a, b)) >= 0.9 AS robust FROM (SELECT {_RANK.format(c='round(stress, 9)')} AS a, {_RANK.format(c=f'round({n}, 9)')} AS b FROM sums JOIN q USING (id))" for n in _VARIANTS)
 
 
-@query(f"WITH {_SUM}, q AS (SELECT id, {' + '.join(INDICATORS)} AS equal FROM s), k AS (SELECT {_RANK.format(c='stress')} AS a, {_RANK.format(c='equal')} AS b FROM sums JOIN q USING (id)) SELECT round(corr(a, b), 4) AS r, count(*) AS n, corr(a, b) >= 0.9 AS robust FROM k")
+@query(f"WITH {_SUM}, q AS (SELECT id, " + ", ".join(f"{v} AS {n}" for n, v in _VARIANTS.items()) + f" FROM s) {_SENSITIVITY}")
 def weight_sensitivity(spark, sf):
-    """Rank correlation of the index with its equal-weight variant."""
+    """Rank correlation of the index with its variants: equal weights, and either method's weights alone."""
     s = scaled(spark, sf)
-    both = weights.weighted_sum(s, INDICATORS, combined(s), out="stress").withColumn("equal", stats.total([F.col(c) for c in INDICATORS]))
-    return rounded(stats.spearman(both, "stress", "equal").withColumn("robust", F.col("r") >= 0.9))
+    w = written(combined(s), "weights")
+    both = weights.weighted_sum(s, INDICATORS, w, out="stress").withColumn("equal", stats.total([F.col(c) for c in INDICATORS]))
+    for name in ("critic", "entropy"):
+        both = weights.weighted_sum(both, INDICATORS, w, column=f"{name}_w", out=name)
+    both, found = written(both.select("stress", *_VARIANTS), "variants"), None
+    for name in _VARIANTS:
+        r = stats.spearman(both.select(F.round("stress", 9).alias("stress"), F.round(name, 9).alias(name)), "stress", name)
+        r = r.select(F.lit(name).alias("variant"), "r", "n", (F.abs("r") >= 0.9).alias("robust"))
+        found = r if found is None else found.unionByName(r)
+    return rounded(found)

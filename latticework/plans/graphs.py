@@ -85,13 +85,15 @@ def morans_permutation(spark, sf):
     return rounded(stats.morans_p(grid(spark, sf), graph.gaussian_edges(grid(spark, sf)), "bal"), 6)
 
 
-@query(f"{_GAUSS} SELECT a.kind AS src_kind, round(avg(CASE WHEN b.kind = 'AUTOMOBILE' THEN w END), 6) AS automobile, round(avg(CASE WHEN b.kind = 'MACHINERY' THEN w END), 6) AS machinery FROM e JOIN grid a ON a.id = src JOIN grid b ON b.id = dst GROUP BY 1")
+_KINDS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+
+
+@query(f"{_GAUSS} SELECT a.kind AS src_kind, " + ", ".join(f"round(avg(CASE WHEN b.kind = '{k}' THEN w END), 6) AS {k.lower()}" for k in _KINDS) + " FROM e JOIN grid a ON a.id = src JOIN grid b ON b.id = dst GROUP BY 1")
 def attention_by_type_pivot(spark, sf):
     """Mean edge weight by the kinds of both ends."""
     kind = grid(spark, sf).select("id", "kind")
     e = graph.gaussian_edges(grid(spark, sf)).join(kind.withColumnsRenamed({"id": "src", "kind": "src_kind"}), "src").join(kind.withColumnsRenamed({"id": "dst", "kind": "dst_kind"}), "dst")
-    p = e.groupBy("src_kind").pivot("dst_kind", ["AUTOMOBILE", "MACHINERY"]).agg(F.avg("w"))
-    return rounded(p.withColumnsRenamed({"AUTOMOBILE": "automobile", "MACHINERY": "machinery"}), 6)
+    return rounded(e.groupBy("src_kind").pivot("dst_kind", _KINDS).agg(F.avg("w")).withColumnsRenamed({k: k.lower() for k in _KINDS}), 6)
 
 
 @query(f"{_GAUSS} SELECT src, dst, round(w, 6) AS w FROM e WHERE w > 0.08 ORDER BY w DESC, src, dst LIMIT 10")
@@ -149,43 +151,80 @@ def rasterise(spark, sf):
     return raster.rasterise(boxes, pixels(spark, sf))
 
 
+DIMS = [f"e{k}" for k in range(64)]
+
+
 def labelled(spark, sf):
-    """Embedding heads as rows of two features with a label."""
+    """Embeddings as rows of 64 features with a label."""
     v = F.col("embedding")
-    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), v[0].cast("double").alias("a"), v[1].cast("double").alias("b"), F.col("label"))
+    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), *(v[k].cast("double").alias(c) for k, c in enumerate(DIMS)), F.col("label"))
 
 
-_LAB = "WITH p AS (SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b, label FROM embeddings), n AS (SELECT label, count(*) AS n FROM p GROUP BY 1)"
+_LAB = "WITH p AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings), n AS (SELECT label, count(*) AS n FROM p GROUP BY 1), u AS (SELECT id, label, unnest(v) AS x, generate_subscripts(v, 1) AS k FROM p)"
+_SSW = "w AS (SELECT sum(v) AS ssw, count(DISTINCT label) AS k FROM (SELECT label, k, var_pop(x) * count(*) AS v FROM u GROUP BY 1, 2))"
 
 
-@query(f"{_LAB}, d AS (SELECT p.id, p.label, q.label AS other, sum(sqrt(power(p.a - q.a, 2) + power(p.b - q.b, 2))) AS s FROM p, p q GROUP BY ALL), m AS (SELECT d.id, max(CASE WHEN d.label = other THEN s / greatest(n - 1, 1) END) AS a, min(CASE WHEN d.label <> other THEN s / n END) AS b, max(CASE WHEN d.label = other THEN n END) AS n FROM d JOIN n ON n.label = other GROUP BY 1) SELECT id, round(CASE WHEN n > 1 THEN (b - a) / greatest(a, b) ELSE 0 END, 6) AS silhouette FROM m")
+@query(f"{_LAB}, d AS (SELECT p.id, p.label, q.label AS other, sum(list_distance(p.v, q.v)) AS s FROM p, p q GROUP BY ALL), m AS (SELECT d.id, max(CASE WHEN d.label = other THEN s / greatest(n - 1, 1) END) AS a, min(CASE WHEN d.label <> other THEN s / n END) AS b, max(CASE WHEN d.label = other THEN n END) AS n FROM d JOIN n ON n.label = other GROUP BY 1) SELECT id, round(CASE WHEN n > 1 THEN (b - a) / greatest(a, b) ELSE 0 END, 6) + 0.0 AS silhouette FROM m")
 def silhouette_fixed_labels(spark, sf):
-    return rounded(cluster.silhouette(labelled(spark, sf), ["a", "b"], "label"), 6)
+    return rounded(cluster.silhouette(labelled(spark, sf), DIMS, "label"), 6)
 
 
-@query(f"{_LAB}, w AS (SELECT sum(v * n) AS ssw, count(*) AS k FROM (SELECT var_pop(a) + var_pop(b) AS v, count(*) AS n FROM p GROUP BY label)), t AS (SELECT (var_pop(a) + var_pop(b)) * count(*) AS sst, count(*) AS n FROM p) SELECT round(((sst - ssw) / (k - 1)) / (ssw / (n - k)), 6) AS ch FROM w, t")
+@query(f"{_LAB}, {_SSW}, t AS (SELECT sum(v) AS sst FROM (SELECT k, var_pop(x) * count(*) AS v FROM u GROUP BY 1)), c AS (SELECT count(*) AS n FROM p) SELECT round(((sst - ssw) / (k - 1)) / (ssw / (n - k)), 6) AS ch FROM w, t, c")
 def calinski_harabasz(spark, sf):
-    return rounded(cluster.calinski_harabasz(labelled(spark, sf), ["a", "b"], "label"), 6)
+    return rounded(cluster.calinski_harabasz(labelled(spark, sf), DIMS, "label"), 6)
 
 
-@query(f"{_LAB}, c AS (SELECT label, avg(a) AS ca, avg(b) AS cb FROM p GROUP BY 1), s AS (SELECT label, ca, cb, avg(sqrt(power(a - ca, 2) + power(b - cb, 2))) AS s FROM p JOIN c USING (label) GROUP BY ALL), r AS (SELECT x.label, max((x.s + y.s) / sqrt(power(x.ca - y.ca, 2) + power(x.cb - y.cb, 2))) AS r FROM s x JOIN s y ON x.label <> y.label GROUP BY 1) SELECT round(avg(r), 6) AS db FROM r")
+@query(f"{_LAB}, c AS (SELECT label, k, avg(x) AS c FROM u GROUP BY 1, 2), cv AS (SELECT label, list(c ORDER BY k) AS c FROM c GROUP BY 1), s AS (SELECT label, c, avg(list_distance(v, c)) AS s FROM p JOIN cv USING (label) GROUP BY ALL), r AS (SELECT x.label, max((x.s + y.s) / list_distance(x.c, y.c)) AS r FROM s x JOIN s y ON x.label <> y.label GROUP BY 1) SELECT round(avg(r), 6) AS db FROM r")
 def davies_bouldin(spark, sf):
-    return rounded(cluster.davies_bouldin(labelled(spark, sf), ["a", "b"], "label"), 6)
+    return rounded(cluster.davies_bouldin(labelled(spark, sf), DIMS, "label"), 6)
 
 
-@query(f"{_LAB} SELECT round(sum(v * n), 6) AS inertia FROM (SELECT var_pop(a) + var_pop(b) AS v, count(*) AS n FROM p GROUP BY label)")
+@query(f"{_LAB}, {_SSW} SELECT round(ssw, 6) AS inertia FROM w")
 def inertia(spark, sf):
-    return rounded(cluster.inertia(labelled(spark, sf), ["a", "b"], "label"), 6)
+    return rounded(cluster.inertia(labelled(spark, sf), DIMS, "label"), 6)
+
+
+def archetypes(spark, sf):
+    return grid(spark, sf).select("id", (F.col("bal") / 1000).alias("stress"), (F.col("x") / 1000).alias("vitality"))
+
+
+@query()
+def kmeans_scores(spark, sf):
+    """Validity of k-means clusters for two to six of them, twenty starts each."""
+    return rounded(cluster.scores(archetypes(spark, sf), ["stress", "vitality"], range(2, 7), starts=20), 4)
+
+
+_BANDS = """pts AS (SELECT id, bal / 1000 AS a, x / 1000 AS b FROM grid), lb AS (SELECT k, id, a, b, CAST(floor(b * k / 8.0) AS INT) AS label FROM pts, range(2, 7) t(k)),
+n AS (SELECT k, label, count(*) AS n, avg(a) AS ca, avg(b) AS cb, (var_pop(a) + var_pop(b)) * count(*) AS ss FROM lb GROUP BY 1, 2), w AS (SELECT k, sum(ss) AS ssw, count(*) AS c, sum(n) AS m FROM n GROUP BY 1), t AS (SELECT (var_pop(a) + var_pop(b)) * count(*) AS sst FROM pts),
+ch AS (SELECT k, ((sst - ssw) / (c - 1)) / (ssw / (m - c)) AS ch FROM w, t),
+sp AS (SELECT lb.k, lb.label, any_value(ca) AS ca, any_value(cb) AS cb, avg(sqrt(power(a - ca, 2) + power(b - cb, 2))) AS s FROM lb JOIN n ON n.k = lb.k AND n.label = lb.label GROUP BY 1, 2),
+db AS (SELECT k, avg(r) AS db FROM (SELECT x.k, x.label, max((x.s + y.s) / sqrt(power(x.ca - y.ca, 2) + power(x.cb - y.cb, 2))) AS r FROM sp x JOIN sp y ON x.k = y.k AND x.label <> y.label GROUP BY 1, 2) GROUP BY 1),
+ds AS (SELECT p.k, p.id, p.label, q.label AS other, sum(sqrt(power(p.a - q.a, 2) + power(p.b - q.b, 2))) AS s FROM lb p JOIN lb q ON p.k = q.k GROUP BY ALL),
+si AS (SELECT ds.k, ds.id, max(CASE WHEN ds.label = other THEN s / greatest(n - 1, 1) END) AS a, min(CASE WHEN ds.label <> other THEN s / n END) AS b, max(CASE WHEN ds.label = other THEN n END) AS n FROM ds JOIN n ON n.k = ds.k AND n.label = other GROUP BY 1, 2),
+sc AS (SELECT k, avg(CASE WHEN n > 1 THEN (b - a) / greatest(a, b) ELSE 0 END) AS silhouette FROM si GROUP BY 1),
+al AS (SELECT CAST(k AS INT) AS k, round(silhouette, 6) AS silhouette, round(ch, 6) AS ch, round(db, 6) AS db FROM sc JOIN ch USING (k) JOIN db USING (k))"""
+
+
+def _band_scores(spark, sf):
+    """Validity of two to six equal bands of the grid."""
+    df = archetypes(spark, sf)
+    bands = lambda k: df.withColumn("cluster", F.floor(F.col("vitality") * k / 8.0).cast("int"))
+    return rounded(cluster.scores(df, ["stress", "vitality"], range(2, 7), assign=bands).drop("inertia"), 6)
+
+
+@query(f"WITH {GRID_SQL}, {_BANDS} SELECT k, silhouette, ch, db FROM al")
+def cluster_validity(spark, sf):
+    return _band_scores(spark, sf)
 
 
-@query("SELECT CAST(2 AS INT) AS k, CAST(3 AS BIGINT) AS votes")
+@query(f"WITH {GRID_SQL}, {_BANDS}, v AS (SELECT arg_max(k, (silhouette, -k)) AS k FROM al UNION ALL SELECT arg_max(k, (ch, -k)) FROM al UNION ALL SELECT arg_min(k, (db, k)) FROM al) SELECT k, count(*) AS votes FROM v GROUP BY 1 ORDER BY votes DESC, k LIMIT 1")
 def majority_vote_k(spark, sf):
-    """Fixed scores whose three criteria agree on two clusters."""
-    s = spark.createDataFrame([(2, 0.53, 12400.0, 0.70), (3, 0.38, 9660.0, 1.00), (4, 0.35, 8900.0, 1.05)], "k int, silhouette double, ch double, db double")
-    return cluster.majority_k(s)
+    """The number of bands that most of the three criteria choose."""
+    return cluster.majority_k(_band_scores(spark, sf))
 
 
 @query()
 def kmeans_archetypes(spark, sf):
-    df = grid(spark, sf).select("id", (F.col("bal") / 1000).alias("stress"), (F.col("x") / 1000).alias("vitality"))
-    return cluster.name_archetypes(cluster.kmeans(df, ["stress", "vitality"], 3, starts=3), "stress", "vitality").groupBy("archetype").agg(F.count("*").alias("n"))
+    """Three clusters, the best of twenty starts, by name."""
+    found = cluster.kmeans(archetypes(spark, sf), ["stress", "vitality"], 3, starts=20)
+    return cluster.name_archetypes(found, "stress", "vitality").groupBy("archetype").agg(F.count("*").alias("n"))

@@ -39,10 +39,10 @@ def pareto_frontier(spark, sf):
     return rank.pareto_frontier(f, "cost", "gain", "o_orderkey").select("o_orderkey", "gain")
 
 
-@query("WITH q AS (SELECT min(value) AS a, max(value) AS b FROM events), e AS (SELECT CAST(floor((value - a) * 120 / (b - a)) AS BIGINT) AS bin, max(user_id) AS y FROM events, q WHERE value < b GROUP BY 1), m AS (SELECT *, max(y) OVER (ORDER BY bin DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM e) SELECT bin, y FROM m WHERE best IS NULL OR y > best")
+@query("WITH q AS (SELECT min(value) AS a, max(value) AS b FROM events), e AS (SELECT CAST(floor((value - a) * 120 / (b - a)) AS BIGINT) AS bin, max(user_id) AS y FROM events, q WHERE value < b GROUP BY 1), m AS (SELECT *, max(y) OVER (ORDER BY bin DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM e), k AS (SELECT a + (bin + 0.5) * (b - a) / 120 AS x, y FROM m, q WHERE best IS NULL OR y > best), f AS (SELECT * FROM k UNION ALL SELECT a, y FROM q, (SELECT arg_min(y, x) AS y, min(x) AS x FROM k) WHERE x > a) SELECT round(x, 6) AS x, y FROM f")
 def pareto_envelope(spark, sf):
     e = table(spark, sf, "events").select(F.col("value").alias("x"), F.col("user_id").alias("y"))
-    return rank.upper_envelope(e, "x", "y")
+    return rounded(rank.upper_envelope(e, "x", "y"), 6)
 
 
 _SPLIT = f"WITH {GRID_SQL}, h AS (SELECT id, row_number() OVER (ORDER BY (id * 48271 + 11) % 2147483647, id) - 1 AS i, count(*) OVER () AS n FROM grid), sp AS (SELECT id, CASE WHEN i < CAST(floor(n * 0.70) AS BIGINT) THEN 'train' WHEN i < CAST(floor(n * 0.70) AS BIGINT) + CAST(floor(n * 0.15) AS BIGINT) THEN 'val' ELSE 'test' END AS split FROM h)"
@@ -92,6 +92,12 @@ def lagging_strategy(spark, sf):
     return rounded(s, 6)
 
 
+@query(f"{_L} SELECT kind, count(*) AS n, CAST(sum(CASE WHEN green + delta >= cap THEN 1 ELSE 0 END) AS BIGINT) AS blocked FROM k GROUP BY 1")
+def blocked_loose(spark, sf):
+    """Rows that are at the cap after the change, those that were above it before included."""
+    return planned(spark, sf).groupBy("kind").agg(F.count("*").alias("n"), F.sum((F.col("green") + F.col("delta") >= F.col("cap")).cast("long")).alias("blocked"))
+
+
 @query(f"{_B}, g AS (SELECT kind, avg(stress) AS ms, avg(vitality) AS mv FROM p GROUP BY 1) SELECT id FROM p JOIN g USING (kind) WHERE stress > ms AND vitality < mv")
 def lagging_both(spark, sf):
     return policy.lagging(plots(spark, sf), "kind", "stress", "vitality", both=True).select("id")
@@ -199,15 +205,17 @@ def ablation_drop(spark, sf):
     return rounded(row.select(F.explode(F.array(*(F.struct(F.lit(n).alias("feature"), ((F.col(n) - F.col("base")) / F.col("sst")).alias("fall")) for n in names))).alias("e")).select("e.*"), 6)
 
 
-@query(f"{_LIN}, r AS (SELECT min(f1) AS a, max(f1) AS b FROM t), v AS (SELECT a + (b - a) * i / 9 AS v FROM r, range(10) q(i)) SELECT round(v, 6) AS value, round(avg({_PRED.format(f1='v', f2='f2', f3='f3')}), 6) AS mean, round(stddev_pop({_PRED.format(f1='v', f2='f2', f3='f3')}), 6) AS std FROM t, v GROUP BY v")
+_CURVES = [("f1", 2, "- f2 + 0.5 * f3"), ("f2", -1, "2 * f1 + 0.5 * f3"), ("f3", 0.5, "2 * f1 - f2")]
+_CURVE_SQL = " UNION ALL ".join(f"SELECT '{f}' AS feature, round(a + (b - a) * i / 49, 6) + 0.0 AS value, round({w} * (a + (b - a) * i / 49) + m, 6) + 0.0 AS mean, round(s, 6) AS std FROM (SELECT min({f}) AS a, max({f}) AS b, avg({rest}) AS m, stddev_pop({rest}) AS s FROM t), range(50) q(i)" for f, w, rest in _CURVES)
+
+
+@query(f"{_LIN} {_CURVE_SQL}")
 def pdp_curve(spark, sf):
-    """Mean and deviation of the predictions with one feature held at ten values: all of them are aggregates of one pass."""
-    t = _linear(spark, sf)
-    ends = t.agg(F.min("f1").alias("a"), F.max("f1").alias("b"))
-    rest = -F.col("f2") + 0.5 * F.col("f3")
-    m = t.agg(F.avg(rest).alias("m"), F.stddev_pop(rest).alias("s")).crossJoin(ends)
-    grid_ = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.col("a") + (F.col("b") - F.col("a")) * i / 9)
-    return rounded(m.select(F.explode(grid_).alias("value"), "m", "s").select("value", (2 * F.col("value") + F.col("m")).alias("mean"), F.col("s").alias("std")), 6)
+    """Mean and deviation of a linear predictor with one feature held at fifty values: all of them are aggregates of one pass."""
+    row = _linear(spark, sf).agg(*(a for f, _, rest in _CURVES for a in (F.min(f).alias(f"a_{f}"), F.max(f).alias(f"b_{f}"), F.avg(F.expr(rest)).alias(f"m_{f}"), F.stddev_pop(F.expr(rest)).alias(f"s_{f}"))))
+    curve = lambda f, w: F.transform(F.sequence(F.lit(0), F.lit(49)), lambda i: F.struct(F.lit(f).alias("feature"), at(f, i).alias("value"), (w * at(f, i) + F.col(f"m_{f}")).alias("mean"), F.col(f"s_{f}").alias("std")))
+    at = lambda f, i: F.col(f"a_{f}") + (F.col(f"b_{f}") - F.col(f"a_{f}")) * i / 49
+    return rounded(row.select(F.explode(F.concat(*(curve(f, w) for f, w, _ in _CURVES))).alias("e")).select("e.*"), 6)
 
 
 @query(f"{_LIN}, m AS (SELECT avg(f1) AS m1, avg(f2) AS m2, avg(f3) AS m3 FROM t) SELECT 'place' AS grp, round(avg(abs(2 * (f1 - m1)) + abs(f2 - m2)), 6) AS importance FROM t, m UNION ALL SELECT 'money', round(avg(abs(0.5 * (f3 - m3))), 6) FROM t, m")
@@ -229,7 +237,7 @@ def least_squares(spark, sf):
 
 @query()
 def genetic_search(spark, sf):
+    """A hundred candidates and fifty generations for each cell: nearest to a point of its own."""
     nodes = grid(spark, sf).select("id", F.array(F.col("bal") / 10000, F.lit(2.0)).alias("context"))
     fitness = lambda c, genes: -((genes - c) ** 2).sum(1)
-    out = policy.genetic_search(nodes, fitness, [(-1.0, 1.0), (0.5, 3.5)], population=40, generations=15)
-    return out.select("id", F.round("best", 2).alias("best"))
+    return rounded(policy.genetic_search(nodes, fitness, [(-1.0, 1.0), (0.5, 3.5)]).select("id", "best"), 6)

@@ -3,8 +3,9 @@
     spark.dataSource.register(ShapefileDataSource)
     spark.read.format("shapefile").option("schema_from", path).load(path)
 
-Columns are the DBF's fields (numbers as doubles or longs, the rest as strings) and geometry: struct of kind, rings (array of arrays of (x, y)). Reading plans a partition for each run of
-records, which fixed-length DBF records and the .shx index make possible. Writing makes one file for each task.
+Columns are the DBF's fields (numbers as doubles or longs, the rest as strings) and geometry: struct of kind, rings (array of arrays of (x, y)). path is a .shp file or a folder of some with
+the same fields, in any store that pyarrow's file systems open. Reading plans a partition for each run of records, which fixed-length DBF records and the .shx index make possible. Writing makes
+one file for each task.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from collections.abc import Iterator
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
+from .files import created, listed, opened
+
 _POINT, _POLYGON = 1, 5
 GEOMETRY = StructType([StructField("kind", StringType()), StructField("rings", ArrayType(ArrayType(StructType([StructField("x", DoubleType()), StructField("y", DoubleType())]))))])
 
@@ -25,7 +28,7 @@ def _base(path: str) -> str:
 
 def dbf_fields(path: str) -> tuple[int, int, int, list[tuple[str, str, int, int]]]:
     """Records, header size, record size, and (name, type, length, decimals) of the fields."""
-    with open(path, "rb") as f:
+    with opened(path) as f:
         head = f.read(32)
         n, start, size = struct.unpack("<4xIHH", head[:12])
         fields = []
@@ -61,24 +64,24 @@ def _shape(raw: bytes):
 
 
 class Records(InputPartition):
-    def __init__(self, first: int, last: int):
-        self.first, self.last = first, last
+    def __init__(self, base: str, first: int, last: int):
+        self.base, self.first, self.last = base, first, last
 
 
 class ShapefileReader(DataSourceReader):
     def __init__(self, path: str, rows: int):
-        self.base, self.rows = _base(path), rows
+        self.bases, self.rows = [_base(f) for f in listed(path, ".shp")], rows
 
     def partitions(self):
-        n = dbf_fields(self.base + ".dbf")[0]
-        return [Records(i, min(n, i + self.rows)) for i in range(0, n, self.rows)] or [Records(0, 0)]
+        size = {b: dbf_fields(b + ".dbf")[0] for b in self.bases}
+        return [Records(b, i, min(n, i + self.rows)) for b, n in size.items() for i in range(0, n, self.rows)] or [Records("", 0, 0)]
 
     def read(self, partition: Records) -> Iterator[tuple]:
-        _, start, size, fields = dbf_fields(self.base + ".dbf")
-        count = partition.last - partition.first
+        count, base = partition.last - partition.first, partition.base
         if not count:
             return
-        with open(self.base + ".dbf", "rb") as d, open(self.base + ".shx", "rb") as x, open(self.base + ".shp", "rb") as s:
+        _, start, size, fields = dbf_fields(base + ".dbf")
+        with opened(base + ".dbf") as d, opened(base + ".shx") as x, opened(base + ".shp") as s:
             d.seek(start + partition.first * size)
             x.seek(100 + 8 * partition.first)
             index = struct.unpack(f">{2 * count}i", x.read(8 * count))
@@ -101,7 +104,7 @@ class Done(WriterCommitMessage):
 
 class ShapefileWriter(DataSourceWriter):
     def __init__(self, path: str, schema: StructType):
-        self.base, self.fields = _base(path), [f for f in schema.fields if f.name != "geometry"]
+        self.base, self.fields = path.rstrip("/") + "/part" if _base(path) == path else _base(path), [f for f in schema.fields if f.name != "geometry"]
         self.at = schema.fieldNames().index("geometry")
 
     def write(self, rows) -> WriterCommitMessage:
@@ -133,7 +136,7 @@ class ShapefileWriter(DataSourceWriter):
         size = 1 + sum(n for _, n, _ in kinds)
         kind = _POINT if any(r[self.at] and r[self.at][0] == "point" for r in rows) else _POLYGON
         header = lambda length: struct.pack(">7i", 9994, 0, 0, 0, 0, 0, length // 2) + struct.pack("<2i8d", 1000, kind, *[0.0] * 8)
-        with open(base + ".shp", "wb") as s, open(base + ".shx", "wb") as x, open(base + ".dbf", "wb") as d:
+        with created(base + ".shp") as s, created(base + ".shx") as x, created(base + ".dbf") as d:
             s.write(header(100 + sum(8 + len(b) for b in shapes)))
             x.write(header(100 + 8 * len(shapes)))
             at = 100
@@ -154,7 +157,7 @@ class ShapefileDataSource(DataSource):
         return "shapefile"
 
     def schema(self) -> StructType:
-        fields = dbf_fields(_base(self.options["path"]) + ".dbf")[3]
+        fields = dbf_fields(_base(listed(self.options["path"], ".shp")[0]) + ".dbf")[3]
         return StructType([*(StructField(n, _type(k, d)) for n, k, _, d in fields), StructField("geometry", GEOMETRY)])
 
     def reader(self, schema):

@@ -1,6 +1,7 @@
 """One-band GeoTIFF rasters as rows (row, col, value) by a Python data source: uncompressed, deflate or LZW strips and tiles, 8 to 64-bit numbers.
 
-Each strip or tile is a unit of reading, so a partition takes a run of them; no-data pixels (and NaN) are null.
+Each strip or tile is a unit of reading, so a partition takes a run of them; no-data pixels (and NaN) are null. write_tiff() makes a file of 8-bit LZW strips, which tasks compress.
+Files may be in any store that pyarrow's file systems open.
 """
 
 from __future__ import annotations
@@ -11,8 +12,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from latticework.storage import written
+
+from .files import created, opened
+
 _SIZES = {1: ("B", 1), 2: ("c", 1), 3: ("H", 2), 4: ("I", 4), 12: ("d", 8), 11: ("f", 4), 16: ("Q", 8)}
 
 
@@ -54,6 +61,85 @@ def unpack_lzw(data: bytes) -> bytes:
     return bytes(out)
 
 
+def pack_lzw(data: bytes) -> bytes:
+    """The reverse of unpack_lzw; the table starts anew before codes would need 13 bits."""
+    bits = have = 0
+    out, table, width = bytearray(), {}, 9
+
+    def put(code: int) -> None:
+        nonlocal bits, have
+        bits, have = bits << width | code, have + width
+        while have >= 8:
+            have -= 8
+            out.append(bits >> have & 0xFF)
+            bits &= (1 << have) - 1
+
+    put(256)
+    known = b""
+    code_of = lambda s: s[0] if len(s) == 1 else table[s]
+    for k in range(len(data)):
+        longer = known + data[k : k + 1]
+        if len(longer) == 1 or longer in table:
+            known = longer
+            continue
+        put(code_of(known))
+        table[longer] = 258 + len(table)
+        width = 9 if len(table) < 254 else 10 if len(table) < 766 else 11 if len(table) < 1790 else 12
+        if len(table) >= 3800:
+            put(256)
+            table, width = {}, 9
+        known = data[k : k + 1]
+    if known:
+        put(code_of(known))
+        n = len(table) + 1
+        width = 9 if n < 254 else 10 if n < 766 else 11 if n < 1790 else 12
+    put(257)
+    if have:
+        out.append(bits << (8 - have) & 0xFF)
+    return bytes(out)
+
+
+def write_tiff(pixels: DataFrame, path: str, width: int, height: int, *, rows: int = 64, x0: float | None = None, y0: float | None = None, size: float = 1.0) -> None:
+    """One 8-bit band of pixels (row, col, value; 0 where there is none), in strips of `rows` rows. Tasks make the strips; the driver lays them side by side, one at a time.
+    With x0 and y0 (the upper left corner) and the size of a pixel the file is placed on a map.
+    """
+
+    def strip(t: pa.Table) -> pa.Table:
+        k = t.column("strip")[0].as_py()
+        grid = np.zeros((min(rows, height - k * rows), width), np.uint8)
+        grid[t.column("row").to_numpy() - k * rows, t.column("col").to_numpy()] = t.column("value").to_numpy()
+        return pa.table({"strip": pa.array([k], pa.int64()), "data": pa.array([pack_lzw(grid.tobytes())], pa.binary())})
+
+    inside = pixels.where(f"value IS NOT NULL AND row >= 0 AND row < {height} AND col >= 0 AND col < {width}").select(F.floor(F.col("row") / rows).alias("strip"), F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), F.col("value").cast("long").alias("value"))
+    made = written(inside.groupBy("strip").applyInArrow(strip, "strip long, data binary"), "strips")
+    have = {r.strip: r.n for r in made.select("strip", F.octet_length("data").alias("n")).collect()}
+    count = -(-height // rows)
+    empty = {n: pack_lzw(bytes(width * n)) for n in {min(rows, height - k * rows) for k in range(count)}}
+    blank = lambda k: empty[min(rows, height - k * rows)]
+    sizes = [have.get(k) or len(blank(k)) for k in range(count)]
+    offsets = np.cumsum([8, *sizes])
+    end = int(offsets[-1]) + int(offsets[-1]) % 2
+    tags_ = [(256, "I", [width]), (257, "I", [height]), (258, "H", [8]), (259, "H", [5]), (262, "H", [1]), (273, "I", offsets[:-1].tolist()), (277, "H", [1]), (278, "I", [rows]), (279, "I", sizes), (339, "H", [1])]
+    if x0 is not None and y0 is not None:
+        tags_ += [(33550, "d", [size, size, 0.0]), (33922, "d", [0.0, 0.0, 0.0, x0, y0, 0.0])]
+    directory, rest, at = struct.pack("<H", len(tags_)), b"", end + 2 + 12 * len(tags_) + 4
+    for tag, kind, values in tags_:
+        raw = struct.pack(f"<{len(values)}{kind}", *values)
+        directory += struct.pack("<HHI", tag, {"H": 3, "I": 4, "d": 12}[kind], len(values)) + (raw.ljust(4, b"\0") if len(raw) <= 4 else struct.pack("<I", at + len(rest)))
+        rest += raw if len(raw) > 4 else b""
+    with created(path) as f:
+        f.write(b"II*\0" + struct.pack("<I", end))
+        following = ((r.strip, bytes(r.data)) for r in made.orderBy("strip").toLocalIterator())
+        here = next(following, None)
+        for k in range(count):
+            if here and here[0] == k:
+                f.write(here[1])
+                here = next(following, None)
+            else:
+                f.write(blank(k))
+        f.write(b"\0" * (end - int(offsets[-1])) + directory + struct.pack("<I", 0) + rest)
+
+
 class Blocks(InputPartition):
     def __init__(self, first: int, last: int):
         self.first, self.last = first, last
@@ -64,7 +150,7 @@ class TiffReader(DataSourceReader):
         self.path, self.blocks = path, blocks
 
     def _head(self):
-        with open(self.path, "rb") as f:
+        with opened(self.path) as f:
             data = f.read()
         return data, *tags(data)
 

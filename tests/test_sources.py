@@ -1,16 +1,19 @@
 from __future__ import annotations
 
+import json
 import struct
+import zipfile
 import zlib
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from latticework.operators import stats
-from latticework.sources import tables
+from latticework.sources import arrays, tables
+from latticework.sources.geojson import read_geojson
 from latticework.sources.paged import PagedDataSource
 from latticework.sources.shapefile import GEOMETRY, ShapefileDataSource
-from latticework.sources.tiff import TiffDataSource, unpack_lzw
+from latticework.sources.tiff import TiffDataSource, pack_lzw, unpack_lzw, write_tiff
 from latticework.streaming import windows
 
 
@@ -61,6 +64,50 @@ def test_lzw():
     assert unpack_lzw(data) == bytes([7, 7, 7, 8, 8, 7, 7, 6])
 
 
+def test_lzw_of_long_data():
+    rng = np.random.default_rng(0)
+    for data in (b"", b"a", bytes(5000), rng.integers(0, 4, 60_000, np.uint8).tobytes(), rng.integers(0, 256, 30_000, np.uint8).tobytes(), b"abcabcab" * 3000):
+        for cut in {len(data), len(data) // 2, min(254, len(data)), min(255, len(data)), min(256, len(data))}:
+            assert unpack_lzw(pack_lzw(data[:cut])) == data[:cut]
+
+
+def test_tiff_written(spark, tmp_path):
+    spark.dataSource.register(TiffDataSource)
+    rng = np.random.default_rng(1)
+    grid = rng.integers(0, 6, (70, 33))
+    grid[20:40] = 0  # strips without pixels
+    px = spark.createDataFrame([(int(r), int(c), int(v)) for (r, c), v in np.ndenumerate(grid) if v], "row long, col long, value long")
+    write_tiff(px, f"file://{tmp_path}/x.tif", 33, 70, rows=8, x0=1.0, y0=2.0, size=10.0)
+    got = np.zeros((70, 33), int)
+    for r in spark.read.format("tiff").option("blocks", 3).load(f"file://{tmp_path}/x.tif").collect():
+        got[r.row, r.col] = r.value
+    assert (got == grid).all()
+
+
+def test_geojson(spark, tmp_path):
+    square = [[0, 0], [1, 0], [1, 1], [0, 0]]
+    features = [{"type": "Feature", "properties": {"name": "é", "n": 1}, "geometry": {"type": "Polygon", "coordinates": [square, square]}}, {"type": "Feature", "properties": None, "geometry": {"type": "MultiPolygon", "coordinates": [[square], [square]]}}, {"type": "Feature", "properties": {}, "geometry": {"type": "Point", "coordinates": [2, 3]}}, {"type": "Feature", "properties": {}, "geometry": None}]
+    text = json.dumps({"type": "FeatureCollection", "features": features})
+    (tmp_path / "a.geojson").write_text(text)
+    with zipfile.ZipFile(tmp_path / "b.bin", "w") as z:
+        z.writestr("x/y.geojson", text)
+        z.writestr("readme.txt", "no")
+    for name in ("a.geojson", "b.bin"):
+        rows = read_geojson(spark, str(tmp_path / name)).orderBy("feature").collect()
+        assert [(r.kind, r.rings and [len(x) for x in r.rings]) for r in rows] == [("Polygon", [4, 4]), ("MultiPolygon", [4, 4]), ("Point", [1]), (None, None)]
+        assert tuple(rows[2].rings[0][0]) == (2.0, 3.0) and json.loads(rows[0].properties)["name"] == "é"
+
+
+def test_arrays(spark, tmp_path):
+    a = np.arange(30, dtype="f4").reshape(10, 3)
+    np.save(tmp_path / "a.npy", a)
+    rows = arrays.read_npy(spark, str(tmp_path / "a.npy")).orderBy("row").collect()
+    assert np.array_equal(np.array([r.values for r in rows]), a)
+    arrays.write_parameters(spark, {"w": a, "b": np.array([1.5]), "s": np.array(2.0)}, str(tmp_path / "p"))
+    back = arrays.read_parameters(spark, str(tmp_path / "p"))
+    assert np.array_equal(back["w"], a) and back["b"].tolist() == [1.5] and back["s"] == 2.0
+
+
 def test_paged(spark):
     spark.dataSource.register(PagedDataSource)
     for extra in ({}, {"total": f"{__name__}:total"}):
