@@ -11,7 +11,7 @@ out, or of any record where option payload is "skip", is passed over by Content-
 against their digests and drops them.
 
 The folder may be in any store that pyarrow's file systems open. Null texts are empty payloads; null ids and URIs are written as empty headers and
-read as nulls. Header values have line ends replaced by spaces. An empty table makes an archive without records.
+read as nulls. Repeated pages are records each, equal payloads revisits of the largest id's; payloads of any length are whole in one record. Further columns are left out. Header values have line ends replaced by spaces. An empty table makes an archive without records.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualNullSafe, EqualTo, In, InputPartition, IsNotNull, IsNull, StringStartsWith, WriterCommitMessage
 
+from .common import materialize, spread
+
 SCHEMA = "record_id string, record_type string, target_uri string, warc_date string, payload_digest string, payload_bytes long, refers_to string, payload binary"
 _MANIFEST = "_warc_manifest-"
 #: Column, WARC header. The payload's length has a header of its own, since a revisit's block doesn't hold the payload.
@@ -37,6 +39,8 @@ _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
 _GZIP = b"Content-Encoding: gzip\r\n"
 #: Payloads from this size on are stored with HTTP's own gzip coding, so that records' headers stay plain and payloads can be passed over.
 GZIP_BYTES = 512
+#: Payloads of more than one page, of about 100 bytes each here, that are broadcast.
+BROADCAST_WINNERS = 100_000
 
 
 def sha1_base32(data: bytes) -> str:
@@ -273,14 +277,17 @@ def record_rows(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "ur
     """Rows of SCHEMA for pages. Of equal payloads of at least min_revisit_bytes, the largest id's is the response (all of them, if that id is
     there more than once; null ids come first), others revisit it.
 
-    The winners are counted by payload digest before anything is shuffled, and join back as a small side that a large group of equal pages can't fill.
+    The winners are found on ids and digests alone. Up to BROADCAST_WINNERS of them are broadcast, and payloads don't move at all; more join by a shuffle,
+    as a side that a large group of equal pages can't fill.
     """
     page = F.col(id_col).cast("string")
     raw = pages.select(
         F.col(id_col).alias("__id"), F.concat(F.lit("urn:page:"), page).alias("record_id"), F.col(url_col).cast("string").alias("target_uri"), F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8").alias("payload")
     ).withColumns({"__sha": F.sha1("payload"), "payload_bytes": F.octet_length("payload").cast("long")})
     best = raw.where(F.col("payload_bytes") >= min_revisit_bytes).groupBy("__sha").agg(F.max("__id").alias("__best"), F.count("*").alias("__n")).where("__n > 1").select(F.col("__sha").alias("__key"), "__best")
-    joined = raw.join(best.hint("shuffle_hash"), F.col("__sha") == F.col("__key"), "left")
+    best = materialize(best, "warc-winners")
+    few = spread(best, BROADCAST_WINNERS)
+    joined = raw.join(few if few is not best else best.hint("shuffle_hash"), F.col("__sha") == F.col("__key"), "left")
     revisit = F.col("__best").isNotNull() & ~F.col("__id").eqNullSafe(F.col("__best"))
     return joined.select(
         "record_id", F.when(revisit, "revisit").otherwise("response").alias("record_type"), "target_uri", F.lit(date).alias("warc_date"), _base32(F.col("__sha")).alias("payload_digest"), "payload_bytes",
