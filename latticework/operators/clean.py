@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from latticework.functions import expr as E
 
+from .rank import exact_quantiles
+
 
 def require_columns(df: DataFrame, cols: list[str]) -> DataFrame:
     if missing := sorted(set(cols) - set(df.columns)):
@@ -40,18 +42,23 @@ def _replaced(df: DataFrame, cols: list[str], stats: dict, make: Callable[[Colum
     return wide.select(*[new[c].alias(c) if c in new else F.col(c) for c in df.columns])
 
 
+def _by_quantiles(df: DataFrame, cols: list[str], shares: list[float], make: Callable[[Column, Column], Column]) -> DataFrame:
+    quantiles = exact_quantiles(df, cols, shares).toDF(*(f"{c}__q" for c in cols))
+    return df.crossJoin(F.broadcast(quantiles)).select(*[make(F.col(c), F.col(f"{c}__q")).alias(c) if c in cols else F.col(c) for c in df.columns])
+
+
 def impute_mean(df: DataFrame, cols: list[str]) -> DataFrame:
     return _replaced(df, cols, {"m": F.avg}, lambda c, s: F.coalesce(c, s["m"]))
 
 
 def impute_median(df: DataFrame, cols: list[str]) -> DataFrame:
     """By the exact, interpolated median."""
-    return _replaced(df, cols, {"m": F.median}, lambda c, s: F.coalesce(c, s["m"]))
+    return _by_quantiles(df, cols, [0.5], lambda c, q: F.coalesce(c, q[0]))
 
 
 def winsorise(df: DataFrame, cols: list[str], low: float = 0.01, high: float = 0.99) -> DataFrame:
     """To the exact, interpolated quantiles."""
-    return _replaced(df, cols, {"q": lambda c: F.percentile(c, F.array(F.lit(low), F.lit(high)))}, lambda c, s: E.clip(c, s["q"][0], s["q"][1]))
+    return _by_quantiles(df, cols, [low, high], lambda c, q: E.clip(c, q[0], q[1]))
 
 
 def winsorise_sigma(df: DataFrame, cols: list[str], k: float = 3.0) -> DataFrame:

@@ -100,10 +100,66 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def roles(nodes: DataFrame, hub: float = 0.9, low: float = 0.5) -> DataFrame:
     """nodes (with degree) with role: hub from the upper quantile on, peripheral up to the lower one, else normal."""
-    q = nodes.agg(F.percentile("degree", F.array(F.lit(hub), F.lit(low))).alias("__q"))
+    from .rank import exact_quantiles
+
+    q = exact_quantiles(nodes, ["degree"], [hub, low]).toDF("__q")
     return nodes.crossJoin(F.broadcast(q)).withColumn("role", F.when(F.col("degree") >= F.col("__q")[0], "hub").when(F.col("degree") <= F.col("__q")[1], "peripheral").otherwise("normal")).drop("__q")
 
 
+#: Edges of a graph whose shortest paths one task can follow.
+MOST_EDGES = 5_000_000
+
+
+def betweenness(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """id, betweenness: over unordered pairs of other nodes, the summed share of their shortest paths (by number of edges, in either direction) that pass through. Tasks take sources;
+    the graph is broadcast, so it may have MOST_EDGES edges.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    e = edges.select("src", "dst").where("src <> dst")
+    e = e.union(e.select("dst", "src")).distinct()
+    got = e.limit(MOST_EDGES + 1).toArrow()
+    if got.num_rows > MOST_EDGES:
+        raise ValueError(f"betweenness is for graphs of at most {MOST_EDGES} directed edges")
+    src, dst = got.column("src").to_numpy(), got.column("dst").to_numpy()
+    ids = np.unique(src)
+    a, b = np.searchsorted(ids, src), np.searchsorted(ids, dst)
+    order = np.argsort(a, kind="stable")
+    a, b = a[order], b[order]
+    sent = edges.sparkSession.sparkContext.broadcast((ids, a, b, np.searchsorted(a, np.arange(len(ids) + 1))))
+
+    def run(batches):
+        ids, a, b, first = sent.value
+        total = np.zeros(len(ids))
+        for batch in batches:
+            for source in batch.column(0).to_pylist():
+                s = int(np.searchsorted(ids, source))
+                if s == len(ids) or ids[s] != source:
+                    continue
+                far, paths, layers = np.full(len(ids), -1), np.zeros(len(ids)), [np.array([s])]
+                far[s], paths[s] = 0, 1
+                steps = []
+                while len(layers[-1]):
+                    at = np.concatenate([np.arange(first[v], first[v + 1]) for v in layers[-1]])
+                    new = at[far[b[at]] < 0]
+                    far[b[new]] = len(layers)
+                    down = at[far[b[at]] == len(layers)]
+                    np.add.at(paths, b[down], paths[a[down]])
+                    steps.append(down)
+                    layers.append(np.unique(b[new]))
+                share = np.zeros(len(ids))
+                for down in reversed(steps):
+                    np.add.at(share, a[down], paths[a[down]] / paths[b[down]] * (1 + share[b[down]]))
+                share[s] = 0
+                total += share
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], names=["id", "part"])
+
+    parts = nodes.select(F.col("id").cast("long").alias("id")).mapInArrow(run, "id long, part double")
+    summed = parts.groupBy("id").agg((F.sum("part") / 2).alias("betweenness"))
+    return nodes.select("id").join(summed, "id", "left").withColumn("betweenness", F.coalesce("betweenness", F.lit(0.0)))
+
+
 def clustering(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """id, coefficient: the share of pairs of neighbours that are linked. Triangles are found from the end of lower degree, so hubs aren't squared."""
     d = degrees(nodes.select("id"), edges)

@@ -40,6 +40,23 @@ def running_total(df: DataFrame, order: list[str], column: str, name: str = "tot
     return local.withColumn("__t", F.sum(column).over(inside)).join(F.broadcast(before), F.col("__p") == F.col("__q")).withColumn(name, F.col("__b") + F.col("__t")).drop("__p", "__q", "__row", "__b", "__t")
 
 
+def exact_quantiles(df: DataFrame, cols: list[str], shares: list[float]) -> DataFrame:
+    """One row: for each column an array of its exact, interpolated quantiles (null without values). All columns' distinct values are counted and put in order as sorted ranges together,
+    so no task holds all values of a column.
+    """
+    value = F.explode(F.array(*(F.struct(F.lit(k).alias("__c"), F.col(c).cast("double").alias("__v")) for k, c in enumerate(cols)))).alias("e")
+    counts = df.select(value).select("e.*").where(F.col("__v").isNotNull()).groupBy("__c", "__v").agg(F.count("*").alias("__n"))
+    placed = written(running_total(counts, ["__c", "__v"], "__n", "__upto"), "quantiles")
+    size = placed.groupBy("__c").agg(F.sum("__n").alias("__size"), F.min(F.col("__upto") - F.col("__n")).alias("__first"))
+    at = F.array(*(F.struct(F.lit(k).alias("q"), (F.lit(float(q)) * (F.col("__size") - 1)).alias("pos")) for k, q in enumerate(shares)))
+    asked = size.select("__c", "__first", F.explode(at).alias("a")).select("__c", "a.q", "a.pos", *((F.col("__first") + f("a.pos")).alias(n) for n, f in (("__lo", F.floor), ("__hi", F.ceil))))
+    holds = lambda n: (F.col(n) >= F.col("__upto") - F.col("__n")) & (F.col(n) < F.col("__upto"))
+    found = placed.join(F.broadcast(asked), "__c").where(holds("__lo") | holds("__hi")).groupBy("__c", "q", "pos").agg(F.min("__v").alias("a"), F.max("__v").alias("b"))
+    found = found.select("__c", "q", (F.col("a") + (F.col("b") - F.col("a")) * (F.col("pos") - F.floor("pos"))).alias("v"))
+    each = found.groupBy("__c").agg(F.transform(F.array_sort(F.collect_list(F.struct("q", "v"))), lambda s: s["v"]).alias("v"))
+    return each.groupBy().pivot("__c", list(range(len(cols)))).agg(F.first("v")).toDF(*cols)
+
+
 def top_per_group(df: DataFrame, by: list[str], order: list[Column], n: int) -> DataFrame:
     """Spark keeps n rows of each group before the shuffle (a window group limit)."""
     return df.withColumn("__k", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("__k") <= n).drop("__k")

@@ -155,7 +155,7 @@ def morans_p(nodes: DataFrame, edges: DataFrame, column: str, permutations: int
     for first in range(0, permutations + 1, at_once) if values is not None else ():
         last = min(first + at_once - 1, permutations)
         runs = base.select("id", "k", F.explode(F.sequence(F.lit(first), F.lit(last))).alias("run"))
-        runs = runs.withColumn("h", F.when(F.col("run") == 0, F.col("k")).otherwise(F.xxhash64("id", "run", F.lit(seed)))).drop("k")
+        runs = runs.withColumn("h", F.when(F.col("run") == 0, F.lpad(F.col("k").cast("string"), 32, "0")).otherwise(F.md5(F.concat_ws(":", F.col("id").cast("string"), F.col("run").cast("string"), F.lit(str(seed)))))).drop("k")
         placed = dense_index(runs, ["run", "h", "id"], "at").withColumn("place", F.col("at") - (F.col("run") - first) * n).join(values, "place")
         field = placed.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("run", "z"))), lambda s: s["z"]).alias("z"))
         ends = std.join(field.select(F.col("id").alias("src"), F.col("z").alias("zi")), "src").join(field.select(F.col("id").alias("dst"), F.col("z").alias("zj")), "dst")

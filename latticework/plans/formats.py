@@ -81,3 +81,23 @@ def nested_transactions(spark, sf):
     docs = table(spark, sf, "orders").select(F.col("o_orderkey").alias("project")).join(li, "project", "full").select(F.to_json(F.struct("project", "transaction")).alias("doc"))
     nested = docs.select(F.from_json("doc", "project long, transaction array<struct<part:long,price:double>>").alias("d")).select("d.*")
     return tables.flatten(nested, "transaction")
+
+
+@query("SELECT vec_id AS id, round(list_sum(CAST(embedding AS DOUBLE[])), 4) + 0.0 AS total FROM embeddings")
+def npy_round_trip(spark, sf):
+    """Vectors as .npy files, an id before each."""
+    path = _path(spark, "npy")
+    v = table(spark, sf, "embeddings").select(F.concat(F.array(F.col("vec_id").cast("double")), F.col("embedding").cast("array<double>")).alias("v"))
+    arrays.write_npy(v, "v", path)
+    back = arrays.read_npy(spark, path)
+    total = F.aggregate(F.slice("values", F.lit(2), F.size("values") - 1), F.lit(0.0), lambda a, x: a + x)
+    return rounded(back.select(F.col("values")[0].cast("long").alias("id"), total.alias("total")))
+
+
+@query("SELECT p_partkey, p_brand FROM part")
+def cached_source(spark, sf):
+    """A table that is made once and then read from its cache."""
+    path = _path(spark, "cache")
+    make = lambda: table(spark, sf, "part").select("p_partkey", "p_brand")
+    tables.cached(spark, path, make, least=100)
+    return tables.cached(spark, path, lambda: make().limit(0), least=100)

@@ -70,6 +70,13 @@ def clustering_coefficient(spark, sf):
     return rounded(graph.clustering(grid(spark, sf), graph.gaussian_edges(grid(spark, sf))), 6)
 
 
+@query()
+def betweenness(spark, sf):
+    """Shortest paths over shared sides, through each cell."""
+    cells = grid(spark, sf)
+    return rounded(graph.betweenness(cells.select("id"), spatial.rook_edges(cells)), 4)
+
+
 @query(f"{_GAUSS} SELECT e.src AS id, a.bal, round(sum(w * b.bal), 4) + 0.0 AS lag FROM e JOIN grid a ON a.id = e.src JOIN grid b ON b.id = e.dst GROUP BY 1, 2")
 def spatial_lag(spark, sf):
     return rounded(stats.spatial_lag(grid(spark, sf), graph.gaussian_edges(grid(spark, sf)), "bal"))
@@ -80,7 +87,10 @@ def morans_i(spark, sf):
     return rounded(stats.morans_i(grid(spark, sf), graph.gaussian_edges(grid(spark, sf)), "bal"), 6)
 
 
-@query()
+@query(f"""{_GAUSS}, z AS (SELECT id, bal - (SELECT avg(bal) FROM grid) AS z, row_number() OVER (ORDER BY id) AS k FROM grid),
+pl AS (SELECT run, id, row_number() OVER (PARTITION BY run ORDER BY CASE WHEN run = 0 THEN lpad(CAST(k AS VARCHAR), 32, '0') ELSE md5(id || ':' || run || ':42') END, id) AS k FROM z, range(1000) t(run)),
+f AS (SELECT run, pl.id, z.z FROM pl JOIN z USING (k)), s AS (SELECT a.run, (SELECT count(*) FROM z) / (SELECT sum(w) FROM e) * sum(w * a.z * b.z) / (SELECT sum(z * z) FROM z) AS i FROM e JOIN f a ON a.id = src JOIN f b ON b.id = dst AND b.run = a.run GROUP BY 1),
+o AS (SELECT i FROM s WHERE run = 0), c AS (SELECT count(*) AS k FROM s, o WHERE run > 0 AND s.i >= o.i) SELECT round(i, 6) + 0.0 AS i, round((least(k, 999 - k) + 1) / 1000.0, 6) AS p FROM o, c""")
 def morans_permutation(spark, sf):
     return rounded(stats.morans_p(grid(spark, sf), graph.gaussian_edges(grid(spark, sf)), "bal"), 6)
 
@@ -137,7 +147,14 @@ def lsi(spark, sf):
     return rounded(raster.landscape_shape(_win(spark, sf)), 6)
 
 
-@query()
+@query(f"""WITH RECURSIVE {_WIN.removeprefix('WITH ')}, v AS (SELECT * FROM w WHERE value <> 0),
+nb AS (SELECT o.id, o.row, o.col, n.row AS r2, n.col AS c2 FROM v o JOIN v n ON n.id = o.id AND n.value = o.value AND abs(n.row - o.row) <= 1 AND abs(n.col - o.col) <= 1),
+reach(id, row, col, r, c) AS (SELECT id, row, col, row, col FROM v UNION SELECT reach.id, reach.row, reach.col, r2, c2 FROM reach JOIN nb ON nb.id = reach.id AND nb.row = r AND nb.col = c),
+lab AS (SELECT id, r AS row, c AS col, min(row * 100 + col) AS label FROM reach GROUP BY 1, 2, 3), px2 AS (SELECT v.*, label FROM v JOIN lab USING (id, row, col)),
+pa AS (SELECT id, label, any_value(value) AS value, count(*) AS area FROM px2 GROUP BY 1, 2),
+di AS (SELECT a.id, a.label, sqrt(min(power(a.row - b.row, 2) + power(a.col - b.col, 2))) - 1 AS d FROM px2 a JOIN px2 b ON a.id = b.id AND a.value = b.value AND a.label <> b.label GROUP BY 1, 2),
+m AS (SELECT id, sum(area) AS n, 100.0 * max(area) / sum(area) AS lpi, sum(CASE WHEN d IS NOT NULL THEN greatest(d, 0) * area END) / sum(CASE WHEN d IS NOT NULL THEN area END) AS menn FROM pa LEFT JOIN di USING (id, label) GROUP BY 1)
+SELECT id, round(CASE WHEN n >= 4 THEN lpi END, 6) AS lpi, round(CASE WHEN n >= 4 THEN coalesce(menn, 0) WHEN n > 0 THEN 0 END, 6) AS menn FROM (SELECT DISTINCT id FROM w) LEFT JOIN m USING (id)""")
 def patch_metrics(spark, sf):
     """Largest patch and nearest-neighbour distance, by numpy in groups of one window."""
     return rounded(raster.patch_statistics(_win(spark, sf), 21), 6)

@@ -26,6 +26,26 @@ def read_npy(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, row long, values array<double>")
 
 
+def write_npy(df: DataFrame, column: str, path: str) -> None:
+    """An array column as .npy files in a folder: each task writes one for each batch, by its number, so that a repeated task writes the same files again."""
+    from .files import created
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
+        for k, b in enumerate(batches):
+            values = np.array(b.column(0).to_pylist(), float)
+            if len(values):
+                with created(f"{path}/part-{part:05d}-{k:05d}.npy") as f:
+                    out = io.BytesIO()
+                    np.save(out, values)
+                    f.write(out.getvalue())
+            yield pa.RecordBatch.from_arrays([pa.array([len(values)], pa.int64())], names=["n"])
+
+    df.where(f"`{column}` IS NOT NULL").select(column).mapInArrow(run, "n long").write.format("noop").mode("overwrite").save()
+
+
 def write_parameters(spark: SparkSession, parameters: dict[str, np.ndarray], path: str) -> None:
     rows = [(n, list(map(int, np.shape(v))), np.asarray(v, float).ravel().tolist()) for n, v in sorted(parameters.items())]
     spark.createDataFrame(rows, "name string, shape array<int>, values array<double>").coalesce(1).write.mode("overwrite").parquet(path)

@@ -260,3 +260,37 @@ def test_order_of_wide_tables_of_many_partitions(spark, coalesce):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_quantiles_are_exact(spark):
+    rng = np.random.default_rng(2)
+    a, b = rng.normal(size=5000).round(2), rng.integers(0, 9, 5000).astype(float)
+    df = spark.createDataFrame([(float(x), float(y) if k % 3 else None, None) for k, (x, y) in enumerate(zip(a, b))], "a double, b double, c double").repartition(7)
+    shares = [0.0, 0.01, 0.25, 0.5, 0.85, 1.0]
+    row = rank.exact_quantiles(df, ["a", "b", "c"], shares).first()
+    assert np.allclose(row.a, np.quantile(a, shares)) and np.allclose(row.b, np.quantile(b[np.arange(5000) % 3 > 0], shares)) and row.c is None
+
+
+def test_betweenness_counts_shortest_paths(spark):
+    rng = np.random.default_rng(8)
+    n = 12
+    links = sorted({(int(min(p)), int(max(p))) for p in rng.integers(0, n, (16, 2)) if p[0] != p[1]})
+    near = {v: {b for a, b in links if a == v} | {a for a, b in links if b == v} for v in range(n)}
+
+    def paths(s, t):
+        found, level = [], [[s]]
+        while level and not found:
+            found = [p for p in level if p[-1] == t]
+            level = [p + [v] for p in level for v in near[p[-1]] if v not in p]
+        return found
+
+    want = np.zeros(n)
+    for s in range(n):
+        for t in range(s + 1, n):
+            every = paths(s, t)
+            for p in every:
+                for v in p[1:-1]:
+                    want[v] += 1 / len(every)
+    nodes, edges = spark.createDataFrame([(v,) for v in range(n)], "id long"), spark.createDataFrame(links, "src long, dst long")
+    got = {r.id: r.betweenness for r in graph.betweenness(nodes, edges).collect()}
+    assert np.allclose([got[v] for v in range(n)], want)
