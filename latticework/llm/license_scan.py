@@ -7,7 +7,7 @@ result doesn't depend on other files. An SPDX tag carries the licence that it na
 cosine's. A file that is a licence's full text as a whole, or whose licence lines are at least half of its words, is a licence file and covers its directory. A file without a licence inherits from the nearest ancestor directory that has a
 licence file. Directories, not files, meet their ancestors in the path join, so a directory of any size is one row there.
 
-Null and empty texts have no licence of their own; a null path is in no directory and inherits nothing. Rows are judged each for itself, repeated or not. Ties go to the
+Null and empty texts have no licence of their own; texts of any length are read whole; a null path is in no directory and inherits nothing. Rows are judged each for itself, repeated or not. Ties go to the
 template listed first. Further columns are passed by; those with the output's names are replaced. Empty tables give empty results.
 """
 
@@ -21,7 +21,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, spread
 
 #: licences' names and their customary notices.
 TEMPLATES = [
@@ -116,7 +116,7 @@ def _vectors(idf: dict[str, float]) -> list[tuple[str, dict[str, float]]]:
 
 
 def own_licences(docs: DataFrame, *, text_col: str = "text", least: float = 0.8) -> DataFrame:
-    """docs without text_col, with own: struct of license, score, share (of the file's words that are in licence lines, or 1 of a full text); null if there is none.
+    """docs (its columns must not be called own or begin with two underscores) without text_col, with own: struct of license, score, share (of the file's words that are in licence lines, or 1 of a full text); null if there is none.
 
     Texts are read once: what is written between the passes is which template terms each document has, the few lines that are mostly such terms, and the texts that hold a word of CORE.
     """
@@ -129,7 +129,7 @@ def own_licences(docs: DataFrame, *, text_col: str = "text", least: float = 0.8)
     filled = lambda s: F.size(F.filter(s["words"], lambda w: F.array_contains(known, w) | F.array_contains(filler, w))) * 2 >= F.size(F.array_remove(s["words"], ""))
     likely = lambda part: F.transform(F.filter(part, filled), lambda s: F.struct(F.filter(s["words"], lambda w: F.array_contains(known, w)).alias("inside"), size(s["line"]).alias("n")))
     both = _let(kept, lambda part: F.struct(F.array_distinct(F.flatten(F.transform(part, lambda s: s["hit"]))).alias("terms"), likely(part).alias("part")))
-    base = docs.drop("own", "__b", "__n", "__full", "__spdx", "__row").withColumn("__b", both)
+    base = docs.withColumn("__b", both)
     base = base.withColumn("__full", F.when(F.arrays_overlap("__b.terms", F.array(*map(F.lit, CORE))), text)).withColumn("__spdx", F.when(text.contains("SPDX-License-Identifier:"), F.nullif(F.regexp_extract(text, _SPDX, 1), F.lit(""))))
     base = base.withColumn("__n", F.when((F.size("__b.part") > 0) | F.col("__spdx").isNotNull(), size(text))).withColumn("__row", F.monotonically_increasing_id())
     base = materialize(base.drop(text_col), "licence-lines")
@@ -195,14 +195,17 @@ def _directory(path: Column) -> Column:
 def scan(files: DataFrame, *, path_col: str = "path", text_col: str = "text", least: float = 0.8) -> DataFrame:
     """files without text_col, with license (null if none), score (of its own line), origin (own, inherited or none) and license_dir (from where it is inherited)."""
     names = ["license", "score", "origin", "license_dir"]
-    lean = own_licences(files.drop(*names, "__dir"), text_col=text_col, least=least).withColumn("__dir", _directory(F.col(path_col)))
-    covering = lean.where("own.share >= 0.5 AND __dir IS NOT NULL").groupBy(F.col("__dir").alias("at")).agg(F.max_by("own.license", F.struct("own.score", F.col(path_col))).alias("dir_license"))
+    passed = [c for c in files.columns if c not in (*names, text_col)]
+    lean = files.select(F.struct(*passed).alias("file"), F.col(path_col).alias("path"), F.col(text_col).alias("text"))  # columns of files can't clash with those made here
+    lean = materialize(own_licences(lean, least=least).withColumn("__dir", _directory(F.col("path"))), "licence-own")  # read three times
+    covering = lean.where("own.share >= 0.5 AND __dir IS NOT NULL").groupBy(F.col("__dir").alias("at")).agg(F.max_by("own.license", F.struct("own.score", "path")).alias("dir_license"))
+    covering = spread(materialize(covering, "licence-directories"), 100_000)  # else all directories would meet at the root
     dirs = lean.where("own IS NULL AND __dir IS NOT NULL").select("__dir").distinct()
     parts = F.split("__dir", "/")
     above = dirs.select("__dir", F.explode(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))).alias("at")).distinct()
     nearest = above.join(covering, "at").groupBy(F.col("__dir").alias("__of")).agg(F.max_by(F.struct("at", "dir_license"), F.length("at")).alias("__from"))
     out = lean.join(nearest, (F.col("__dir") == F.col("__of")) & F.col("own").isNull(), "left")
     return out.select(
-        *[c for c in lean.columns if c not in ("own", "__dir")], F.coalesce("own.license", "__from.dir_license").alias("license"), F.col("own.score").alias("score"),
+        "file.*", F.coalesce("own.license", "__from.dir_license").alias("license"), F.col("own.score").alias("score"),
         F.when(F.col("own").isNotNull(), "own").when(F.col("__from").isNotNull(), "inherited").otherwise("none").alias("origin"), F.col("__from.at").alias("license_dir"),
     )
