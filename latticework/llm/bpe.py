@@ -7,7 +7,7 @@ Words' tokens are cached in each task up to a bound.
 
 Text is prepared as the vocabulary file says: special tokens' own strings are cut out first, then NFC, lower case of each character, and the file's
 pattern for words. Null texts count as empty: no ids, and empty text when decoded. Repeated rows, long texts and clashing column names don't matter; a
-column named as the output is replaced.
+column named as the output is replaced. Of pairs of one rank the leftmost merges first. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from .common import spans_of
+from .common import free_name, spans_of
 
 #: The vocabulary's pattern of words, with white space as Unicode has it.
 _SPACE = r"\t-\r \x85\xa0  -     　"
@@ -231,7 +231,7 @@ def _chunks(texts: list[str | None]):
 def encode(docs: DataFrame, path: str, *, text_col: str = "text", ids_col: str = "ids", keep: list[str] | None = None) -> DataFrame:
     """docs' columns (or those in keep) with ids, an array of ints. path: the vocabulary file, at the same place on every executor."""
     kept = [c for c in (docs.columns if keep is None else keep) if c != ids_col]
-    df = docs.select(*kept, F.col(text_col).alias("__text"))
+    df = docs.select(*kept, F.col(text_col).alias(free_name(kept, "text")))
 
     def run(batches):
         coder = Encoder(vocabulary(path))

@@ -12,7 +12,7 @@ Packed probes are 6 bytes a word (a 32-bit hash within a partition, 16 bits for
 than the text and no document, block or hash is dropped; false anchors only cost work, since step 2 compares 64-bit hashes within partitions that
 an independent hash deals out. A hash that millions of documents share is as many packed entries in one partition, never pairs.
 
-Null ids are not smaller or larger than any: such documents keep all words. Null and empty texts have no words. Rows with the same id don't remove each
+Null ids are not smaller or larger than any: such documents keep all words. Null and empty texts have no words; texts of any length are taken whole. Rows with the same id don't remove each
 other's words, and equal rows get equal results. Empty tables give empty results. Further columns are left out of find_repeats() and kept by remove_repeats().
 """
 
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import packed
-from .common import U64, WordHash, materialize, mix, rolling, split_white, starts, texts_of, word_chunks
+from .common import U64, WordHash, free_name, materialize, mix, rolling, split_white, starts, texts_of, word_chunks
 
 #: Words whose probes one partition holds, and words that a task packs at once.
 PARTITION_WORDS = 2_000_000
@@ -233,7 +233,7 @@ def find_repeats(docs: DataFrame, *, window: int = 50, id_col: str = "doc_id", t
 
 def remove_repeats(docs: DataFrame, *, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the words of repeats removed; a text that loses some has its other words joined by single spaces. Ids must be unique for this."""
-    found = find_repeats(docs, window=window, id_col=id_col, text_col=text_col).where("n_removed > 0").select(F.col(id_col).alias("__id"), "removed")
+    found = find_repeats(docs, window=window, id_col=id_col, text_col=text_col).where("n_removed > 0").select(id_col, F.col("removed").alias(gone := free_name(docs.columns, "removed")))
 
     def cut(batches):
         for b in batches:
@@ -248,5 +248,5 @@ def remove_repeats(docs: DataFrame, *, window: int = 50, id_col: str = "doc_id",
                 out.append(t)
             yield pa.RecordBatch.from_arrays([*b.columns[:k], pa.array(out, pa.string()), *b.columns[k + 1 : -1]], names=b.schema.names[:-1])
 
-    joined = docs.join(found, F.col(id_col) == F.col("__id"), "left").select(*docs.columns, "removed")
+    joined = docs.join(found, id_col, "left").select(*docs.columns, gone)
     return joined.mapInArrow(cut, docs.schema)
