@@ -437,7 +437,8 @@ def _joined(spans):
 
 def digest(found: DataFrame, id_col: str) -> DataFrame:
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return found.select(id_col, *map(count, KINDS[:4]), F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.concat("base", "added")).alias("spans"))
+    every = F.concat("base", "added")
+    return found.select(id_col, *map(count, KINDS[:4]), F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(every).alias("spans"), F.size(every).cast("long").alias("n_spans"))
 
 
 def redact(docs: DataFrame, *, text_col: str = "text", **options) -> DataFrame:

@@ -102,3 +102,18 @@ def test_whole_texts_are_decoded_exactly():
     feats = pii.features(words, which)
     assert np.allclose(pii.scores(words, field.emit), field.emit[feats].sum(1))
     assert (field.label(words) == field.decode(feats, fresh)).all()
+
+
+def test_recall_and_precision_on_documents(spark):
+    """Every planted token is covered, and what is added elsewhere are numbers or addresses, never plain prose."""
+    import re
+
+    covered = planted = 0
+    for r in pii.find(table(spark, "/root/testdata/sf0.01", "documents"), keep=["text"]).collect():
+        text = r.text or ""
+        spans = [(x.start, x.end) for x in (*r.base, *r.added)]
+        tokens = [m.span(1) for m in re.finditer(r'(?i)token = "([0-9a-f]{40})"', text)]
+        planted += len(tokens)
+        covered += sum(any(s <= a and e >= b for s, e in spans) for a, b in tokens)
+        assert all(re.search(r"\d|@", text[x.start : x.end]) for x in r.added)
+    assert covered == planted >= 10
