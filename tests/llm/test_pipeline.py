@@ -56,3 +56,25 @@ def test_quality_stage_rejects_every_long_bad_or_toxic_document(spark):
     fine = [r.doc_id for r in labels if r.quality and not r.toxic]
     assert len(wrong) > 50 and not kept.intersection(wrong), sorted(kept.intersection(wrong))
     assert sum(i not in kept for i in fine) <= 0.03 * len(fine)
+
+
+def test_edges(spark, tmp_path):
+    """Nulls in any column, no words, repeated rows, ties, a long text, further columns, and tables without rows."""
+    good = "The committee met on Monday and agreed that the road along the river should be repaired before the winter rains begin. "
+    long = " ".join(f"{good}Part {i} of the report describes village number {i * 7}." for i in range(3000))
+    texts = [(1, good * 2), (1, good * 2), (2, good * 2), (3, None), (4, ""), (5, " \t"), (None, good + "It was late."), (6, long), (7, long + " end"), (8, "idiot!!! " * 40)]
+    rows = [(i, t, None if k % 2 else "en", None if k % 3 else "s", None, "kept", "x") for k, (i, t) in enumerate(texts)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, __text string, own string"
+    docs = spark.createDataFrame(rows, schema)
+    docs.write.parquet(f"{tmp_path}/a/documents.parquet")
+    docs.limit(0).write.parquet(f"{tmp_path}/b/documents.parquet")
+    for d in "ab":
+        spark.createDataFrame([*((i, 1, 0) for i in (1, 2, 6, 7)), (8, 0, 1)], "doc_id long, quality int, toxic int").limit(5 if d == "a" else 0).write.parquet(f"{tmp_path}/{d}/labels.parquet")
+        spark.createDataFrame([(1, "not in any of these documents at all, since nobody wrote it")], "item_id long, text string").limit(1 if d == "a" else 0).write.parquet(f"{tmp_path}/{d}/benchmark.parquet")
+    kept = docs
+    for _, stage in P.STAGES[:-1]:
+        kept = materialize(stage(spark, kept, f"{tmp_path}/a"), "test-edges")
+        assert kept.columns == docs.columns and all(r["__text"] == "kept" for r in kept.collect())
+    assert sorted(P.run(spark, f"{tmp_path}/a").select("doc_id").collect(), key=repr) == sorted(kept.select("doc_id").collect(), key=repr)
+    assert {r.doc_id for r in kept.collect()} - {8} == {None, 1, 6} and kept.where("doc_id = 1").count() == 2
+    assert P.run(spark, f"{tmp_path}/b").collect() == []
