@@ -7,6 +7,7 @@ mean of the weights that come in (0 without any).
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -38,20 +39,40 @@ def _vector(v) -> Column:
     return F.array(*(F.lit(float(x)) for x in v))
 
 
-def _times(matrix: np.ndarray, x: Column) -> Column:
+#: Products that an expression spells out, so that they are compiled; larger ones loop over arrays.
+SPELLED = 512
+
+
+def total(xs) -> Column:
+    return reduce(lambda a, b: a + b, xs)
+
+
+def times(matrix: np.ndarray, x: Column) -> Column:
+    if matrix.size <= SPELLED:
+        return F.array(*(total(x[i] * F.lit(float(matrix[i, k])) for i in range(matrix.shape[0])) for k in range(matrix.shape[1])))
     return F.array(*(dot(_vector(matrix[:, k]), x) for k in range(matrix.shape[1])))
 
 
+def _scores(layer: Layer) -> Column:
+    """For each head its number, score and value, from l, r and w of an edge."""
+    heads, channels = layer.att.shape
+    part = lambda c, h: F.slice(c, h * channels + 1, channels)
+    if heads * channels <= SPELLED // 8:
+        mixed = lambda k: F.col("l")[k] + F.col("r")[k] + F.lit(float(layer.edge[k])) * F.col("w")
+        act = lambda k: F.when(mixed(k) > 0, mixed(k)).otherwise(SLOPE * mixed(k))
+        score = lambda h: total(F.lit(float(layer.att[h, c])) * act(h * channels + c) for c in range(channels))
+    else:
+        sums = F.zip_with(F.zip_with("l", "r", lambda a, b: a + b), _vector(layer.edge), lambda a, c: a + c * F.col("w"))
+        leaky = F.transform(sums, lambda v: F.when(v > 0, v).otherwise(SLOPE * v))
+        score = lambda h: dot(_vector(layer.att[h]), part(leaky, h))
+    return F.array(*(F.struct(F.lit(h).alias("head"), score(h).alias("s"), part("l", h).alias("value")) for h in range(heads)))
+
+
 def attention(nodes: DataFrame, edges: DataFrame, layer: Layer, loops: bool = True) -> DataFrame:
     """src, dst, head, alpha, value (array: L x_src of that head). nodes: id, x (array). Softmax maxima and sums are aggregated for (dst, head) before the shuffle. loops: to add them."""
-    heads, channels = layer.att.shape
-    p = nodes.select("id", _times(layer.left, F.col("x")).alias("l"), _times(layer.right, F.col("x")).alias("r"))
+    p = nodes.select("id", times(layer.left, F.col("x")).alias("l"), times(layer.right, F.col("x")).alias("r"))
     e = (with_loops(nodes, edges) if loops else edges.select("src", "dst", "w")).join(p.select(F.col("id").alias("src"), "l"), "src").join(p.select(F.col("id").alias("dst"), "r"), "dst")
-    mixed = F.zip_with(F.zip_with("l", "r", lambda a, b: a + b), _vector(layer.edge), lambda a, c: a + c * F.col("w"))
-    e = e.withColumn("m", F.transform(mixed, lambda v: F.when(v > 0, v).otherwise(SLOPE * v)))
-    part = lambda c, h: F.slice(c, h * channels + 1, channels)
-    per_head = F.array(*(F.struct(F.lit(h).alias("head"), dot(_vector(layer.att[h]), part("m", h)).alias("s"), part("l", h).alias("value")) for h in range(heads)))
-    e = written(e.select("src", "dst", F.explode(per_head).alias("q")).select("src", "dst", "q.*"), "scores")  # read three times
+    e = written(e.select("src", "dst", F.explode(_scores(layer)).alias("q")).select("src", "dst", "q.*"), "scores")  # read three times
     top = e.groupBy("dst", "head").agg(F.max("s").alias("top"))
     e = e.join(top, ["dst", "head"]).withColumn("ex", F.exp(F.col("s") - F.col("top")))
     total = e.groupBy("dst", "head").agg(F.sum("ex").alias("total"))
@@ -61,10 +82,9 @@ def attention(nodes: DataFrame, edges: DataFrame, layer: Layer, loops: bool = Tr
 def convolve(nodes: DataFrame, edges: DataFrame, layer: Layer, elu: bool = True, loops: bool = True) -> DataFrame:
     """id, x: the layer's output."""
     channels = layer.att.shape[1]
-    a = attention(nodes, edges, layer, loops).select("dst", "head", "alpha", F.posexplode("value").alias("k", "v"))
-    summed = a.groupBy("dst", (F.col("head") * channels + F.col("k")).alias("k")).agg(F.sum(F.col("alpha") * F.col("v")).alias("v"))
-    out = summed.groupBy("dst").agg(F.array_sort(F.collect_list(F.struct("k", "v"))).alias("o"))
-    x = F.zip_with(F.transform("o", lambda s: s["v"]), _vector(layer.bias), lambda v, b: v + b)
+    summed = attention(nodes, edges, layer, loops).groupBy("dst", "head").agg(F.array(*(F.sum(F.col("alpha") * F.col("value")[c]) for c in range(channels))).alias("v"))
+    out = summed.groupBy("dst").agg(F.array_sort(F.collect_list(F.struct("head", "v"))).alias("o"))
+    x = F.zip_with(F.flatten(F.transform("o", lambda s: s["v"])), _vector(layer.bias), lambda v, b: v + b)
     return out.select(F.col("dst").alias("id"), (F.transform(x, lambda v: F.when(v > 0, v).otherwise(F.expm1(v))) if elu else x).alias("x"))
 
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from latticework.functions.expr import arithmetic_hash, dot
+from latticework.functions.expr import arithmetic_hash
 from latticework.storage import written
 
 from . import gat, policy, rank
@@ -47,7 +47,7 @@ def predict(nodes: DataFrame, edges: DataFrame, model: Model, loops: bool = True
     """id, y (array, one for each target). nodes: id, x (array); edges: src, dst, w."""
     hidden = written(gat.convolve(nodes, edges, model.first, loops=loops), "hidden")
     hidden = gat.convolve(hidden, edges, model.second, loops=loops)
-    out = F.array(*(dot(F.array(*(F.lit(float(v)) for v in model.weight[:, t])), F.col("x")) + F.lit(float(model.bias[t])) for t in range(model.weight.shape[1])))
+    out = F.zip_with(gat.times(model.weight, F.col("x")), F.array(*(F.lit(float(b)) for b in model.bias)), lambda v, b: v + b)
     return hidden.select("id", out.alias("y"))
 
 
