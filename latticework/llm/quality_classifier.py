@@ -196,13 +196,16 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, weight:
     """Logistic regression on soft targets by Adagrad with an L1 proximal step, over places that at least least_rows rows have."""
     if not rows:
         return Scorer(np.empty(0, np.int64), np.empty(0), 0.0)
-    size = np.array([len(f) for f, _ in rows])
-    places, at = np.unique(np.concatenate([f for f, _ in rows]), return_inverse=True)
-    value, row = np.concatenate([v for _, v in rows]), np.repeat(np.arange(len(rows)), size)
-    often = np.bincount(at, minlength=len(places)) >= least_rows
-    number = np.cumsum(often) - 1
-    keep = often[at]
-    at, value, row, places = number[at[keep]], value[keep], row[keep], places[often]
+    places, count = np.unique(np.concatenate([f for f, _ in rows]), return_counts=True)
+    places = places[count >= least_rows]  # few of all: what follows is small
+    if not len(places):
+        places = np.zeros(1, np.int64)
+    found = [np.minimum(np.searchsorted(places, f), len(places) - 1).astype(np.int32) for f, _ in rows]
+    keep = [places[k] == f for k, (f, _) in zip(found, rows, strict=True)]
+    at = np.concatenate([k[ok] for k, ok in zip(found, keep, strict=True)])
+    value = np.concatenate([v[ok] for (_, v), ok in zip(rows, keep, strict=True)]).astype(float)
+    row = np.repeat(np.arange(len(rows)), [int(ok.sum()) for ok in keep])
+    del found, keep
     w, bias = np.zeros(len(places)), 0.0
     past, past_bias = np.full(len(places), 1e-8), 1e-8
     weight = weight / weight.sum()
@@ -248,15 +251,19 @@ def fit(docs: DataFrame, labels: DataFrame | None, *, id_col: str = "doc_id", te
         for is_rare in (True, False):
             picked = picked.union(known.where(rare if is_rare else ~rare).orderBy(F.xxhash64("id"), "id").limit(sample // 2).select("id", "lq", "lt"))
     take = lean.join(F.broadcast(picked), "id").groupBy("id", "lq", "lt").agg(F.min("text").alias("text"))
+    with_labels = known is not None
 
     def gather(batches):
         for b in batches:
             out: list[list] = [[], [], [], [], []]
+            labelled = [x is not None or y is not None for x, y in zip(b.column(b.schema.get_field_index("lq")).to_pylist(), b.column(b.schema.get_field_index("lt")).to_pylist(), strict=True)]
             for text in texts_of(b, "text"):
                 row = _describe(text)
                 feats = [(np.empty(0, np.int64), np.empty(0))] * 2
                 if row is not None:
-                    feats = [_quality_features(text, row[1]), _tox_features(row[0])]
+                    feats = [_quality_features(text, row[1]), feats[1]]
+                    if not with_labels or labelled[len(out[0])] or max(_ballot(row)[m:]) >= 0:  # others don't train that scorer
+                        feats[1] = _tox_features(row[0])
                 for k, x in enumerate((_ballot(row), feats[0][0].tobytes(), feats[0][1].tobytes(), feats[1][0].astype(np.int32).tobytes(), feats[1][1].astype(np.float32).tobytes())):
                     out[k].append(x)
             yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("lq")), b.column(b.schema.get_field_index("lt")), pa.array(out[0], pa.list_(pa.int32())), *(pa.array(x, pa.binary()) for x in out[1:])], names=["lq", "lt", "v", "qf", "qv", "tf", "tv"])
@@ -281,9 +288,9 @@ def fit(docs: DataFrame, labels: DataFrame | None, *, id_col: str = "doc_id", te
         own = np.where(has, weight, 0.0)
         if (~has & spoke).any():
             own[~has & spoke] = (0.5 * own.sum() if has.any() else 1.0) / (~has & spoke).sum()
-        rows = [(np.frombuffer(r[feature], kinds[0]).astype(np.int64), np.frombuffer(r[value], kinds[1]).astype(float)) for r in got]
         use = np.flatnonzero(own > 0)
-        model["scorers"][name] = train([rows[k] for k in use], post[use], own[use], **options)
+        rows = [(np.frombuffer(got[k][feature], kinds[0]), np.frombuffer(got[k][value], kinds[1])) for k in use]  # views, no copies
+        model["scorers"][name] = train(rows, post[use], own[use], **options)
     return model
 
 
