@@ -1,5 +1,9 @@
 """A training corpus from raw documents: reject bad and toxic ones, keep one of each group of near duplicates, remove what holds benchmark passages, redact
 personal data, and encode. Each stage gets what its predecessor kept, written as Parquet and read again, and its decisions take effect.
+
+Documents without words (null, empty or white space) are rejected by the first stage. Texts of any length are taken whole. Of repeated rows, which have one id, all or none stay, as their
+texts decide; documents without an id are never near duplicates and stay if their texts may. Of equal documents the smallest id stays. Further columns, whatever their names, pass through all stages but the last.
+An empty table gives an empty corpus; without labels the scorers learn from the labellers' posteriors, and without a benchmark nothing is contaminated.
 """
 
 from __future__ import annotations
@@ -8,13 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latticework.llm import bpe, decontamination, jaccard_join, pii, quality_classifier
-from latticework.llm.common import materialize, table
+from latticework.llm.common import Scratch, free_name, table
 from latticework.llm.queries import vocabulary_path
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scored = quality_classifier.classify(docs, table(spark, sf_dir, "labels"))
-    return scored.where("accepted").select(*docs.columns)
+    row = free_name(docs.columns, "row")
+    whole = docs.select(F.struct("*").alias(row), "text", "doc_id")
+    scored = quality_classifier.classify(whole, table(spark, sf_dir, "labels"), keep=[row])
+    return scored.where("accepted").select(f"{row}.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +32,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pii.redact(docs).withColumn("n_chars", F.length("text").cast("long"))
+    return pii.redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +52,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark, "pipeline")
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        docs = scratch.write(stage(spark, docs, sf_dir), name)
+        if k:
+            scratch.drop(STAGES[k - 1][0])  # its successor is written
     return STAGES[-1][1](spark, docs, sf_dir)
