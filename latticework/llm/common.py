@@ -51,6 +51,17 @@ def spread(groups: DataFrame, most: int = 20_000) -> DataFrame:
     return F.broadcast(groups) if groups.limit(most + 1).count() <= most else groups
 
 
+_BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """From now on the session hands rows to Python in batches of about `most` bytes, unless it has a lower limit: long texts then don't come by the ten thousand."""
+    now = spark.conf.get(_BATCHES, None)
+    digits = "".join(c for c in now or "" if c.isdigit())
+    if now and (now.startswith("-") or int(digits or 0) > most):
+        spark.conf.set(_BATCHES, str(most))
+
+
 def free_name(columns: list[str], name: str) -> str:
     """name, lengthened until no column is called so."""
     taken = {c.lower() for c in columns}

@@ -26,13 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import free_name, spans_of, texts_of, word_chunks
+from .common import bound_batches, free_name, spans_of, texts_of, word_chunks
 
 #: ASCII but for letters and digits parts words; A-Z become a-z.
 _TABLE = bytes(0x20 if c < 0x80 and not (0x30 <= c <= 0x39 or 0x41 <= c <= 0x5A or 0x61 <= c <= 0x7A) else c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 
 #: Words of shards, and of benchmark blocks, at once. A block is what goes to the executors together.
-SHARD_WORDS = 400_000
+SHARD_WORDS = 150_000
 BLOCK_WORDS = 2_000_000
 
 
@@ -177,6 +177,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, tex
     benchmark windows of `window` words seed; an item with fewer words is one window. A benchmark of several blocks is searched block by block within one stage.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     kept = [c for c in (docs.columns if keep is None else keep) if c not in ("n_words", "matches")]
     df = docs.select(*kept, F.col(text_col).alias(free_name(kept, "text")))
     schema = StructType([*df.schema.fields[:-1], *StructType.fromDDL("n_words long, matches array<struct<item:string,start:int,length:int>>").fields])
