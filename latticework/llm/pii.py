@@ -128,13 +128,11 @@ def _parts(words: Words, which: np.ndarray) -> list[np.ndarray]:
     """Shape features of single words, as small numbers: one array for each feature."""
     begin, end = words.begin[which], words.end[which]
     length = end - begin
-    counts = {}
-    for k, mask in _MASKS.items():
-        total = np.zeros(len(which), np.int64)
-        if len(which):
-            at = np.repeat(begin - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
-            total = np.add.reduceat(mask[words.data[at]].astype(np.int64), np.cumsum(length) - length)
-        counts[k] = total
+    counts = dict.fromkeys(_MASKS, np.zeros(len(which), np.int64))
+    if len(which):
+        first = np.cumsum(length) - length
+        chars = words.data[np.repeat(begin - first, length) + np.arange(int(length.sum()))]
+        counts = {k: np.add.reduceat(mask[chars], first, dtype=np.int64) for k, mask in _MASKS.items()}
     level = lambda x: np.searchsorted(_COUNT_EDGES, x, side="right")
     has = lambda *ks: sum((counts[k] > 0).astype(np.int64) << i for i, k in enumerate(ks))
     kind = np.zeros(256, np.int64)
@@ -228,8 +226,9 @@ class Field:
         first, length = first[order], length[order]
         back = np.zeros((n, len(LABELS)), np.int8)
         best = score[first] + self.start
+        running = np.searchsorted(-length, -np.arange(int(length[0])), side="left").tolist()  # runs of more than t words
         for t in range(1, int(length[0])):
-            live = int(np.searchsorted(-length, -t, side="left"))
+            live = running[t]
             cand = best[:live, :, None] + self.move
             back[first[:live] + t] = cand.argmax(1)
             best[:live] = cand.max(1) + score[first[:live] + t]
@@ -237,7 +236,7 @@ class Field:
         at, label = first + length - 1, best.argmax(1)
         out[at] = label
         for t in range(1, int(length[0])):
-            live = int(np.searchsorted(-length, -t, side="left"))
+            live = running[t]
             label = label[:live]
             label = back[at[:live] - t + 1, label]
             out[at[:live] - t] = label
