@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, jaccard_join, license_scan, pii, quality_classifier, quality_rules, substring_dedup, url_filters, warc
+from . import bpe, decontamination, jaccard_join, license_scan, pii, quality_classifier, quality_rules, source_divergence, substring_dedup, url_filters, warc
 from .common import new_path, table
 
 #: (host, path, action)
@@ -70,7 +70,11 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(table(spark, sf_dir, "documents"), keep=["doc_id"]), "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_quality_classifier, op4_quality_rules, op5_license_scan, op6_url_filters, op8_benchmark_decontamination, op9_warc, op7_bpe, op10_pii, op3_substring_dedup)}
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.audit(table(spark, sf_dir, "documents"), least_docs=10, top=10)
+
+
+QUERIES = {f.__name__: f for f in (op13_source_divergence, op1_jaccard_join, op2_quality_classifier, op4_quality_rules, op5_license_scan, op6_url_filters, op8_benchmark_decontamination, op9_warc, op7_bpe, op10_pii, op3_substring_dedup)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"'[^\x20\x09-\x0D]+'"
@@ -138,4 +142,28 @@ ORACLE_SQL = {
                CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN page_id <> best THEN best END AS refers_to
         FROM bits""",
+    "op13_source_divergence": r"""
+        WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                          regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+                   FROM documents),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        df AS (SELECT lang, term FROM (SELECT lang, unnest(list_distinct(w)) AS term FROM d) GROUP BY ALL HAVING count(*) >= 10),
+        c AS (SELECT lang, source, term, count(*) AS n FROM (SELECT lang, source, unnest(w) AS term FROM d) SEMI JOIN df USING (lang, term) GROUP BY ALL),
+        v AS (SELECT lang, count(*) AS v FROM df GROUP BY lang),
+        gn AS (SELECT lang, source, sum(n) AS n FROM c GROUP BY ALL),
+        ln AS (SELECT lang, sum(n) AS n FROM c GROUP BY ALL),
+        p AS (
+            SELECT g.lang, g.source, term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 2)) // (coalesce(gn.n, 0) + 2 * v.v) AS p
+            FROM g JOIN df USING (lang) JOIN v USING (lang) LEFT JOIN c USING (lang, source, term) LEFT JOIN gn USING (lang, source)),
+        q AS (
+            SELECT lang, term, 1 + (1000000000::HUGEINT * (t.n + 2)) // (ln.n + 2 * v.v) AS q
+            FROM (SELECT lang, term, sum(n) AS n FROM c GROUP BY ALL) t JOIN v USING (lang) JOIN ln USING (lang)),
+        gap AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value FROM p a JOIN p b USING (lang, term) WHERE a.source <> b.source GROUP BY ALL),
+        rows_ AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+            FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN gap ON gap.lang = a.lang AND gap.source = a.source AND gap.item = b.source
+            UNION ALL
+            SELECT lang, source, 'term', term, ((p - q) * (p - q)) // (p + q) FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM rows_)
+        SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INT) AS rank FROM ranked WHERE part = 'pair' OR rank <= 10""",
 }
