@@ -154,6 +154,8 @@ def _pair_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield from _pair_rows(held)
                 held[lang, stripe] = sources, np.zeros((hi - lo, s), np.int64)
             total = held[lang, stripe][1]
+            if not len(runs):
+                continue
             own = runs.field(2)
             edge = own.offsets.to_numpy().astype(np.int64)
             flat, edge = own.values.slice(edge[0], edge[-1] - edge[0]), edge - edge[0]  # the values are those of the whole batch
