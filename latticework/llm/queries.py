@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, jaccard_join, license_scan, pii, quality_classifier, quality_rules, source_divergence, substring_dedup, url_filters, warc
+from . import bpe, decontamination, jaccard_join, license_scan, merkle_manifest, pii, quality_classifier, quality_rules, source_divergence, substring_dedup, url_filters, warc
 from .common import new_path, table
 
 #: (host, path, action)
@@ -70,11 +70,17 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(table(spark, sf_dir, "documents"), keep=["doc_id"]), "doc_id")
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proofs of documents whose id has an even CRC are checked with a copy without line ends."""
+    copy = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, merkle_manifest.leaf_of(text=F.translate("text", "\n", "")))
+    return merkle_manifest.manifest(table(spark, sf_dir, "documents"), altered_leaf=copy)
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence.audit(table(spark, sf_dir, "documents"), least_docs=10, top=10)
 
 
-QUERIES = {f.__name__: f for f in (op13_source_divergence, op1_jaccard_join, op2_quality_classifier, op4_quality_rules, op5_license_scan, op6_url_filters, op8_benchmark_decontamination, op9_warc, op7_bpe, op10_pii, op3_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op12_merkle_manifest, op13_source_divergence, op1_jaccard_join, op2_quality_classifier, op4_quality_rules, op5_license_scan, op6_url_filters, op8_benchmark_decontamination, op9_warc, op7_bpe, op10_pii, op3_substring_dedup)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"'[^\x20\x09-\x0D]+'"
@@ -166,4 +172,43 @@ ORACLE_SQL = {
             SELECT lang, source, 'term', term, ((p - q) * (p - q)) // (p + q) FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
         ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM rows_)
         SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INT) AS rank FROM ranked WHERE part = 'pair' OR rank <= 10""",
+    "op12_merkle_manifest": r"""
+        WITH RECURSIVE crc(byte, value) AS (
+            SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: xor(c >> 1, 3988292384 * (c & 1))) FROM (SELECT unnest(range(256)) AS i)),
+        tbl AS (SELECT list(value ORDER BY byte) AS t FROM crc),
+        f AS (
+            SELECT doc_id, source, coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-')
+                   || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head, text,
+                   xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, [CAST(ascii(d) AS BIGINT) FOR d IN string_split(CAST(doc_id AS VARCHAR), '')]), lambda c, d: xor(t[(xor(c, d) & 255) + 1], c >> 8))) % 2 = 0 AS tampered
+            FROM documents, tbl),
+        leaf AS (
+            SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n,
+                   CASE WHEN tampered THEN sha256(head || coalesce(strlen(replace(text, chr(10), '')) || ':' || replace(text, chr(10), ''), '-')) ELSE sha256(head || coalesce(strlen(text) || ':' || text, '-')) END AS held
+            FROM f),
+        lv(source, l, pos, n, h) AS (
+            SELECT source, 0, pos, n, leaf FROM leaf
+            UNION ALL
+            SELECT source, l + 1, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM lv WHERE n > 1 GROUP BY source, l, lv.pos // 3, n),
+        sub AS (SELECT source, h, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM lv WHERE n = 1),
+        tv(l, pos, n, h) AS (
+            SELECT 0, pos, n, h FROM sub
+            UNION ALL
+            SELECT l + 1, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM tv WHERE n > 1 GROUP BY l, tv.pos // 3, n),
+        steps AS (
+            SELECT d.doc_id, v.l AS step, string_agg(CASE WHEN v.pos < d.pos // CAST(pow(3, v.l) AS BIGINT) THEN v.h END, '' ORDER BY v.pos) AS a,
+                   string_agg(CASE WHEN v.pos > d.pos // CAST(pow(3, v.l) AS BIGINT) THEN v.h END, '' ORDER BY v.pos) AS b
+            FROM leaf d JOIN lv v ON v.source IS NOT DISTINCT FROM d.source AND v.n > 1 AND v.pos // 3 = d.pos // CAST(pow(3, v.l + 1) AS BIGINT) GROUP BY ALL
+            UNION ALL
+            SELECT d.doc_id, 100 + v.l, string_agg(CASE WHEN v.pos < s.pos // CAST(pow(3, v.l) AS BIGINT) THEN v.h END, '' ORDER BY v.pos),
+                   string_agg(CASE WHEN v.pos > s.pos // CAST(pow(3, v.l) AS BIGINT) THEN v.h END, '' ORDER BY v.pos)
+            FROM leaf d JOIN sub s ON s.source IS NOT DISTINCT FROM d.source JOIN tv v ON v.n > 1 AND v.pos // 3 = s.pos // CAST(pow(3, v.l + 1) AS BIGINT) GROUP BY ALL),
+        numbered AS (SELECT doc_id, coalesce(a, '') AS a, coalesce(b, '') AS b, row_number() OVER (PARTITION BY doc_id ORDER BY step) AS k FROM steps),
+        folds(doc_id, k, x) AS (
+            SELECT doc_id, 0, held FROM leaf
+            UNION ALL
+            SELECT doc_id, folds.k + 1, sha256(a || x || b) FROM folds JOIN numbered USING (doc_id) WHERE numbered.k = folds.k + 1),
+        proof AS (SELECT doc_id, string_agg(a || b, '' ORDER BY k) AS p FROM numbered GROUP BY doc_id),
+        root AS (SELECT h FROM tv WHERE n = 1)
+        SELECT d.doc_id, leaf, sub.h AS subroot, root.h AS root, sha256(coalesce(p, '')) AS proof_sha256, x AS folded_root, x = root.h AS verified
+        FROM leaf d JOIN sub ON sub.source IS NOT DISTINCT FROM d.source CROSS JOIN root LEFT JOIN proof USING (doc_id) JOIN (SELECT doc_id, max_by(x, k) AS x FROM folds GROUP BY doc_id) USING (doc_id)""",
 }
