@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, jaccard_join, license_scan, merkle_manifest, pii, quality_classifier, quality_rules, source_divergence, substring_dedup, url_filters, warc
+from . import bpe, decontamination, jaccard_join, license_scan, merkle_manifest, pii, quality_classifier, quality_rules, source_divergence, substring_dedup, suffix_dedup, url_filters, warc
 from .common import new_path, table
 
 #: (host, path, action)
@@ -70,6 +70,11 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(table(spark, sf_dir, "documents"), keep=["doc_id"]), "doc_id")
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.find_repeats(table(spark, sf_dir, "documents"), window=400)
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Proofs of documents whose id has an even CRC are checked with a copy without line ends."""
     copy = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, merkle_manifest.leaf_of(text=F.translate("text", "\n", "")))
@@ -80,7 +85,7 @@ def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence.audit(table(spark, sf_dir, "documents"), least_docs=10, top=10)
 
 
-QUERIES = {f.__name__: f for f in (op12_merkle_manifest, op13_source_divergence, op1_jaccard_join, op2_quality_classifier, op4_quality_rules, op5_license_scan, op6_url_filters, op8_benchmark_decontamination, op9_warc, op7_bpe, op10_pii, op3_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op11_suffix_dedup, op12_merkle_manifest, op13_source_divergence, op1_jaccard_join, op2_quality_classifier, op4_quality_rules, op5_license_scan, op6_url_filters, op8_benchmark_decontamination, op9_warc, op7_bpe, op10_pii, op3_substring_dedup)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"'[^\x20\x09-\x0D]+'"
