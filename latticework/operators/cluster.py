@@ -4,18 +4,99 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from latticework.functions.expr import arithmetic_hash
 
-def kmeans(df: DataFrame, features: list[str], k: int, starts: int = 20, seed: int = 42) -> DataFrame:
-    """df with cluster: the best of several starts by training cost."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import VectorAssembler
 
-    data = VectorAssembler(inputCols=features, outputCol="__v").transform(df)
-    models = [KMeans(k=k, featuresCol="__v", predictionCol="cluster", seed=seed + s).fit(data) for s in range(starts)]
-    return min(models, key=lambda m: m.summary.trainingCost).transform(data).drop("__v")
+def hashed_starts(df: DataFrame, features: list[str], k: int, starts: int, key: str = "id") -> list[np.ndarray]:
+    """For each start the features of k rows, those with the least hashes of their key; every start has a hash of its own. All starts are aggregates of one pass."""
+    order = lambda s: F.struct(arithmetic_hash(F.col(key), b=11 + 7919 * s).alias("h"), F.col(key).alias("key"), *(F.col(f).cast("double").alias(f) for f in features))
+    at = df.dropna(subset=features)
+    per = [at.select(F.lit(s).alias("s"), order(s).alias("o")).orderBy("o").limit(k) for s in range(starts)]
+    found: dict[int, list] = {s: [] for s in range(starts)}
+    for r in reduce(lambda x, y: x.unionByName(y), per).collect():  # starts times k rows
+        found[r.s].append((r.o["h"], r.o["key"], [r.o[f] for f in features]))
+    return [np.array([v for _, _, v in sorted(rows)], float) for rows in found.values()]
+
+
+def _to_centres(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Squared distances, feature by feature, rounded so that equal ones tie."""
+    d = np.zeros((len(x), len(c)))
+    for f in range(x.shape[1]):
+        d += (x[:, f, None] - c[None, :, f]) ** 2
+    return np.round(d, 9)
+
+
+def lloyd(df: DataFrame, features: list[str], centres: list[np.ndarray], steps: int = 100) -> list[tuple[np.ndarray, np.ndarray, float]]:
+    """For each set of centres: where they rest (or are after `steps`), the rows that are nearest to each, and the sum of squared distances to the nearest.
+
+    Each step is one aggregate over df for all sets together: tasks sum their rows' features by set and nearest centre, so what leaves a task is a row for each centre. A centre without rows
+    stays where it is; the first of equally near centres takes a row. Rows with a missing feature are left out. An unbounded df should be written first, since each step reads it.
+    """
+    now, size = [np.round(np.asarray(c, float), 9) for c in centres], len(features)
+    base = df.select(*(F.col(f).cast("double").alias(f) for f in features)).dropna()
+
+    def totals(sets: list[np.ndarray]) -> list[np.ndarray]:
+        """For each set and centre: rows, squared distances, sums of features."""
+
+        def sums(batches):
+            out = [np.zeros((len(c), size + 2)) for c in sets]
+            for b in batches:
+                x = np.column_stack([col.to_numpy(zero_copy_only=False) for col in b.columns])
+                for c, t in zip(sets, out, strict=True):
+                    d = _to_centres(x, c)
+                    near = d.argmin(1)
+                    t[:, 0] += np.bincount(near, minlength=len(c))
+                    t[:, 1] += np.bincount(near, d[np.arange(len(x)), near], minlength=len(c))
+                    for f in range(size):
+                        t[:, 2 + f] += np.bincount(near, x[:, f], minlength=len(c))
+            rows = [(k, j, v) for k, t in enumerate(out) for j, v in enumerate(t.tolist()) if v[0]]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.list_(pa.float64()))], names=["at", "centre", "v"])
+
+        parts = base.mapInArrow(sums, "at int, centre int, v array<double>")
+        got = [np.zeros((len(c), size + 2)) for c in sets]
+        for r in parts.groupBy("at", "centre").agg(F.array(*(F.sum(F.col("v")[i]) for i in range(size + 2))).alias("v")).collect():
+            got[r.at][r.centre] = r.v
+        return got
+
+    moving, at = list(range(len(now))), [None] * len(now)
+    for _ in range(steps):
+        if not moving:
+            break
+        for k, t in zip(moving, totals([now[k] for k in moving]), strict=True):
+            new = np.where(t[:, :1] > 0, np.round(t[:, 2:] / np.maximum(t[:, :1], 1), 9), now[k])
+            at[k] = t if np.array_equal(new, now[k]) else None
+            now[k] = new
+        moving = [k for k in moving if at[k] is None]
+    for k, t in zip(moving, totals([now[k] for k in moving]) if moving else [], strict=True):
+        at[k] = t
+    return [(c, t[:, 0].astype(np.int64), float(t[:, 1].sum())) for c, t in zip(now, at, strict=True)]
+
+
+def nearest_centre(features: list[str], centres: np.ndarray) -> Column:
+    """The number of the nearest centre, the first of equal ones."""
+    d = lambda c: reduce(lambda a, b: a + b, ((F.col(f) - F.lit(float(v))) * (F.col(f) - F.lit(float(v))) for f, v in zip(features, c, strict=True)))
+    return F.array_min(F.array(*(F.struct(F.round(d(c), 9).alias("d"), F.lit(j).alias("j")) for j, c in enumerate(centres))))["j"]
+
+
+def kmeans_of(df: DataFrame, features: list[str], ks: list[int], starts: int = 20, steps: int = 100, key: str = "id") -> dict[int, np.ndarray]:
+    """For each number of clusters the centres of its best start (the least sum of squared distances, to six places, the first on ties)."""
+    begun = {k: hashed_starts(df, features, k, starts, key) for k in ks}
+    ended = lloyd(df, features, [c for k in ks for c in begun[k]], steps)
+    out = {}
+    for i, k in enumerate(ks):
+        mine = ended[i * starts : (i + 1) * starts]
+        out[k] = min(mine, key=lambda e: round(e[2], 6))[0]
+    return out
+
+
+def kmeans(df: DataFrame, features: list[str], k: int, starts: int = 20, steps: int = 100, key: str = "id") -> DataFrame:
+    """df with cluster: Lloyd's steps from several hashed starts, the best by squared distances."""
+    return df.withColumn("cluster", nearest_centre(features, kmeans_of(df, features, [k], starts, steps, key)[k]))
 
 
 def name_archetypes(df: DataFrame, stress: str, vitality: str, names: tuple[str, str, str] = ("vital", "calm", "balanced")) -> DataFrame:
@@ -46,9 +127,6 @@ def silhouette(df: DataFrame, features: list[str], label: str, blocks: int | Non
     Exact means of distances need all pairs; they are summed by block of rows in numpy, so what leaves a block is one sum for each row and cluster. There are as many blocks as
     BLOCK_ROWS asks for, so a task's memory doesn't grow with the table.
     """
-    import numpy as np
-    import pyarrow as pa
-
     blocks = blocks or blocks_for(df)
     base = df.select("id", F.col(label).cast("string").alias("l"), F.array(*(F.col(c).cast("double") for c in features)).alias("v")).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     every = F.array(*(F.lit(b) for b in range(blocks)))
@@ -117,13 +195,13 @@ def davies_bouldin(df: DataFrame, features: list[str], label: str) -> DataFrame:
     return ratio.groupBy("la").agg(F.max("r").alias("r")).agg(F.avg("r").alias("db"))
 
 
-def scores(df: DataFrame, features: list[str], ks, starts: int = 20, assign=None) -> DataFrame:
-    """k, silhouette, ch, db, inertia of each number of clusters, by k-means or by what assign(k) gives (df with cluster)."""
+def scores(df: DataFrame, features: list[str], ks, starts: int = 20, assign=None, steps: int = 100) -> DataFrame:
+    """k, silhouette, ch, db, inertia of each number of clusters, by k-means (all numbers of clusters and starts in the same steps) or by what assign(k) gives (df with cluster)."""
     from latticework.storage import written
 
-    out = None
+    out, centres = None, kmeans_of(df, features, list(ks), starts, steps) if assign is None else {}
     for k in ks:
-        c = written(kmeans(df, features, k, starts) if assign is None else assign(k), "clusters")
+        c = written(df.withColumn("cluster", nearest_centre(features, centres[k])) if assign is None else assign(k), "clusters")
         row = silhouette(c, features, "cluster").agg(F.lit(k).alias("k"), F.avg("silhouette").alias("silhouette"))
         for index in (calinski_harabasz, davies_bouldin, inertia):
             row = row.crossJoin(index(c, features, "cluster"))

@@ -205,21 +205,37 @@ def archetypes(spark, sf):
     return grid(spark, sf).select("id", (F.col("bal") / 1000).alias("stress"), (F.col("x") / 1000).alias("vitality"))
 
 
-@query()
-def kmeans_scores(spark, sf):
-    """Validity of k-means clusters for two to six of them, twenty starts each."""
-    return rounded(cluster.scores(archetypes(spark, sf), ["stress", "vitality"], range(2, 7), starts=20), 4)
-
-
-_BANDS = """pts AS (SELECT id, bal / 1000 AS a, x / 1000 AS b FROM grid), lb AS (SELECT k, id, a, b, CAST(floor(b * k / 8.0) AS INT) AS label FROM pts, range(2, 7) t(k)),
+#: Validity of labels lb(k, id, a, b, label): al(k, silhouette, ch, db, inertia).
+_VALID = """pts AS (SELECT id, bal / 1000 AS a, x / 1000 AS b FROM grid), {labels},
 n AS (SELECT k, label, count(*) AS n, avg(a) AS ca, avg(b) AS cb, (var_pop(a) + var_pop(b)) * count(*) AS ss FROM lb GROUP BY 1, 2), w AS (SELECT k, sum(ss) AS ssw, count(*) AS c, sum(n) AS m FROM n GROUP BY 1), t AS (SELECT (var_pop(a) + var_pop(b)) * count(*) AS sst FROM pts),
-ch AS (SELECT k, ((sst - ssw) / (c - 1)) / (ssw / (m - c)) AS ch FROM w, t),
+ch AS (SELECT k, ((sst - ssw) / (c - 1)) / (ssw / (m - c)) AS ch, ssw AS inertia FROM w, t),
 sp AS (SELECT lb.k, lb.label, any_value(ca) AS ca, any_value(cb) AS cb, avg(sqrt(power(a - ca, 2) + power(b - cb, 2))) AS s FROM lb JOIN n ON n.k = lb.k AND n.label = lb.label GROUP BY 1, 2),
 db AS (SELECT k, avg(r) AS db FROM (SELECT x.k, x.label, max((x.s + y.s) / sqrt(power(x.ca - y.ca, 2) + power(x.cb - y.cb, 2))) AS r FROM sp x JOIN sp y ON x.k = y.k AND x.label <> y.label GROUP BY 1, 2) GROUP BY 1),
 ds AS (SELECT p.k, p.id, p.label, q.label AS other, sum(sqrt(power(p.a - q.a, 2) + power(p.b - q.b, 2))) AS s FROM lb p JOIN lb q ON p.k = q.k GROUP BY ALL),
 si AS (SELECT ds.k, ds.id, max(CASE WHEN ds.label = other THEN s / greatest(n - 1, 1) END) AS a, min(CASE WHEN ds.label <> other THEN s / n END) AS b, max(CASE WHEN ds.label = other THEN n END) AS n FROM ds JOIN n ON n.k = ds.k AND n.label = other GROUP BY 1, 2),
 sc AS (SELECT k, avg(CASE WHEN n > 1 THEN (b - a) / greatest(a, b) ELSE 0 END) AS silhouette FROM si GROUP BY 1),
-al AS (SELECT CAST(k AS INT) AS k, round(silhouette, 6) AS silhouette, round(ch, 6) AS ch, round(db, 6) AS db FROM sc JOIN ch USING (k) JOIN db USING (k))"""
+al AS (SELECT CAST(k AS INT) AS k, round(silhouette, {places}) AS silhouette, round(ch, {places}) AS ch, round(db, {places}) AS db, round(inertia, {places}) AS inertia FROM sc JOIN ch USING (k) JOIN db USING (k))"""
+_BANDS = _VALID.format(labels="lb AS (SELECT k, id, a, b, CAST(floor(b * k / 8.0) AS INT) AS label FROM pts, range(2, 7) t(k))", places=6)
+_VOTE = "v AS (SELECT arg_max(k, (silhouette, -k)) AS k FROM al UNION ALL SELECT arg_max(k, (ch, -k)) FROM al UNION ALL SELECT arg_min(k, (db, k)) FROM al) SELECT k, count(*) AS votes FROM v GROUP BY 1 ORDER BY votes DESC, k LIMIT 1"
+STARTS, STEPS = 20, 12
+#: Lloyd's steps of all numbers of clusters and starts: centres after each, then the labels of each best start.
+_LLOYD = f"""hashed AS (SELECT k, s, id, a, b, row_number() OVER (PARTITION BY k, s ORDER BY (id * 48271 + 11 + 7919 * s) % 2147483647, id) - 1 AS j FROM pts, range(2, 7) t(k), range({STARTS}) u(s)),
+c(step, k, s, j, a, b) AS (
+    SELECT 0, k, s, j, round(a, 9), round(b, 9) FROM hashed WHERE j < k
+    UNION ALL
+    SELECT step + 1, k, s, j, coalesce(round(avg(pa) FILTER (place = 1), 9), any_value(ca)), coalesce(round(avg(pb) FILTER (place = 1), 9), any_value(cb))
+    FROM (SELECT c.step, c.k, c.s, c.j, c.a AS ca, c.b AS cb, pts.a AS pa, pts.b AS pb, row_number() OVER (PARTITION BY c.k, c.s, pts.id ORDER BY round((pts.a - c.a) * (pts.a - c.a) + (pts.b - c.b) * (pts.b - c.b), 9), c.j) AS place FROM c, pts WHERE step < {STEPS})
+    GROUP BY step, k, s, j),
+near AS (SELECT c.k, c.s, pts.id, pts.a, pts.b, arg_min(c.j, (round((pts.a - c.a) * (pts.a - c.a) + (pts.b - c.b) * (pts.b - c.b), 9), c.j)) AS label, min(round((pts.a - c.a) * (pts.a - c.a) + (pts.b - c.b) * (pts.b - c.b), 9)) AS d FROM c, pts WHERE step = {STEPS} GROUP BY ALL),
+best AS (SELECT k, arg_min(s, (round(d, 6), s)) AS s FROM (SELECT k, s, sum(d) AS d FROM near GROUP BY 1, 2) GROUP BY 1),
+lb AS (SELECT near.k, id, a, b, label FROM near JOIN best USING (k, s))"""
+_KMEANS = _VALID.format(labels=_LLOYD, places=4)
+
+
+@query(f"WITH RECURSIVE {GRID_SQL}, {_KMEANS} SELECT k, silhouette, ch, db, inertia FROM al")
+def kmeans_scores(spark, sf):
+    """Validity of k-means clusters for two to six of them, twenty starts of twelve steps each."""
+    return rounded(cluster.scores(archetypes(spark, sf), ["stress", "vitality"], range(2, 7), starts=STARTS, steps=STEPS), 4)
 
 
 def _band_scores(spark, sf):
@@ -234,14 +250,15 @@ def cluster_validity(spark, sf):
     return _band_scores(spark, sf)
 
 
-@query(f"WITH {GRID_SQL}, {_BANDS}, v AS (SELECT arg_max(k, (silhouette, -k)) AS k FROM al UNION ALL SELECT arg_max(k, (ch, -k)) FROM al UNION ALL SELECT arg_min(k, (db, k)) FROM al) SELECT k, count(*) AS votes FROM v GROUP BY 1 ORDER BY votes DESC, k LIMIT 1")
+@query(f"WITH RECURSIVE {GRID_SQL}, {_KMEANS}, {_VOTE}")
 def majority_vote_k(spark, sf):
-    """The number of bands that most of the three criteria choose."""
-    return cluster.majority_k(_band_scores(spark, sf))
+    """The number of k-means clusters that most of the three criteria choose."""
+    return cluster.majority_k(kmeans_scores(spark, sf))
 
 
-@query()
+@query(f"""WITH RECURSIVE {GRID_SQL}, pts AS (SELECT id, bal / 1000 AS a, x / 1000 AS b FROM grid), {_LLOYD}, m AS (SELECT label, avg(a) AS s, avg(b) AS v, count(*) AS n FROM lb WHERE k = 3 GROUP BY 1), top AS (SELECT arg_max(label, (v, -label)) AS t FROM m),
+low AS (SELECT arg_min(label, (s, label)) AS l FROM m, top WHERE label <> t) SELECT CASE label WHEN t THEN 'vital' WHEN l THEN 'calm' ELSE 'balanced' END AS archetype, n FROM m, top, low""")
 def kmeans_archetypes(spark, sf):
     """Three clusters, the best of twenty starts, by name."""
-    found = cluster.kmeans(archetypes(spark, sf), ["stress", "vitality"], 3, starts=20)
+    found = cluster.kmeans(archetypes(spark, sf), ["stress", "vitality"], 3, STARTS, STEPS)
     return cluster.name_archetypes(found, "stress", "vitality").groupBy("archetype").agg(F.count("*").alias("n"))
