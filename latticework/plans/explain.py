@@ -1,11 +1,11 @@
-"""Explanations of networks: Shapley values of fifteen features, learned masks."""
+"""Training on fifteen features, and explanations of networks: Shapley values of fifteen features, learned masks."""
 
 from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from latticework.operators import cluster, explain, gat, network
+from latticework.operators import cluster, explain, gat, network, rank, stats, training
 from latticework.plans import network as net
 
 from .registry import CELLS_SQL, cells, grid, query, rounded
@@ -93,3 +93,46 @@ def learned_masks(spark, sf):
     edges = found.select("target", F.posexplode("edges").alias("pos", "e")).select("target", F.lit("edge").alias("part"), (F.col("pos") + 1).alias("pos"), "e.src", "e.dst", F.lit(None).cast("string").alias("feature"), "e.mask")
     features = found.select("target", F.posexplode("features").alias("pos", "e")).select("target", F.lit("feature").alias("part"), (F.col("pos") + 1).alias("pos"), F.lit(None).cast("long").alias("src"), F.lit(None).cast("long").alias("dst"), "e.feature", "e.mask")
     return rounded(edges.unionByName(features), 6)
+
+
+HEADS, HIDDEN, EPOCHS = 4, 8, 40
+
+
+def training_rows(spark, sf):
+    """Cells with fifteen standardised features, two target variables, a split, and a block of twenty by twenty cells."""
+    df = rank.hash_split(fifteen(spark, sf).join(net.nodes(spark, sf).select("id", "truth"), "id").join(grid(spark, sf).select("id", "cx", "cy"), "id"), "id")
+    m = df.agg(*(f(F.col("x")[k]).alias(f"{n}{k}") for k in range(15) for n, f in (("m", F.avg), ("s", F.stddev_pop)))).first()
+    z = F.array(*((F.col("x")[k] - m[f"m{k}"]) / (m[f"s{k}"] or 1.0) for k in range(15)))
+    return df.select("id", z.alias("x"), "truth", "split", F.concat_ws("/", F.floor(F.col("cx") / 20), F.floor(F.col("cy") / 20)).alias("place"))
+
+
+def _trained(spark, sf):
+    n, e = training_rows(spark, sf), net.edges(spark, sf)
+    model, losses = training.network_of(n, e, F.col("place"), hidden=HIDDEN, heads=HEADS, epochs=EPOCHS, rate=1e-2)
+    return n, e, model, losses
+
+
+@query()
+def gat_training(spark, sf):
+    """A network of fifteen features trained on the grid's blocks: its fit by split, and the best validation error."""
+    n, e, model, losses = _trained(spark, sf)
+    fit = network.r2_of(network.predict(n, e, model).join(n.select("id", "split"), "id"), n, 2, ["split"])
+    return rounded(fit.select("split", F.col("r2")[0].alias("r2_a"), F.col("r2")[1].alias("r2_b"), F.lit(min(losses)).alias("val_error")), 4)
+
+
+@query()
+def baseline_comparison(spark, sf):
+    """R2 on held-out cells of a trained network, the same without a graph, least squares and a multi-layer perceptron, and how much less than the network's each is."""
+    n, e, model, _ = _trained(spark, sf)
+    test = n.where("split = 'test'")
+    flat = n.where("split = 'train'").select(*(F.col("x")[k].alias(f"x{k}") for k in range(15)), F.col("truth")[0].alias("t0"), F.col("truth")[1].alias("t1"))
+    lines = [stats.least_squares(flat, [f"x{k}" for k in range(15)], t) for t in ("t0", "t1")]
+    line = F.array(*(gat.total([F.lit(float(b[0])), *(F.col("x")[k] * F.lit(float(v)) for k, v in enumerate(b[1:]))]) for b in lines))
+    mlp = training.perceptron_of(n, hidden=(16, 8), epochs=EPOCHS)
+    found = {"network": network.predict(n, e, model), "self_loops": network.predict(n, e.where("false"), model), "ols": test.select("id", line.alias("y")), "mlp": training.perceptron_predict(test, mlp)}
+    score = None
+    for label, pred in found.items():
+        row = network.r2_of(pred, test, 2, []).select(F.lit(label).alias("label"), F.col("r2")[0].alias("r2_a"), F.col("r2")[1].alias("r2_b"))
+        score = row if score is None else score.unionByName(row)
+    base = F.broadcast(score.where("label = 'network'").select(F.col("r2_a").alias("a"), F.col("r2_b").alias("b")))
+    return rounded(score.crossJoin(base).select("label", "r2_a", "r2_b", (F.col("a") - F.col("r2_a")).alias("delta_a"), (F.col("b") - F.col("r2_b")).alias("delta_b")), 6)

@@ -310,35 +310,6 @@ def edge_occlusion(spark, sf):
     return rounded(network.edge_occlusion(targets, nodes(spark, sf), edges(spark, sf), model()), 6)
 
 
-@query()
-def baseline_comparison(spark, sf):
-    """R2 on held-out cells of a trained network, the same without a graph, least squares and a multi-layer perceptron, and how much less than the network's each is."""
-    import math
-
-    rows = rank.hash_split(nodes(spark, sf), "id").orderBy("id").select("id", "x", "truth", "split").collect()
-    if len(rows) > gat.MOST_NODES:
-        raise ValueError(f"training is for at most {gat.MOST_NODES} cells")
-    x, y = np.array([r.x for r in rows], float), np.array([r.truth for r in rows], float)
-    mean, std = x.mean(0), x.std(0)
-    x = (x - mean) / np.where(std > 0, std, 1)
-    number = {r.id: k for k, r in enumerate(rows)}
-    links = [(number[r.src], number[r.dst], r.w) for r in edges(spark, sf).collect()]
-    src, dst, w = (np.array(c) for c in zip(*links, strict=True))
-    g = gat.graph_arrays(len(rows), src, dst, w)
-    mask = {s: np.array([r.split == s for r in rows]) for s in ("train", "val", "test")}
-    net = gat.Network(3, 2, hidden=8, heads=HEADS)
-    gat.train(net, x, g, y, mask["train"], mask["val"], epochs=200, rate=1e-2)
-    alone = gat.graph_arrays(len(rows), src[:0], dst[:0], w[:0])
-    flat = np.c_[np.ones(len(x)), x]
-    line = np.linalg.lstsq(flat[mask["train"]], y[mask["train"]], rcond=None)[0]
-    mlp = gat.mlp(x[mask["train"]], y[mask["train"]])
-    found = {"network": net.forward(x, g)[0], "self_loops": net.forward(x, alone)[0], "ols": flat @ line, "mlp": mlp(x)}
-    score = {k: gat.r2(y[mask["test"]], p[mask["test"]]) for k, p in found.items()}
-    out = [(k, *(round(float(v), 6) for v in s), *(round(float(v), 6) for v in score["network"] - s)) for k, s in score.items()]
-    assert all(math.isfinite(v) for r in out for v in r[1:])
-    return spark.createDataFrame(out, "label string, r2_a double, r2_b double, delta_a double, delta_b double")
-
-
 _CELL_NUM = f"WITH {CELLS_SQL}, c AS (SELECT spend / 1000000 AS f1, n_orders / 10.0 AS f2, bal / 1000 AS t1, qty / 10 AS t2 FROM cells WHERE spend IS NOT NULL AND qty IS NOT NULL), s AS (SELECT avg(f1) AS m1, avg(f2) AS m2, var_pop(f1) AS v1, var_pop(f2) AS v2, covar_pop(f1, f2) AS c12, avg(t1) AS y1, avg(t2) AS y2, covar_pop(f1, t1) AS a1, covar_pop(f2, t1) AS a2, covar_pop(f1, t2) AS b1, covar_pop(f2, t2) AS b2 FROM c), w AS (SELECT *, (a1 * v2 - a2 * c12) / (v1 * v2 - c12 * c12) AS p1, (a2 * v1 - a1 * c12) / (v1 * v2 - c12 * c12) AS p2, (b1 * v2 - b2 * c12) / (v1 * v2 - c12 * c12) AS q1, (b2 * v1 - b1 * c12) / (v1 * v2 - c12 * c12) AS q2 FROM s)"
 
 

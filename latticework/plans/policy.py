@@ -166,22 +166,6 @@ def gat_forward(spark, sf):
     return rounded(gat.convolve(*_attended(spark, sf), _tiny()).select("id", F.col("x")[0].alias("h")), 6)
 
 
-@query()
-def gat_training(spark, sf):
-    """A small network trained on the grid, against least squares: error on held-out cells."""
-    g = rank.hash_split(grid(spark, sf), "id").orderBy("id").select("id", "cx", "cy", "bal", "split").collect()
-    x = np.array([[r.cx / 20 - 1, r.cy / 10 - 1, r.bal / 5000] for r in g])
-    y = np.array([[np.sin(r.cx / 5) + r.cy / 20, r.bal / 5000] for r in g])
-    number = {r.id: k for k, r in enumerate(g)}
-    pairs = [(number[a.id], number[b]) for a in g for b in (a.id - 1, a.id + 1, a.id - 40, a.id + 40) if b in number]
-    graph_ = gat.graph_arrays(len(g), np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs]), np.ones(len(pairs)))
-    mask = {s: np.array([r.split == s for r in g]) for s in ("train", "val", "test")}
-    net = gat.Network(3, 2, hidden=8, heads=2)
-    gat.train(net, x, graph_, y, mask["train"], mask["val"], epochs=120, rate=2e-2)
-    fit = gat.r2(y[mask["test"]], net.forward(x, graph_)[0][mask["test"]])
-    return spark.createDataFrame([("gat", float(fit[0]), float(fit[1]))], "label string, r2_a double, r2_b double")
-
-
 _LIN = f"WITH {CELLS_SQL}, p AS (SELECT id, x / 8000 AS f1, y / 8000 AS f2, bal / 10000 AS f3 FROM cells), t AS (SELECT *, 2 * f1 - f2 + 0.5 * f3 + (id % 10) / 50.0 AS truth FROM p)"
 
 

@@ -6,6 +6,8 @@ import pytest
 from latticework.operators import gat, network, policy
 from latticework.plans.network import model
 
+from . import plain
+
 
 @pytest.fixture(scope="module")
 def town(spark):
@@ -56,7 +58,7 @@ def test_search_finds_what_numpy_says_it_is_worth(spark, town):
 def test_occlusion_equals_numpy(spark, town):
     nodes, edges, x, graph = town
     got = [(r.src, r.dst, r.change) for r in network.edge_occlusion(spark.createDataFrame([(7,)], "id long"), nodes, edges, model()).orderBy("pos").collect()]
-    want = gat.edge_occlusion(model().as_network(), x, graph, 7)
+    want = plain.edge_occlusion(model().as_network(), x, graph, 7)
     assert sorted(g[:2] for g in got) == sorted(w[:2] for w in want) and np.allclose([g[2] for g in got], [w[2] for w in want])
 
 

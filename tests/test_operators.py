@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from latticework.functions import expr as E
 from latticework.operators import clean, cluster, gat, graph, policy, rank, raster, spatial, stats, weights
 
+from . import plain
+
 
 def one(df):
     return tuple(df.first())
@@ -191,15 +193,15 @@ def test_explanations_of_a_linear_predictor():
     beta = np.array([[2.0], [0.0], [-1.0]])
     predict = lambda z: z @ beta
     y, mask = predict(x), np.ones(80, bool)
-    fall = {n: v[0] for n, _, v in gat.ablation(predict, x, y, {"a": [0], "b": [1]}, mask)}
+    fall = {n: v[0] for n, _, v in plain.ablation(predict, x, y, {"a": [0], "b": [1]}, mask)}
     assert fall["a"] > 0.5 and abs(fall["b"]) < 1e-12
-    assert gat.permutation_importance(predict, x, y, mask)[1, 0] == pytest.approx(0.0, abs=1e-12)
-    phi = gat.shapley(predict, x[:5], np.zeros((1, 3)), samples=4)
+    assert plain.permutation_importance(predict, x, y, mask)[1, 0] == pytest.approx(0.0, abs=1e-12)
+    phi = plain.shapley(predict, x[:5], np.zeros((1, 3)), samples=4)
     assert np.allclose(phi[:, :, 0], x[:5] * beta[:, 0])
-    curve = gat.partial_dependence(predict, x, 0, 5)
+    curve = plain.partial_dependence(predict, x, 0, 5)
     assert curve[-1][1][0] - curve[0][1][0] == pytest.approx(2 * (x[:, 0].max() - x[:, 0].min()))
-    fit = gat.mlp(x, y, (8,), epochs=400)
-    assert gat.r2(y, fit(x))[0] > 0.95
+    fit = plain.mlp(x, y, (8,), epochs=400)
+    assert plain.r2(y, fit(x))[0] > 0.95
 
 
 def test_queries_stand_without_the_optional_subpackage(tmp_path):
