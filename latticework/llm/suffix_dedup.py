@@ -7,7 +7,8 @@ A window is `window` consecutive bytes of one text (400). Every byte of a window
    around one anchor, and only their bytes are cut from texts and move.
 3. The suffixes of a group's windows are sorted, with the lengths of the prefixes that neighbours share: an enhanced suffix array. A stack scan over it finds its intervals, the nodes of the
    common-prefix tree, and keeps those whose occurrences have different bytes on the left (or begin a stretch): maximal repeats, each with all of its occurrences.
-   Groups of over MOST stretches (a passage in many surroundings) don't meet in one task: their windows are dealt out by a hash of all their bytes, and equal ones are counted.
+   Groups of over MOST stretches (a passage in many surroundings) don't meet in one task: stretches are parted into ranges of RANGE windows by their distance from the anchor, and ranges are
+   grouped by the bytes that all of their windows hold. Where over MOST different ranges are left in a group, their windows are dealt out by a hash of all their bytes, and equal ones counted.
 4. Each text is told its repeats and gives up their bytes. Texts move compressed.
 
 Places in an anchor's group are byte-exact. Stretches are taken for equal by anchor and 64-bit hash together, windows of large groups by two 64-bit hashes.
@@ -32,13 +33,13 @@ from pyspark.sql import functions as F
 from .common import U64, Scratch, free_name, rolling, starts, texts_of
 
 GRAM = 48
-#: Different stretches of one anchor that a suffix array takes, bytes of stretches in one, bytes that are hashed at once.
-MOST, ARRAY_BYTES, CHUNK = 400, 200_000, 1 << 20
+#: Different stretches of one anchor that a suffix array takes, windows of a range, bytes of stretches in one array, bytes that are hashed at once.
+MOST, RANGE, ARRAY_BYTES, CHUNK = 400, 32, 200_000, 1 << 20
 _PLACE = U64((1 << 22) - 1)
 _BYTE = np.random.default_rng(11).integers(0, 1 << 63, 256, dtype=np.int64).astype(U64) * U64(2) + U64(1)
 _BASE_2 = 0xD6E8FEB86659FD93
 
-_STRETCHES = "id long, sx long, at int, m int, anchor long, c long"
+_STRETCHES = "id long, sx long, at array<int>, m int, anchor long, c long"
 _NODES = "node long, above array<long>, size int, own array<struct<id:long,sx:long,at:int,anchor:long,c:long,off:int>>"
 _SPANS = "array<struct<start:long,length:long>>"
 
@@ -81,7 +82,7 @@ def _stretches_of(joined: bytes, ends: list[int], window: int, gram: int) -> tup
 
 
 def stretches(texts: DataFrame, window: int, gram: int) -> DataFrame:
-    """texts: id, sx, text."""
+    """A row for each different stretch of a text, or of a part of it, with its places. texts: id, sx, text."""
 
     def run(batches):
         for b in batches:
@@ -90,9 +91,16 @@ def stretches(texts: DataFrame, window: int, gram: int) -> DataFrame:
                 lo, m, anchor = _stretches_of(joined, ends, window, gram)
                 view, part = memoryview(joined), np.searchsorted(np.array(ends)[1:], lo, side="right")
                 c = [xxhash.xxh3_64_intdigest(view[a:e]) for a, e in zip(lo.tolist(), (lo + m + window - 1).tolist(), strict=True)]
-                place = lo - np.array(ends)[part] + base[part] if len(lo) else lo
-                columns = [ids[rows[part]], sx[rows[part]], place.astype(np.int32), m.astype(np.int32), anchor.view(np.int64), np.array(c, U64).view(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["id", "sx", "at", "m", "anchor", "c"])
+                if not len(lo):
+                    continue
+                place, row, c = lo - np.array(ends)[part] + base[part], rows[part], np.array(c, U64)
+                order = np.lexsort((place, c, row))
+                fresh = np.ones(len(lo), bool)
+                fresh[1:] = (row[order][1:] != row[order][:-1]) | (c[order][1:] != c[order][:-1])
+                one = order[fresh]
+                places = pa.ListArray.from_arrays(pa.array(np.append(np.flatnonzero(fresh), len(lo)), pa.int32()), pa.array(place[order].astype(np.int32)))
+                columns = [ids[row[one]], sx[row[one]], None, m[one].astype(np.int32), anchor[one].view(np.int64), c[one].view(np.int64)]
+                yield pa.RecordBatch.from_arrays([places if x is None else pa.array(x) for x in columns], names=["id", "sx", "at", "m", "anchor", "c"])
 
     return texts.mapInArrow(run, _STRETCHES)
 
@@ -167,7 +175,8 @@ def _nodes(run: list[int], where: list[tuple[int, int]], rows: list[tuple], foun
         for i in own:
             j, o = where[run[i]]
             anchor, c, id_, sx, start, *_ = rows[j]
-            places.append({"id": id_, "sx": sx, "at": start + o, "anchor": anchor, "c": c, "off": o})
+            if not places or places[-1] != (now := {"id": id_, "sx": sx, "at": start + o, "anchor": anchor, "c": c, "off": o}):  # copies come next to each other
+                places.append({"id": id_, "sx": sx, "at": start + o, "anchor": anchor, "c": c, "off": o})
         yield {"node": names[k], "above": above, "size": size, "own": places}
 
 
@@ -209,13 +218,10 @@ class _Found:
         self.lean = docs.select(F.coalesce(F.xxhash64(F.col(id_col)), F.lit(0)).alias("id"), F.xxhash64(F.lit(window), text).alias("sx"), text.alias("text"), F.col(id_col).alias("doc"))
         long = self.lean.where(F.octet_length("text") >= window).select("id", "sx", "text")
         every = self.scratch.write(stretches(long, window, gram), "stretches")
-        anchors = every.groupBy("anchor").agg(F.count("*").alias("total")).where("total > 1").select("anchor")
+        anchors = self.scratch.write(every.groupBy("anchor").agg(F.sum(F.size("at")).alias("total")).where("total > 1").select("anchor"), "anchors")
         self.places = self.scratch.write(every.join(anchors, "anchor"), "places")
-        kinds = self.places.groupBy("anchor", "c").agg(F.count("*").alias("n"), F.min(F.struct("id", "sx", "at")).alias("first"))
-        kinds = self.scratch.write(kinds, "kinds")
-        self.scratch.drop("stretches")
-        several = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"))
-        kinds = kinds.join(several, "anchor")
+        self.scratch.drop("stretches", "anchors")
+        kinds = self._kinds(self.places.select("anchor", "c", F.struct("id", "sx", "at").alias("who"), F.size("at").alias("n")), "kinds")
         cut = (F.col("kinds") > 1) & (F.col("first") == F.struct("id", "sx", "at"))
         told = self.places.join(kinds, ["anchor", "c"]).select("id", "sx", "at", "m", "anchor", "c", (F.col("n") > 1).alias("whole"), cut.alias("cut"), (F.col("kinds") > MOST).alias("large")).where("whole OR cut")
         told = told.groupBy("id", "sx").agg(F.collect_set(F.struct("at", "m", "anchor", "c", "whole", "cut", "large")).alias("told"))
@@ -231,48 +237,102 @@ class _Found:
             z = zstandard.ZstdDecompressor()
             for b in batches:
                 out = []
-                for i, sx, t, own in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                    t = z.decompress(t)
-                    out += [(s["anchor"], s["c"], i, sx, s["at"], t[s["at"] : s["at"] + s["m"] + window - 1], s["whole"], s["large"]) for s in own if s["cut"]]
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.bool_(), pa.bool_()]
-                for k in range(0, len(out), 5000):
-                    yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out[k : k + 5000]], kind) for c, kind in enumerate(kinds)], names=["anchor", "c", "id", "sx", "at", "piece", "whole", "large"])
+                for i, sx, t, own in zip(*b.columns, strict=True):
+                    t = z.decompress(t.as_py())
+                    for s in own.as_py():
+                        a = s["at"][0]
+                        out.append((s["anchor"], s["c"], i.as_py(), sx.as_py(), a, t[a : a + s["m"] + window - 1], s["whole"], s["large"]))
+                    if len(out) >= 2000:
+                        yield _rows(out, _CUTS)
+                        out = []
+                yield _rows(out, _CUTS)
 
         cuts = self.near.where(F.exists("told", lambda s: s["cut"])).select("id", "sx", "z", F.filter("told", lambda s: s["cut"]).alias("told"))
-        cuts = cuts.mapInArrow(pieces, "anchor long, c long, id long, sx long, at int, piece binary, whole boolean, large boolean")
-        cuts = self.scratch.write(cuts, "cuts")
-        small = cuts.where("NOT large").drop("large").repartition("anchor").sortWithinPartitions("anchor", "c")
-        nodes = small.mapInArrow(_arrays(window), _NODES)
+        cuts = self.scratch.write(cuts.mapInArrow(pieces, ", ".join(f"{n} {k}" for n, k in _CUTS.items())), "cuts")
+        self.nodes = self.scratch.write(_sorted_arrays(cuts.where("NOT large").drop("large"), window), "nodes")
+        large = cuts.where("large").drop("large")
+        if not large.isEmpty():
+            for found in self._ranges(large.dropDuplicates(["anchor", "c"]), window, gram):
+                self.nodes = self.nodes.unionByName(self.scratch.write(found, "nodes"))
+        self.scratch.drop("cuts", "ranges", "windows")
 
-        def windows(batches):
+    def _kinds(self, rows: DataFrame, label: str) -> DataFrame:
+        """anchor, c, n, first, kinds: how often each kind (c) is there, the first row that it comes from, and how many kinds its anchor has. rows: anchor, c, who, n."""
+        kinds = self.scratch.write(rows.groupBy("anchor", "c").agg(F.sum("n").alias("n"), F.min("who").alias("first")), label)
+        several = self.scratch.write(kinds.groupBy("anchor").agg(F.count("*").alias("kinds")), label)
+        return self.scratch.write(kinds.join(several, "anchor"), label)
+
+    def _ranges(self, large: DataFrame, window: int, gram: int) -> Iterator[DataFrame]:
+        """Maximal repeats of groups of many stretches, as nodes with one occurrence each."""
+
+        def parted(batches):
             for b in batches:
                 out = []
                 for anchor, c, i, sx, at, piece, whole in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                    m = len(piece) - window + 1
+                    h = rolling(_BYTE[np.frombuffer(piece, np.uint8, window)], gram)
+                    s = int(((h & ~_PLACE) | np.arange(len(h), dtype=U64)).min() & _PLACE)
+                    for r in range((s - m + 1) // RANGE, s // RANGE + 1):
+                        lo, hi = max(0, s - r * RANGE - RANGE + 1), min(m - 1, s - r * RANGE)
+                        core = s - r * RANGE
+                        key = xxhash.xxh3_64_intdigest(piece[core : core + window - RANGE + 1], r) - (1 << 63)
+                        part = piece[lo : hi + window]
+                        out.append((key, xxhash.xxh3_64_intdigest(part) - (1 << 63), i, sx, at + lo, part, anchor, c, lo, 1 + whole))
+                    if len(out) >= 2000:
+                        yield _rows(out, _PARTS)
+                        out = []
+                yield _rows(out, _PARTS)
+
+        def windows(batches):
+            for b in batches:
+                out = []
+                for k, c, piece, n in zip(*(x.to_pylist() for x in b.columns), strict=True):
                     data = _BYTE[np.frombuffer(piece, np.uint8)]
-                    n = len(data) - window + 1
-                    w = [rolling(data, window).view(np.int64), rolling(data, window, _BASE_2).view(np.int64)]
-                    out.append([*w, np.full(n, i), np.full(n, sx), at + np.arange(n, dtype=np.int32), np.full(n, anchor), np.full(n, c), np.arange(n, dtype=np.int32), np.full(n, 1 + whole)])
+                    m = len(data) - window + 1
+                    out.append([rolling(data, window).view(np.int64), rolling(data, window, _BASE_2).view(np.int64), np.full(m, k), np.full(m, c), np.arange(m, dtype=np.int32), np.full(m, n)])
                     if len(out) >= 200:
                         yield _batch(out)
                         out = []
                 if out:
                     yield _batch(out)
 
-        self.nodes = self.scratch.write(nodes, "nodes")
-        large = cuts.where("large")
-        if not large.isEmpty():
-            each = large.drop("large").dropDuplicates(["anchor", "c"]).mapInArrow(windows, "w1 long, w2 long, id long, sx long, at int, anchor long, c long, off int, n long")
-            each = self.scratch.write(each, "windows")
-            again = each.groupBy("w1", "w2").agg(F.sum("n").alias("n")).where("n > 1").drop("n")
-            own = F.array(F.struct("id", "sx", "at", "anchor", "c", "off"))
-            same = each.join(again, ["w1", "w2"]).select(F.col("w1").alias("node"), F.array("w1").alias("above"), F.lit(window).cast("int").alias("size"), own.alias("own"))
-            self.nodes = self.nodes.unionByName(self.scratch.write(same, "nodes"))
-            self.scratch.drop("windows")
-        self.scratch.drop("cuts")
+        each = self.scratch.write(large.mapInArrow(parted, ", ".join(f"{n} {k}" for n, k in _PARTS.items())), "ranges")
+        kinds = self._kinds(each.select("anchor", "c", F.struct("id", "sx", "at").alias("who"), "n"), "ranges")
+        chosen = each.join(kinds.drop("n").join(kinds.select("anchor", "c", F.col("n").alias("total")), ["anchor", "c"]), ["anchor", "c"]).where(F.col("first") == F.struct("id", "sx", "at"))
+        chosen = self.scratch.write(chosen.where("kinds > 1").select("anchor", "c", "id", "sx", "at", "piece", (F.col("total") > 1).alias("whole"), "total", "kinds").dropDuplicates(["anchor", "c"]), "ranges")
+        of = each.select(F.col("anchor").alias("k"), F.col("c").alias("kc"), "id", "sx", F.col("at").alias("start"), F.col("anchor0").alias("anchor"), F.col("c0").alias("c"), F.col("off0"))
+
+        def spread_out(nodes: DataFrame) -> DataFrame:
+            """nodes: node, above, size, k, kc, o (a place in a range); gives every stretch that has the range."""
+            own = F.array(F.struct("id", "sx", (F.col("start") + F.col("o")).cast("int").alias("at"), "anchor", "c", (F.col("off0") + F.col("o")).cast("int").alias("off")))
+            return nodes.join(of, ["k", "kc"]).select("node", "above", "size", own.alias("own"))
+
+        arrays = self.scratch.write(_sorted_arrays(chosen.where(F.col("kinds") <= MOST).drop("total", "kinds"), window), "windows")
+        yield spread_out(arrays.select("node", "above", "size", F.explode("own").alias("p")).select("node", "above", "size", F.col("p.anchor").alias("k"), F.col("p.c").alias("kc"), F.col("p.off").alias("o")))
+        alike = kinds.where("kinds = 1 AND n > 1").select(F.xxhash64("anchor", "c").alias("node"), F.col("anchor").alias("k"), F.col("c").alias("kc"))
+        yield spread_out(alike.join(each.groupBy("anchor", "c").agg(F.max(F.length("piece")).alias("size")).select(F.col("anchor").alias("k"), F.col("c").alias("kc"), "size"), ["k", "kc"]).select("node", F.array("node").alias("above"), "size", "k", "kc", F.lit(0).alias("o")))
+        many = chosen.where(F.col("kinds") > MOST).select("anchor", "c", "piece", "total").mapInArrow(windows, "w1 long, w2 long, k long, kc long, o int, n long")
+        many = self.scratch.write(many, "windows")
+        again = self.scratch.write(many.groupBy("w1", "w2").agg(F.sum("n").alias("n")).where("n > 1").drop("n"), "windows")
+        yield spread_out(many.join(again, ["w1", "w2"]).select(F.col("w1").alias("node"), F.array("w1").alias("above"), F.lit(window).cast("int").alias("size"), "k", "kc", "o"))
+
+
+_CUTS = {"anchor": "long", "c": "long", "id": "long", "sx": "long", "at": "int", "piece": "binary", "whole": "boolean", "large": "boolean"}
+_PARTS = {"anchor": "long", "c": "long", "id": "long", "sx": "long", "at": "int", "piece": "binary", "anchor0": "long", "c0": "long", "off0": "int", "n": "int"}
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "boolean": pa.bool_()}
+
+
+def _rows(out: list[tuple], kinds: dict[str, str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], _ARROW[kind]) for k, kind in enumerate(kinds.values())], names=list(kinds))
+
+
+def _sorted_arrays(rows: DataFrame, window: int) -> DataFrame:
+    """Nodes of rows' suffix arrays, by anchor. rows: anchor, c, id, sx, at, piece, whole."""
+    return rows.repartition("anchor").sortWithinPartitions("anchor", "c").mapInArrow(_arrays(window), _NODES)
 
 
 def _batch(out: list[list[np.ndarray]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["w1", "w2", "id", "sx", "at", "anchor", "c", "off", "n"])
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["w1", "w2", "k", "kc", "o", "n"])
 
 
 def repeat_groups(docs: DataFrame, *, window: int = 400, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -285,7 +345,7 @@ def repeat_groups(docs: DataFrame, *, window: int = 400, gram: int = GRAM, id_co
     member = member.select(F.explode("above").alias("repeat"), "anchor", "c", "off").join(size, "repeat")
     alike = f.places.groupBy("anchor").agg(F.min("c").alias("c"), F.max("c").alias("c2"), F.first("m").alias("m")).where("c = c2")  # all of an anchor's stretches are equal
     whole = alike.select(F.xxhash64("anchor", "c").alias("repeat"), "anchor", "c", F.lit(0).alias("off"), (F.col("m") + (window - 1)).alias("length"))
-    at = member.unionByName(whole).join(f.places.select("id", "sx", "at", "anchor", "c"), ["anchor", "c"]).select("repeat", "length", "id", "sx", (F.col("at") + F.col("off")).alias("start"))
+    at = member.unionByName(whole).join(f.places.select("id", "sx", F.explode("at").alias("at"), "anchor", "c"), ["anchor", "c"]).select("repeat", "length", "id", "sx", (F.col("at") + F.col("off")).alias("start"))
     ids = f.lean.select("id", "sx", "doc")
     return at.join(ids, ["id", "sx"]).select("repeat", "length", F.col("doc").alias(id_col), "start").distinct()
 
@@ -296,7 +356,7 @@ def find_repeats(docs: DataFrame, *, window: int = 400, gram: int = GRAM, id_col
     hits = f.nodes.select("size", F.explode("own").alias("o")).select("o.id", "o.sx", F.col("o.at").alias("start"), "size")
     hits = hits.groupBy("id", "sx").agg(F.collect_set(F.struct("start", "size")).alias("hits"))
     cut = F.exists("told", lambda s: s["cut"])
-    whole = F.transform(F.filter("told", lambda s: s["whole"]), lambda s: F.struct(s["at"].alias("start"), (s["m"] + (window - 1)).alias("size")))
+    whole = F.flatten(F.transform(F.filter("told", lambda s: s["whole"]), lambda s: F.transform(s["at"], lambda a: F.struct(a.alias("start"), (s["m"] + (window - 1)).alias("size")))))
     lean = f.near.select("id", "sx", "z", whole.alias("whole"), cut.alias("cut"))
     none = F.array().cast("array<struct<start:int,size:int>>")
     both = lean.where("cut").join(hits, ["id", "sx"], "left").unionByName(lean.where("NOT cut").withColumn("hits", none)).select("id", "sx", "z", F.concat("whole", F.coalesce("hits", none)).alias("hits"))

@@ -67,8 +67,27 @@ def test_passages_in_many_surroundings(spark, monkeypatch):
     rng = random.Random(8)
     docs = texts_of(rng, 80, "abcdefgh", 3, 40)
     df = spark.createDataFrame(docs, SCHEMA)
-    monkeypatch.setattr(S, "MOST", 3)
-    assert rows(S.find_repeats(df, window=24, gram=8)) == brute(docs, 24)
+    for most in (3, 8):
+        monkeypatch.setattr(S, "MOST", most)
+        assert rows(S.find_repeats(df, window=40, gram=8)) == brute(docs, 40)
+
+
+def test_large_groups_have_all_occurrences(spark, monkeypatch):
+    rng = random.Random(6)
+    docs = texts_of(rng, 60, "abcdefgh", 3, 50)
+    texts = [t.encode() for _, t in docs]
+    monkeypatch.setattr(S, "MOST", 4)
+    got = defaultdict(set)
+    for r in S.repeat_groups(spark.createDataFrame(docs, SCHEMA), window=40, gram=8).collect():
+        got[r.repeat, r.length].add((r.doc_id, r.start))
+    covered = [[False] * len(t) for t in texts]
+    for (_, n), at in got.items():
+        (s,) = {texts[i][k : k + n] for i, k in at}
+        places = {(i, k) for i, t in enumerate(texts) for k in range(len(t) - n + 1) if t[k : k + n] == s}
+        assert at == places and len(at) > 1
+        for i, k in at:
+            covered[i][k : k + n] = [True] * n
+    assert covered == gone_of(texts, 40)
 
 
 def test_parts_of_long_texts():
