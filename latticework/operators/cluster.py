@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from latticework.functions.expr import arithmetic_hash
 
+from .meet import meetings
+
 
 def hashed_starts(df: DataFrame, features: list[str], k: int, starts: int, key: str = "id") -> list[np.ndarray]:
     """For each start the features of k rows, those with the least hashes of their key; every start has a hash of its own. All starts are aggregates of one pass."""
@@ -113,52 +115,96 @@ def _d2(cols: list[str], a: str, b: str) -> Column:
     return reduce(lambda x, y: x + y, (F.pow(F.col(a + c) - F.col(b + c), F.lit(2.0)) for c in cols))
 
 
-#: Rows of a block that meets each other block in one task.
-BLOCK_ROWS = 8192
-
+#: Cells of a label whose bounds are used, at most.
+CELLS = 16
+
+
+def _bounds(base: DataFrame, cells: int) -> list[tuple[str, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each label its rows, and its cells' shares, centres and mean squared distances from these. A cell is what is nearest to one of the label's rows with the least hashes."""
+    order = Window.partitionBy("l").orderBy(arithmetic_hash(F.col("id")), "id")
+    seeds: dict[str, list] = {}
+    for r in base.select("id", "l", "v", F.row_number().over(order).alias("k")).where(F.col("k") <= cells).collect():  # CELLS rows for each label
+        seeds.setdefault(r.l, []).append(r.v)
+    centres = {l: np.array(v, float) for l, v in seeds.items()}
+    size = len(next(iter(centres.values()))[0]) if centres else 0
+
+    def sums(batches):
+        total: dict[tuple[str, int], np.ndarray] = {}
+        for b in batches:
+            labels, x = np.array(b.column(0).to_pylist()), np.array(b.column(1).to_pylist(), float)
+            for l in np.unique(labels):
+                own = x[labels == l]
+                cell = _to_centres(own, centres[str(l)]).argmin(1)
+                for c in np.unique(cell):
+                    p = own[cell == c]
+                    total[str(l), int(c)] = total.get((str(l), int(c)), 0) + np.r_[len(p), (p * p).sum(), p.sum(0)]
+        keys = list(total)
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([total[k].tolist() for k in keys], pa.list_(pa.float64()))], names=["l", "cell", "v"])
+
+    parts = base.select("l", "v").mapInArrow(sums, "l string, cell int, v array<double>")
+    found: dict[str, list] = {}
+    for r in parts.groupBy("l", "cell").agg(F.array(*(F.sum(F.col("v")[i]) for i in range(size + 2))).alias("v")).collect():
+        found.setdefault(r.l, []).append(r.v)
+    out = []
+    for l, rows in sorted(found.items()):
+        t = np.array(rows)
+        c = t[:, 2:] / t[:, :1]
+        out.append((l, int(t[:, 0].sum()), t[:, 0] / t[:, 0].sum(), c, np.maximum(t[:, 1] / t[:, 0] - (c * c).sum(1), 0)))
+    return out
 
-def blocks_for(df: DataFrame) -> int:
-    return max(1, -(-df.count() // BLOCK_ROWS))
 
+def open_labels(df: DataFrame, features: list[str], label: str, cells: int = CELLS) -> DataFrame:
+    """id, v, own, key, n: a row for its own label, and for each other one whose mean distance may be the least (n: the label's rows).
 
-def silhouette(df: DataFrame, features: list[str], label: str, blocks: int | None = None) -> DataFrame:
+    A row's mean distance from a cell is at least its distance from the cell's centre, and at most the root of its mean squared distance, which the centre and the cell's spread give; the
+    cells' shares add both up to bounds for the label. Labels whose lower bound is above another's upper bound can't be the least.
+    """
+    base = df.select("id", F.col(label).cast("string").alias("l"), F.array(*(F.col(c).cast("double") for c in features)).alias("v"))
+    bounds = _bounds(base, cells)
+
+    def run(batches):
+        for b in batches:
+            x, own = np.array(b.column(2).to_pylist(), float).reshape(b.num_rows, -1), np.array(b.column(1).to_pylist())
+            low, high = np.empty((len(x), len(bounds))), np.empty((len(x), len(bounds)))
+            for k, (_, _, share, c, spread) in enumerate(bounds):
+                d = np.maximum((x * x).sum(1)[:, None] - 2 * x @ c.T + (c * c).sum(1), 0)
+                low[:, k], high[:, k] = np.sqrt(d) @ share, np.sqrt(d + spread) @ share
+            mine = own[:, None] == np.array([l for l, *_ in bounds])
+            least = np.where(mine, np.inf, high).min(1)
+            row, at = np.nonzero(mine | (low <= least[:, None] * (1 + 1e-6) + 1e-6))
+            for k in range(0, len(row), 20_000):
+                r, t = pa.array(row[k : k + 20_000]), at[k : k + 20_000]
+                columns = [b.column(0).take(r), b.column(2).take(r), b.column(1).take(r), pa.array([bounds[i][0] for i in t]), pa.array([bounds[i][1] for i in t], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "v", "own", "key", "n"])
+
+    return base.select("id", "l", "v").mapInArrow(run, f"id {df.schema['id'].dataType.simpleString()}, v array<double>, own string, key string, n long")
+
+
+def silhouette(df: DataFrame, features: list[str], label: str) -> DataFrame:
     """id, silhouette (Euclidean): (b - a) / max(a, b), 0 for a cluster of one row.
 
-    Exact means of distances need all pairs; they are summed by block of rows in numpy, so what leaves a block is one sum for each row and cluster. There are as many blocks as
-    BLOCK_ROWS asks for, so a task's memory doesn't grow with the table.
+    Exact: rows meet all rows of their own cluster, and of others only where bounds by cells leave it open which one is nearest. They meet block by block, summed in numpy, so what leaves a
+    pair of blocks is one sum for each row, and a cluster of most rows is more tasks. The bounds' centres are CELLS rows for each cluster; clusters are few.
     """
-    blocks = blocks or blocks_for(df)
-    base = df.select("id", F.col(label).cast("string").alias("l"), F.array(*(F.col(c).cast("double") for c in features)).alias("v")).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    every = F.array(*(F.lit(b) for b in range(blocks)))
-    rows = base.select("id", "l", "v", F.col("block").alias("i"), F.explode(every).alias("j"), F.lit(True).alias("q")).unionByName(base.select("id", "l", "v", F.explode(every).alias("i"), F.col("block").alias("j"), F.lit(False).alias("q")))
-
-    def sums(t: pa.Table) -> pa.Table:
-        q, ids, l = t.column("q").to_numpy(zero_copy_only=False).astype(bool), t.column("id").to_numpy(), np.array(t.column("l").to_pylist())
-        m = np.array(t.column("v").to_pylist(), float)
-        out = {"id": [], "own": [], "other": [], "s": []}
-        a, b, lb = m[q], m[~q], l[~q]
-        names, at = np.unique(lb, return_inverse=True)
+    rows = open_labels(df, features, label)
+    kind = df.schema["id"].dataType.simpleString()
+
+    def sums(q: pa.Table, m: pa.Table) -> pa.Table:
+        a, b = (np.array(t.column("v").to_pylist(), float).reshape(t.num_rows, -1) for t in (q, m))
+        total = np.zeros(len(a))
         for i in range(0, len(a), 256):
-            part, total = a[i : i + 256], np.zeros((len(a[i : i + 256]), len(names)))
             for j in range(0, len(b), 1024):  # tiles, feature by feature: differences are exact where points are near
-                d = np.zeros((len(part), len(b[j : j + 1024])))
-                for f in range(m.shape[1]):
-                    d += (part[:, f, None] - b[None, j : j + 1024, f]) ** 2
-                d = np.sqrt(d)
-                for k in np.unique(at[j : j + 1024]):
-                    total[:, k] += d[:, at[j : j + 1024] == k].sum(1)
-            for k, name in enumerate(names):
-                out["id"] += ids[q][i : i + 256].tolist()
-                out["own"] += l[q][i : i + 256].tolist()
-                out["other"] += [str(name)] * len(part)
-                out["s"] += total[:, k].tolist()
-        return pa.table({"id": pa.array(out["id"], pa.int64()), "own": pa.array(out["own"], pa.string()), "other": pa.array(out["other"], pa.string()), "s": pa.array(out["s"], pa.float64())})
-
-    n = base.groupBy(F.col("l").alias("other")).agg(F.count("*").alias("n"))
-    per = rows.groupBy("i", "j").applyInArrow(sums, "id long, own string, other string, s double").groupBy("id", "own", "other").agg(F.sum("s").alias("s")).join(F.broadcast(n), "other")
-    own = F.col("own") == F.col("other")
+                d = np.zeros((len(a[i : i + 256]), len(b[j : j + 1024])))
+                for f in range(a.shape[1]):
+                    d += (a[i : i + 256, f, None] - b[None, j : j + 1024, f]) ** 2
+                total[i : i + 256] += np.sqrt(d).sum(1)
+        return q.select(["id", "own", "key", "n"]).append_column("s", pa.array(total))
+
+    members = df.select(F.col(label).cast("string").alias("key"), "id", F.array(*(F.col(c).cast("double") for c in features)).alias("v"))
+    per = meetings(rows, members, sums, f"id {kind}, own string, key string, n long, s double").groupBy("id", "own", "key", "n").agg(F.sum("s").alias("s"))
+    own = F.col("own") == F.col("key")
     s = per.groupBy("id").agg(F.max(F.when(own, F.col("s") / F.greatest(F.col("n") - 1, F.lit(1)))).alias("a"), F.min(F.when(~own, F.col("s") / F.col("n"))).alias("b"), F.max(F.when(own, F.col("n"))).alias("n"))
-    return s.select("id", F.when((F.col("n") > 1) & F.col("b").isNotNull(), (F.col("b") - F.col("a")) / F.greatest("a", "b")).otherwise(0.0).alias("silhouette"))
+    return s.select("id", F.when((F.col("n") > 1) & F.col("b").isNotNull(), F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0))).otherwise(0.0).alias("silhouette"))
 
 
 def _centroids(df: DataFrame, features: list[str], label: str) -> DataFrame:

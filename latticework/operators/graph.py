@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from latticework.functions.expr import dot
+from latticework.storage import new_path, written
 
-from . import spatial, stats
+from . import rank, spatial, stats
+from .meet import meetings
 
 
 def gaussian_edges(nodes: DataFrame, radius: float = 600.0, sigma: float = 200.0) -> DataFrame:
@@ -16,51 +22,112 @@ def gaussian_edges(nodes: DataFrame, radius: float = 600.0, sigma: float = 200.0
     return stats.row_standardised(e.select("src", "dst", F.exp(-F.col("d") * F.col("d") / (2 * sigma * sigma)).alias("w")))
 
 
-def cosine_nearest(vectors: DataFrame, k: int = 8, blocks: int | None = None) -> DataFrame:
+#: Pivots of a search, at most, and what is added to an angle's bound, so that similarities that are equal when rounded are all seen.
+MOST_PIVOTS, SLACK = 2048, 1e-5
+
+
+def _unit(rows) -> np.ndarray:
+    m = np.array(rows, float)
+    norm = np.linalg.norm(m, axis=1, keepdims=True)
+    return m / np.where(norm > 0, norm, 1)
+
+
+def _angle(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(a @ b.T, -1, 1))
+
+
+def _best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int) -> pa.Table:
+    """The k best of v for each of q, by rounded similarity, then id."""
+    parts = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+    for i in range(0, len(q), 512):
+        sim = np.round(q[i : i + 512] @ v.T, 12)
+        sim[q_ids[i : i + 512, None] == ids[None, :]] = -np.inf
+        if sim.shape[1] > k:  # the k-th largest of each row; whatever equals it is sorted out by id
+            least = np.partition(sim, -k, axis=1)[:, -k]
+            row, col = np.nonzero((sim >= least[:, None]) & np.isfinite(sim))
+        else:
+            row, col = np.nonzero(np.isfinite(sim))
+        value = sim[row, col]
+        order = np.lexsort((ids[col], -value, row))
+        row, col, value = row[order], col[order], value[order]
+        keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+        parts.append((q_ids[i + row[keep]], ids[col[keep]], value[keep]))
+    src, dst, s = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return pa.table({"src": src, "dst": dst, "sim": s})
+
+
+_SIMILAR = "src long, dst long, sim double"
+
+
+def _pivots(vectors: DataFrame, pivots: int | None) -> np.ndarray:
+    """Unit vectors: as many as the square root of the table, MOST_PIVOTS at most. Of four times as many rows with the least hashes, each is the one that is farthest from those before it."""
+    n = pivots or min(MOST_PIVOTS, max(1, math.isqrt(vectors.count())))
+    sample = _unit([r.v for r in rank.hash_sample(vectors, "id", 4 * n).collect()] or [[0.0]])
+    chosen, far = [0], _angle(sample, sample[:1])[:, 0]
+    while len(chosen) < min(n, len(sample)) and far.max() > 0:
+        chosen.append(int(far.argmax()))
+        far = np.minimum(far, _angle(sample, sample[chosen[-1:]])[:, 0])
+    return sample[chosen]
+
+
+def _placed(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """id, v (unit), key (the pivot of least angle), angle: written."""
+
+    def run(batches):
+        for b in batches:
+            v = _unit(b.column(1).to_pylist()).reshape(b.num_rows, -1)
+            far = _angle(v, pivots)
+            near = far.argmin(1)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(v.tolist(), pa.list_(pa.float64())), pa.array(near.astype(np.int32)), pa.array(far[np.arange(len(v)), near])], names=["id", "v", "key", "angle"])
+
+    return written(vectors.select(F.col("id").cast("long").alias("id"), "v").mapInArrow(run, "id long, v array<double>, key int, angle double"), "placed")
+
+
+def visits(placed: DataFrame, known: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """id, v, key, home: the cells that can hold one of a row's best, its own cell (home) among them. known: id, least (the k-th best similarity so far, null if there are fewer).
+
+    A row's angle to any member of a cell is its angle to the pivot less the cell's radius at least; cells beyond the k-th best angle are skipped.
+    """
+    radius = np.full(len(pivots), -np.inf)
+    for r in placed.groupBy("key").agg(F.max("angle").alias("r")).collect():  # a row for each pivot
+        radius[r.key] = r.r
+
+    def run(batches):
+        for b in batches:
+            v = np.array(b.column(1).to_pylist(), float).reshape(b.num_rows, -1)
+            home, least = b.column(2).to_numpy(), b.column(3).to_numpy(zero_copy_only=False)
+            limit = np.where(np.isnan(least), np.pi, np.arccos(np.clip(np.nan_to_num(least), -1, 1))) + SLACK
+            row, cell = np.nonzero((_angle(v, pivots) - radius <= limit[:, None]) & np.isfinite(radius))
+            for k in range(0, len(row), 20_000):
+                at = pa.array(row[k : k + 20_000])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(cell[k : k + 20_000].astype(np.int32)), pa.array(cell[k : k + 20_000] == home[row[k : k + 20_000]])], names=["id", "v", "key", "home"])
+
+    return placed.join(known, "id", "left").select("id", "v", "key", "least").mapInArrow(run, "id long, v array<double>, key int, home boolean")
+
+
+def cosine_nearest(vectors: DataFrame, k: int = 8, pivots: int | None = None) -> DataFrame:
     """src, dst, sim, pos: the k most similar others by (similarity, id), self excluded by id. vectors: id, v (array).
 
-    All pairs are asked for, so the vectors are replicated by block: each of blocks x blocks tasks multiplies two blocks as matrices, tile by tile, and keeps k of each row; only
-    those are shuffled again. There are as many blocks as cluster.BLOCK_ROWS asks for, so a task's memory doesn't grow with the table.
+    Exact, by pivots: every row belongs to the cell of its nearest pivot. Rows first meet their own cell; the k-th best similarity found there bounds the angle within which better ones lie,
+    and by the triangle inequality of angles only cells that reach into it are visited. Cells meet block by block, so a cell that holds most rows (copies, say) is more tasks, not a larger
+    one. Where all rows are about equally far from each other, no bound helps and all cells are visited.
     """
-    import numpy as np
-    import pyarrow as pa
-
-    from .cluster import blocks_for
-
-    blocks = blocks or blocks_for(vectors)
-    unit = vectors.select("id", F.transform("v", lambda x: x.cast("double")).alias("v")).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    every = F.array(*(F.lit(b) for b in range(blocks)))
-    rows = unit.select("id", "v", F.col("block").alias("i"), F.explode(every).alias("j"), F.lit(True).alias("query")).unionByName(unit.select("id", "v", F.explode(every).alias("i"), F.col("block").alias("j"), F.lit(False).alias("query")))
-
-    def best(t: pa.Table) -> pa.Table:
-        q = t.column("query").to_numpy(zero_copy_only=False).astype(bool)
-        ids = t.column("id").to_numpy()
-        m = np.array(t.column("v").to_pylist(), float)
-        norm = np.linalg.norm(m, axis=1, keepdims=True)
-        m = m / np.where(norm > 0, norm, 1)
-        qi, ri = ids[q], ids[~q]
-        if not len(qi) or not len(ri):
+    centres = _pivots(vectors, pivots)
+    placed = _placed(vectors, centres)
+
+    def best(q: pa.Table, m: pa.Table) -> pa.Table:
+        if not q.num_rows or not m.num_rows:
             return pa.table({"src": pa.array([], pa.int64()), "dst": pa.array([], pa.int64()), "sim": pa.array([], pa.float64())})
-        a, b, parts = m[q], m[~q], []
-        for i in range(0, len(a), 512):
-            sim = np.round(a[i : i + 512] @ b.T, 12)
-            sim[qi[i : i + 512, None] == ri[None, :]] = -np.inf
-            if sim.shape[1] > k:  # the k-th largest of each row; whatever equals it is sorted out by id
-                least = np.partition(sim, -k, axis=1)[:, -k]
-                row, col = np.nonzero((sim >= least[:, None]) & np.isfinite(sim))
-            else:
-                row, col = np.nonzero(np.isfinite(sim))
-            value = sim[row, col]
-            order = np.lexsort((ri[col], -value, row))
-            row, col, value = row[order], col[order], value[order]
-            first = np.searchsorted(row, row)
-            keep = np.arange(len(row)) - first < k
-            parts.append((qi[i + row[keep]], ri[col[keep]], value[keep]))
-        src, dst, s = (np.concatenate(x) for x in zip(*parts, strict=True))
-        return pa.table({"src": src, "dst": dst, "sim": s})
-
-    found = rows.groupBy("i", "j").applyInArrow(best, "src long, dst long, sim double").withColumn("sim", F.round("sim", 12))
-    return found.withColumn("pos", F.row_number().over(Window.partitionBy("src").orderBy(F.col("sim").desc(), "dst"))).where(F.col("pos") <= k)
+        wide = lambda t: np.array(t.column("v").to_pylist(), float)
+        return _best(q.column("id").to_numpy(), wide(q), m.column("id").to_numpy(), wide(m), k)
+
+    top = Window.partitionBy("src").orderBy(F.col("sim").desc(), "dst")
+    rows = placed.select("key", "id", "v")
+    home = meetings(rows, rows, best, _SIMILAR).withColumn("pos", F.row_number().over(top)).where(F.col("pos") <= k)
+    home = written(home, "home")
+    known = home.where(F.col("pos") == k).select(F.col("src").alias("id"), F.col("sim").alias("least"))
+    away = meetings(visits(placed, known, centres).where("NOT home").drop("home"), rows, best, _SIMILAR)
+    return home.drop("pos").unionByName(away).withColumn("pos", F.row_number().over(top)).where(F.col("pos") <= k)
 
 
 def cosine_pairs(vectors: DataFrame) -> DataFrame:
@@ -106,57 +173,36 @@ def roles(nodes: DataFrame, hub: float = 0.9, low: float = 0.5) -> DataFrame:
     return nodes.crossJoin(F.broadcast(q)).withColumn("role", F.when(F.col("degree") >= F.col("__q")[0], "hub").when(F.col("degree") <= F.col("__q")[1], "peripheral").otherwise("normal")).drop("__q")
 
 
-#: Edges of a graph whose shortest paths one task can follow.
-MOST_EDGES = 5_000_000
-
-
 def betweenness(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """id, betweenness: over unordered pairs of other nodes, the summed share of their shortest paths (by number of edges, in either direction) that pass through. Tasks take sources;
-    the graph is broadcast, so it may have MOST_EDGES edges.
-    """
-    import numpy as np
-    import pyarrow as pa
-
-    e = edges.select("src", "dst").where("src <> dst")
-    e = e.union(e.select("dst", "src")).distinct()
-    got = e.limit(MOST_EDGES + 1).toArrow()
-    if got.num_rows > MOST_EDGES:
-        raise ValueError(f"betweenness is for graphs of at most {MOST_EDGES} directed edges")
-    src, dst = got.column("src").to_numpy(), got.column("dst").to_numpy()
-    ids = np.unique(src)
-    a, b = np.searchsorted(ids, src), np.searchsorted(ids, dst)
-    order = np.argsort(a, kind="stable")
-    a, b = a[order], b[order]
-    sent = edges.sparkSession.sparkContext.broadcast((ids, a, b, np.searchsorted(a, np.arange(len(ids) + 1))))
+    """id, betweenness: over unordered pairs of other nodes, the summed share of their shortest paths (by number of edges, in either direction) that pass through.
 
-    def run(batches):
-        ids, a, b, first = sent.value
-        total = np.zeros(len(ids))
-        for batch in batches:
-            for source in batch.column(0).to_pylist():
-                s = int(np.searchsorted(ids, source))
-                if s == len(ids) or ids[s] != source:
-                    continue
-                far, paths, layers = np.full(len(ids), -1), np.zeros(len(ids)), [np.array([s])]
-                far[s], paths[s] = 0, 1
-                steps = []
-                while len(layers[-1]):
-                    at = np.concatenate([np.arange(first[v], first[v + 1]) for v in layers[-1]])
-                    new = at[far[b[at]] < 0]
-                    far[b[new]] = len(layers)
-                    down = at[far[b[at]] == len(layers)]
-                    np.add.at(paths, b[down], paths[a[down]])
-                    steps.append(down)
-                    layers.append(np.unique(b[new]))
-                share = np.zeros(len(ids))
-                for down in reversed(steps):
-                    np.add.at(share, a[down], paths[a[down]] / paths[b[down]] * (1 + share[b[down]]))
-                share[s] = 0
-                total += share
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], names=["id", "part"])
-
-    parts = nodes.select(F.col("id").cast("long").alias("id")).mapInArrow(run, "id long, part double")
-    summed = parts.groupBy("id").agg((F.sum("part") / 2).alias("betweenness"))
+    Breadth-first from all nodes at once: a level is a table (source, node, number of shortest paths), made of the level before by a join with the edges; what is in that level or the one
+    before it isn't new. Then dependencies are summed from the last level back. There are as many rows as pairs that reach each other, and two jobs for each step of the longest path.
+    """
+    spark = edges.sparkSession
+    e = edges.select(F.col("src").alias("v"), F.col("dst").alias("to")).where("v <> to")
+    kind = edges.schema["src"].dataType.simpleString()
+    e = written(e.union(e.select("to", "v")).distinct(), "edges")
+    start = nodes.select(F.col("id").alias("v")).distinct().join(e.select("v").distinct(), "v", "left_semi")
+    levels = [written(start.select(F.col("v").alias("s"), "v", F.lit(1.0).alias("paths")), "level")]
+    while True:
+        step = levels[-1].join(e, "v").groupBy("s", F.col("to").alias("v")).agg(F.sum("paths").alias("paths"))
+        seen = levels[-1].select("s", "v") if len(levels) == 1 else levels[-1].select("s", "v").unionByName(levels[-2].select("s", "v"))
+        new = written(step.join(seen, ["s", "v"], "left_anti"), "level")
+        if new.isEmpty():
+            break
+        levels.append(new)
+    base = new_path(spark, "dependencies")
+    below = levels[-1].withColumn("share", F.lit(0.0))
+    for k in range(len(levels) - 1, 0, -1):
+        below.select("s", "v", "paths", "share").write.parquet(f"{base}/{k}")
+        below = spark.read.schema(f"s {kind}, v {kind}, paths double, share double").parquet(f"{base}/{k}")
+        part = below.join(e, "v").groupBy("s", F.col("to").alias("v")).agg(F.sum((1 + F.col("share")) / F.col("paths")).alias("part"))
+        below = levels[k - 1].join(part, ["s", "v"], "left").select("s", "v", "paths", (F.col("paths") * F.coalesce("part", F.lit(0.0))).alias("share"))
+    if len(levels) == 1:
+        return nodes.select("id", F.lit(0.0).alias("betweenness"))
+    every = spark.read.schema(f"v {kind}, share double").parquet(*(f"{base}/{k}" for k in range(1, len(levels))))
+    summed = every.groupBy(F.col("v").alias("id")).agg((F.sum("share") / 2).alias("betweenness"))
     return nodes.select("id").join(summed, "id", "left").withColumn("betweenness", F.coalesce("betweenness", F.lit(0.0)))
 
 

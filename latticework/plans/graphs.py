@@ -70,11 +70,27 @@ def clustering_coefficient(spark, sf):
     return rounded(graph.clustering(grid(spark, sf), graph.gaussian_edges(grid(spark, sf))), 6)
 
 
-@query()
+_NEAR = f"WITH RECURSIVE {GRID_SQL}, e AS (SELECT a.id AS v, b.id AS t FROM grid a JOIN grid b ON a.id <> b.id AND power(a.x - b.x, 2) + power(a.y - b.y, 2) <= 360000)"
+
+
+@query(f"""{_NEAR}, w(lvl, s, v, paths, fresh) AS (
+    SELECT 0, id, id, 1.0::DOUBLE, true FROM grid WHERE id IN (SELECT v FROM e)
+    UNION ALL
+    SELECT * FROM (
+        WITH f AS (SELECT lvl + 1 AS lvl, w.s, e.t AS v, sum(paths) AS paths FROM w JOIN e ON e.v = w.v WHERE fresh GROUP BY ALL), n AS (SELECT f.* FROM f ANTI JOIN w ON w.s = f.s AND w.v = f.v)
+        SELECT lvl, s, v, paths, true FROM n UNION ALL SELECT lvl, s, v, paths, false FROM w WHERE fresh AND EXISTS (SELECT 1 FROM n))),
+d AS MATERIALIZED (SELECT lvl, s, v, paths FROM w WHERE fresh),
+b(lvl, s, v, paths, share) AS (
+    SELECT lvl, s, v, paths, 0.0::DOUBLE FROM d WHERE lvl = (SELECT max(lvl) FROM d)
+    UNION ALL
+    SELECT * FROM (
+        WITH p AS (SELECT b.s, e.t AS v, sum((1 + share) / paths) AS part FROM b JOIN e ON e.v = b.v GROUP BY ALL)
+        SELECT d.lvl, d.s, d.v, d.paths, d.paths * coalesce(part, 0) FROM d LEFT JOIN p USING (s, v) WHERE d.lvl = (SELECT max(lvl) - 1 FROM b)))
+SELECT grid.id, round(coalesce(total, 0), 4) + 0.0 AS betweenness FROM grid LEFT JOIN (SELECT v AS id, sum(share) / 2 AS total FROM b WHERE s <> v GROUP BY 1) USING (id)""")
 def betweenness(spark, sf):
-    """Shortest paths over shared sides, through each cell."""
+    """Shortest paths by steps of 600 m at most, through each cell."""
     cells = grid(spark, sf)
-    return rounded(graph.betweenness(cells.select("id"), spatial.rook_edges(cells)), 4)
+    return rounded(graph.betweenness(cells.select("id"), graph.gaussian_edges(cells)), 4)
 
 
 @query(f"{_GAUSS} SELECT e.src AS id, a.bal, round(sum(w * b.bal), 4) + 0.0 AS lag FROM e JOIN grid a ON a.id = e.src JOIN grid b ON b.id = e.dst GROUP BY 1, 2")

@@ -112,7 +112,7 @@ def test_merge_takes_the_larger_direction(spark):
 
 def test_cosine_excludes_self_even_among_duplicates(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0])], "id long, v array<double>")
-    got = {(r.src, r.pos): r.dst for r in graph.cosine_nearest(df, 1, blocks=2).collect()}
+    got = {(r.src, r.pos): r.dst for r in graph.cosine_nearest(df, 1, pivots=2).collect()}
     assert got == {(1, 1): 2, (2, 1): 1, (3, 1): 1}
 
 
@@ -146,7 +146,7 @@ def test_split_sizes(spark):
 
 def test_silhouette_of_a_single_row_is_zero(spark):
     df = spark.createDataFrame([(1, 0.0, "a"), (2, 1.0, "a"), (3, 9.0, "b")], "id long, v double, l string")
-    got = {r.id: r.silhouette for r in cluster.silhouette(df, ["v"], "l", blocks=2).collect()}
+    got = {r.id: r.silhouette for r in cluster.silhouette(df, ["v"], "l").collect()}
     assert got[3] == 0.0 and got[1] == pytest.approx((9 - 1) / 9)
 
 
