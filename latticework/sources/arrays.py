@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def read_npy(spark: SparkSession, path: str) -> DataFrame:
@@ -51,6 +52,14 @@ def write_parameters(spark: SparkSession, parameters: dict[str, np.ndarray], pat
     spark.createDataFrame(rows, "name string, shape array<int>, values array<double>").coalesce(1).write.mode("overwrite").parquet(path)
 
 
+def parameter_table(spark: SparkSession, path: str) -> DataFrame:
+    """name, row, col, value of the matrices that are stored at path (vectors have one row): a table to join with."""
+    stored = spark.read.schema("name string, shape array<int>, values array<double>").parquet(path)
+    cols = F.when(F.size("shape") > 1, F.col("shape")[1]).otherwise(F.size("values"))
+    flat = stored.select("name", cols.alias("cols"), F.posexplode("values").alias("at", "value"))
+    return flat.select("name", F.floor(F.col("at") / F.col("cols")).cast("int").alias("row"), (F.col("at") % F.col("cols")).cast("int").alias("col"), "value")
+
+
 def read_parameters(spark: SparkSession, path: str) -> dict[str, np.ndarray]:
     """A model's parameters, which fit the driver as the model does."""
     return {r.name: np.array(r.values, float).reshape(r.shape) for r in spark.read.parquet(path).collect()}

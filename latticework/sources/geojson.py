@@ -45,3 +45,33 @@ def read_geojson(spark: SparkSession, path: str) -> DataFrame:
 
     schema = "file string, feature long, kind string, rings array<array<struct<x:double,y:double>>>, properties string"
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, schema)
+
+
+def write_geojson(df: DataFrame, path: str, zipped: bool = False) -> None:
+    """df (kind, rings, properties: as read_geojson gives them) as feature collections in a folder, plain or each in a zip archive. A task writes a file for each batch, under its number, so
+    that a repeated task writes the same files again.
+    """
+    from .files import created
+
+    def feature(kind: str | None, parts: list | None, properties: str | None) -> dict:
+        at = [[[p["x"], p["y"]] for p in part] for part in parts or []]
+        shape = {"Point": lambda: at[0][0], "MultiPoint": lambda: at[0], "LineString": lambda: at[0], "MultiLineString": lambda: at, "Polygon": lambda: at, "MultiPolygon": lambda: [[r] for r in at]}
+        return {"type": "Feature", "geometry": kind and {"type": kind, "coordinates": shape[kind]()}, "properties": json.loads(properties or "{}")}
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
+        for k, b in enumerate(batches):
+            text = json.dumps({"type": "FeatureCollection", "features": [feature(*r) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]}).encode()
+            name = f"part-{part:05d}-{k:05d}"
+            with created(f"{path}/{name}{'.zip' if zipped else '.geojson'}") as f:
+                if zipped:
+                    out = io.BytesIO()
+                    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+                        z.writestr(zipfile.ZipInfo(f"{name}.geojson"), text, zipfile.ZIP_DEFLATED)
+                    text = out.getvalue()
+                f.write(text)
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["n"])
+
+    df.select("kind", "rings", "properties").mapInArrow(run, "n long").write.format("noop").mode("overwrite").save()
