@@ -199,7 +199,7 @@ def optimise(targets: DataFrame, nodes: DataFrame, edges: DataFrame, model: Mode
             other = 1 - main
             return weights[0] * (g[:, me, main] + g[:, near, main].sum(1)) + weights[1] * g[:, me, other]
 
-        found = [policy.evolve(fitness, bounds, [seed, r, int(target) & 0xFFFFFFFF], **options) for r in range(runs)]
+        found = [policy.evolve(fitness, bounds, int(target), seed + r, **options) for r in range(runs)]
         return np.mean([f[0] for f in found], 0).tolist(), float(np.mean([f[1] for f in found]))
 
     def run(batches):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,42 +57,52 @@ def spill_over(local: DataFrame, edges: DataFrame, gains: DataFrame, least: floa
     return out.withColumn("multiplier", F.when(F.abs("own") > least, F.col("neighbours") / F.col("own")).otherwise(0.0))
 
 
-def evolve(fitness, bounds: list[tuple[float, float]], seed, *, population: int = 100, generations: int = 50, elite: int = 5, mutation: float = 0.3):
-    """The best genes that a seeded search within bounds finds, and their value. fitness(all candidates) gives their values. The better half survives; the `elite` best stay as they
-    are, and the others are copies of survivors, of which `mutation` have one gene moved by a normal step of 0.5.
-    """
-    import numpy as np
+_PRIME = 2147483647
+
+
+def draw(key, run, generation, candidate, k):
+    """A number in [0, 1) that depends on its arguments only; whole-number arithmetic that any engine can follow (two squares modulo a prime, so that neighbours aren't alike)."""
+    h = (key % _PRIME * 48271 + run * 69621 + generation * 16807 + candidate * 8191 + k * 131 + 11) % _PRIME
+    h = (h * h + 7) % _PRIME
+    h = (h * 48271 + 3) % _PRIME
+    return ((h * h + 13) % _PRIME) / _PRIME
 
+
+def evolve(fitness, bounds: list[tuple[float, float]], key: int, run: int = 0, *, population: int = 100, generations: int = 50, elite: int = 5, mutation: float = 0.3):
+    """The best genes that a search within bounds finds, and their value. fitness(all candidates) gives their values. The better half survives; the `elite` best stay as they
+    are, and the others are copies of survivors, of which `mutation` have one gene moved by a normal step of 0.5. All draws are hashes of (key, run, generation, candidate); genes have nine
+    places, and values are compared to nine.
+    """
     low, high = np.array([b[0] for b in bounds], float), np.array([b[1] for b in bounds], float)
-    rng = np.random.default_rng(seed)
-    pop = rng.uniform(low, high, (population, len(bounds)))
+    every, genes = np.arange(population, dtype=np.int64), np.arange(len(bounds), dtype=np.int64)
+    pop = np.round(low + (high - low) * draw(key, run, 0, every[:, None], genes), 9)
     for step in range(generations):
         value = fitness(pop)
-        order = np.argsort(-value, kind="stable")
+        order = np.argsort(-np.round(value, 9), kind="stable")
         pop, best = pop[order], float(value[order[0]])
         if step == generations - 1:
             break
-        kids = pop[rng.integers(0, max(1, population // 2), population - elite)]
-        moved = np.flatnonzero(rng.random(len(kids)) < mutation)
-        gene = rng.integers(0, len(bounds), len(moved))
-        kids[moved, gene] += rng.normal(0, 0.5, len(moved))
-        pop = np.concatenate([pop[:elite], np.clip(kids, low, high)])
+        kid = every[elite:]
+        u = lambda k: draw(key, run, step + 1, kid, k)  # noqa: B023, E731
+        kids = pop[np.floor(u(100) * max(1, population // 2)).astype(int)]
+        moved = np.flatnonzero(u(101) < mutation)
+        gene = np.floor(u(102) * len(bounds)).astype(int)[moved]
+        kids[moved, gene] += (0.5 * np.sqrt(-2 * np.log(np.maximum(u(103), 1e-9))) * np.cos(2 * np.pi * u(104)))[moved]
+        pop = np.concatenate([pop[:elite], np.round(np.clip(kids, low, high), 9)])
     return pop[0], best
 
 
-def genetic_search(nodes: DataFrame, fitness, bounds: list[tuple[float, float]], *, seed: int = 42, **options) -> DataFrame:
-    """id, genes, best: for each node (id, context: array of double) a seeded search within bounds; fitness(context, genes of all candidates) gives their values. Nodes are
+def genetic_search(nodes: DataFrame, fitness, bounds: list[tuple[float, float]], *, run: int = 42, **options) -> DataFrame:
+    """id, genes, best: for each node (id, context: array of double) a search within bounds; fitness(context, genes of all candidates) gives their values. Nodes are
     independent, so they are dealt to tasks as rows. options: of evolve().
     """
-    import numpy as np
-    import pyarrow as pa
 
-    def run(batches):
+    def search(batches):
         for b in batches:
             out = []
             for i, context in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                genes, best = evolve(lambda g, c=np.array(context): fitness(c, g), bounds, [seed, int(i) & 0xFFFFFFFF], **options)
+                genes, best = evolve(lambda g, c=np.array(context): fitness(c, g), bounds, int(i), run, **options)
                 out.append((i, genes.tolist(), best))
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.list_(pa.float64())), pa.array([o[2] for o in out], pa.float64())], names=["id", "genes", "best"])
 
-    return nodes.select("id", "context").mapInArrow(run, "id long, genes array<double>, best double")
+    return nodes.select("id", "context").mapInArrow(search, "id long, genes array<double>, best double")

@@ -290,6 +290,63 @@ def network_optimizer(spark, sf):
     return rounded(out.select("target", F.col("genes")[0].alias("shift_bal"), F.col("genes")[1].alias("shift_phase"), "value"), 4)
 
 
+_SEARCH = {"population": 20, "generations": 4, "elite": 5, "mutation": 0.3}
+_BOUNDS = [(1.0, 4.0), (0.5, 3.5)]
+
+
+def _search_sql() -> str:
+    """evolve() for all cells at once: the first generation, then for each one its values, its order and the next."""
+    m, n, half = model(), _SEARCH["population"], _SEARCH["population"] // 2
+    p = policy._PRIME
+    square = lambda h, c: f"({h} * {h} + {c}) % {p}"
+
+    def drawn(name: str, source: str, generation: int, ks: list[int]) -> str:
+        """source(id, c, ...) with u{k} for each k."""
+        first = ", ".join(f"(id % {p} * 48271 + {42 * 69621 + generation * 16807 + k * 131 + 11} + c * 8191) % {p} AS a{k}" for k in ks)
+        second, third = ", ".join(f"{square(f'a{k}', 7)} AS b{k}" for k in ks), ", ".join(f"(b{k} * 48271 + 3) % {p} AS d{k}" for k in ks)
+        return f"{name} AS (SELECT *, {', '.join(f'({square(f"d{k}", 13)}) / {p}.0::DOUBLE AS u{k}' for k in ks)} FROM (SELECT *, {third} FROM (SELECT *, {second} FROM (SELECT *, {first} FROM {source}))))"
+
+    elu = lambda e: f"(CASE WHEN {e} > 0 THEN {e} ELSE exp({e}) - 1 END)"
+    lines = lambda xs: ", ".join(xs)
+
+    def valued(name: str, source: str) -> str:
+        """source(id, c, g0, g1, f) with y0, y1 of the network of a cell alone, its features moved by the genes."""
+        x = ["(f[1] + g0)", "(f[2] + g1)", "f[3]"]
+        h = lines(f"{elu('(' + ' + '.join(f'{x[i]} * {float(m.first.left[i, k])!r}' for i in range(3)) + f' + {float(m.first.bias[k])!r})')} AS h{k}" for k in range(_WIDE))
+        g = lines(f"{elu('(' + ' + '.join(f'h{i} * {float(m.second.left[i, k])!r}' for i in range(_WIDE)) + f' + {float(m.second.bias[k])!r})')} AS z{k}" for k in range(HIDDEN))
+        y = lines(f"z0 * {float(m.weight[0, t])!r} + z1 * {float(m.weight[1, t])!r} + {float(m.bias[t])!r} AS y{t}" for t in range(2))
+        return f"{name} AS (SELECT id, c, g0, g1, f, {y} FROM (SELECT *, {g} FROM (SELECT *, {h} FROM {source})))"
+
+    ctes = [f"{GRID_SQL}, n AS (SELECT id, [bal / 10000, (id % 7) / 7.0, x / 8000] AS f FROM grid)", "k0 AS (SELECT id, 0 AS c, 0.0 AS g0, 0.0 AS g1, f FROM n)", valued("base", "k0")]
+    ctes += [drawn("q0", f"(SELECT id, f, c FROM n, range({n}) t(c))", 0, [0, 1])]
+    ctes += ["pop0 AS MATERIALIZED (SELECT id, c, " + lines(f"round({lo} + ({hi} - {lo}) * u{k}, 9) AS g{k}" for k, (lo, hi) in enumerate(_BOUNDS)) + ", f FROM q0)"]
+    for step in range(_SEARCH["generations"]):
+        ctes += [valued(f"y{step}", f"pop{step}")]
+        ctes += [f"o{step} AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(value, 9) DESC, c) - 1 AS place FROM (SELECT y.*, (y.y1 - base.y1) - 2 * (y.y0 - base.y0) AS value FROM y{step} y JOIN base USING (id)))"]
+        if step < _SEARCH["generations"] - 1:
+            ctes += [drawn(f"q{step + 1}", f"(SELECT id, c FROM pop{step} WHERE c >= {_SEARCH['elite']})", step + 1, [100, 101, 102, 103, 104])]
+            move = lambda k: f"least({_BOUNDS[k][1]}, greatest({_BOUNDS[k][0]}, o.g{k} + CASE WHEN u101 < {_SEARCH['mutation']} AND floor(u102 * 2) = {k} THEN 0.5 * sqrt(-2 * ln(greatest(u103, 1e-9))) * cos(2 * pi() * u104) ELSE 0 END))"
+            ctes += [f"pop{step + 1} AS MATERIALIZED (SELECT id, place AS c, g0, g1, f FROM o{step} WHERE place < {_SEARCH['elite']} UNION ALL SELECT q.id, q.c, round({move(0)}, 9), round({move(1)}, 9), f FROM q{step + 1} q JOIN o{step} o ON o.id = q.id AND o.place = floor(u100 * {half}))"]
+    return f"WITH {', '.join(ctes)} SELECT id, round(g0, 4) AS shift_bal, round(g1, 4) AS shift_phase, round(value, 6) + 0.0 AS gain FROM o{_SEARCH['generations'] - 1} WHERE place = 0"
+
+
+@query(_search_sql())
+def genetic_search(spark, sf):
+    """For each cell the shifts of two features that gain most by the network of a cell alone (the second target's rise less twice the first's): twenty candidates, four generations."""
+    from latticework.operators.explain import alone
+
+    predict = alone(model())
+
+    def fitness(x, genes):
+        moved = np.tile(x, (len(genes) + 1, 1))
+        moved[1:, :2] += genes
+        y = predict(moved)
+        return (y[1:, 1] - y[0, 1]) - 2 * (y[1:, 0] - y[0, 0])
+
+    found = policy.genetic_search(nodes(spark, sf).select("id", F.col("x").alias("context")), fitness, _BOUNDS, **_SEARCH)
+    return found.select("id", F.round(F.col("genes")[0], 4).alias("shift_bal"), F.round(F.col("genes")[1], 4).alias("shift_phase"), (F.round("best", 6) + F.lit(0.0)).alias("gain"))
+
+
 _CENTRAL = "ce AS (SELECT kind, avg(x) AS mx, avg(y) AS my FROM grid GROUP BY 1), nb AS (SELECT kind, arg_min(id, (round(power(x - mx, 2) + power(y - my, 2), 6), id)) AS id FROM grid JOIN ce USING (kind) GROUP BY 1)"
 
 

@@ -217,11 +217,3 @@ def shap_group_sum(spark, sf):
 def least_squares(spark, sf):
     b = stats.least_squares(_linear(spark, sf), ["f1"], "truth")
     return spark.createDataFrame([(round(float(b[0]), 4), round(float(b[1]), 4))], "intercept double, slope double")
-
-
-@query()
-def genetic_search(spark, sf):
-    """A hundred candidates and fifty generations for each cell: nearest to a point of its own."""
-    nodes = grid(spark, sf).select("id", F.array(F.col("bal") / 10000, F.lit(2.0)).alias("context"))
-    fitness = lambda c, genes: -((genes - c) ** 2).sum(1)
-    return rounded(policy.genetic_search(nodes, fitness, [(-1.0, 1.0), (0.5, 3.5)]).select("id", "best"), 6)

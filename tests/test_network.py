@@ -77,3 +77,34 @@ def test_shapley_values_add_up(town):
 def test_evolution_keeps_the_best_and_the_bounds():
     best, value = policy.evolve(lambda g: -((g - [2.0, 3.0]) ** 2).sum(1), [(0.0, 1.5), (0.0, 9.0)], 1)
     assert best[0] == pytest.approx(1.5, abs=0.02) and best[1] == pytest.approx(3.0, abs=0.3) and value <= -0.25 + 1e-9
+
+
+def test_draws_are_spread_and_unlike(spark):
+    c = np.arange(4000)
+    u = [policy.draw(12345, 1, 3, c, k) for k in range(4)]
+    for k, x in enumerate(u):
+        assert 0 <= x.min() and x.max() < 1 and abs(x.mean() - 0.5) < 0.02 and np.abs(np.bincount((x * 10).astype(int), minlength=10) - 400).max() < 90
+        assert abs(np.corrcoef(x[1:], x[:-1])[0, 1]) < 0.05 and all(abs(np.corrcoef(x, y)[0, 1]) < 0.05 for y in u[:k])
+
+
+def test_search_is_its_own_brute_force(spark):
+    """The same generations, one candidate after another."""
+    fitness = lambda c, genes: -((genes - c) ** 2).sum(1)
+    bounds, options = [(-1.0, 1.0), (0.5, 3.5)], {"population": 12, "generations": 6, "elite": 3, "mutation": 0.4}
+    nodes = spark.createDataFrame([(k, [k / 10, 2.0]) for k in range(5)], "id long, context array<double>")
+    for r in policy.genetic_search(nodes, fitness, bounds, run=7, **options).collect():
+        c = np.array([r.id / 10, 2.0])
+        pop = [[round(lo + (hi - lo) * policy.draw(r.id, 7, 0, i, g), 9) for g, (lo, hi) in enumerate(bounds)] for i in range(12)]
+        for step in range(6):
+            pop.sort(key=lambda g: -round(fitness(c, np.array([g]))[0], 9))  # noqa: B023
+            if step == 5:
+                break
+            kids = []
+            for i in range(3, 12):
+                u = lambda k: policy.draw(r.id, 7, step + 1, i, k)  # noqa: B023, E731
+                kid = list(pop[int(u(100) * 6)])
+                if u(101) < 0.4:
+                    kid[int(u(102) * 2)] += 0.5 * np.sqrt(-2 * np.log(max(u(103), 1e-9))) * np.cos(2 * np.pi * u(104))
+                kids.append([round(float(np.clip(v, lo, hi)), 9) for v, (lo, hi) in zip(kid, bounds, strict=True)])
+            pop = pop[:3] + kids
+        assert np.allclose(r.genes, pop[0]) and r.best == pytest.approx(fitness(c, np.array([pop[0]]))[0])
