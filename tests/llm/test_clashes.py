@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from latticework.llm import bpe, decontamination, jaccard_join, license_scan, pii, quality_classifier, substring_dedup
+from latticework.llm import bpe, decontamination, jaccard_join, license_scan, merkle_manifest, pii, quality_classifier, source_divergence, substring_dedup, suffix_dedup
 
 NAMES = ["__text", "__n", "__m", "__id", "__b", "__row", "__dir", "__x", "removed", "removed_", "base", "added", "own", "file", "row", "id", "size", "comp", "text_", "v", "part", "h"]
 
@@ -39,5 +39,8 @@ def test_columns_of_any_name(spark):
     assert all(r.decoded is not None for r in passed(bpe.decode(bpe.encode(docs, path), path)))
     passed(quality_classifier.classify(docs, None))
     assert [r.license for r in passed(license_scan.scan(docs.withColumn("path", docs.text))) if r.doc_id == 5] == ["MIT"]
-    for df in (jaccard_join.deduplicate(docs), substring_dedup.remove_repeats(docs), pii.redact(docs), decontamination.decontaminate(docs, benchmark)):
+    assert [r.text for r in passed(suffix_dedup.strip_repeats(docs, window=100)) if r.doc_id == 1] == [" x"]
+    source = docs.withColumns({"lang": docs.text, "source": docs.text, "n_chars": docs.doc_id})
+    assert merkle_manifest.manifest(source).where("verified").count() == 6 and source_divergence.audit(source).count() == 0
+    for df in (jaccard_join.deduplicate(docs), suffix_dedup.strip_repeats(docs), substring_dedup.remove_repeats(docs), pii.redact(docs), decontamination.decontaminate(docs, benchmark)):
         assert df.columns == docs.columns
