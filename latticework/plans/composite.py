@@ -97,9 +97,7 @@ def weight_sensitivity(spark, sf):
     both = weights.weighted_sum(s, INDICATORS, w, out="stress").withColumn("equal", stats.total([F.col(c) for c in INDICATORS]))
     for name in ("critic", "entropy"):
         both = weights.weighted_sum(both, INDICATORS, w, column=f"{name}_w", out=name)
-    both, found = written(both.select("stress", *_VARIANTS), "variants"), None
-    for name in _VARIANTS:
-        r = stats.spearman(both.select(F.round("stress", 9).alias("stress"), F.round(name, 9).alias(name)), "stress", name)
-        r = r.select(F.lit(name).alias("variant"), "r", "n", (F.abs("r") >= 0.9).alias("robust"))
-        found = r if found is None else found.unionByName(r)
+    both = both.select(*(F.round(c, 9).alias(c) for c in ("stress", *_VARIANTS)))
+    pairs = stats.spearman_pairs(written(both, "variants"), ["stress", *_VARIANTS])  # each column is ranked once
+    found = pairs.where("a = 'stress'").select(F.col("b").alias("variant"), "r", "n", (F.abs("r") >= 0.9).alias("robust"))
     return rounded(found)
