@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -283,10 +285,14 @@ def champion_scan(spark, sf):
 @query()
 def network_optimizer(spark, sf):
     """Shifts of two features for the three champions: a hundred candidates, fifty generations, the mean of three runs."""
+    return _optimised(spark, sf)
+
+
+def _optimised(spark, sf, **options):
     pool = rank.hash_sample(grid(spark, sf).select("id"), "id", 800)
     n, e = nodes(spark, sf), edges(spark, sf)
     best = network.champions(network.shift_gains(pool, n, e, model(), {0: 3.0, 1: 3.0}, 3, (-1.0, 1.0)), 0).select(F.col("target").alias("id"))
-    out = network.optimise(best, n, e, model(), [0, 1], [(1.0, 4.0), (0.5, 3.5)], main=0, weights=(10.0, 1.0), signs=(-1.0, 1.0))
+    out = network.optimise(best, n, e, model(), [0, 1], _BOUNDS, main=0, weights=(10.0, 1.0), signs=(-1.0, 1.0), **options)
     return rounded(out.select("target", F.col("genes")[0].alias("shift_bal"), F.col("genes")[1].alias("shift_phase"), "value"), 4)
 
 
@@ -294,39 +300,46 @@ _SEARCH = {"population": 20, "generations": 4, "elite": 5, "mutation": 0.3}
 _BOUNDS = [(1.0, 4.0), (0.5, 3.5)]
 
 
-def _search_sql() -> str:
-    """evolve() for all cells at once: the first generation, then for each one its values, its order and the next."""
-    m, n, half = model(), _SEARCH["population"], _SEARCH["population"] // 2
+def _drawn(name: str, source: str, generation: int, ks: list[int]) -> str:
+    """policy.draw of source(id, run, c, ...) as u{k} for each k."""
     p = policy._PRIME
     square = lambda h, c: f"({h} * {h} + {c}) % {p}"
+    first = ", ".join(f"(id % {p} * 48271 + run * 69621 + {generation * 16807 + k * 131 + 11} + c * 8191) % {p} AS a{k}" for k in ks)
+    second, third = ", ".join(f"{square(f'a{k}', 7)} AS b{k}" for k in ks), ", ".join(f"(b{k} * 48271 + 3) % {p} AS d{k}" for k in ks)
+    return f"{name} AS (SELECT *, {', '.join(f'({square(f"d{k}", 13)}) / {p}.0::DOUBLE AS u{k}' for k in ks)} FROM (SELECT *, {third} FROM (SELECT *, {second} FROM (SELECT *, {first} FROM {source}))))"
+
+
+def _generations(start: str, options: dict, value: Callable[[int], list[str]]) -> list[str]:
+    """evolve() for start(id, run): CTEs pop{step}(id, run, c, g0, g1), what value(step) adds, which ends with val{step}(id, run, c, g0, g1, value), and o{step}, these in order."""
+    n, elite = options["population"], options["elite"]
+    ctes = [_drawn("q0", f"(SELECT id, run, c FROM {start}, range({n}) t(c))", 0, [0, 1])]
+    ctes += ["pop0 AS MATERIALIZED (SELECT id, run, c, " + ", ".join(f"round({lo} + ({hi} - {lo}) * u{k}, 9) AS g{k}" for k, (lo, hi) in enumerate(_BOUNDS)) + " FROM q0)"]
+    for step in range(options["generations"]):
+        ctes += value(step)
+        ctes += [f"o{step} AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY id, run ORDER BY round(value, 9) DESC, c) - 1 AS place FROM val{step})"]
+        if step < options["generations"] - 1:
+            ctes += [_drawn(f"q{step + 1}", f"(SELECT id, run, c FROM pop{step} WHERE c >= {elite})", step + 1, [100, 101, 102, 103, 104])]
+            move = lambda k: f"least({_BOUNDS[k][1]}, greatest({_BOUNDS[k][0]}, o.g{k} + CASE WHEN u101 < {options['mutation']} AND floor(u102 * 2) = {k} THEN 0.5 * sqrt(-2 * ln(greatest(u103, 1e-9))) * cos(2 * pi() * u104) ELSE 0 END))"
+            ctes += [f"pop{step + 1} AS MATERIALIZED (SELECT id, run, place AS c, g0, g1 FROM o{step} WHERE place < {elite} UNION ALL SELECT q.id, q.run, q.c, round({move(0)}, 9), round({move(1)}, 9) FROM q{step + 1} q JOIN o{step} o ON o.id = q.id AND o.run = q.run AND o.place = floor(u100 * {max(1, n // 2)}))"]
+    return ctes
 
-    def drawn(name: str, source: str, generation: int, ks: list[int]) -> str:
-        """source(id, c, ...) with u{k} for each k."""
-        first = ", ".join(f"(id % {p} * 48271 + {42 * 69621 + generation * 16807 + k * 131 + 11} + c * 8191) % {p} AS a{k}" for k in ks)
-        second, third = ", ".join(f"{square(f'a{k}', 7)} AS b{k}" for k in ks), ", ".join(f"(b{k} * 48271 + 3) % {p} AS d{k}" for k in ks)
-        return f"{name} AS (SELECT *, {', '.join(f'({square(f"d{k}", 13)}) / {p}.0::DOUBLE AS u{k}' for k in ks)} FROM (SELECT *, {third} FROM (SELECT *, {second} FROM (SELECT *, {first} FROM {source}))))"
 
+def _search_sql() -> str:
+    """All cells at once, by the network of a cell alone."""
+    m = model()
     elu = lambda e: f"(CASE WHEN {e} > 0 THEN {e} ELSE exp({e}) - 1 END)"
     lines = lambda xs: ", ".join(xs)
 
     def valued(name: str, source: str) -> str:
-        """source(id, c, g0, g1, f) with y0, y1 of the network of a cell alone, its features moved by the genes."""
+        """source(id, c, g0, g1, f, ...) with y0, y1 of the network of a cell alone, its features moved by the genes."""
         x = ["(f[1] + g0)", "(f[2] + g1)", "f[3]"]
         h = lines(f"{elu('(' + ' + '.join(f'{x[i]} * {float(m.first.left[i, k])!r}' for i in range(3)) + f' + {float(m.first.bias[k])!r})')} AS h{k}" for k in range(_WIDE))
         g = lines(f"{elu('(' + ' + '.join(f'h{i} * {float(m.second.left[i, k])!r}' for i in range(_WIDE)) + f' + {float(m.second.bias[k])!r})')} AS z{k}" for k in range(HIDDEN))
         y = lines(f"z0 * {float(m.weight[0, t])!r} + z1 * {float(m.weight[1, t])!r} + {float(m.bias[t])!r} AS y{t}" for t in range(2))
-        return f"{name} AS (SELECT id, c, g0, g1, f, {y} FROM (SELECT *, {g} FROM (SELECT *, {h} FROM {source})))"
-
-    ctes = [f"{GRID_SQL}, n AS (SELECT id, [bal / 10000, (id % 7) / 7.0, x / 8000] AS f FROM grid)", "k0 AS (SELECT id, 0 AS c, 0.0 AS g0, 0.0 AS g1, f FROM n)", valued("base", "k0")]
-    ctes += [drawn("q0", f"(SELECT id, f, c FROM n, range({n}) t(c))", 0, [0, 1])]
-    ctes += ["pop0 AS MATERIALIZED (SELECT id, c, " + lines(f"round({lo} + ({hi} - {lo}) * u{k}, 9) AS g{k}" for k, (lo, hi) in enumerate(_BOUNDS)) + ", f FROM q0)"]
-    for step in range(_SEARCH["generations"]):
-        ctes += [valued(f"y{step}", f"pop{step}")]
-        ctes += [f"o{step} AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(value, 9) DESC, c) - 1 AS place FROM (SELECT y.*, (y.y1 - base.y1) - 2 * (y.y0 - base.y0) AS value FROM y{step} y JOIN base USING (id)))"]
-        if step < _SEARCH["generations"] - 1:
-            ctes += [drawn(f"q{step + 1}", f"(SELECT id, c FROM pop{step} WHERE c >= {_SEARCH['elite']})", step + 1, [100, 101, 102, 103, 104])]
-            move = lambda k: f"least({_BOUNDS[k][1]}, greatest({_BOUNDS[k][0]}, o.g{k} + CASE WHEN u101 < {_SEARCH['mutation']} AND floor(u102 * 2) = {k} THEN 0.5 * sqrt(-2 * ln(greatest(u103, 1e-9))) * cos(2 * pi() * u104) ELSE 0 END))"
-            ctes += [f"pop{step + 1} AS MATERIALIZED (SELECT id, place AS c, g0, g1, f FROM o{step} WHERE place < {_SEARCH['elite']} UNION ALL SELECT q.id, q.c, round({move(0)}, 9), round({move(1)}, 9), f FROM q{step + 1} q JOIN o{step} o ON o.id = q.id AND o.place = floor(u100 * {half}))"]
+        return f"{name} AS (SELECT id, run, c, g0, g1, {y} FROM (SELECT *, {g} FROM (SELECT *, {h} FROM {source})))"
+
+    ctes = [f"{GRID_SQL}, n AS (SELECT id, 42 AS run, [bal / 10000, (id % 7) / 7.0, x / 8000] AS f FROM grid)", "k0 AS (SELECT id, run, 0 AS c, 0.0 AS g0, 0.0 AS g1, f FROM n)", valued("base", "k0")]
+    ctes += _generations("n", _SEARCH, lambda k: [valued(f"y{k}", f"(SELECT pop{k}.*, f FROM pop{k} JOIN n USING (id))"), f"val{k} AS (SELECT y.id, y.run, y.c, y.g0, y.g1, (y.y1 - base.y1) - 2 * (y.y0 - base.y0) AS value FROM y{k} y JOIN base USING (id))"])
     return f"WITH {', '.join(ctes)} SELECT id, round(g0, 4) AS shift_bal, round(g1, 4) AS shift_phase, round(value, 6) + 0.0 AS gain FROM o{_SEARCH['generations'] - 1} WHERE place = 0"
 
 
@@ -347,6 +360,33 @@ def genetic_search(spark, sf):
     return found.select("id", F.round(F.col("genes")[0], 4).alias("shift_bal"), F.round(F.col("genes")[1], 4).alias("shift_phase"), (F.round("best", 6) + F.lit(0.0)).alias("gain"))
 
 
+_FEW = {"population": 12, "generations": 3, "elite": 3, "mutation": 0.4}
+
+
+def _optimizer_sql() -> str:
+    """The champions' searches: every candidate of every run is a variant of its target's surroundings."""
+    v = "p.id * 10000 + (p.run - 42) * 1000 + p.c"
+
+    def value(k: int) -> list[str]:
+        return [
+            f"xs{k} AS (SELECT {v} AS v, nb.id, k, f[k + 1] + CASE WHEN nb.id = p.id THEN CASE k WHEN 0 THEN g0 WHEN 1 THEN g1 ELSE 0 END ELSE 0 END AS x FROM pop{k} p JOIN nb ON nb.t = p.id JOIN n ON n.id = nb.id, range(3) u(k))",
+            f"es{k} AS (SELECT {v} AS v, ea.* FROM pop{k} p JOIN nb a ON a.t = p.id JOIN nb b ON b.t = p.id JOIN ea ON ea.src = a.id AND ea.dst = b.id)",
+            _net_sql(f"xs{k}", f"es{k}", f"_s{k}"),
+            f"val{k} AS (SELECT p.id, p.run, p.c, g0, g1, sum(-10 * (z.a - y.a)) + sum(CASE WHEN z.id = p.id THEN z.b - y.b ELSE 0 END) AS value FROM pop{k} p JOIN y_s{k} z ON z.v = {v} JOIN y ON y.id = z.id JOIN ea ON ea.src = p.id AND ea.dst = z.id GROUP BY ALL)",
+        ]
+
+    champion = f"{_POOL}, {_SHIFTED.format(tg='tg', shift='CASE WHEN k < 2 THEN 3.0 ELSE 0 END')}, {_net_sql('x1', 'e1', '1')}, {_GAIN}, top AS MATERIALIZED (SELECT t AS id FROM gn ORDER BY round(own_a + near_a, 9) DESC, t LIMIT 3)"
+    around = "nb AS MATERIALIZED (SELECT t.id AS t, g.id FROM top t JOIN grid c ON c.id = t.id JOIN grid g ON abs(g.cx - c.cx) + abs(g.cy - c.cy) <= 4), runs AS (SELECT id, run FROM top, range(42, 45) r(run))"
+    last = _FEW["generations"] - 1
+    return f"WITH {_ONE}, {champion}, {around}, {', '.join(_generations('runs', _FEW, value))} SELECT id AS target, round(avg(g0), 4) AS shift_bal, round(avg(g1), 4) AS shift_phase, round(avg(value), 4) + 0.0 AS value FROM o{last} WHERE place = 0 GROUP BY id"
+
+
+@query(_optimizer_sql())
+def network_optimizer_few(spark, sf):
+    """As network_optimizer, with twelve candidates and three generations, so that SQL can follow."""
+    return _optimised(spark, sf, **_FEW)
+
+
 _CENTRAL = "ce AS (SELECT kind, avg(x) AS mx, avg(y) AS my FROM grid GROUP BY 1), nb AS (SELECT kind, arg_min(id, (round(power(x - mx, 2) + power(y - my, 2), 6), id)) AS id FROM grid JOIN ce USING (kind) GROUP BY 1)"
 
 
