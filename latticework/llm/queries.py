@@ -216,4 +216,16 @@ ORACLE_SQL = {
         root AS (SELECT h FROM tv WHERE n = 1)
         SELECT d.doc_id, leaf, sub.h AS subroot, root.h AS root, sha256(coalesce(p, '')) AS proof_sha256, x AS folded_root, x = root.h AS verified
         FROM leaf d JOIN sub ON sub.source IS NOT DISTINCT FROM d.source CROSS JOIN root LEFT JOIN proof USING (doc_id) JOIN (SELECT doc_id, max_by(x, k) AS x FROM folds GROUP BY doc_id) USING (doc_id)""",
+    "op11_suffix_dedup": r"""
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM documents),
+        part AS (SELECT doc_id, 2000 * b AS first, least(2000, n - 399 - 2000 * b) AS m, substr(x, 4000 * b + 1, 4798) AS y FROM (SELECT *, unnest(range((n + 1600) // 2000)) AS b FROM d WHERE n >= 400)),
+        w AS (SELECT doc_id, first + k AS k, md5(substr(y, 2 * k + 1, 800)) AS h FROM (SELECT *, unnest(range(m)) AS k FROM part)),
+        hit AS (SELECT doc_id, k FROM w JOIN (SELECT h FROM w GROUP BY h HAVING count(*) > 1) USING (h)),
+        fresh AS (SELECT doc_id, k, CASE WHEN k <= lag(k) OVER (PARTITION BY doc_id ORDER BY k) + 400 THEN 0 ELSE 1 END AS f FROM hit),
+        r AS (SELECT doc_id, min(k) AS a, max(k) + 400 AS e FROM (SELECT doc_id, k, sum(f) OVER (PARTITION BY doc_id ORDER BY k) AS g FROM fresh) GROUP BY doc_id, g),
+        n AS (SELECT doc_id, sum(e - a) AS n_removed, count(*) AS n_spans, max(e) AS last FROM r GROUP BY doc_id),
+        gap AS (SELECT doc_id, lag(e, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS s, a AS t FROM r UNION ALL SELECT doc_id, coalesce(last, 0), n FROM d LEFT JOIN n USING (doc_id)),
+        kept AS (SELECT doc_id, string_agg(substr(x, 2 * s + 1, 2 * (t - s)), '' ORDER BY s) AS x FROM gap JOIN d USING (doc_id) GROUP BY doc_id)
+        SELECT doc_id, d.n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(kept.x)) AS kept_sha256
+        FROM d JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)""",
 }
