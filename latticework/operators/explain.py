@@ -20,15 +20,26 @@ from .network import Model, _around
 ROWS = 100_000
 
 
-def alone(model: Model) -> Callable[[np.ndarray], np.ndarray]:
+class Alone:
     """The network of a node without edges, for rows of features: its loop has all of its attention."""
-    a, b, weight, bias = model.first, model.second, model.weight, model.bias
-    elu = lambda z: np.where(z > 0, z, np.expm1(np.minimum(z, 0)))
 
-    def predict(x: np.ndarray) -> np.ndarray:
-        return elu(elu(x @ a.left + a.bias) @ b.left + b.bias) @ weight + bias
+    def __init__(self, model: Model):
+        self.first, self.second, self.weight, self.bias = model.first, model.second, model.weight, model.bias
 
-    return predict
+    def _rest(self, z: np.ndarray) -> np.ndarray:
+        elu = lambda v: np.where(v > 0, v, np.expm1(np.minimum(v, 0)))
+        return elu(elu(z) @ self.second.left + self.second.bias) @ self.weight + self.bias
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        return self._rest(x @ self.first.left + self.first.bias)
+
+    def mixed(self, x: np.ndarray, background: np.ndarray, present: np.ndarray) -> np.ndarray:
+        """(rows, background, targets): the present features from x and the others from the background, whose parts of the first layer are added, not worked out for each pair."""
+        return self._rest((x[:, present] @ self.first.left[present])[:, None] + (background[:, ~present] @ self.first.left[~present] + self.first.bias))
+
+
+def alone(model: Model) -> Alone:
+    return Alone(model)
 
 
 def _draw(j: int, f: int) -> int:
@@ -103,8 +114,8 @@ def kernel_shapley(rows: DataFrame, predict: Callable[[np.ndarray], np.ndarray],
                 n, full = len(x), predict(x)
                 value = np.empty((len(z) + 1, n, full.shape[1]))
                 for k, present in enumerate(z):
-                    mixed = np.where(present, x[:, None], background[None]).reshape(-1, size)
-                    value[k] = np.tensordot(predict(mixed).reshape(n, len(background), -1), share, (1, 0))
+                    mixed = predict.mixed(x, background, present) if hasattr(predict, "mixed") else predict(np.where(present, x[:, None], background[None]).reshape(-1, size)).reshape(n, len(background), -1)
+                    value[k] = np.tensordot(mixed, share, (1, 0))
                 value[-1] = full
                 phi = np.tensordot(value - empty, solve, (0, 1)).transpose(0, 2, 1)  # rows, features, targets
                 who = ids.slice(at, n).take(pa.array(np.repeat(np.arange(n), size)))
