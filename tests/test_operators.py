@@ -144,6 +144,11 @@ def test_split_sizes(spark):
     assert n == {"train": 6391, "val": 1369, "test": 1370}
 
 
+def test_split_takes_shares_as_decimals(spark):
+    n = {r.split: r["count"] for r in rank.hash_split(spark.range(90_000), "id").groupBy("split").count().collect()}
+    assert n == {"train": 63_000, "val": 13_500, "test": 13_500}  # 90000 * 0.7 is 62999.99999999999 as a double
+
+
 def test_silhouette_of_a_single_row_is_zero(spark):
     df = spark.createDataFrame([(1, 0.0, "a"), (2, 1.0, "a"), (3, 9.0, "b")], "id long, v double, l string")
     got = {r.id: r.silhouette for r in cluster.silhouette(df, ["v"], "l").collect()}
