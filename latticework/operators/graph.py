@@ -16,10 +16,22 @@ from . import rank, spatial, stats
 from .meet import meetings
 
 
-def gaussian_edges(nodes: DataFrame, radius: float = 600.0, sigma: float = 200.0) -> DataFrame:
-    """exp(-d**2 / (2 sigma**2)) within the radius, rows standardised."""
-    e = spatial.radius_edges(nodes, radius)
-    return stats.row_standardised(e.select("src", "dst", F.exp(-F.col("d") * F.col("d") / (2 * sigma * sigma)).alias("w")))
+def gaussian_edges(nodes: DataFrame, radius: float = 600.0, sigma: float = 200.0, keep: tuple[str, ...] = (), distance: bool = False) -> DataFrame:
+    """src, dst, w: exp(-d**2 / (2 sigma**2)) within the radius, rows standardised; src_c and dst_c for each column c of keep, and d if asked for."""
+    types = dict(nodes.dtypes)
+    names = ["src", "dst", "w", *(f"{end}_{c}" for c in keep for end in ("src", "dst")), *(["d"] if distance else [])]
+    kinds = [types["id"], types["id"], "double", *(types[c] for c in keep for _ in range(2)), *(["double"] if distance else [])]
+
+    def weigh(q: pa.Table, row: np.ndarray, m: pa.Table, col: np.ndarray, d: np.ndarray) -> pa.Table:
+        other = q.column("id").to_numpy()[row] != m.column("id").to_numpy()[col]
+        row, col, d = row[other], col[other], d[other]
+        w = np.exp(-d * d / (2 * sigma * sigma))
+        total = np.bincount(row, w, q.num_rows)[row]
+        ends = [t.column(c).take(at) for c in ("id", *keep) for t, at in ((q, pa.array(row)), (m, pa.array(col)))]
+        return pa.table([*ends[:2], pa.array(w / np.where(total == 0, 1.0, total)), *ends[2:], *([pa.array(d)] if distance else [])], names=names)
+
+    at = nodes.select("id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), *keep)
+    return spatial.around(at, at, radius, weigh, ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True)))
 
 
 #: Pivots of a search, at most, and what is added to an angle's bound, so that similarities that are equal when rounded are all seen.

@@ -244,7 +244,7 @@ def point_in_cell(spark, sf):
 def radius_join_count(spark, sf):
     """Points within 600 m of each cell, as an equi-join on bins."""
     pts = points(spark, sf).select(F.col("event_id").alias("id"), "x", "y", "event_type")
-    return spatial.radius_join(grid(spark, sf).select("id", "x", "y"), pts, 600.0).groupBy(F.col("a_id").alias("id")).agg(F.count("*").alias("n"), F.countDistinct("b_event_type").alias("kinds"))
+    return spatial.kinds_around(grid(spark, sf).select("id", "x", "y"), pts, 600.0, "event_type")
 
 
 #: Districts: stars of ten corners around every 53rd cell, in no order of size; they overlap.
