@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from latticework.storage import written
 
 from . import gat
-from .network import Model, _around
+from .network import Model, _around, _looped
 
 #: Rows of features that a predictor gets at once.
 ROWS = 100_000
@@ -235,8 +235,7 @@ def explain(targets: DataFrame, nodes: DataFrame, edges: DataFrame, model: Model
     Each target's surroundings, two steps deep, travel as arrays (their size is the square of a node's edges, not the graph's); all targets of an Arrow batch learn together, as one graph
     of parts that aren't linked. Starting values are hashes of ids, so a target's masks are the same in any batch.
     """
-    looped = written(gat.with_loops(nodes, edges), "edges")
-    inner, ids = _around(targets, looped)
+    inner, ids = _around(targets, _looped(targets, nodes, edges))
     n = ids.join(nodes.select("id", "x"), "id").groupBy("target").agg(F.array_sort(F.collect_list(F.struct("id", "x"))).alias("nodes"))
     e = inner.groupBy("target").agg(F.array_sort(F.collect_list(F.struct("src", "dst", "w"))).alias("edges"))
 
