@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from latticework.functions.expr import dot
 from latticework.storage import new_path, written
 
-from . import rank, spatial, stats
+from . import meet, rank, spatial
 from .meet import meetings
 
 
@@ -36,6 +36,8 @@ def gaussian_edges(nodes: DataFrame, radius: float = 600.0, sigma: float = 200.0
 
 #: Pivots of a search, at most, and what is added to an angle's bound, so that similarities that are equal when rounded are all seen.
 MOST_PIVOTS, SLACK = 2048, 1e-5
+#: Blocks of rows that a heap of cells holds, about: how often a row is sent falls with it, and a task's rows grow.
+HEAP_BLOCKS = 4
 
 
 def _unit(rows) -> np.ndarray:
@@ -48,12 +50,14 @@ def _angle(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(a @ b.T, -1, 1))
 
 
-def _best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int) -> pa.Table:
-    """The k best of v for each of q, by rounded similarity, then id."""
+def _best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int, cells: tuple[np.ndarray, np.ndarray] | None = None) -> pa.Table:
+    """The k best of v for each of q, by rounded similarity, then id; none of the same cell, if cells are given."""
     parts = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
     for i in range(0, len(q), 512):
         sim = np.round(q[i : i + 512] @ v.T, 12)
         sim[q_ids[i : i + 512, None] == ids[None, :]] = -np.inf
+        if cells:
+            sim[cells[0][i : i + 512, None] == cells[1][None, :]] = -np.inf
         if sim.shape[1] > k:  # the k-th largest of each row; whatever equals it is sorted out by id
             least = np.partition(sim, -k, axis=1)[:, -k]
             row, col = np.nonzero((sim >= least[:, None]) & np.isfinite(sim))
@@ -95,8 +99,9 @@ def _placed(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
     return written(vectors.select(F.col("id").cast("long").alias("id"), "v").mapInArrow(run, "id long, v array<double>, key int, angle double"), "placed")
 
 
-def visits(placed: DataFrame, known: DataFrame, pivots: np.ndarray) -> DataFrame:
+def visits(placed: DataFrame, known: DataFrame, pivots: np.ndarray, heap: np.ndarray | None = None) -> DataFrame:
     """id, v, key, home: the cells that can hold one of a row's best, its own cell (home) among them. known: id, least (the k-th best similarity so far, null if there are fewer).
+    With heap (a number for each cell): id, v, key, cell (the row's own): the heaps that have such cells beside its own.
 
     A row's angle to any member of a cell is its angle to the pivot less the cell's radius at least; cells beyond the k-th best angle are skipped.
     """
@@ -109,20 +114,28 @@ def visits(placed: DataFrame, known: DataFrame, pivots: np.ndarray) -> DataFrame
             v = np.array(b.column(1).to_pylist(), float).reshape(b.num_rows, -1)
             home, least = b.column(2).to_numpy(), b.column(3).to_numpy(zero_copy_only=False)
             limit = np.where(np.isnan(least), np.pi, np.arccos(np.clip(np.nan_to_num(least), -1, 1))) + SLACK
-            row, cell = np.nonzero((_angle(v, pivots) - radius <= limit[:, None]) & np.isfinite(radius))
+            reach = (_angle(v, pivots) - radius <= limit[:, None]) & np.isfinite(radius)
+            if heap is not None:
+                reach[np.arange(len(v)), home] = False
+                reach = np.logical_or.reduceat(reach, first, axis=1)  # cells of a heap follow each other
+            row, cell = np.nonzero(reach)
             for k in range(0, len(row), 20_000):
                 at = pa.array(row[k : k + 20_000])
-                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(cell[k : k + 20_000].astype(np.int32)), pa.array(cell[k : k + 20_000] == home[row[k : k + 20_000]])], names=["id", "v", "key", "home"])
+                own, to = home[row[k : k + 20_000]], cell[k : k + 20_000]
+                key, last = (to, pa.array(to == own)) if heap is None else (heap[first[to]], pa.array(own))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(key.astype(np.int32)), last], names=["id", "v", "key", "home" if heap is None else "cell"])
 
-    return placed.join(known, "id", "left").select("id", "v", "key", "least").mapInArrow(run, "id long, v array<double>, key int, home boolean")
+    first = None if heap is None else np.flatnonzero(np.r_[True, heap[1:] != heap[:-1]])
+    return placed.join(known, "id", "left").select("id", "v", "key", "least").mapInArrow(run, f"id long, v array<double>, key int, {'home boolean' if heap is None else 'cell int'}")
 
 
 def cosine_nearest(vectors: DataFrame, k: int = 8, pivots: int | None = None) -> DataFrame:
     """src, dst, sim, pos: the k most similar others by (similarity, id), self excluded by id. vectors: id, v (array).
 
     Exact, by pivots: every row belongs to the cell of its nearest pivot. Rows first meet their own cell; the k-th best similarity found there bounds the angle within which better ones lie,
-    and by the triangle inequality of angles only cells that reach into it are visited. Cells meet block by block, so a cell that holds most rows (copies, say) is more tasks, not a larger
-    one. Where all rows are about equally far from each other, no bound helps and all cells are visited.
+    and by the triangle inequality of angles only cells that reach into it are visited. Cells that follow each other are visited as one heap of about HEAP_BLOCKS blocks of rows, so a row is sent once for
+    each heap, not for each cell. They meet block by block, so a cell that holds most rows (copies, say) is more tasks, not a larger one. Where all rows are about equally far from each
+    other, no bound helps and all heaps are visited: then a row is sent as often as the table has blocks.
     """
     centres = _pivots(vectors, pivots)
     placed = _placed(vectors, centres)
@@ -130,15 +143,21 @@ def cosine_nearest(vectors: DataFrame, k: int = 8, pivots: int | None = None) ->
     def best(q: pa.Table, m: pa.Table) -> pa.Table:
         if not q.num_rows or not m.num_rows:
             return pa.table({"src": pa.array([], pa.int64()), "dst": pa.array([], pa.int64()), "sim": pa.array([], pa.float64())})
-        wide = lambda t: np.array(t.column("v").to_pylist(), float)
-        return _best(q.column("id").to_numpy(), wide(q), m.column("id").to_numpy(), wide(m), k)
+        wide = lambda t: t.column("v").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
+        cells = (q.column("cell").to_numpy(), m.column("cell").to_numpy()) if "cell" in q.column_names else None
+        return _best(q.column("id").to_numpy(), wide(q), m.column("id").to_numpy(), wide(m), k, cells)
 
     top = Window.partitionBy("src").orderBy(F.col("sim").desc(), "dst")
     rows = placed.select("key", "id", "v")
     home = meetings(rows, rows, best, _SIMILAR).withColumn("pos", F.row_number().over(top)).where(F.col("pos") <= k)
     home = written(home, "home")
     known = home.where(F.col("pos") == k).select(F.col("src").alias("id"), F.col("sim").alias("least"))
-    away = meetings(visits(placed, known, centres).where("NOT home").drop("home"), rows, best, _SIMILAR)
+    size = np.zeros(len(centres), np.int64)
+    for r in placed.groupBy("key").agg(F.count("*").alias("n")).collect():  # a row for each pivot
+        size[r.key] = r.n
+    heap = (np.cumsum(size) - size) // (HEAP_BLOCKS * meet.BLOCK_ROWS)
+    in_heap = placed.select(F.col("key").alias("cell"), F.array(*(F.lit(int(h)) for h in heap))[F.col("key")].alias("key"), "id", "v")
+    away = meetings(visits(placed, known, centres, heap), in_heap, best, _SIMILAR, HEAP_BLOCKS * meet.BLOCK_ROWS)
     return home.drop("pos").unionByName(away).withColumn("pos", F.row_number().over(top)).where(F.col("pos") <= k)
 
 
@@ -152,6 +171,7 @@ def cosine_pairs(vectors: DataFrame) -> DataFrame:
 
 def mutual(edges: DataFrame) -> DataFrame:
     """Edges whose reverse is there too."""
+    edges = written(edges, "edges")  # read twice
     return edges.join(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")).distinct(), ["src", "dst"], "left_semi")
 
 

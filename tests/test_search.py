@@ -51,6 +51,22 @@ def test_copies_in_one_cell_zero_vectors_and_few_rows(spark, monkeypatch):
     assert graph.cosine_nearest(few.limit(1), 8).collect() == []
 
 
+def test_rows_without_structure_are_sent_to_heaps_not_to_cells(spark, monkeypatch):
+    monkeypatch.setattr(meet, "BLOCK_ROWS", 25)
+    v = np.random.default_rng(7).normal(size=(400, 24))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>")
+    sent, real = [], graph.visits
+
+    def counted(*args):
+        out = real(*args)
+        sent.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "visits", counted)
+    assert found(graph.cosine_nearest(df, 8)) == brute(v, 8)
+    assert 400 < sum(sent) <= 400 * 5  # four hundred rows are four or five heaps of a hundred; there are twenty cells
+
+
 def silhouettes(x, l):
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
     out = []
