@@ -100,6 +100,22 @@ def test_silhouette_of_one_cluster_of_single_rows_and_of_equal_rows(spark):
     assert {r.silhouette for r in cluster.silhouette(same, ["a"], "l").collect()} == {0.0}
 
 
+def test_equal_rows_of_a_cluster_meet_once(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = np.repeat(rng.normal(size=(12, 2)), 10, axis=0)
+    label = np.repeat(np.arange(12) % 3, 10)
+    met, real = [], cluster.meetings
+
+    def counted(rows, members, *rest):
+        met.append(members.count())
+        return real(rows, members, *rest)
+
+    monkeypatch.setattr(cluster, "meetings", counted)
+    df = spark.createDataFrame([(i, *map(float, p), int(l)) for i, (p, l) in enumerate(zip(x, label, strict=True))], "id long, a double, b double, l int")
+    got = {r.id: r.silhouette for r in cluster.silhouette(df, ["a", "b"], "l").collect()}
+    assert met == [12] and np.allclose([got[i] for i in range(len(x))], silhouettes(x, label), atol=1e-9)
+
+
 def test_blocks_of_a_hot_key_are_small(spark):
     """Half of all rows have one key; no pair of blocks gets much more than its share."""
     import pyarrow as pa
