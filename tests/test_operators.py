@@ -301,3 +301,27 @@ def test_betweenness_counts_shortest_paths(spark):
     nodes, edges = spark.createDataFrame([(v,) for v in range(n)], "id long"), spark.createDataFrame(links, "src long, dst long")
     got = {r.id: r.betweenness for r in graph.betweenness(nodes, edges).collect()}
     assert np.allclose([got[v] for v in range(n)], want)
+
+
+@pytest.mark.parametrize("blocks", [1, 3, 7])
+def test_betweenness_by_blocks_equals_levels(spark, blocks):
+    rng = np.random.default_rng(blocks)
+    near = {(i, i + k) for i in range(150) for k in (1, 2, 9) if i + k < 150 and (i * k) % 5}  # a strip, whose shortest paths cross blocks
+    far = {(int(a), int(b)) for a, b in rng.integers(0, 150, (25, 2))} | {(200, 201), (201, 202), (3, 3)}  # leaps, another component and a loop
+    edges = spark.createDataFrame(sorted(near | far), "src long, dst long")
+    nodes = spark.createDataFrame([(v, (v * blocks // 150) if v % 11 else v % blocks) for v in range(205)], "id long, part long")
+    want = {r.id: r.betweenness for r in graph.betweenness(nodes, edges).collect()}
+    got = {r.id: r.betweenness for r in graph.betweenness(nodes, edges, F.col("part")).collect()}
+    assert got.keys() == want.keys() and np.allclose([got[v] for v in want], list(want.values())) and max(want.values()) > 100
+
+
+def test_betweenness_by_blocks_writes_no_pairs(spark, monkeypatch):
+    from latticework.operators import paths
+
+    rows = []
+    keep = paths.written
+    monkeypatch.setattr(paths, "written", lambda df, label: (rows.append((label, (t := keep(df, label)).count())), t)[1])
+    nodes = spark.range(400).withColumn("part", F.floor(F.col("id") / 100))
+    edges = spark.range(399).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    got = {r.id: r.betweenness for r in graph.betweenness(nodes, edges, F.col("part")).collect()}
+    assert all(got[v] == v * (399 - v) for v in range(400)) and sum(n for _, n in rows) < 5 * 400
