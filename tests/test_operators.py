@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 import math
 import subprocess
 import sys
@@ -325,3 +326,59 @@ def test_betweenness_by_blocks_writes_no_pairs(spark, monkeypatch):
     edges = spark.range(399).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
     got = {r.id: r.betweenness for r in graph.betweenness(nodes, edges, F.col("part")).collect()}
     assert all(got[v] == v * (399 - v) for v in range(400)) and sum(n for _, n in rows) < 5 * 400
+
+
+def test_permuted_fields_by_blocks_equal_plain_ones(spark, monkeypatch):
+    from latticework.operators import permute
+
+    monkeypatch.setattr(permute, "PART_ROWS", 16)
+    rng = np.random.default_rng(4)
+    n, mean = 90, 3.0
+    v = [None if k == 7 else float(x) for k, x in enumerate(rng.normal(3, 1, n).round(2))]
+    pairs = {(int(a), int(b)): float(w) for (a, b), w in zip(rng.integers(0, n, (300, 2)), rng.uniform(0.5, 2, 300)) if a != b} | {(5, 1000): 1.0, (2000, 6): 2.0}  # ends that are no nodes
+    nodes = spark.createDataFrame([(3 * k, x, k % 4) for k, x in enumerate(v)], "id long, v double, part long")
+    edges = spark.createDataFrame([(3 * a, 3 * b, w) for (a, b), w in pairs.items()], "src long, dst long, w double")
+    total = {a: sum(w for (s, _), w in pairs.items() if s == a) for a, _ in pairs}
+
+    def product(place):
+        z = {k: None if v[p] is None else v[p] - mean for k, p in place.items()}
+        return sum(w / total[a] * z[a] * z[b] for (a, b), w in pairs.items() if z.get(a) is not None and z.get(b) is not None)
+
+    want = [product({k: k for k in range(n)})]
+    for run in range(1, 8):
+        order = sorted(range(n), key=lambda k: hashlib.md5(f"{3 * k}:{run}:42".encode()).hexdigest())
+        want.append(product({k: p for p, k in enumerate(order)}))
+    s0, got = permute.products(nodes, edges, "v", mean, 7, 42, 3, F.col("part"))
+    assert abs(s0 - len(total)) < 1e-9 and np.allclose(got, want)
+    whole, blocks = (stats.morans_p(nodes, edges, "v", permutations=7, at_once=3, block=b).first() for b in (None, F.col("part")))
+    assert abs(whole.i - blocks.i) < 1e-9 and whole.p == blocks.p
+
+
+def test_permuted_fields_with_equal_bits(spark, monkeypatch):
+    from latticework.operators import permute
+
+    keep = permute._digests
+
+    def few(ids, run, seed):
+        h = keep(ids, run, seed).copy()
+        h[:, 0] &= np.uint64(3 << 62)  # four values, so that second halves decide
+        return h
+
+    monkeypatch.setattr(permute, "_digests", few)
+    nodes = spark.range(40).select("id", (F.col("id") * 1.5).alias("v"), (F.col("id") % 3).alias("part"))
+    edges = spark.range(39).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"), F.lit(1.0).alias("w"))
+    _, got = permute.products(nodes, edges, "v", 0.0, 2, 42, 2, F.col("part"))
+    for run in (1, 2):
+        h = few(list(range(40)), run, 42)
+        place = {k: p for p, k in enumerate(sorted(range(40), key=lambda k: (h[k, 0], h[k, 1])))}
+        assert abs(got[run] - sum(2.25 * place[k] * place[k + 1] for k in range(39))) < 1e-6
+
+
+def test_morans_permutation_writes_no_edge_with_a_field(spark, monkeypatch):
+    from latticework.operators import permute
+    from latticework.plans.registry import QUERIES
+
+    called = []
+    keep = permute.products
+    monkeypatch.setattr(permute, "products", lambda *a: called.append(1) or keep(*a))
+    assert QUERIES["morans_permutation"](spark, "/root/testdata/sf0.001").count() == 1 and called
