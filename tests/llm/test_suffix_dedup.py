@@ -168,3 +168,21 @@ def test_intervals():
     assert S.intervals([9, 12, 12, 9], [True, False, False, True]) == [(9, -1, [0, 1, 2, 3, 4], 0)]
     assert S.intervals([9, 12], [False, False]) == []
     assert S.intervals([5, 7, 6], [True] * 3) == [(7, 1, [1, 2], 1), (6, 2, [3], 1), (5, -1, [0], 0)]
+
+
+def test_only_windows_that_begin_a_repeat_are_sorted(monkeypatch):
+    """Nodes are those of all windows' suffixes, and the windows inside of a repeat, which have one left byte everywhere, make no work."""
+    rng = random.Random(12)
+    made = lambda n: bytes(rng.choices(b"abcdefgh", k=n))
+    shared, long = made(60), made(900)
+    pieces = [made(7) + shared + made(9), made(3) + shared + made(2), shared + made(5), made(40), b"a" * 70, made(1) + long + made(1), made(2) + long, long + made(3)]
+    rows_ = [(1, k, k, 0, 10 * k, p, k in (2, 3)) for k, p in enumerate(pieces)]
+    runs = []
+    counted = lambda shared, differ, f=S.intervals: runs.append(len(shared) + 1) or f(shared, differ)
+    monkeypatch.setattr(S, "intervals", counted)
+    got = list(S._array(rows_, 40))
+    assert sum(runs) < 60, "suffixes that were scanned"
+    monkeypatch.setattr(S, "_varied", lambda text, begin, size, copies, window: iter([(j, o) for j, n in enumerate(size.tolist()) for o in range(n - window + 1)]))
+    runs.clear()
+    key = lambda r: repr((r["node"], r["above"], r["size"], r["own"]))
+    assert sorted(map(key, got)) == sorted(map(key, S._array(rows_, 40))) and len(got) > 3 and sum(runs) > 2000
