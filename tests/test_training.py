@@ -71,3 +71,20 @@ def test_many_partitions_are_added_in_a_tree(town, monkeypatch):
     net = gat.Network(4, 2, hidden=3, heads=2, seed=5)
     packed = training.blocks_of(nodes, edges, F.col("id") % 20)
     assert np.allclose(training.sums(packed.repartition(17), net), training.sums(packed.coalesce(1), net))
+
+
+def test_baselines_are_trained_as_long_as_the_networks_defaults(spark, sf, monkeypatch):
+    """The comparison's network and perceptron have the sizes and epochs of their operators' whole job."""
+    from latticework.plans import QUERIES
+
+    asked, real = [], training.train
+
+    def once(net, packed, **options):
+        asked.append((type(net).__name__, [p.shape for p in net.p.values()], options["epochs"], options.get("patience", 60)))
+        return real(net, packed, **options | {"epochs": 1})
+
+    monkeypatch.setattr(training, "train", once)
+    assert {r.label for r in QUERIES["baseline_comparison"](spark, sf).collect()} == {"network", "self_loops", "ols", "mlp"}
+    network_, perceptron = asked
+    assert network_[0] == "Network" and network_[1][:2] == [(15, 256), (15, 256)] and network_[2:] == (800, 60)
+    assert perceptron[0] == "Perceptron" and perceptron[1][:3] == [(15, 64), (64, 32), (32, 2)] and perceptron[2:] == (500, None)
