@@ -50,3 +50,15 @@ def test_rows_without_a_number_take_the_way_of_pairs(spark, monkeypatch):
     monkeypatch.setattr(far, "silhouettes", None)
     df = spark.createDataFrame([(k, float(k), None if k == 3 else 1.0, k % 2) for k in range(6)], "id long, a double, b double, l int")
     assert cluster.silhouette(df, ["a", "b"], "l").count() == 6
+
+
+def test_scores_of_k_means_come_from_blocks(spark, monkeypatch):
+    monkeypatch.setattr(cluster, "FEW", 100)
+    monkeypatch.setattr(cluster, "meetings", None)
+    rng = np.random.default_rng(6)
+    x = np.repeat(rng.normal(size=(400, 2)), 2, axis=0)  # equal rows count as often as they are there
+    df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(x)], "id long, a double, b double")
+    got = {r.k: r.silhouette for r in cluster.scores(df, ["a", "b"], [2, 3], starts=2, steps=4).collect()}
+    for k in (2, 3):
+        l = {r.id: r.cluster for r in cluster.kmeans(df, ["a", "b"], k, 2, 4).collect()}
+        assert np.isclose(got[k], brute(x, np.array([l[i] for i in range(len(x))])).mean(), atol=1e-10)
