@@ -60,3 +60,12 @@ def test_names_when_one_cluster_is_both(spark):
     df = spark.createDataFrame([(3 * i + k, c, s, v) for i, (c, s, v) in enumerate(rows) for k in range(3)], "id long, cluster int, s double, v double")
     named = {r.cluster: r.archetype for r in cluster.name_archetypes(df, "s", "v").select("cluster", "archetype").distinct().collect()}
     assert named == {0: "vital", 1: "calm", 2: "balanced"}
+
+
+def test_squares_of_wide_rows_keep_digits_where_rows_are_near():
+    rng = np.random.default_rng(8)
+    a = rng.normal(size=(60, 64))
+    b = np.concatenate([a[:20], a[:20] + 1e-7, rng.normal(size=(40, 64)), np.full((1, 64), 1e6)])
+    for x, y in ((a, b), (a + 1e5, b + 1e5), (a[:, :2], b[:, :2])):
+        want = ((x[:, None] - y[None]) ** 2).sum(2)
+        assert np.allclose(cluster._squared(x, y), want, rtol=1e-11, atol=0)
