@@ -62,3 +62,15 @@ def test_scores_of_k_means_come_from_blocks(spark, monkeypatch):
     for k in (2, 3):
         l = {r.id: r.cluster for r in cluster.kmeans(df, ["a", "b"], k, 2, 4).collect()}
         assert np.isclose(got[k], brute(x, np.array([l[i] for i in range(len(x))])).mean(), atol=1e-10)
+
+
+def test_vote_by_blocks_equals_sql(spark, sf, monkeypatch):
+    import duckdb
+
+    from latticework.plans import QUERIES, SQL
+
+    monkeypatch.setattr(cluster, "FEW", 50)
+    monkeypatch.setattr(cluster, "meetings", None)
+    d = duckdb.connect()
+    d.sql(f"CREATE VIEW customer AS SELECT * FROM read_parquet('{sf}/customer.parquet')")
+    assert [tuple(r) for r in QUERIES["majority_vote_k"](spark, sf).collect()] == d.sql(SQL["majority_vote_k"]).fetchall()
